@@ -28,7 +28,7 @@ WORD = re.compile(r"[^\W\d_]+")
 STARTS = range(4, 9)
 #: Units of the lexicon at most, the most significant first.
 LEXICON = 20_000
-#: Null share of the fitted scores above which nothing is significant.
+#: Words whose weights a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 200_000
 
 
@@ -120,16 +120,19 @@ class ToxicModel:
         return float(sum(x for _, _, x in self.passages(text)))
 
     def standard(self, total: float) -> float:
-        """How rare the total is without toxicity: -ln P(null total as great) under the Gumbel law, at most 50."""
+        """How rare the total is without toxicity: -ln P(null total as great) under the Gumbel law, at most 12."""
         z = np.exp(-min(700.0, max(-700.0, (total - self.place) / self.width)))
-        return float(min(50.0, -np.log(max(1e-300, -np.expm1(-z)))))
+        return float(min(12.0, -np.log(max(1e-300, -np.expm1(-z)))))
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.standard(self.total(text)) + self.shift, -30, 30))))
 
 
 def _gumbel(totals: np.ndarray) -> tuple[float, float]:
-    """Place and width by moments; totals of texts without any passage are 0."""
+    """Place and width by moments, the uppermost hundredth (wrong labels) cut to the next; texts without a passage total 0."""
+    if not len(totals):
+        return 0.0, 1.0
+    totals = np.minimum(totals, np.quantile(totals, 0.99))
     width = max(0.25, float(totals.std()) * 6**0.5 / np.pi)
     return float(totals.mean()) - 0.5772156649 * width, width
 
@@ -147,7 +150,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, w), b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = SAMPLE, prior: float = 500.0, z_least: float = 3.5, docs_least: int = 4) -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = SAMPLE, prior: float = 20_000.0, z_least: float = 3.5, docs_least: int = 4) -> ToxicModel:
     """Fit on at most ``bound`` labelled rows, chosen by hash of their id.
 
     Units are counted on the executors; at most LEXICON of them, the most
@@ -171,12 +174,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_i
     z = odds / F.sqrt(F.lit(1.0) / (y1 + a) + F.lit(1.0) / (y0 + a))
     lexicon = counts.where(F.col("docs") >= docs_least).withColumn("odds", odds).withColumn("z", z).where((F.col("z") >= z_least) & (F.col("odds") > 1.0)).orderBy(F.desc("z"), "unit").limit(LEXICON).collect()
     model = ToxicModel({r["unit"]: float(min(8.0, r["odds"])) for r in lexicon})
-    # what the model gives on its own sample, counted on the executors: bounded by the sample
-    first = rows.mapInPandas(_profiled(model), "label int, n_words long, hits long").groupBy("label").agg(F.sum("n_words").alias("n"), F.sum("hits").alias("h")).collect()
-    share = {r["label"]: (r["h"] + 0.5) / (r["n"] + 1.0) for r in first}
-    model.other = float(np.log((1 - min(0.5, share.get(1, 0.01))) / (1 - min(0.4, share.get(0, 0.001)))))
-    model.other = min(-0.02, model.other)
-    model.unit = _null_unit(list(model.weights.values()), share.get(0, 0.001), model.other)
+    # weights that words of either class get, in tenths: a histogram of bounded size
+    seen = rows.mapInPandas(_profiled(model), "label int, tenths int, n long").groupBy("label", "tenths").agg(F.sum("n").alias("n")).collect()
+    words = {k: sum(r["n"] for r in seen if r["label"] == k) + 1.0 for k in (0, 1)}
+    share = {k: (sum(r["n"] for r in seen if r["label"] == k and r["tenths"] > 0) + 0.5) / words[k] for k in (0, 1)}
+    model.other = min(-0.02, float(np.log((1 - min(0.5, share[1])) / (1 - min(0.4, share[0])))))
+    model.unit = _null_unit({r["tenths"] / 10: r["n"] / words[0] for r in seen if r["label"] == 0 and r["tenths"] > 0}, model.other)
     got = rows.mapInPandas(_totalled(model), "label int, total double").limit(4 * bound).toPandas()
     clean = got.loc[got["label"] == 0, "total"].to_numpy()
     model.place, model.width = _gumbel(clean)
@@ -185,15 +188,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_i
     return model
 
 
-def _null_unit(weights: list[float], share: float, other: float) -> float:
-    """The positive root of E[exp(unit * weight)] = 1 for words of clean texts."""
-    if not weights:
+def _null_unit(shares: dict[float, float], other: float) -> float:
+    """The positive root of E[exp(unit * weight)] = 1 over words of clean texts; shares: of the positive weights."""
+    rest = 1 - sum(shares.values())
+    if not shares or sum(w * s for w, s in shares.items()) + rest * other >= 0:
         return 1.0
-    mean = float(np.mean(weights))
     low, high = 1e-6, 20.0
     for _ in range(80):
         mid = (low + high) / 2
-        if share * np.exp(mid * mean) + (1 - share) * np.exp(mid * other) > 1:
+        if sum(s * np.exp(mid * w) for w, s in shares.items()) + rest * np.exp(mid * other) > 1:
             high = mid
         else:
             low = mid
@@ -203,8 +206,11 @@ def _null_unit(weights: list[float], share: float, other: float) -> float:
 def _profiled(model: ToxicModel):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words = [WORD.findall(t.lower()) for t in batch["text"]]
-            yield pd.DataFrame({"label": batch["label"], "n_words": list(map(len, words)), "hits": [sum(model.word(w) > 0 for w in ws) for ws in words]})
+            seen: Counter = Counter()
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                for w, n in Counter(WORD.findall(text.lower())).items():
+                    seen[int(label), max(0, round(10 * model.word(w)))] += n
+            yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["label", "tenths", "n"])
 
     return run
 
