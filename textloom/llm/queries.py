@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontaminate, html_text, neardup, repeats, rules, topk, toxicity
+from textloom.llm import bpe, decontaminate, html_text, neardup, repeats, rules, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op6_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op7_lz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_duplicate_runs(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -59,7 +63,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_hamming_index, op3_repeated_bytes, op4_token_counts, op5_toxic_segments, op6_benchmark_index, op9_page_text, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_hamming_index, op3_repeated_bytes, op4_token_counts, op5_toxic_segments, op6_benchmark_index, op7_lz_substrings, op9_page_text, op10_exact_topk)}
 
 ORACLES: dict[str, str] = {
     "op2_hamming_index": r"""
@@ -101,6 +105,16 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
+    "op7_lz_substrings": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        v AS (SELECT doc_id, i, md5_number(array_to_string(w[i:i + 12], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+        m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM v),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM m WHERE least < doc_id),
+        x AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id),
+        k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS r,
+                array_to_string(list_filter(w, lambda e, i: NOT list_contains(coalesce(gone, []), i)), ' ') AS kept FROM d LEFT JOIN x USING (doc_id))
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
+    """,
     "op10_exact_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
