@@ -78,16 +78,19 @@ def proximity_matches(index: DataFrame, first: int, second: int, slop: int) -> D
     return a.join(b, ["key", "pos"]).select("key", "pos", "other")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated of each row.
 
     A word of a document is hit if it lies in an occurrence of a window of an
     item. Null and empty texts have no words; items without words match
-    nothing; repeated items count once each id. Rows that agree in id and text
+    nothing; repeated items count once each id. carry: also ``row``, a struct of
+    all columns of docs. Rows that agree in id and text
     give equal results, each its own; null ids are kept. Empty tables give an
     empty result, or one without hits.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = [F.struct(*docs.columns).alias("row")] if carry else []
+    also = ["row"] if carry else []
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rows)
     twice = own.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).limit(1).count()
     # the key of a row: its id, or where ids repeat or are null a hash of id and text
     own = own.withColumn("key", F.xxhash64("doc_id", "text") if twice else F.col("doc_id").cast("long"))
@@ -103,9 +106,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     known = bounded(phrases, n_phrases)
     asked = found.join(known, "phrase_id").groupBy("key").agg(F.collect_list(F.struct("start", "len", "phrase", "items")).alias("asked"))
     # survivors are compared whole with the words of their document
-    read = own.join(asked, "key", "left").select("doc_id", words_of(F.col("text")).alias("words"), "asked")
+    read = own.join(asked, "key", "left").select(*also, "doc_id", words_of(F.col("text")).alias("words"), "asked")
     hits = F.filter(F.coalesce("asked", F.array().cast("array<struct<start:int,len:int,phrase:array<string>,items:array<string>>>")), lambda a: F.slice("words", a["start"] + 1, a["len"]) == a["phrase"])
-    read = read.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    read = read.select(*also, "doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
     places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
-    read = read.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"))
-    return read.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    read = read.select(*also, "doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"))
+    return read.select(*also, "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm.anchors import Prefix, keyed, mix, null_safe, strings
 from textloom.llm.common import bound_batches, materialize
@@ -260,8 +261,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS, reach
     count only if a component has no other id. An empty table gives an empty
     table; other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
-    own = keyed(docs, id_col, text_col)
+    out = _classes(keyed(docs, id_col, text_col), percent, size, reach)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = 85, size: int = WORDS, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component, that of the smallest id; of rows that repeat whole, one. Texts without words stay."""
+    own = keyed(docs, id_col, text_col, carry=True)
+    classes = _classes(own.drop("row"), percent, size, reach)
+    stay = classes.where("n > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "tag")).alias("one")).select("one.*")
+    stay = stay.unionByName(classes.where("n = 0").select("doc_id", "tag").distinct())
+    out = null_safe(own, stay).withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy("text"))) if _repeated(classes) else null_safe(own, stay).withColumn("again", F.lit(1))
+    return out.where("again = 1").select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def _repeated(classes: DataFrame) -> bool:
+    return not classes.groupBy("doc_id", "tag").count().where("count > 1").isEmpty()
+
+
+def _classes(own: DataFrame, percent: int, size: int, reach: int) -> DataFrame:
+    """doc_id, tag, n, comp (a name of the component) and component_id of each row of a keyed table."""
+    bound_batches(own.sparkSession)
     signed = materialize(own.mapInArrow(_signed(size), SIGNED), "signed")
     full = signed.where("n > 0")
     # equal sets are one node, named by the sum over the set; one of its rows stands for it
@@ -289,7 +309,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS, reach
     if not pairs.isEmpty():
         links = materialize(links.unionByName(confirm(pairs, texts, percent, size)), "links")
         labels = components(links)
-    named = full.select("doc_id", "n", F.col("f1").alias("u")).join(labels, "u", "left").select("doc_id", "n", F.coalesce("comp", "u").alias("comp"))
+    named = full.select("doc_id", "tag", "n", F.col("f1").alias("u")).join(labels, "u", "left").select("doc_id", "tag", "n", F.coalesce("comp", "u").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "comp").select("doc_id", "n", "component_id").unionByName(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    alone = signed.where("n = 0").select("doc_id", "tag", "n", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
+    return named.join(least, "comp").select("doc_id", "tag", "n", "comp", "component_id").unionByName(alone)

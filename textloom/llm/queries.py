@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontaminate, html_text, neardup, repeats, rules, substrings, topk, toxicity
+from textloom.llm import bpe, decontaminate, html_text, mixing, neardup, repeats, rules, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op7_lz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_duplicate_runs(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.interleave(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -63,7 +67,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_hamming_index, op3_repeated_bytes, op4_token_counts, op5_toxic_segments, op6_benchmark_index, op7_lz_substrings, op9_page_text, op10_exact_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_hamming_index, op3_repeated_bytes, op4_token_counts, op5_toxic_segments, op6_benchmark_index, op7_lz_substrings, op8_pfair_mix, op9_page_text, op10_exact_topk)}
 
 ORACLES: dict[str, str] = {
     "op2_hamming_index": r"""

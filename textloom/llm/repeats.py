@@ -249,6 +249,27 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *map(pa.array, cols.T), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for done in _removed(iter([batch])):
+            text = pa.array([x.decode("utf-8", "ignore") for x in done.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), done.column("n_removed"), text], names=["row", "n_removed", "text"])
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """docs with repeated strings cut from their texts, and with them what is left of a cut character.
+
+    Rows of which nothing but blanks remains go; others keep all columns.
+    """
+    bound_batches(docs.sparkSession)
+    own = keyed(docs, id_col, text_col, carry=True)
+    spans = repeat_spans(own.drop("row"), least).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    row = own.schema["row"].dataType.simpleString()
+    out = null_safe(own, spans, "left").select("doc_id", "tag", "text", "spans", "row").mapInArrow(_rewritten, f"row {row}, n_removed long, text string")
+    out = out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (texts) kept, the bytes that remain, of each row.
 
