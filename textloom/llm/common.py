@@ -7,12 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.session import ship
+
 #: Upper bound of the text that one Arrow batch carries to a Python worker.
 BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound Arrow batches by bytes: ten thousand long documents do not fit a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 

@@ -7,11 +7,12 @@ keys leave out so many slots in every way. Every pair within the distance
 therefore meets in a bucket. With the defaults pieces must agree wholly, and a
 pair at the least similarity misses every one of them with a chance under 1e-8.
 
-Links are confirmed on full shingle sets. Equal sets are one node. First each
-node is held against the smallest node it meets; pairs of a bucket that are
-then still in different components are compared by signature, in tiles, and
-those in reach are confirmed too. No link is lost, as pairs that are skipped
-are in one component already.
+Equal sets are one node. A bucket's signatures are compared in tiles, and of the
+pairs in reach a spanning forest is kept, so that rows grow with the nodes and
+not with the pairs. The forests join nodes to groups, outside of which no pair
+is in reach. Within a group, large ones cut into blocks of which every two meet
+in a task, pairs in reach are confirmed on full shingle sets, the nearest first;
+a pair is skipped only where it is in one component already.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ SLOTS, CHUNKS = 66, 22
 REACH = 21
 #: Words of a shingle.
 WORDS = 5
-#: Members that are held against one copy of a node's text.
-SHARE = 500
+#: Nodes and shingles of a block of a group.
+SHARE, SHARE_SHINGLES = 800, 1_000_000
 #: Nodes of a bucket up to which its pairs are tiled at once; greater buckets are split by further pieces.
 CROWD = 4096
 _SEED = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -141,38 +142,143 @@ def index_keys(pieces: Column, reach: int) -> Column:
     return F.array(*out)
 
 
-def _confirmed(percent: int, size: int):
-    """Links (a, b) among rows sorted by (lead, share, own first): the text of a lead, then those held against it."""
+class Forest:
+    """Union of small numbers, with the labels as an array."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> list[int]:
+        """Places of pairs that joined two trees, in the order given as far as pairs of one tree go."""
+        made: list[int] = []
+        at = np.arange(len(p))
+        while True:
+            at = at[self.label[p[at]] != self.label[q[at]]]
+            if not len(at):
+                return made
+            seen: set[int] = set()
+            for k in at[np.sort(np.unique(self.label[p[at]], return_index=True)[1])].tolist():
+                x, y = int(self.label[p[k]]), int(self.label[q[k]])
+                if x in seen or y in seen or x == y:
+                    continue
+                seen |= {x, y}
+                self.label[self.label == max(x, y)] = min(x, y)
+                made.append(k)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slots in which signatures (rows of four 16-bit values a piece, the last unused) differ."""
+    far = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(x.shape[1]):
+        if k % 4 < 3:
+            far += x[:, k, None] != y[None, :, k]
+    return far
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+
+    def same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
+        return all(a.column(k)[i].as_py() == b.column(k)[j].as_py() for k in keys)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = not held or not same(held[-1], held[-1].num_rows - 1, batch, 0)
+        cut = np.flatnonzero(new)
+        if not len(cut):
+            held.append(batch)
+            continue
+        if cut[0]:
+            held.append(batch.slice(0, int(cut[0])))
+        if held:
+            yield pa.Table.from_batches(held)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield pa.Table.from_batches([batch.slice(a, b - a)])
+        held = [batch.slice(int(cut[-1]))]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _signatures_of(t: pa.Table) -> np.ndarray:
+    flat = t.column("sig").combine_chunks()
+    return np.ascontiguousarray(flat.flatten().to_numpy()).view(np.uint16).reshape(t.num_rows, -1)
+
+
+def _forest(reach: int):
+    """A spanning forest (a, b) of the pairs of each bucket that are in reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, lead_set = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            data, offs = strings(batch.column("text"))
-            sets = text_sets(data, offs, size)
-            out = []
-            for who, share, u, own in zip(*(batch.column(c).to_pylist() for c in ("lead", "share", "u")), sets, strict=True):
-                if who == u:
-                    lead, lead_set = (who, share), own
-                elif lead == (who, share):
-                    both = len(np.intersect1d(own, lead_set, assume_unique=True))
-                    if both and 100 * both >= percent * (len(own) + len(lead_set) - both):
-                        out.append((who, u))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        made: list[tuple[int, int]] = []
+        for t in _grouped(batches, ("key",)):
+            if t.num_rows < 2:
+                continue
+            u, slots, forest = t.column("u").to_numpy(), _signatures_of(t), Forest(t.num_rows)
+            for a in range(0, len(u), 256):
+                for b in range(a, len(u), 256):
+                    near = distances(slots[a : a + 256], slots[b : b + 256]) <= reach
+                    i, j = np.nonzero(np.triu(near, 1) if a == b else near)
+                    i, j = i + a, j + b
+                    made += [(int(u[i[k]]), int(u[j[k]])) for k in forest.join(i, j)]
+            if len(made) > 10_000:
+                yield _pairs(made)
+                made = []
+        yield _pairs(made)
 
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """(a, b): the pairs (lead, u) whose full sets are similar enough. texts: (u, text).
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    A lead with many members has a copy of its text for every SHARE of them.
-    """
-    many = pairs.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SHARE), F.lit(1)).cast("int").alias("shares"))
-    members = pairs.join(many, "lead").select("lead", F.pmod(F.xxhash64("u"), F.col("shares")).cast("int").alias("share"), "u")
-    leads = many.select("lead", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("lead").alias("u"))
-    rows = members.unionByName(leads).join(texts, "u").select("lead", "share", "u", "text")
-    rows = rows.repartition("lead", "share").sortWithinPartitions("lead", "share", F.col("u") != F.col("lead"))
-    return rows.mapInArrow(_confirmed(percent, size), "a long, b long")
+
+def _confirmed(reach: int, percent: int, size: int):
+    """Links (a, b) that connect the nodes of a group, or of two of its blocks, as far as their sets do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, ("coarse", "i", "j")):
+            made: list[tuple[int, int]] = []
+            u, block, slots = t.column("u").to_numpy(), t.column("block").to_numpy(), _signatures_of(t)
+            one = int(t.column("i")[0].as_py()) == int(t.column("j")[0].as_py())
+            sets = [s for c in t.column("text").chunks for s in text_sets(*strings(c), size)]
+            p, q, far = [], [], []
+            for a in range(0, len(u), 256):
+                for b in range(a, len(u), 256):
+                    d = distances(slots[a : a + 256], slots[b : b + 256])
+                    near = d <= reach
+                    near = np.triu(near, 1) if a == b else near
+                    if not one:
+                        near &= block[a : a + 256, None] != block[None, b : b + 256]
+                    i, j = np.nonzero(near)
+                    p.append(i + a)
+                    q.append(j + b)
+                    far.append(d[i, j])
+            p, q, far = np.concatenate(p), np.concatenate(q), np.concatenate(far)
+            order = np.argsort(far, kind="stable")
+            p, q, label = p[order], q[order], np.arange(len(u))
+            sizes = np.array([len(s) for s in sets])
+            # the sizes alone rule out what could not be similar enough
+            lesser, greater = np.minimum(sizes[p], sizes[q]), np.maximum(sizes[p], sizes[q])
+            fit = 100 * lesser >= percent * greater
+            p, q = p[fit], q[fit]
+            for start in range(0, len(p), 2000):
+                x, y = p[start : start + 2000], q[start : start + 2000]
+                for i, j in zip(*(z[label[x] != label[y]].tolist() for z in (x, y)), strict=True):
+                    if label[i] == label[j]:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        made.append((int(u[i]), int(u[j])))
+                        label[label == label[j]] = label[i]
+            yield _pairs(made)
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -196,62 +302,6 @@ def components(links: DataFrame) -> DataFrame:
         labels = materialize(labels.join(hook, "comp", "left").select("u", F.coalesce("to", "comp").alias("comp")), "labels")
 
 
-def _tiles(reach: int):
-    """Pairs (lead, u) of each bucket in reach and in different components; rows sorted by key."""
-
-    def solve(u: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        slots = sig.view(np.uint16).reshape(len(u), -1)
-        for a in range(0, len(u), 256):
-            for b in range(a, len(u), 256):
-                x, y = slots[a : a + 256], slots[b : b + 256]
-                far = np.zeros((len(x), len(y)), np.uint8)
-                for k in range(slots.shape[1]):
-                    if k % 4 < 3:
-                        far += x[:, k, None] != y[None, :, k]
-                near = (far <= reach) & (comp[a : a + 256, None] != comp[None, b : b + 256])
-                if a == b:
-                    near = np.triu(near, 1)
-                i, j = np.nonzero(near)
-                yield u[a + i], u[b + j]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            t = pa.Table.from_batches(held)
-            held.clear()
-            key = t.column("key").to_numpy()
-            u, comp = t.column("u").to_numpy(), t.column("comp").to_numpy()
-            sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(key), CHUNKS)
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            leads, others = [], []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if b - a > 1:
-                    for p, q in solve(u[a:b], comp[a:b], np.ascontiguousarray(sig[a:b])):
-                        leads.append(np.minimum(p, q))
-                        others.append(np.maximum(p, q))
-            pairs = np.unique(np.stack([np.concatenate(leads), np.concatenate(others)]), axis=1) if leads else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["lead", "u"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy()
-            # the last key of a batch may go on in the next
-            cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
-            if cut == 0 and held and held[-1].column("key")[-1].as_py() == key[0]:
-                held.append(batch)
-                continue
-            held.append(batch.slice(0, cut))
-            yield from flush()
-            held.append(batch.slice(cut))
-        yield from flush()
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach) and kept, of each row.
 
@@ -286,29 +336,29 @@ def _classes(own: DataFrame, percent: int, size: int, reach: int) -> DataFrame:
     full = signed.where("n > 0")
     # equal sets are one node, named by the sum over the set; one of its rows stands for it
     nodes = full.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "tag", "sig")).alias("one"))
-    nodes = materialize(nodes.select(F.col("f1").alias("u"), "one.doc_id", "one.tag", "one.sig"), "nodes")
+    nodes = materialize(nodes.select(F.col("f1").alias("u"), "n", "one.doc_id", "one.tag", "one.sig"), "nodes")
     pieces = nodes.select("u", F.posexplode("sig").alias("chunk", "piece"))
     keys = pieces.select("u", F.explode(index_keys(F.col("piece"), reach)).alias("key"))
-    led = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("u").alias("lead")).where("size > 1")
-    meets = materialize(keys.join(led, "key"), "buckets")
-    some = meets.select("u").distinct()
-    texts = null_safe(own, nodes.join(some, "u").select("u", "doc_id", "tag")).groupBy("u").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "texts")
-    first = meets.where("u <> lead").groupBy("u").agg(F.min("lead").alias("lead"))
-    links = materialize(confirm(first, texts, percent, size), "links")
-    labels = components(links)
-    at = meets.select("key", "u", "size").join(labels, "u", "left").withColumn("comp", F.coalesce("comp", "u"))
-    open_ = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    at = at.join(open_, "key").join(nodes.select("u", "sig"), "u")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    at = keys.join(shared, "key").join(nodes.select("u", "sig"), "u")
     # greater buckets are split: pairs in reach also agree in a piece among the others
-    small = at.where(F.col("size") <= CROWD).select("key", "u", "comp", "sig")
-    great = at.where(F.col("size") > CROWD).select("key", "u", "comp", "sig", F.posexplode("sig").alias("chunk", "piece"))
-    great = great.select(F.xxhash64("key", "chunk", "piece").alias("key"), "u", "comp", "sig")
-    rest = small.unionByName(great).repartition("key").sortWithinPartitions("key")
-    pairs = materialize(rest.mapInArrow(_tiles(reach), "lead long, u long").distinct(), "pairs")
-    if not pairs.isEmpty():
-        links = materialize(links.unionByName(confirm(pairs, texts, percent, size)), "links")
-        labels = components(links)
+    small = at.where(F.col("size") <= CROWD).select("key", "u", "sig")
+    great = at.where(F.col("size") > CROWD).select("key", "u", "sig", F.posexplode("sig").alias("chunk", "piece"))
+    great = great.select(F.xxhash64("key", "chunk", "piece").alias("key"), "u", "sig")
+    rows = small.unionByName(great).repartition("key").sortWithinPartitions("key")
+    near = materialize(rows.mapInArrow(_forest(reach), "a long, b long").distinct(), "forest")
+    groups = components(near).withColumnRenamed("comp", "coarse")
+    # a group that is too large for a task is cut into blocks, every two of which meet
+    members = nodes.join(groups, "u")
+    sizes = members.groupBy("coarse").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    sizes = materialize(sizes.select("coarse", F.greatest(F.ceil(F.col("m") / SHARE), F.ceil(F.col("s") / SHARE_SHINGLES)).cast("int").alias("k")), "groups")
+    members = members.join(sizes, "coarse").withColumn("block", F.pmod(F.xxhash64("u"), F.col("k")).cast("int"))
+    members = null_safe(own, members)
+    meets = members.select("coarse", "u", "sig", "text", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    meets = meets.select("coarse", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "u", "block", "sig", "text")
+    meets = meets.repartition("coarse", "i", "j").sortWithinPartitions("coarse", "i", "j")
+    links = materialize(meets.mapInArrow(_confirmed(reach, percent, size), "a long, b long"), "links")
+    labels = components(links)
     named = full.select("doc_id", "tag", "n", F.col("f1").alias("u")).join(labels, "u", "left").select("doc_id", "tag", "n", F.coalesce("comp", "u").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     alone = signed.where("n = 0").select("doc_id", "tag", "n", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
