@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.scratch import materialize
+
 #: Most edges and nodes that a network shows.
 MOST_EDGES, MOST_NODES, MOST_NODE_FIRST = 6000, 10_000, 12_000
 
@@ -130,13 +132,15 @@ def topic_distribution(topics: DataFrame, start: str | None = None, end: str | N
 def communities(edge_list: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, community) by weighted label propagation: each node takes the heaviest label around it, the smaller of equals.
 
-    An approximation of modularity communities; the number of rounds is fixed.
+    An approximation of modularity communities; the number of rounds is fixed,
+    and each cuts its lineage with a table in the shared folder.
     """
+    edge_list = materialize(edge_list.select("a_text", "b_text", "weight"), "edges")
     both = edge_list.select(F.col("a_text").alias("node"), F.col("b_text").alias("near"), "weight").unionAll(edge_list.select(F.col("b_text"), F.col("a_text"), "weight"))
     labels = both.select("node").distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         around = both.join(labels.select(F.col("node").alias("near"), "community"), "near").groupBy("node", "community").agg(F.sum("weight").alias("w"))
         own = labels.select("node", "community", F.lit(0).cast("long").alias("w"))
         best = around.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w")).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w"), "community")))
-        labels = best.where("r = 1").select("node", "community")
+        labels = materialize(best.where("r = 1").select("node", "community"), "communities")
     return labels

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import core
-from textloom.operators import distribution, extract, metadata, network, revisions, timeseries
+from textloom.operators import catalogue, crawl, distribution, extract, harmonise, metadata, network, revisions, timeseries
 from textloom.sources import views
 from textloom.sources.views import with_views
 
@@ -222,9 +222,9 @@ def h7_probe_lead_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(distribution.lead_lag(act("src0", "src1"), act("src2", "src3"), 12))
 
 
-@register("SELECT article_id, round(avg(value) FILTER (metric_name = 'word_count'), 6) AS x, round(avg(value) FILTER (metric_name = 'n_chars'), 6) AS y, round(avg(value) FILTER (metric_name = 'quality'), 6) AS size, CAST(NULL AS DOUBLE) AS color FROM doc_metrics GROUP BY article_id HAVING x IS NOT NULL AND y IS NOT NULL ORDER BY article_id LIMIT 500", "doc_metrics")
+@register("SELECT article_id, round(avg(value) FILTER (metric_name = 'word_count'), 6) AS x, round(avg(value) FILTER (metric_name = 'n_chars'), 6) AS y, round(avg(value) FILTER (metric_name = 'quality'), 6) AS size, CAST(NULL AS DOUBLE) AS color FROM doc_metrics GROUP BY article_id HAVING x IS NOT NULL AND y IS NOT NULL ORDER BY article_id LIMIT 10000", "doc_metrics")
 def h8_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(distribution.scatter(views.doc_metrics(spark, sf_dir), "word_count", "n_chars", "quality", most=500))
+    return rounded(distribution.scatter(views.doc_metrics(spark, sf_dir), "word_count", "n_chars", "quality"))
 
 
 @register("SELECT article_id, round(avg(value) FILTER (metric_name = 'word_count'), 6) AS a0, round(avg(value) FILTER (metric_name = 'n_chars'), 6) AS a1, round(avg(value) FILTER (metric_name = 'toxic'), 6) AS a2 FROM doc_metrics GROUP BY article_id HAVING a0 IS NOT NULL AND a1 IS NOT NULL AND a2 IS NOT NULL ORDER BY article_id LIMIT 3000", "doc_metrics")
@@ -475,3 +475,222 @@ _LEX = ", ".join(f"('{w}', {v})" for w, v in LEXICON)
 def d6b_lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text")
     return extract.lexicon_sentiment(d, spark.createDataFrame(LEXICON, "word string, weight double"))
+
+
+# catalogue, links, topics --------------------------------------------------------------
+
+
+def _grants(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(GRANTS, "metric_name string, language string, equivalence_level string, notes string")
+
+
+#: Constant grants for the governance queries; the SQL has the same rows.
+GRANTS = [("click", "de", "deviation", "n1"), ("click", "en", "absolute", "n2"), ("click", "fr", "deviation", "n3"), ("click", "es", "absolute", "n4"), ("view", "de", "absolute", "n5"), ("purchase", "en", "temporal", "n6"), ("purchase", "de", "temporal", "n7")]
+GRANT_SQL = "g(metric_name, language, equivalence_level, notes) AS (VALUES " + ", ".join(str(x) for x in GRANTS) + "), k AS (SELECT *, CASE equivalence_level WHEN 'temporal' THEN 1 WHEN 'deviation' THEN 2 WHEN 'absolute' THEN 3 ELSE 0 END AS r FROM g)"
+
+
+@register("""WITH w AS (SELECT article_id, min(source) AS source, max(timestamp) AS timestamp, round(avg(value) FILTER (metric_name = 'word_count'), 6) AS word_count, CAST(NULL AS DOUBLE) AS sentiment FROM doc_metrics GROUP BY article_id ORDER BY timestamp DESC, article_id LIMIT 50 OFFSET 5)
+    SELECT w.*, l.detected_language AS language, coalesce(n, 0) AS revisions FROM w LEFT JOIN languages l USING (article_id) LEFT JOIN (SELECT article_id, count(*) AS n FROM revisions GROUP BY article_id) USING (article_id)""", "doc_metrics", "languages", "revisions")
+def h33_article_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(catalogue.article_list(views.doc_metrics(spark, sf_dir), views.languages(spark, sf_dir), views.revisions(spark, sf_dir), 50, 5))
+
+
+@register(f"""WITH {GRANT_SQL}, s AS (SELECT DISTINCT detected_language AS language FROM languages), c AS (SELECT metric_name, count(DISTINCT language) FILTER (equivalence_level IN ('deviation', 'absolute')) AS two, count(DISTINCT language) FILTER (equivalence_level = 'absolute') AS three FROM g JOIN s USING (language) GROUP BY metric_name)
+    SELECT metric_name, CASE WHEN two = (SELECT count(*) FROM s) AND three = (SELECT count(*) FROM s) THEN 3 WHEN two = (SELECT count(*) FROM s) THEN 2 ELSE 1 END AS level FROM c""", "languages")
+def h38_probe_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.probe_equivalence(views.languages(spark, sf_dir), _grants(spark))
+
+
+@register(f"WITH {GRANT_SQL} SELECT metric_name, arg_max(equivalence_level, r) AS level, array_to_string(list_sort(list(DISTINCT language)), ',') AS languages FROM k GROUP BY metric_name")
+def h44_equivalence_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.equivalence_by_metric(_grants(spark)).withColumn("languages", F.array_join("languages", ","))
+
+
+@register(f"WITH {GRANT_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY r DESC, equivalence_level DESC, notes DESC) AS p FROM k) SELECT metric_name, equivalence_level AS level, notes AS cultural_context_notes FROM o WHERE p = 1")
+def h43_metric_validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.validation_status(_grants(spark))
+
+
+@register(f"""WITH {GRANT_SQL}, v AS (SELECT event_type AS metric_name, max(ts) AS until FROM events WHERE event_type <> 'view' GROUP BY event_type), n AS (SELECT DISTINCT event_type AS metric_name FROM events), e AS (SELECT metric_name, arg_max(equivalence_level, r) AS level FROM k GROUP BY metric_name)
+    SELECT metric_name, CASE WHEN until IS NULL THEN 'unvalidated' WHEN until > TIMESTAMP '2024-01-30 23:00:00' THEN 'validated' ELSE 'expired' END AS validation, level FROM n LEFT JOIN v USING (metric_name) LEFT JOIN e USING (metric_name)""")
+def h27_available_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = views.metrics(spark, sf_dir)
+    validity = m.where("metric_name <> 'view'").select("metric_name", F.col("timestamp").alias("valid_until"))
+    return catalogue.available(m, validity, _grants(spark), "2024-01-30 23:00:00").drop("languages")
+
+
+RUNS = "r AS (SELECT 'ch' || CAST(user_id % 6 AS VARCHAR) AS channel, CAST(ts AS DATE) AS day, count(*) AS discovered, count(DISTINCT user_id) AS after_dedup FROM events GROUP BY ALL)"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").withColumn("channel", F.concat(F.lit("ch"), (F.col("user_id") % 6).cast("string"))).withColumn("day", F.to_date("ts"))
+    out = e.groupBy("channel", "day").agg(F.count(F.lit(1)).alias("discovered"), F.countDistinct("user_id").alias("after_dedup"))
+    return out.withColumn("run_at", F.col("day").cast("timestamp_ntz")).withColumn("indeterminate", F.col("channel") == "ch5").withColumn("declared", F.when(F.col("channel") != "ch4", F.col("discovered") * 2))
+
+
+@register(f"WITH {RUNS}, l AS (SELECT channel, arg_max(discovered, day) AS discovered, arg_max(after_dedup, day) AS after_dedup FROM r GROUP BY channel), m AS (SELECT channel, round(avg(discovered), 6) AS mean_discovered FROM r WHERE day >= DATE '2024-01-24' GROUP BY channel) SELECT channel, discovered, after_dedup, mean_discovered, coalesce(discovered < 0.9 * mean_discovered, false) AS underflow FROM l LEFT JOIN m USING (channel)")
+def h39_discovery_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(catalogue.underflow(catalogue.discovery_coverage(_runs(spark, sf_dir), 7, "2024-01-31"), 0.9)).select("channel", "discovered", "after_dedup", "mean_discovered", "underflow")
+
+
+@register(f"WITH {RUNS}, l AS (SELECT channel, arg_max(discovered, day) * 2 AS declared FROM r GROUP BY channel) SELECT CAST(sum(declared) FILTER (channel NOT IN ('ch4', 'ch5')) AS BIGINT) AS declared, 'ch4,ch5' AS indeterminate, 277 AS gold, round(277.0 / sum(declared) FILTER (channel NOT IN ('ch4', 'ch5')), 6) AS ratio FROM l")
+def h40_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channels = catalogue.discovery_coverage(_runs(spark, sf_dir), 7, "2024-01-31")
+    return rounded(catalogue.completeness(channels, 277).withColumn("indeterminate", F.array_join("indeterminate", ",")))
+
+
+FUNNEL = "f AS (SELECT CAST(ts AS DATE) AS run_id, count(*) FILTER (event_type = 'click') AS discovered, count(*) FILTER (event_type = 'view') AS fetched, count(*) FILTER (event_type = 'purchase') AS thin, 0 AS failed, count(*) FILTER (event_type NOT IN ('click', 'view', 'purchase')) AS submitted FROM events GROUP BY ALL)"
+
+
+@register(f"WITH {FUNNEL} SELECT *, round(fetched / nullif(submitted, 0), 6) AS extraction_rate, round(thin / nullif(fetched, 0), 6) AS non_article_rate FROM (SELECT run_id, discovered, fetched, thin, CAST(failed AS BIGINT) AS failed, submitted FROM f)")
+def h41_m11_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    e = views.table(spark, sf_dir, "events").select(F.to_date("ts").alias("run_id"), F.when(kind == "click", "discovered").when(kind == "view", "fetched").when(kind == "purchase", "thin").otherwise("submitted").alias("outcome"))
+    return rounded(catalogue.funnel_rates(crawl.funnel(e).withColumn("gold", F.col("fetched"))).drop("gold"))
+
+
+@register(f"""WITH {RUNS}, w AS (SELECT channel, day, discovered, discovered < 60 AS low, coalesce(lag(discovered < 60) OVER o, false) AS l1, coalesce(lag(discovered < 60, 2) OVER o, false) AS l2 FROM r WINDOW o AS (PARTITION BY channel ORDER BY day))
+    SELECT channel, day, discovered, CASE WHEN low AND l1 THEN 'alerted' WHEN low THEN 'pending' WHEN l1 AND l2 THEN 'recovered' ELSE 'ok' END AS state FROM w""")
+def m9_underflow_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.underflow_states(_runs(spark, sf_dir).withColumn("floor", F.lit(60))).select("channel", "day", "discovered", "state")
+
+
+@register("""WITH f AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS url, event_type AS channel, max(ts) AS lastmod FROM events GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY list_position(['view', 'click', 'purchase', 'login', 'logout', 'search', 'scroll'], channel), lastmod DESC) AS k FROM f WHERE channel IN ('view', 'click', 'purchase'))
+    SELECT url, channel, lastmod FROM o WHERE k = 1""")
+def m10_merged_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "purchase"))
+    found = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_type").alias("channel")).agg(F.max("ts").alias("lastmod"))
+    return crawl.merged_channels(found, ["view", "click", "purchase"])
+
+
+@register("""WITH f AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS url, max(ts) AS lastmod FROM events GROUP BY 1), s AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS url, max(ts) FILTER (event_type = 'view') AS seen, max(ts) AS seen_at FROM events WHERE user_id % 3 <> 0 AND ts < TIMESTAMP '2024-01-20' GROUP BY 1)
+    SELECT * FROM (SELECT url, lastmod, CASE WHEN seen_at IS NULL THEN 'new' WHEN lastmod > seen THEN 'changed' WHEN seen_at < TIMESTAMP '2024-01-17' THEN 'stale' END AS reason FROM f LEFT JOIN s USING (url)) WHERE reason IS NOT NULL""")
+def m8_changed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").withColumn("url", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    old = e.where("user_id % 3 <> 0 AND ts < TIMESTAMP_NTZ '2024-01-20'")
+    state = old.groupBy("url").agg(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("seen_lastmod"), F.max("ts").alias("fetched_at"))
+    return crawl.changed_addresses(e.groupBy("url").agg(F.max("ts").alias("lastmod")), state, "2024-01-31")
+
+
+def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.silver(spark, sf_dir)
+    topic = F.when(F.col("article_id").cast("long") % 11 == 0, -1).otherwise((F.col("article_id").cast("long") % 5).cast("int"))
+    week = F.date_trunc("week", "timestamp").cast("timestamp_ntz")
+    return d.select("article_id", "source", "language", "timestamp", week.alias("window_start"), (week + F.expr("INTERVAL 7 DAYS")).alias("window_end"), topic.alias("topic_id"), F.concat(F.lit("t"), topic.cast("string")).alias("topic_label"), F.when(topic == -1, 0.0).otherwise(1.0).alias("topic_confidence"), F.lit("m1").alias("model_hash"))
+
+
+TOPICS = "t AS (SELECT article_id, source, language, timestamp, date_trunc('week', timestamp) AS window_start, CASE WHEN CAST(article_id AS BIGINT) % 11 = 0 THEN -1 ELSE CAST(article_id AS BIGINT) % 5 END AS topic_id FROM silver)"
+
+
+@register(f"WITH {TOPICS} SELECT language, CAST(topic_id AS INT) AS topic_id, 't' || CAST(topic_id AS VARCHAR) AS label, count(DISTINCT article_id) AS articles, 1.0::DOUBLE AS confidence, 'm1' AS model FROM t WHERE window_start = (SELECT max(window_start) FROM t) AND topic_id <> -1 GROUP BY ALL", "silver")
+def h15_topic_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.topic_distribution(_topics(spark, sf_dir))
+
+
+@register(f"""WITH {TOPICS}, r AS (SELECT *, CAST(floor((epoch(timestamp) - epoch(TIMESTAMP '{START}')) * 14 / 1209600) AS INT) AS bucket FROM t WHERE timestamp >= TIMESTAMP '{START}' AND timestamp < TIMESTAMP '{END}'),
+    k AS (SELECT topic_id, row_number() OVER (ORDER BY count(DISTINCT article_id) DESC, topic_id) AS k FROM r WHERE topic_id <> -1 GROUP BY topic_id),
+    n AS (SELECT r.*, CASE WHEN r.topic_id = -1 THEN 'outlier' WHEN k.k <= 3 THEN CAST(r.topic_id AS VARCHAR) ELSE 'other' END AS topic FROM r LEFT JOIN k ON k.topic_id = r.topic_id),
+    f AS (SELECT topic, CAST(unnest(range(0, 14)) AS INT) AS bucket FROM (SELECT DISTINCT topic FROM n)), c AS (SELECT topic, bucket, count(DISTINCT article_id) AS articles FROM n GROUP BY ALL)
+    SELECT f.topic, f.bucket, coalesce(articles, 0) AS articles FROM f LEFT JOIN c ON c.topic = f.topic AND c.bucket = f.bucket""", "silver")
+def r1_topic_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.topic_evolution(_topics(spark, sf_dir), START, END, 3)
+
+
+ALIASES_SQL = "l AS (SELECT 'Q' || CAST(p_partkey AS VARCHAR) AS qid, lower(trim(p_name)) AS alias, CASE WHEN p_size % 2 = 0 THEN 'label' ELSE 'altLabel' END AS source, p_size AS sitelinks FROM part)"
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("qid"), F.col("p_name").alias("text"), F.when(F.col("p_size") % 2 == 0, "label").otherwise("altLabel").alias("source"), F.col("p_size").alias("sitelinks"))
+
+
+@register("""WITH l AS (SELECT 'Q' || CAST(p_partkey AS VARCHAR) AS qid, lower(trim(translate(p_name, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''))) AS alias, CASE WHEN p_size % 2 = 0 THEN 'label' ELSE 'altLabel' END AS source, p_size AS sitelinks FROM part)
+    SELECT alias, qid, source, sitelinks FROM l WHERE alias <> ''""")
+def e17_alias_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.alias_index(_labels(spark, sf_dir))
+
+
+@register("""WITH l AS (SELECT 'Q' || CAST(p_partkey AS VARCHAR) AS qid, lower(trim(translate(p_brand, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''))) AS alias, CASE WHEN p_size % 2 = 0 THEN 'label' ELSE 'altLabel' END AS source, max(p_size) AS sitelinks FROM part GROUP BY ALL),
+    w AS (SELECT DISTINCT p_brand AS entity_text, lower(trim(translate(p_brand, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''))) AS alias FROM part),
+    r AS (SELECT entity_text, qid, CASE source WHEN 'label' THEN 1.0 ELSE 0.85 END AS c, source, row_number() OVER (PARTITION BY entity_text ORDER BY CASE source WHEN 'label' THEN 1.0 ELSE 0.85 END DESC, sitelinks DESC, source DESC, qid) AS k FROM w JOIN l USING (alias))
+    SELECT entity_text, qid AS wikidata_qid, CAST(c AS DOUBLE) AS link_confidence, source AS link_method FROM r WHERE k = 1""")
+def d5_entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.table(spark, sf_dir, "part")
+    labels = p.select(F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("qid"), F.col("p_brand").alias("text"), F.when(F.col("p_size") % 2 == 0, "label").otherwise("altLabel").alias("source"), F.col("p_size").alias("sitelinks"))
+    return extract.entity_links(p.select(F.col("p_brand").alias("entity_text")), extract.alias_index(labels))
+
+
+# embeddings, conversations, pages ------------------------------------------------------
+
+
+@register("""WITH c AS (SELECT label, [%s] AS m FROM embeddings GROUP BY label), e AS (SELECT vec_id, label, embedding FROM embeddings)
+    SELECT vec_id, round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), m) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(m, m)), 6) AS distance FROM e JOIN c USING (label)""" % ", ".join(f"avg(CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(64)))
+def e11_centroid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "embeddings")
+    centre = e.groupBy("label").agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(64)]).alias("m"))
+    return rounded(e.join(centre, "label").select("vec_id", core.cosine_distance(F.col("embedding"), F.col("m")).alias("distance")))
+
+
+@register("SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role, sha256(coalesce(text, '')) AS content_hash, coalesce(lag(sha256(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn), '') AS prev_content_hash FROM conversations")
+def g6_previous_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    c = views.table(spark, sf_dir, "conversations").withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return c.select("conv_id", "turn", "role", F.lag("role").over(w).alias("prev_role"), "content_hash", F.coalesce(F.lag("content_hash").over(w), F.lit("")).alias("prev_content_hash"))
+
+
+@register("SELECT page_id, sha256('pages' || url) AS document_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]*)\"', 1) AS language FROM pages")
+def c2_c7_page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.table(spark, sf_dir, "pages")
+    return p.select("page_id", harmonise.document_id(F.lit("pages"), F.col("url")).alias("document_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("language"))
+
+
+@register()
+def c5_web_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonise.web(views.table(spark, sf_dir, "pages").withColumnRenamed("html", "raw_html")).select("page_id", "cleaned_text", "extraction_method", "word_count")
+
+
+@register()
+def c7_c10_resolved_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = harmonise.resolve_fields(views.table(spark, sf_dir, "pages").withColumnRenamed("html", "raw_html"))
+    return out.select("page_id", "title.value", "title.method", F.col("published.method").alias("published_method"))
+
+
+@register("SELECT article_id, len(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[A-ZÄÖÜ][A-Za-zÄÖÜäöüß]+'))) AS raw_entity_count FROM doc_base", "doc_base")
+def c15_raw_entity_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("article_id"), harmonise.capitalised(F.col("text")).cast("long").alias("raw_entity_count"))
+
+
+@register("SELECT page_id, count(DISTINCT h) AS article_links, count(DISTINCT h) >= 5 AS is_listing FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"#]+)\"', 1)) AS h FROM pages) WHERE regexp_matches(h, '^/[a-z]+$') GROUP BY page_id")
+def a20_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.listing_pages(crawl.links(views.table(spark, sf_dir, "pages")), "^/[a-z]+$")
+
+
+@register()
+def d3_language_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.detections(views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text"))
+
+
+@register()
+def d4_entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.entity_spans(views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text"))
+
+
+@register()
+def e5_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.topics(views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.col("lang").alias("language"), "text"))
+
+
+@register()
+def e9_paragraph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    c = views.table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.where(F.col("before").isNotNull()).select("conv_id", "turn", F.array_join(revisions.paragraph_diff("before", "text"), "\n").alias("ops"))
+
+
+@register()
+def r2_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.communities(network.edge_first(_cooc(spark, sf_dir), 100))

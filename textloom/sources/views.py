@@ -54,9 +54,9 @@ def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalised ASCII words of the first 400 characters; the label is by length."""
+    """Capitalised ASCII words; the label is by length."""
     d = table(spark, sf_dir, "documents")
-    tokens = d.select(F.col("doc_id").cast("string").alias("article_id"), "source", doc_time("doc_id").alias("timestamp"), F.posexplode(F.split(F.substring("text", 1, 400), " ")).alias("start_char", "entity_text"))
+    tokens = d.select(F.col("doc_id").cast("string").alias("article_id"), "source", doc_time("doc_id").alias("timestamp"), F.posexplode(F.split("text", " ")).alias("start_char", "entity_text"))
     return tokens.where(F.col("entity_text").rlike("^[A-Z][a-z]{3,}$")).withColumn("entity_label", F.when(F.length("entity_text") % 2 == 0, "ORG").otherwise("PER"))
 
 
@@ -85,7 +85,7 @@ VIEWS_SQL = {
     "languages": "languages AS (SELECT article_id, source, timestamp, lang AS detected_language, 1 AS rank, 1.0 AS confidence FROM doc_base)",
     "silver": "silver AS (SELECT article_id, source, timestamp, lang AS language, len AS cleaned_text_length, word_count FROM doc_base)",
     "article_metadata": "article_metadata AS (SELECT article_id, source, timestamp, 'language' AS field, [lang] AS value FROM doc_base UNION ALL SELECT article_id, source, timestamp, 'length_band', [CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars < 3000 THEN 'middle' ELSE 'long' END] FROM doc_base UNION ALL SELECT article_id, source, timestamp, 'labels', ['quality:' || CAST(CAST(quality AS INT) AS VARCHAR), 'toxic:' || CAST(CAST(toxic AS INT) AS VARCHAR)] FROM doc_base WHERE quality IS NOT NULL)",
-    "entities": "entities AS (SELECT article_id, source, timestamp, t AS entity_text, CASE WHEN length(t) % 2 = 0 THEN 'ORG' ELSE 'PER' END AS entity_label FROM (SELECT article_id, source, timestamp, unnest(string_split(substr(text, 1, 400), ' ')) AS t FROM doc_base) WHERE regexp_full_match(t, '[A-Z][a-z]{3,}'))",
+    "entities": "entities AS (SELECT article_id, source, timestamp, t AS entity_text, CASE WHEN length(t) % 2 = 0 THEN 'ORG' ELSE 'PER' END AS entity_label FROM (SELECT article_id, source, timestamp, unnest(string_split(text, ' ')) AS t FROM doc_base) WHERE regexp_full_match(t, '[A-Z][a-z]{3,}'))",
     "brands": "brands AS (SELECT CAST(l_orderkey AS VARCHAR) AS article_id, 'src' || CAST(l_orderkey % 7 AS VARCHAR) AS source, l_shipdate AS timestamp, p_brand AS entity_text, 'BRAND' AS entity_label FROM lineitem JOIN part ON l_partkey = p_partkey)",
     "revisions": "revisions AS (SELECT CAST(l_orderkey AS VARCHAR) AS article_id, 'src' || CAST(l_orderkey % 7 AS VARCHAR) AS source, l_shipdate AS snapshot_at, CAST(l_partkey AS VARCHAR) AS content_hash, CASE l_returnflag WHEN 'A' THEN 'republication' WHEN 'N' THEN 'sweep' ELSE 'chain_head' END AS revision_trigger, l_discount AS sentiment_delta, l_linestatus = 'O' AS headline_changed, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS revision_index, l_linenumber AS line FROM lineitem)",
 }

@@ -1 +1 @@
-
+"""Structured Streaming jobs: ingest, incremental rollups, deduplication, attempts."""
