@@ -210,6 +210,7 @@ def repeat_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: i
     """(doc_id, tag, start, stop) of stretches to remove from a keyed table; they may overlap or repeat."""
     rows = segment_rows(docs, byte_units, least, gram)
     dup = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("h", (F.col("c1") == F.col("c2")).alias("same"))
+    dup = materialize(dup, "repeated")  # so that both sides of the join are plain shuffles, which can be split by skew
     cand = materialize(rows.join(dup, "h"), "anchors")
     span = ("doc_id", "tag", F.col("s1").alias("start"), (F.col("s2") + least).alias("stop"))
     mixed = cand.where(~F.col("same"))
@@ -217,8 +218,8 @@ def repeat_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: i
     kinds = materialize(kinds, "kinds")
     known = kinds.where("n > 1").select("h", "c")
     sure = cand.where("same").select(*span).unionByName(mixed.join(known, ["h", "c"]).select(*span))
-    crowds = kinds.groupBy("h").agg((F.count(F.lit(1)) > crowd).alias("crowded"))
-    asked = kinds.join(crowds, "h").select("one.doc_id", "one.tag", F.struct("h", "one.s1", "one.s2", (F.col("n") > 1).alias("known"), "crowded").alias("ask"))
+    crowds = materialize(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > crowd).select("h", F.lit(True).alias("crowded")), "crowds")
+    asked = kinds.join(crowds, "h", "left").select("one.doc_id", "one.tag", F.struct("h", "one.s1", "one.s2", (F.col("n") > 1).alias("known"), F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("ask"))
     asked = asked.groupBy("doc_id", "tag").agg(F.collect_list("ask").alias("asked"))
     got = null_safe(docs, asked).mapInArrow(_cut_out(least), "h long, doc_id long, tag int, s1 int, seg binary, known boolean, crowded boolean")
     got = materialize(got, "segments")
