@@ -32,6 +32,7 @@ ENDS = {
     **dict.fromkeys(("tbody", "thead", "tfoot"), (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",))),
     "option": (("option",), ("select", "datalist", "optgroup")), "optgroup": (("option", "optgroup"), ("select",)), "body": (("head",), ()),
 }
+PARTS = frozenset("caption tbody td tfoot th thead tr".split())
 IN_HEAD = frozenset("head base link meta noscript script style template title html".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -261,7 +262,9 @@ def render(markup: str | None) -> str:
                 flow.block(1)
                 tables.append(Table())
                 undo = "table"
-            elif what == "tr" and tables:
+            elif what in PARTS and not tables:
+                undo = "inline"  # table parts outside of a table are nothing
+            elif what == "tr":
                 tables[-1].row()
             elif what in BLOCK:
                 flow.block(MARGIN.get(what, 0) if not (lists and what in ("ul", "ol", "menu")) else 0)
@@ -296,7 +299,7 @@ def render(markup: str | None) -> str:
         elif undo == "table":
             flows[-1].put(tables.pop().lines())
             flows[-1].block(1)
-        elif what in BLOCK and what != "tr":
+        elif what in BLOCK and what != "tr" and undo != "inline":
             flow.block(MARGIN.get(what, 0) if undo != "list" or len(lists) == 1 else 0)
             if undo == "list":
                 lists.pop()
