@@ -1,0 +1,28 @@
+"""Every registered query runs; those with SQL give the same rows."""
+
+import pytest
+
+from tests.oracle import connect, plain
+from textloom.queries import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def con(small):
+    return connect(small)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, small, con, name):
+    got = QUERIES[name](spark, small).toPandas()
+    if name in ORACLES:
+        want = con.execute(ORACLES[name]).df()
+        assert list(sorted(got.columns)) == list(sorted(want.columns))
+        assert plain(got).equals(plain(want))
+    else:
+        assert len(got.columns) > 0
+
+
+def test_registry_names():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())

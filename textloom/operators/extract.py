@@ -174,22 +174,24 @@ def topic_evolution(assignments: DataFrame, start: str, end: str, top: int = 8)
     return frame.join(counts, ["topic", "bucket"], "left").select("topic", "bucket", F.coalesce("articles", F.lit(0)).alias("articles"))
 
 
+def guarded_udf(f: Callable[[str], float | None]):
+    """A UDF of (value, error): a failing extractor must not fail the document."""
+    @F.pandas_udf(StructType([StructField("value", DoubleType()), StructField("error", StringType())]))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        got = []
+        for t in texts:
+            try:
+                got.append((f(t), None))
+            except Exception as e:
+                got.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(got, columns=["value", "error"])
+
+    return run
+
+
 def isolated(docs: DataFrame, extractors: dict[str, Callable[[str], float | None]], text: str = "text") -> DataFrame:
     """Values of each extractor and, where one fails on a text, its error; the other extractors go on."""
-    out = docs
-    for name, f in extractors.items():
-        @F.pandas_udf(StructType([StructField("value", DoubleType()), StructField("error", StringType())]))
-        def run(texts: pd.Series, f=f) -> pd.DataFrame:
-            got = []
-            for t in texts:
-                try:
-                    got.append((f(t), None))
-                except Exception as e:  # a failing extractor must not fail the document
-                    got.append((None, f"{type(e).__name__}: {e}"))
-            return pd.DataFrame(got, columns=["value", "error"])
-
-        out = out.withColumn(name, run(F.col(text)))
-    return out
+    return docs.withColumns({name: guarded_udf(f)(F.col(text)) for name, f in extractors.items()})
 
 
 def provenance(versions: dict[str, str]) -> Column:

@@ -25,7 +25,7 @@ def envelopes(docs: DataFrame) -> DataFrame:
     """Clean documents as nested envelopes (core, meta, provenance), without the raw text."""
     core = [c for c in ("article_id", "source", "timestamp", "language", "cleaned_text", "word_count") if c in docs.columns]
     meta = [c for c in docs.columns if c not in (*core, "raw_text", "raw_html", "provenance")]
-    return docs.select(F.struct(*core).alias("core"), F.struct(*meta).alias("meta"), *(["provenance"] if "provenance" in docs.columns else []))
+    return docs.select(F.struct(*core).alias("core"), F.struct(*meta or [F.lit(None).cast("string").alias("none")]).alias("meta"), *(["provenance"] if "provenance" in docs.columns else []))
 
 
 def write_envelopes(docs: DataFrame, path: str) -> None:
