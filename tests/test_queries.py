@@ -3,6 +3,7 @@
 import pytest
 
 from tests.oracle import connect, plain
+from textloom import layers  # noqa: F401  (registers its queries)
 from textloom.queries import ORACLES, QUERIES
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Reasons for which a document is put aside.
+#: Reasons for which a document is put aside. Consumers match on them.
 REASONS = ("unknown_source_type", "extraction_failed", "harmonization_failed", "silver_validation_failed", "language_scope_violation")
 #: Named character references that text cleaning knows besides numeric ones.
 REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
