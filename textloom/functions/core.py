@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.scratch import materialize
+
 
 def latest(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """The row of the newest version for each key; Spark limits the groups before the shuffle."""
@@ -70,12 +72,66 @@ def exact_quantile(value: str, p: float) -> Column:
     return F.get(ordered, F.least(F.floor(F.lit(p) * F.size(ordered)), F.size(ordered) - 1).cast("int"))
 
 
+#: Equal-width buckets that narrow the search for a quantile.
+BUCKETS = 4096
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float]) -> DataFrame:
-    """The same without gathering a group: ranks by one window, then one row for each quantile."""
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(part)).withColumn("_i", F.row_number().over(part.orderBy(value)) - 1)
-    cols = [F.max(F.when(F.col("_i") == F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1), F.col(value))).alias(f"p{round(p * 100):02d}") for p in ps]
-    return ranked.groupBy(*keys).agg(*cols)
+    """The same without gathering or sorting a group in one task.
+
+    Bucket counts, at most BUCKETS for a group, say in which bucket each
+    quantile lies; only those buckets are looked at value by value, and equal
+    values are one row by then.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    frame = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    # one row for each group; without groups a single row
+    at = rows.join(frame, keys) if keys else rows.join(F.broadcast(frame))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
+    values = at.groupBy(*keys, place.cast("int").alias("_b"), "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    counts = at.groupBy(*keys, place.cast("int").alias("_b")).agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"))
+    order = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    ends = counts.withColumn("_end", F.sum("_m").over(order)).withColumn("_start", F.col("_end") - F.col("_m"))
+    ranks = [F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1) for p in ps]
+    wanted = None
+    for r in ranks:
+        hit = (r >= F.col("_start")) & (r < F.col("_end"))
+        wanted = hit if wanted is None else wanted | hit
+    near = values.join(ends.where(wanted).select(*keys, "_b", "_start"), [*keys, "_b"])
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_end", F.col("_start") + F.sum("_c").over(inside)).withColumn("_from", F.col("_end") - F.col("_c"))
+    cols = [F.max(F.when((r >= F.col("_from")) & (r < F.col("_end")), F.col("_v"))).alias(f"p{round(p * 100):02d}") for p, r in zip(ps, ranks, strict=True)]
+    return near.groupBy(*keys).agg(*cols)
+
+
+#: Rows of a group up to which one task ranks it.
+ONE_TASK = 2_000_000
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str = "r", size: str = "n") -> DataFrame:
+    """df with the rank of each row (from 1) in its group and the group's size.
+
+    Groups of a checked size are ranked by a window. Where one is larger, rows
+    are dealt by range of keys and order instead, written, and ranked as their
+    place in a range plus what came before: no task holds a group.
+    """
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
+    if (sizes.agg(F.max(size)).first()[0] or 0) <= ONE_TASK:
+        part = Window.partitionBy(*keys)
+        return df.withColumn(size, F.count(F.lit(1)).over(part)).withColumn(rank, F.row_number().over(part.orderBy(*order)))
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt.withColumn("_part", F.shiftright("_at", 33)), "ranked")
+    pieces = dealt.groupBy("_part", *keys).agg(F.min("_at").alias("_least"), F.count(F.lit(1)).alias("_m"))
+    before = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn(size, F.sum("_m").over(Window.partitionBy(*keys))).drop("_m")
+    names = {k: f"_key{i}" for i, k in enumerate(keys)} | {"_part": "_piece"}
+    pieces = pieces.withColumnsRenamed(names)
+    same = F.col("_part") == F.col("_piece")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(names[k]))
+    return dealt.join(pieces, same).select(*df.columns, size, (F.col("_at") - F.col("_least") + F.col("_before") + 1).alias(rank))
 
 
 def top_with_tail(df: DataFrame, order: Sequence[Column], n: int, weight: str) -> DataFrame:

@@ -88,7 +88,8 @@ def inferred_pattern(urls: DataFrame) -> DataFrame:
 def floor_seed(hits: DataFrame) -> DataFrame:
     """Greatest count of each channel and half their sum. hits: channel, observed."""
     best = hits.groupBy("channel").agg(F.max("observed").alias("observed"))
-    return best.withColumn("floor", F.floor(F.sum("observed").over(Window.partitionBy(F.lit(1))) / 2))
+    half = F.broadcast(best.agg(F.floor(F.sum("observed") / 2).alias("floor")))  # one row
+    return best.join(half)
 
 
 def changed_addresses(found: DataFrame, state: DataFrame, now: str, stale_days: int = 14) -> DataFrame:

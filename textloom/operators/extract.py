@@ -166,8 +166,8 @@ def topic_evolution(assignments: DataFrame, start: str, end: str, top: int = 8)
     n = F.greatest(F.lit(3), F.least(F.lit(14), F.round((b - a) / 43200).cast("int")))
     rows = assignments.withColumn("_s", F.unix_timestamp(F.col("timestamp").cast("timestamp"))).where((F.col("_s") >= a) & (F.col("_s") < b))
     rows = rows.withColumn("bucket", F.floor((F.col("_s") - a) * n / (b - a)).cast("int"))
-    ranked = rows.where("topic_id <> -1").groupBy("topic_id").agg(F.countDistinct("article_id").alias("c")).withColumn("r", F.row_number().over(Window.orderBy(F.desc("c"), "topic_id")))
-    named = rows.join(F.broadcast(ranked.where(F.col("r") <= top).select("topic_id", "r")), "topic_id", "left")
+    first = rows.where("topic_id <> -1").groupBy("topic_id").agg(F.countDistinct("article_id").alias("c")).orderBy(F.desc("c"), "topic_id").limit(top)
+    named = rows.join(F.broadcast(first.select("topic_id", F.lit(1).alias("r"))), "topic_id", "left")
     named = named.withColumn("topic", F.when(F.col("topic_id") == -1, "outlier").when(F.col("r").isNotNull(), F.col("topic_id").cast("string")).otherwise("other"))
     counts = named.groupBy("topic", "bucket").agg(F.countDistinct("article_id").alias("articles"))
     frame = named.select("topic").distinct().select("topic", F.explode(F.sequence(F.lit(0), n - 1)).alias("bucket"))

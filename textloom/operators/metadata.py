@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def values(facts: DataFrame, field: str) -> DataFrame:
@@ -20,9 +19,8 @@ def categorical(facts: DataFrame, field: str, top: int = 20) -> DataFrame:
     top = max(1, min(200, top))
     v = values(facts, field)
     counts = v.groupBy("value").agg(F.countDistinct("article_id").alias("articles"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("articles"), "value")))
     totals = counts.agg(F.count(F.lit(1)).alias("distinct_values"), F.coalesce(F.sum("articles"), F.lit(0)).alias("all"))
-    shown = ranked.where(F.col("rank") <= top)
+    shown = counts.orderBy(F.desc("articles"), "value").limit(top)
     sums = shown.agg(F.coalesce(F.sum("articles"), F.lit(0)).alias("shown"))
     total = v.agg(F.countDistinct("article_id").alias("total_articles"))
     one = F.broadcast(totals.join(sums).join(total))  # a single row
@@ -108,8 +106,7 @@ def available_fields(facts: DataFrame, n_sources: int, share: float = 0.85) -> D
 def facet_fan_out(facts: DataFrame, metrics: DataFrame, field: str, metric: str, most: int = 12) -> DataFrame:
     """Mean of a metric for the first values of a facet, and whether values were left out."""
     counts = values(facts, field).groupBy("value").agg(F.countDistinct("article_id").alias("articles"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("articles"), "value")))
-    capped = F.broadcast(ranked.agg((F.count(F.lit(1)) > most).alias("capped")))
+    capped = F.broadcast(counts.agg((F.count(F.lit(1)) > most).alias("capped")))
     rows = values(facts, field).join(metrics.where(F.col("metric_name") == metric).select("article_id", F.col("value").alias("m")), "article_id")
-    means = rows.join(F.broadcast(ranked.where(F.col("rank") <= most).select("value")), "value").groupBy("value").agg(F.avg("m").alias("mean"), F.count(F.lit(1)).alias("rows"))
+    means = rows.join(F.broadcast(counts.orderBy(F.desc("articles"), "value").limit(most).select("value")), "value").groupBy("value").agg(F.avg("m").alias("mean"), F.count(F.lit(1)).alias("rows"))
     return means.join(capped)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from textloom.functions.core import bucket, row_cap
+from textloom.functions.core import bucket, ranked, row_cap
 
 KEYS = ("bucket", "source", "metric_name")
 
@@ -110,7 +109,6 @@ def excluded_count(metrics: DataFrame, languages: DataFrame) -> DataFrame:
 def percentile_series(metrics: DataFrame, languages: DataFrame, resolution: str = "daily", tie: str = "version") -> DataFrame:
     """Mean percentile rank, (rank - 1) / (n - 1) within metric, source and language; ties by the tie column."""
     spoken = languages.where("rank = 1").select("article_id", F.col("detected_language").alias("language"))
-    part = Window.partitionBy("metric_name", "source", "language")
-    ranked = metrics.join(spoken, "article_id").withColumn("n", F.count(F.lit(1)).over(part)).withColumn("r", F.row_number().over(part.orderBy("value", tie)))
+    places = ranked(metrics.join(spoken, "article_id"), ["metric_name", "source", "language"], ["value", tie])
     share = F.when(F.col("n") > 1, (F.col("r") - 1) / (F.col("n") - 1)).otherwise(F.lit(0.0))
-    return ranked.withColumn("bucket", bucket("timestamp", resolution, "sunday")).groupBy(*KEYS).agg(F.avg(share).alias("value"), F.count(F.lit(1)).alias("count"))
+    return places.withColumn("bucket", bucket("timestamp", resolution, "sunday")).groupBy(*KEYS).agg(F.avg(share).alias("value"), F.count(F.lit(1)).alias("count"))
