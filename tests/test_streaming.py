@@ -59,3 +59,34 @@ def test_sinks(spark, tmp_path):
     assert got.core.cleaned_text == "text" and "raw" not in str(got)
     (tmp_path / "o.txt").write_text("x")
     assert files.replay(spark, f"file://{tmp_path}/o.txt", "o.txt", "2024-01-01").count() == 1 and files.whole_texts(spark, f"file://{tmp_path}/o.txt").first().content == "x"
+
+
+def test_cached_dimension(spark):
+    now, loads = [0.0], [0]
+
+    def load():
+        loads[0] += 1
+        if loads[0] == 3:
+            raise OSError("gone")
+        return spark.range(loads[0])
+
+    c = files.Cached(load, 60, lambda: now[0])
+    assert [c.get().count(), c.get().count()] == [1, 1]
+    now[0] = 61
+    assert c.get().count() == 2
+    now[0] = 200
+    assert c.get().count() == 2 and loads[0] == 3
+
+
+def test_lag_listener(spark, tmp_path):
+    lag = jobs.Lag()
+    spark.streams.addListener(lag)
+    try:
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in/a.json").write_text('{"x": 1}')
+        q = spark.readStream.schema("x int").json(f"file://{tmp_path}/in").writeStream.format("noop").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c").start()
+        q.awaitTermination()
+        spark._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        assert str(q.id) in lag.last
+    finally:
+        spark.streams.removeListener(lag)

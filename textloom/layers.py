@@ -385,3 +385,47 @@ def h6_peak_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     m = views.metrics(spark, sf_dir)
     return distribution.peak_lag(distribution.lead_lag(timeseries.metric_series(m, "click"), timeseries.metric_series(m, "view"), 24))
+
+
+@register("SELECT url AS loc, make_timestamp(1704067200000000 + page_id * 1000000) AS lastmod FROM (SELECT page_id, regexp_replace(url, '[?&#].*$', '') AS url FROM pages)")
+def a9_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.table(spark, sf_dir, "pages")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    xml = p.select(F.concat(F.lit("<urlset><url><loc>"), F.regexp_replace("url", "[?&#].*$", ""), F.lit("</loc><lastmod>"), stamp, F.lit("</lastmod></url></urlset>")).alias("content"))
+    return crawl.sitemap_entries(xml).withColumn("lastmod", F.col("lastmod").cast("timestamp_ntz"))
+
+
+@register("SELECT 'https://e.org/' || CAST(page_id AS VARCHAR) AS link, make_timestamp(1704067200000000 + page_id * 1000000) AS published FROM pages WHERE page_id >= 60")
+def a10_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.table(spark, sf_dir, "pages")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "d MMM yyyy HH:mm:ss +0000")
+    xml = p.select(F.concat(F.lit("<rss><item><link>https://e.org/"), F.col("page_id").cast("string"), F.lit("</link><pubDate>Mon, "), stamp, F.lit("</pubDate></item></rss>")).alias("content"))
+    return crawl.feed_entries(xml, since="2024-01-01 00:01:00").withColumn("published", F.col("published").cast("timestamp_ntz"))
+
+
+@register("SELECT page_id, count(DISTINCT h) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"#]+)\"', 1)) AS h FROM pages) GROUP BY page_id")
+def a11_html_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.links(views.table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+@register("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '') AS headline FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')")
+def c13_custom_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = harmonise.custom_fields(views.table(spark, sf_dir, "pages").where(~F.contains(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("&"))), {"headline": "title"}, "html")
+    return out.select("page_id", "headline")
+
+
+def _share_of_vowels(texts: list[str]) -> list[tuple[float, float]]:
+    """A stand-in classifier for the check of the operator around it."""
+    return [(len([c for c in t if c in "aeiou"]) / max(1, len(t)), 0.25) for t in texts]
+
+
+@register("SELECT article_id, round(length(regexp_replace(text, '[^aeiou]', '', 'g')) / greatest(1, length(text)) - 0.25, 4) AS value FROM doc_base WHERE lang IN ('en', 'de')", "doc_base")
+def d8_model_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.col("lang").alias("language"), "text")
+    return rounded(extract.model_sentiment(d, _share_of_vowels, ["en", "de"]), 4)
+
+
+@register("SELECT 'k' || CAST(user_id AS VARCHAR) AS object_key, count(*) FILTER (event_type <> 'purchase' OR user_id % 2 = 0) AS failures, CASE WHEN bool_or(event_type = 'purchase' AND user_id % 2 = 1) THEN 'processed' WHEN count(*) >= 5 THEN 'quarantined' ELSE 'pending' END AS status FROM events GROUP BY user_id")
+def m4_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("object_key"), ((F.col("event_type") == "purchase") & (F.col("user_id") % 2 == 1)).alias("ok"))
+    return jobs.attempts(e).drop("processed")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -197,3 +197,19 @@ def isolated(docs: DataFrame, extractors: dict[str, Callable[[str], float | None
 def provenance(versions: dict[str, str]) -> Column:
     """Map of extractor names to version hashes."""
     return F.create_map(*[F.lit(x) for kv in sorted(versions.items()) for x in kv])
+
+
+def model_sentiment(docs: DataFrame, classify: Callable[[list[str]], list[tuple[float, float]]], languages: Sequence[str], batch: int = 64) -> DataFrame:
+    """P(positive) - P(negative) of a classifier on texts of the languages it knows, clamped and rounded to 4 places.
+
+    classify: (positive, negative) of each text; it is loaded once a worker.
+    """
+    @F.pandas_udf(DoubleType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            got: list[float] = []
+            for k in range(0, len(texts), batch):
+                got += [round(max(-1.0, min(1.0, p - n)), 4) for p, n in classify(texts.iloc[k : k + batch].fillna("").tolist())]
+            yield pd.Series(got, dtype=float)
+
+    return docs.where(F.col("language").isin(*languages)).select("article_id", run(F.col("text")).alias("value"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Reasons for which a document is put aside. Consumers match on them.
 REASONS = ("unknown_source_type", "extraction_failed", "harmonization_failed", "silver_validation_failed", "language_scope_violation")
@@ -188,3 +191,55 @@ def negative_space(docs: DataFrame) -> DataFrame:
     """What is missing or odd in a row: fetch-time dates, changed headlines, few words, long chains."""
     marks = F.array(F.when(F.col("timestamp_source") == "fetch_at_fallback", "no_real_date"), F.when(F.col("headline_changed"), "headline_changed"), F.when(F.col("word_count") < 50, "thin"), F.when(F.col("chain_length") >= 20, "long_chain"))
     return docs.withColumn("negative_space", F.filter(marks, lambda m: m.isNotNull()))
+
+
+class _Selected(HTMLParser):
+    """Text of the first element that matches a selector: tag, .class, #id, or tag with one of these."""
+
+    def __init__(self, selector: str):
+        super().__init__()
+        for mark, name in (("#", "id"), (".", "class")):
+            tag, found, value = selector.partition(mark)
+            if found:
+                self.tag, self.name, self.value = tag, name, value
+                break
+        else:
+            self.tag, self.name, self.value = selector, "", ""
+        self.depth, self.done, self.open, self.parts = 0, False, "", []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.done:
+            return
+        if self.depth:
+            self.depth += tag == self.open
+        elif (not self.tag or tag == self.tag) and (not self.name or self.value in (dict(attrs).get(self.name) or "").split()):
+            self.depth, self.open = 1, tag
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.depth and tag == self.open:
+            self.depth -= 1
+            self.done = not self.depth
+
+    def handle_data(self, data: str) -> None:
+        if self.depth and not self.done:
+            self.parts.append(data)
+
+
+def selected_text(html: str | None, selector: str) -> str | None:
+    """Collapsed text of the first match, or null."""
+    parser = _Selected(selector)
+    parser.feed(html or "")
+    text = " ".join("".join(parser.parts).split())
+    return text or None
+
+
+def custom_fields(docs: DataFrame, rules: dict[str, str], html: str = "raw_html") -> DataFrame:
+    """A column for each rule of a source: field name to selector."""
+    def one(selector: str):
+        @F.pandas_udf(StringType())
+        def run(pages: pd.Series) -> pd.Series:
+            return pd.Series([selected_text(p, selector) for p in pages], dtype=object)
+
+        return run
+
+    return docs.withColumns({name: one(selector)(F.col(html)) for name, selector in rules.items()})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,26 @@ def replay(spark: SparkSession, path: str, prefix: str, event_at: str) -> DataFr
     """Stored objects under a prefix as new events."""
     names = spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("stored_at"))
     return names.where(F.col("path").contains(prefix)).select(F.col("path").alias("object_key"), "stored_at", F.lit(event_at).cast("timestamp").alias("event_at"))
+
+
+class Cached:
+    """A small dimension that is reloaded after its lifetime; if that fails the old rows stay in use."""
+
+    def __init__(self, load: Callable[[], DataFrame], seconds: float = 60.0, clock: Callable[[], float] = time.monotonic):
+        self.load, self.seconds, self.clock = load, seconds, clock
+        self.rows: DataFrame | None = None
+        self.at = 0.0
+
+    def get(self) -> DataFrame:
+        if self.rows is None or self.clock() - self.at > self.seconds:
+            try:
+                fresh = self.load().cache()
+                fresh.count()
+            except Exception:
+                if self.rows is None:
+                    raise
+            else:
+                if self.rows is not None:
+                    self.rows.unpersist()
+                self.rows, self.at = fresh, self.clock()
+        return self.rows

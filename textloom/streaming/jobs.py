@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from textloom.functions.core import latest
 from textloom.operators.harmonise import ADAPTERS, document_id, split_rejects
@@ -96,3 +96,30 @@ def backlog(state: DataFrame, limit: int = 1000) -> DataFrame:
     """Objects that wait or were put aside, and whether the backlog is over its limit."""
     out = state.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "quarantined").alias("quarantined"))
     return out.withColumn("alert", F.col("pending") > limit)
+
+
+class Lag(StreamingQueryListener):
+    """Rows and seconds of the last batch of every query, and what ended it."""
+
+    def __init__(self) -> None:
+        self.last: dict[str, tuple[int, float]] = {}
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.last[str(event.id)] = (0, 0.0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.last[str(p.id)] = (p.numInputRows, p.batchDuration / 1000)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended[str(event.id)] = event.exception
+
+
+def attempts(outcomes: DataFrame, most: int = 5) -> DataFrame:
+    """Objects by attempts: retry while under the bound, then quarantine; what was processed never changes. outcomes: object_key, ok."""
+    out = outcomes.groupBy("object_key").agg(F.count_if(~F.col("ok")).alias("failures"), F.max("ok").alias("processed"))
+    return out.withColumn("status", F.when(F.col("processed"), "processed").when(F.col("failures") >= most, "quarantined").otherwise("pending"))
