@@ -209,7 +209,7 @@ def model_sentiment(docs: DataFrame, classify: Callable[[list[str]], list[tuple[
         for texts in batches:
             got: list[float] = []
             for k in range(0, len(texts), batch):
-                got += [round(max(-1.0, min(1.0, p - n)), 4) for p, n in classify(texts.iloc[k : k + batch].fillna("").tolist())]
+                got += [max(-1.0, min(1.0, p - n)) for p, n in classify(texts.iloc[k : k + batch].fillna("").tolist())]
             yield pd.Series(got, dtype=float)
 
-    return docs.where(F.col("language").isin(*languages)).select("article_id", run(F.col("text")).alias("value"))
+    return docs.where(F.col("language").isin(*languages)).select("article_id", F.round(run(F.col("text")), 4).alias("value"))
