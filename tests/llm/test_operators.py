@@ -99,7 +99,7 @@ def test_repeats_against_brute_force(spark, monkeypatch, crowd):
     own = repeats.keyed(docs, "doc_id", "text")
     spans = defaultdict(list)
     for r in repeats.repeat_spans(own, 40, 12, crowd).collect():
-        spans[r.doc_id].append((r.start, r.stop))
+        spans[r.doc_id] += [(x.start, x.stop) for x in r.spans]
     raw = [(t or "").encode() for t in texts]
     for k, want in enumerate(brute_repeats(raw, 40)):
         gone = {i for a, b in spans[k] for i in range(a, b)}
@@ -244,7 +244,7 @@ def test_runs_against_brute_force(spark, crowd):
     own = substrings.keyed(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), "doc_id", "text")
     spans = defaultdict(set)
     for r in substrings.duplicate_spans(own, 13, 4, crowd).collect():
-        spans[r.doc_id].update(range(r.start, r.stop))
+        spans[r.doc_id].update(p for x in r.spans for p in range(x.start, x.stop))
     first = {}
     for i, w in docs:
         for k in range(len(w) - 12):

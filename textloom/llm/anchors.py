@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Window starts that are handled at once; positions take 20 bits of the keys that are compared.
@@ -133,11 +133,37 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> D
     return plain.select("doc_id", tag.alias("tag"), "text", *(["row"] if carry else []))
 
 
-SEGMENT = "h long, c long, doc_id long, tag int, s1 int, s2 int"
+SEGMENT = "h long, c long, doc_id long, tag int, s1 int, s2 int, again array<int>"
+
+
+def alike(row: np.ndarray, h: np.ndarray, c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Places of the first of equal segments of each text, and where the others begin (null: there are none)."""
+    order = np.lexsort((first, c, h, row))
+    r, a, b = row[order], h[order], c[order]
+    new = np.r_[True, (r[1:] != r[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    head = np.flatnonzero(new)
+    others = np.diff(np.r_[head, len(order)]) - 1
+    again = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(others)].astype(np.int32)), pa.array(first[order][~new].astype(np.int32)), mask=pa.array(others == 0))
+    return order[head], again
+
+
+def occurrences() -> Column:
+    """How many segments a row stands for."""
+    return F.lit(1) + F.coalesce(F.size("again"), F.lit(0))
+
+
+def spans(width: int) -> Column:
+    """Stretches that the segments of a row cover."""
+    length = F.col("s2") - F.col("s1") + width
+    starts = F.concat(F.array("s1"), F.coalesce("again", F.array().cast("array<int>")))
+    return F.transform(starts, lambda x: F.struct(x.alias("start"), (x + length).alias("stop"))).alias("spans")
 
 
 def segment_rows(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], width: int, k: int) -> DataFrame:
-    """One row for each segment of every text of a keyed table; starts count units within the text.
+    """One row for each different segment of every text of a keyed table; starts count units within the text.
+
+    again: where else in the text the same segment begins, so that a text that
+    repeats one word a thousand times sends a few rows, not thousands.
 
     units: of bytes and offsets, the unit values and the offsets of the texts in units.
     """
@@ -149,10 +175,12 @@ def segment_rows(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], tupl
             ids, tags = batch.column("doc_id"), batch.column("tag")
             for h, c, first, last in segments(values, offs[1:], width, k):
                 row = np.searchsorted(offs, first, "right") - 1
+                one, again = alike(row, h, c, first - offs[row])
+                row, h, c, first, last = (x[one] for x in (row, h, c, first, last))
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), ids.take(at), tags.take(at), pa.array((first - offs[row]).astype(np.int32)), pa.array((last - offs[row]).astype(np.int32))],
-                    names=["h", "c", "doc_id", "tag", "s1", "s2"],
+                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), ids.take(at), tags.take(at), pa.array((first - offs[row]).astype(np.int32)), pa.array((last - offs[row]).astype(np.int32)), again],
+                    names=["h", "c", "doc_id", "tag", "s1", "s2", "again"],
                 )
 
     return docs.select("doc_id", "tag", "text").mapInArrow(run, SEGMENT)

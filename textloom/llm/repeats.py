@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.anchors import Prefix, keyed, mix, null_safe, segment_rows, strings
+from textloom.llm.anchors import Prefix, keyed, mix, null_safe, occurrences, segment_rows, spans, strings
 from textloom.llm.common import bound_batches, materialize
 
 #: Length of a repeated string, and of the k-grams that anchor it.
@@ -124,12 +124,18 @@ def runs(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), (starts[last] + least).tolist(), strict=True))
 
 
-SPAN = "doc_id long, tag int, start int, stop int"
+SPAN = "doc_id long, tag int, spans array<struct<start:int,stop:int>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def span_batch(spans: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*spans, strict=True) if spans else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "tag", "start", "stop"])
+def span_batch(found: list[tuple[int | None, int, list[tuple[int, int]]]]) -> pa.RecordBatch:
+    """(doc_id, tag, spans) rows."""
+    flat = [x for _, _, own in found for x in own]
+    at = np.array(flat, np.int32).reshape(-1, 2)
+    both = pa.StructArray.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["start", "stop"])
+    ends = np.cumsum([0, *(len(own) for _, _, own in found)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), both).cast(_SPANS)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int32()), lists], names=["doc_id", "tag", "spans"])
 
 
 def _blocks(least: int):
@@ -137,7 +143,7 @@ def _blocks(least: int):
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         found = repeated_starts([r[4] for r in rows], least)
-        out = [(r[1], r[2], r[3] + a, r[3] + b) for r, starts in zip(rows, found, strict=True) if not r[5] for a, b in runs(starts, least)]
+        out = [(r[1], r[2], [(r[3] + a, r[3] + b) for a, b in runs(starts, least)]) for r, starts in zip(rows, found, strict=True) if not r[5] and len(starts)]
         return span_batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,10 +201,10 @@ def _windows(least: int):
     return run
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of sorted, maybe touching spans."""
     out: list[list[int]] = []
-    for a, b in spans:
+    for a, b in found:
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -207,16 +213,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeat_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, tag, start, stop) of stretches to remove from a keyed table; they may overlap or repeat."""
+    """(doc_id, tag, spans) of stretches to remove from a keyed table; they may overlap or repeat."""
     rows = segment_rows(docs, byte_units, least, gram)
-    dup = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("h", (F.col("c1") == F.col("c2")).alias("same"))
+    dup = rows.groupBy("h").agg(F.sum(occurrences()).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("h", (F.col("c1") == F.col("c2")).alias("same"))
     dup = materialize(dup, "repeated")  # so that both sides of the join are plain shuffles, which can be split by skew
     cand = materialize(rows.join(dup, "h"), "anchors")
-    span = ("doc_id", "tag", F.col("s1").alias("start"), (F.col("s2") + least).alias("stop"))
     mixed = cand.where(~F.col("same"))
-    kinds = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "s1", "s2")).alias("one"))
+    kinds = mixed.groupBy("h", "c").agg(F.sum(occurrences()).alias("n"), F.min(F.struct("doc_id", "tag", "s1", "s2")).alias("one"))
     kinds = materialize(kinds, "kinds")
     known = kinds.where("n > 1").select("h", "c")
+    span = ("doc_id", "tag", spans(least))
     sure = cand.where("same").select(*span).unionByName(mixed.join(known, ["h", "c"]).select(*span))
     crowds = materialize(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > crowd).select("h", F.lit(True).alias("crowded")), "crowds")
     asked = kinds.join(crowds, "h", "left").select("one.doc_id", "one.tag", F.struct("h", "one.s1", "one.s2", (F.col("n") > 1).alias("known"), F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("ask"))
@@ -226,18 +232,23 @@ def repeat_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: i
     solved = got.where(~F.col("crowded")).repartition("h").sortWithinPartitions("h").select("h", "doc_id", "tag", "s1", "seg", "known").mapInArrow(_blocks(least), SPAN)
     windows = got.where("crowded").mapInArrow(_windows(least), "a long, b long, doc_id long, tag int, start int, known boolean")
     often = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    counted = windows.where(~F.col("known")).join(often, ["a", "b"]).select("doc_id", "tag", "start", (F.col("start") + least).alias("stop"))
+    counted = windows.where(~F.col("known")).join(often, ["a", "b"]).select("doc_id", "tag", F.array(F.struct("start", (F.col("start") + least).alias("stop"))).alias("spans"))
     return sure.unionByName(solved).unionByName(counted)
 
 
+def gathered(found: DataFrame) -> DataFrame:
+    """All spans of each text."""
+    return found.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = strings(batch.column("text"))
         raw = data.tobytes()
         kept, counts = [], []
-        for k, spans in enumerate(batch.column("spans").to_pylist()):
+        for k, own in enumerate(batch.column("spans").to_pylist()):
             text = raw[offs[k] : offs[k + 1]]
-            cut = merged(sorted((s["start"], s["stop"]) for s in spans or ()))
+            cut = merged(sorted({(x["start"], x["stop"]) for x in own or ()}))
             out, at = [], 0
             for a, b in cut:
                 out.append(text[at:a])
@@ -264,9 +275,9 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """
     bound_batches(docs.sparkSession)
     own = keyed(docs, id_col, text_col, carry=True)
-    spans = repeat_spans(own.drop("row"), least).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = gathered(repeat_spans(own.drop("row"), least))
     row = own.schema["row"].dataType.simpleString()
-    out = null_safe(own, spans, "left").select("doc_id", "tag", "text", "spans", "row").mapInArrow(_rewritten, f"row {row}, n_removed long, text string")
+    out = null_safe(own, found, "left").select("doc_id", "tag", "text", "spans", "row").mapInArrow(_rewritten, f"row {row}, n_removed long, text string")
     out = out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
@@ -282,6 +293,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bound_batches(docs.sparkSession)
     own = keyed(docs, id_col, text_col)
-    spans = repeat_spans(own, least).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    out = null_safe(own, spans, "left").mapInArrow(_removed, "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("tag")
+    found = gathered(repeat_spans(own, least))
+    out = null_safe(own, found, "left").mapInArrow(_removed, "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("tag")
     return out if texts else out.drop("kept")

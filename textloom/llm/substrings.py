@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.anchors import Prefix, keyed, mix, null_safe, segment_rows, strings
+from textloom.llm.anchors import Prefix, keyed, mix, null_safe, segment_rows, spans, strings
 from textloom.llm.common import bound_batches, materialize
 from textloom.llm.neardup import located_words, word_values
-from textloom.llm.repeats import SPAN, merged, span_batch
+from textloom.llm.repeats import SPAN, gathered, merged, span_batch
 
 #: Words of a duplicate run, and of the k-grams that anchor it.
 LEAST, GRAM = 13, 4
@@ -89,18 +89,18 @@ def longest_factors(values: np.ndarray, doc: np.ndarray, depth: int = 32) -> np.
 
 def parse(factor: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Duplicate spans of one segment from its longest factors, by a greedy parse checked at factor ends."""
-    spans, at, n = [], 0, len(factor)
+    found, at, n = [], 0, len(factor)
     while at < n:
         length = int(factor[at])
         if length >= least:
-            spans.append((at, at + length))
+            found.append((at, at + length))
         end = at + max(1, length)
         # matches that begin inside the factor and pass its end
         for p in range(max(at + 1, end - least + 1), min(end, n)):
             if factor[p] >= least and p + factor[p] > end:
-                spans.append((p, p + int(factor[p])))
+                found.append((p, p + int(factor[p])))
         at = end
-    return merged(sorted(spans))
+    return merged(sorted(found))
 
 
 def _blocks(least: int):
@@ -119,7 +119,7 @@ def _blocks(least: int):
         for r, b, n in zip(rows, begin.tolist(), sizes.tolist(), strict=True):
             own = np.minimum(factors[b : b + n], np.arange(n, 0, -1))
             if (own >= least).any():
-                out += [(r[1], r[2], r[4] + x, r[4] + y) for x, y in parse(own, least)]
+                out.append((r[1], r[2], [(r[4] + x, r[4] + y) for x, y in parse(own, least)]))
         return span_batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +184,13 @@ def _windows(least: int):
 
 
 def duplicate_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, tag, start, stop) in words of stretches to remove from a keyed table; they may overlap or repeat."""
+    """(doc_id, tag, spans) in words of stretches to remove from a keyed table; they may overlap or repeat."""
     docs = docs.where(F.col("doc_id").isNotNull())
     rows = segment_rows(docs, word_values, least, gram)
     dup = rows.groupBy("h").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("d1 < d2").select("h", "d1", (F.col("c1") == F.col("c2")).alias("same"))
     dup = materialize(dup, "repeated")  # so that both sides of the join are plain shuffles, which can be split by skew
     cand = materialize(rows.join(dup, "h"), "anchors")
-    span = ("doc_id", "tag", F.col("s1").alias("start"), (F.col("s2") + least).alias("stop"))
+    span = ("doc_id", "tag", spans(least))
     # a segment that an earlier document holds whole is a factor without a parse
     mixed = cand.where(~F.col("same"))
     kinds = materialize(mixed.groupBy("h", "c").agg(F.min(F.struct("doc_id", "tag", "s1", "s2")).alias("one"), F.max("doc_id").alias("d2")), "kinds")
@@ -203,7 +203,7 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd
     solved = got.where(~F.col("crowded")).repartition("h").sortWithinPartitions("h").select("h", "doc_id", "tag", "s1", "seg").mapInArrow(_blocks(least), SPAN)
     windows = got.where("crowded").mapInArrow(_windows(least), "a long, b long, doc_id long, tag int, start int")
     often = windows.groupBy("a", "b").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 < d2").select("a", "b", "d1")
-    counted = windows.join(often, ["a", "b"]).where("doc_id > d1").select("doc_id", "tag", "start", (F.col("start") + least).alias("stop"))
+    counted = windows.join(often, ["a", "b"]).where("doc_id > d1").select("doc_id", "tag", F.array(F.struct("start", (F.col("start") + least).alias("stop"))).alias("spans"))
     return sure.unionByName(solved).unionByName(counted)
 
 
@@ -213,9 +213,9 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = data.tobytes()
         _, first, end, word_offs = located_words(data, offs)
         kept, counts = [], []
-        for k, spans in enumerate(batch.column("spans").to_pylist()):
+        for k, own in enumerate(batch.column("spans").to_pylist()):
             a, b = int(word_offs[k]), int(word_offs[k + 1])
-            cut = merged(sorted((s["start"], s["stop"]) for s in spans or ()))
+            cut = merged(sorted({(x["start"], x["stop"]) for x in own or ()}))
             if cut:
                 stay = np.ones(b - a, bool)
                 for x, y in cut:
@@ -241,6 +241,6 @@ def without_duplicate_runs(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     bound_batches(docs.sparkSession)
     own = keyed(docs, id_col, text_col)
-    spans = duplicate_spans(own, least).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    out = null_safe(own, spans, "left").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    found = gathered(duplicate_spans(own, least))
+    out = null_safe(own, found, "left").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if texts else out.drop("kept")
