@@ -242,10 +242,14 @@ def test_quantiles_and_ranks_without_one_task(spark, monkeypatch):
     rng = random.Random(1)
     data = [(rng.choice("ab"), float(rng.choice([rng.randint(0, 5), rng.random() * 1e6, 7])), k) for k in range(500)] + [("c", 3.0, 900), ("a", None, 901), (None, 1.0, 902)]
     df = spark.createDataFrame(data, "k string, v double, i long")
-    got = {r.k: r for r in core.exact_quantiles(df.where("k IS NOT NULL"), ["k"], "v", [0.05, 0.5, 0.95]).collect()}
-    for k in "abc":
-        own = sorted(v for x, v, _ in data if x == k and v is not None)
-        assert [got[k].p05, got[k].p50, got[k].p95] == [own[min(int(p * len(own)), len(own) - 1)] for p in (0.05, 0.5, 0.95)]
+    for most in (core.ONE_TASK, 10):
+        monkeypatch.setattr(core, "ONE_TASK", most)
+        got = {r.k: r for r in core.exact_quantiles(df.where("k IS NOT NULL"), ["k"], "v", [0.05, 0.5, 0.95]).collect()}
+        for k in "abc":
+            own = sorted(v for x, v, _ in data if x == k and v is not None)
+            assert [got[k].p05, got[k].p50, got[k].p95] == [own[min(int(p * len(own)), len(own) - 1)] for p in (0.05, 0.5, 0.95)]
+        assert core.exact_quantiles(df, [], "v", [0.5]).first()[0] == sorted(v for _, v, _ in data if v is not None)[251]
+    monkeypatch.setattr(core, "ONE_TASK", 1000)
     assert core.exact_quantiles(df.limit(0), [], "v", [0.5]).first()[0] is None
     want = sorted(map(tuple, core.ranked(df, ["k"], ["v", "i"]).select("i", "r", "n").collect()))
     monkeypatch.setattr(core, "ONE_TASK", 10)

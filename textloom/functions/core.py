@@ -72,19 +72,25 @@ def exact_quantile(value: str, p: float) -> Column:
     return F.get(ordered, F.least(F.floor(F.lit(p) * F.size(ordered)), F.size(ordered) - 1).cast("int"))
 
 
+#: Rows of a group up to which one task ranks it.
+ONE_TASK = 2_000_000
 #: Equal-width buckets that narrow the search for a quantile.
 BUCKETS = 4096
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float]) -> DataFrame:
-    """The same without gathering or sorting a group in one task.
+    """The same for every group. Groups of a checked size are ranked by a window; else no task sorts a group:
 
-    Bucket counts, at most BUCKETS for a group, say in which bucket each
+    bucket counts, at most BUCKETS for a group, say in which bucket each
     quantile lies; only those buckets are looked at value by value, and equal
     values are one row by then.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    if (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= ONE_TASK:
+        part = Window.partitionBy(*(keys or [F.lit(1)]))
+        at = rows.withColumn("_n", F.count(F.lit(1)).over(part)).withColumn("_i", F.row_number().over(part.orderBy("_v")) - 1)
+        return at.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1), F.col("_v"))).alias(f"p{round(p * 100):02d}") for p in ps])
     frame = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     # one row for each group; without groups a single row
     at = rows.join(frame, keys) if keys else rows.join(F.broadcast(frame))
@@ -105,10 +111,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence
     return near.groupBy(*keys).agg(*cols)
 
 
-#: Rows of a group up to which one task ranks it.
-ONE_TASK = 2_000_000
-
-
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str = "r", size: str = "n") -> DataFrame:
     """df with the rank of each row (from 1) in its group and the group's size.
 
