@@ -1,7 +1,7 @@
 """The pipeline: each stage's decisions, against plain versions on its own input."""
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, brute_hits, brute_repeats
+from tests.llm.test_operators import brute_components, brute_hits, brute_repeats, empty_docs, odd_docs
 from textloom.llm.queries import table
 
 
@@ -27,3 +27,19 @@ def test_stages(spark, small):
         else:
             assert set(after) == set(before) and docs.columns[: len(columns)] == columns
     assert corpus_pipeline.run(spark, small).count() == len(after)
+
+
+def test_stages_on_odd_rows(spark, small):
+    """Nulls, empty and long texts, repeated rows, clashing columns: every stage keeps the columns and clean rows."""
+    docs = odd_docs(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, small)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        n = out.count()
+        if name == "near_duplicates":
+            assert n == 8  # one of the two long texts, one of the repeated rows
+        elif name == "repeated_strings":
+            assert {r.doc_id for r in out.collect()} == {1, 2, None, 5, 6, 7, 8}  # the long copies are all repeats
+        elif name in ("benchmark_passages", "source_mix"):
+            assert n == 10
+        assert stage(spark, empty_docs(spark), small).count() == 0
