@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from textloom.functions import core
 from textloom.operators import catalogue, crawl, display, distribution, extract, harmonise, metadata, network, revisions
 from textloom.plans import gates
-from textloom.queries import register, rounded
+from textloom.queries import LEXICON, _LEX, register, rounded
 from textloom.sources import files, views
 from textloom.streaming import jobs
 
@@ -429,3 +429,61 @@ def d8_model_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m4_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("object_key"), ((F.col("event_type") == "purchase") & (F.col("user_id") % 2 == 1)).alias("ok"))
     return jobs.attempts(e).drop("processed")
+
+
+_NEG = ", ".join(f"'{w}'" for w in extract.NEGATORS)
+
+
+@register(f"""WITH lex(word, weight) AS (VALUES {_LEX}), c AS (SELECT article_id, regexp_split_to_array(cl, '[ \\t]+') AS ws FROM (SELECT article_id, unnest(regexp_split_to_array(lower(text), '[,.;:!?\\n]+')) AS cl FROM doc_base)),
+    p AS (SELECT article_id, ws, coalesce(list_position(list_transform(ws, lambda w: w IN ({_NEG})), true), 0) AS neg FROM c), t AS (SELECT article_id, neg, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM p)
+    SELECT article_id, round(greatest(least(avg(CASE WHEN neg > 0 AND pos > neg THEN -CAST(weight AS DOUBLE) ELSE CAST(weight AS DOUBLE) END), 1.0), -1.0), 4) AS value FROM t JOIN lex USING (word) GROUP BY article_id""", "doc_base")
+def d6_negated_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text")
+    return extract.negated_sentiment(d, spark.createDataFrame(LEXICON, "word string, weight double"))
+
+
+@register("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS headline FROM pages")
+def e10_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "pages").select("page_id", F.coalesce(revisions.headline(F.col("html")), F.lit("")).alias("headline"))
+
+
+@register("SELECT r.article_id, r.revision_index, CASE WHEN r.revision_trigger = 'chain_head' THEN r.content_hash ELSE p.content_hash END AS before_hash, CASE WHEN r.revision_trigger = 'chain_head' THEN p.content_hash ELSE r.content_hash END AS after_hash FROM revisions r JOIN revisions p ON p.article_id = r.article_id AND p.revision_index = r.revision_index - 1", "revisions")
+def e12_pair_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = revisions.diff_pair(views.revisions(spark, sf_dir))
+    head = F.col("revision_trigger") == "chain_head"
+    return d.select("article_id", "revision_index", F.when(head, F.col("content_hash")).otherwise(F.col("prev_hash")).alias("before_hash"), F.when(head, F.col("prev_hash")).otherwise(F.col("content_hash")).alias("after_hash"))
+
+
+@register("SELECT s.article_id, s.language, s.word_count FROM silver s WHERE s.article_id IN (SELECT article_id FROM metrics)", "silver", "metrics")
+def e6_silver_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.silver(spark, sf_dir).join(views.metrics(spark, sf_dir).select("article_id"), "article_id", "left_semi").select("article_id", "language", F.col("word_count").cast("double").alias("word_count"))
+
+
+@register("SELECT * FROM (VALUES ('5min', 10000), ('hourly', 120000), ('daily', 2880000), ('weekly', 20160000), ('monthly', 86400000)) t(resolution, cap)")
+def f4_row_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(r, core.row_cap(r)) for r in core.CAP_FACTOR], "resolution string, cap int")
+
+
+@register("SELECT count(*) AS rows, count(DISTINCT source) AS sources FROM metrics WHERE source IN ('src0', 'src2', 'src5')", "metrics")
+def h23_multi_scope_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = network.scope_union({"a": ["src0", "src2"], "b": ["src2", "src5"]}, dict.fromkeys(("src0", "src2", "src5"), "de"))
+    return core.in_scope(views.metrics(spark, sf_dir), scope).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("source").alias("sources"))
+
+
+@register("SELECT source, metric_name, count(DISTINCT article_id) AS articles, count(DISTINCT article_id) >= 20 AS allowed FROM metrics GROUP BY ALL", "metrics")
+def q6_k_anonymity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = views.metrics(spark, sf_dir).groupBy("source", "metric_name").agg(F.countDistinct("article_id").alias("articles"))
+    return n.withColumn("allowed", F.col("articles") >= 20)
+
+
+@register("SELECT s_name AS name, s_suppkey % 2 = 0 AS eligible FROM supplier")
+def q7_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 2 == 0).alias("silver_eligible"))
+    return s.select("name", F.col("silver_eligible").alias("eligible"))
+
+
+@register("SELECT article_id, detected_language, confidence FROM languages WHERE rank = 1 AND detected_language IN ('de', 'fr')", "languages")
+def b10_language_parameter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = ["de", "en", "es", "fr"]
+    wanted = [gates.known_language(x, known) for x in ("de", "fr")]
+    return views.languages(spark, sf_dir).where((F.col("rank") == 1) & F.col("detected_language").isin(*wanted)).select("article_id", "detected_language", "confidence")

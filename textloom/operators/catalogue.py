@@ -66,7 +66,7 @@ def probe_equivalence(languages: DataFrame, grants: DataFrame) -> DataFrame:
     """Level 1 always; 2 where a deviation or absolute grant covers every language; 3 where absolute ones do too."""
     spoken = languages.where("rank = 1").select(F.col("detected_language").alias("language")).distinct()
     n = F.broadcast(spoken.agg(F.count(F.lit(1)).alias("n")))  # one row
-    covered = grants.join(F.broadcast(spoken), "language").groupBy("metric_name").agg(F.countDistinct(F.when(F.col("equivalence_level").isin("deviation", "absolute"), F.col("language"))).alias("two"), F.countDistinct(F.when(F.col("equivalence_level") == "absolute", F.col("language"))).alias("three"))
+    covered = grants.join(spoken, "language").groupBy("metric_name").agg(F.countDistinct(F.when(F.col("equivalence_level").isin("deviation", "absolute"), F.col("language"))).alias("two"), F.countDistinct(F.when(F.col("equivalence_level") == "absolute", F.col("language"))).alias("three"))
     out = covered.join(n)
     return out.select("metric_name", F.when((F.col("two") == F.col("n")) & (F.col("three") == F.col("n")), 3).when(F.col("two") == F.col("n"), 2).otherwise(1).alias("level"))
 

@@ -43,13 +43,13 @@ def histogram(df: DataFrame, value: str, bins: int = 20, clamp: bool = True, by:
     frame = frame.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     empty = frame.select("*", F.explode(F.when(F.col("width") > 0, F.sequence(F.lit(0), F.lit(bins - 1))).otherwise(F.array(F.lit(0)))).alias("bin"))
     rows = df.where(F.col(value).isNotNull())
-    at = rows.join(F.broadcast(frame), list(by)) if by else rows.join(F.broadcast(frame))  # one row of frame for each segment
+    at = rows.join(frame, list(by)) if by else rows.join(F.broadcast(frame))  # a single row
     over = F.col("clamped") & (F.col(value) >= F.col("hi"))
     place = F.when(F.col("width") > 0, F.greatest(F.least(F.floor((F.col(value) - F.col("lo")) / F.when(F.col("width") > 0, F.col("width"))), F.lit(bins - 1)), F.lit(0))).otherwise(F.lit(0)).cast("int")
     counted = at.groupBy(*by, F.when(over, F.lit(-1)).otherwise(place).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     overflow = counted.where("bin = -1").select(*by, F.col("n").alias("overflow"))
     out = empty.join(counted.where("bin >= 0"), [*by, "bin"], "left")
-    out = out.join(F.broadcast(overflow), list(by), "left") if by else out.join(F.broadcast(overflow), how="left")
+    out = out.join(overflow, list(by), "left") if by else out.join(F.broadcast(overflow), how="left")
     return out.select(*by, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("lower"), F.when(F.col("width") > 0, F.col("lo") + (F.col("bin") + 1) * F.col("width")).otherwise(F.col("hi")).alias("upper"), F.coalesce("n", F.lit(0)).alias("count"), F.coalesce("overflow", F.lit(0)).alias("overflow"))
 
 

@@ -47,6 +47,26 @@ def lexicon_sentiment(docs: DataFrame, lex: DataFrame, words: int = 200_000) ->
     return hits.select("article_id", F.round(F.greatest(F.least("w", F.lit(1.0)), F.lit(-1.0)), 4).alias("value"))
 
 
+#: Marks that end a clause, and words that negate what follows in theirs.
+CLAUSE_ENDS = r"[,.;:!?\n]+"
+NEGATORS = ("not", "no", "never", "nicht", "kein", "keine", "nie", "ne", "pas", "jamais", "nunca")
+
+
+def negated_sentiment(docs: DataFrame, lex: DataFrame, negators: Sequence[str] = NEGATORS, words: int = 200_000) -> DataFrame:
+    """lexicon_sentiment, with hits inverted after a negator of the same clause.
+
+    Clauses end at punctuation: the scope that a parse tree would give is not
+    available without a parser.
+    """
+    clauses = docs.select("article_id", F.explode(F.split(F.lower("text"), CLAUSE_ENDS)).alias("clause")).select("article_id", F.split("clause", r"[ \t]+").alias("words"))
+    negation = F.array_position(F.transform("words", lambda w: w.isin(*negators)), True)
+    tokens = clauses.select("article_id", negation.alias("negation"), F.posexplode("words").alias("pos", "word"))
+    small = F.broadcast(lex) if lex.limit(words + 1).count() <= words else lex
+    sign = F.when((F.col("negation") > 0) & (F.col("pos") + 1 > F.col("negation")), -1).otherwise(1)
+    hits = tokens.join(small, "word").groupBy("article_id").agg(F.avg(F.col("weight") * sign).alias("w"))
+    return hits.select("article_id", F.round(F.greatest(F.least("w", F.lit(1.0)), F.lit(-1.0)), 4).alias("value"))
+
+
 #: Frequent words by which the built-in detector tells languages.
 STOPWORDS = {
     "de": "der die das und ist nicht ein eine zu den mit von für auf dem des sich",
