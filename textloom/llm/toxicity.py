@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bound_batches
+from textloom.llm.common import bound_batches, materialize
 from textloom.llm.rules import SAMPLE, label_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -150,29 +150,31 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, w), b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = SAMPLE, prior: float = 20_000.0, z_least: float = 3.5, docs_least: int = 4) -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = SAMPLE, prior: float = 20_000.0, z_least: float = 3.5, docs_least: float = 0.02) -> ToxicModel:
     """Fit on at most ``bound`` labelled rows, chosen by hash of their id.
 
     Units are counted on the executors; at most LEXICON of them, the most
-    significant ones, come to the driver. Without both labels the model has no
+    significant ones, come to the driver; each occurs in ``docs_least`` of the
+    toxic texts, four of them at least. Without both labels the model has no
     lexicon and every text the score of the base rate.
     """
     bound_batches(docs.sparkSession)
     sample = label_sample(labels, id_col, label_col, train, bound)
     rows = docs.select(F.col(id_col).alias("label_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample), "label_id")
-    rows = rows.select("text", (F.col("label") > 0).cast("int").alias("label"))
+    # documents are read once for the fit; the sample that stays is bounded
+    rows = materialize(rows.select("text", (F.col("label") > 0).cast("int").alias("label")), "toxic-sample")
     counts = rows.mapInPandas(_counted, "unit string, toxic long, clean long, docs long").groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "docs")])
     # whole words sum to the class sizes; unit counts are compared with them
-    totals = rows.groupBy("label").agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).collect()
+    totals = rows.groupBy("label").agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n"), F.count(F.lit(1)).alias("texts")).collect()
     n = {r["label"]: float(r["n"]) for r in totals}
     if len(n) < 2:
         return ToxicModel(shift=0.0 if not n else (6.0 if 1 in n else -6.0), slope=0.0)
-    n1, n0 = n[1], n[0]
+    n1, n0, texts = n[1], n[0], next(r["texts"] for r in totals if r["label"] == 1)
     y1, y0 = F.col("toxic").cast("double"), F.col("clean").cast("double")
     a = F.lit(prior) * (y1 + y0) / F.lit(n1 + n0) + F.lit(0.01)
     odds = F.log((y1 + a) / (F.lit(n1 + prior) - y1 - a)) - F.log((y0 + a) / (F.lit(n0 + prior) - y0 - a))
     z = odds / F.sqrt(F.lit(1.0) / (y1 + a) + F.lit(1.0) / (y0 + a))
-    lexicon = counts.where(F.col("docs") >= docs_least).withColumn("odds", odds).withColumn("z", z).where((F.col("z") >= z_least) & (F.col("odds") > 1.0)).orderBy(F.desc("z"), "unit").limit(LEXICON).collect()
+    lexicon = counts.where(F.col("docs") >= max(4.0, docs_least * texts)).withColumn("odds", odds).withColumn("z", z).where((F.col("z") >= z_least) & (F.col("odds") > 1.0)).orderBy(F.desc("z"), "unit").limit(LEXICON).collect()
     model = ToxicModel({r["unit"]: float(min(8.0, r["odds"])) for r in lexicon})
     # weights that words of either class get, in tenths: a histogram of bounded size
     seen = rows.mapInPandas(_profiled(model), "label int, tenths int, n long").groupBy("label", "tenths").agg(F.sum("n").alias("n")).collect()
