@@ -173,6 +173,25 @@ def test_near_duplicates_on_odd_rows(spark):
     assert 4 not in ids and ids.count(5) == 1 and {1, 2, 3, 6, 7, 8} <= set(ids) and None in ids
 
 
+@pytest.mark.parametrize("find", [neardup.components, neardup._hooked])
+def test_components(spark, find):
+    rng = random.Random(7)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100 + rng.randint(0, 80), 100 + rng.randint(0, 80)) for _ in range(70)] + [(300, 301), (301, 300)]
+    edges = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in edges if a != b]
+    got = dict(map(tuple, find(spark.createDataFrame(edges, "a long, b long").repartition(40)).select("u", "comp").collect()))
+    top = {x: x for e in edges for x in e}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        top[y] = x
+    assert got == {x: root(x) for x in top}
+
+
 def test_pairs_within_reach_meet():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 16, neardup.SLOTS)

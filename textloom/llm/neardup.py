@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.llm.anchors import Prefix, keyed, mix, null_safe, strings
-from textloom.llm.common import bound_batches, materialize
+from textloom.llm.common import bound_batches, materialize, trim
 
 SLOTS, CHUNKS = 66, 22
 #: Slots that may differ. At a similarity of 0.85 ten of 66 do so on average.
@@ -129,6 +129,7 @@ def _signed(size: int):
             f1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
             f2 = np.array([mix(s ^ _FOLD[50]).sum(dtype=np.uint64) for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(mix(f1).view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "tag", "n", "f1", "f2", "sig"])
+        trim()
 
     return run
 
@@ -221,6 +222,9 @@ def _forest(reach: int):
             u, slots, forest = t.column("u").to_numpy(), _signatures_of(t), Forest(t.num_rows)
             for a in range(0, len(u), 256):
                 for b in range(a, len(u), 256):
+                    x, y = forest.label[a : a + 256], forest.label[b : b + 256]
+                    if x[0] == y[0] and (x == x[0]).all() and (y == y[0]).all():
+                        continue  # one tree already: a large group costs little more than its first row of tiles
                     near = distances(slots[a : a + 256], slots[b : b + 256]) <= reach
                     i, j = np.nonzero(np.triu(near, 1) if a == b else near)
                     i, j = i + a, j + b
@@ -229,6 +233,7 @@ def _forest(reach: int):
                 yield _pairs(made)
                 made = []
         yield _pairs(made)
+        trim()
 
     return run
 
@@ -277,23 +282,73 @@ def _confirmed(reach: int, percent: int, size: int):
                         made.append((int(u[i]), int(u[j])))
                         label[label == label[j]] = label[i]
             yield _pairs(made)
+        trim()
 
     return run
 
 
+def _local_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, root) of every node of the links of a partition, root being the smallest node that they reach."""
+    got = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches if b.num_rows]
+    if not got:
+        return
+    nodes, at = np.unique(np.concatenate(got, axis=1), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while (new != new[new]).any():
+            new = new[new]
+        new = np.minimum(new, new[root])
+        if (new == root).all():
+            break
+        root = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["u", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, comp) of every node of a link, comp being the smallest node of its component.
 
-    Each round every component hooks onto its smallest neighbour; links inside
-    a component go. The number of components falls by half at least.
+    Each partition joins its own links to trees; a node that has several roots
+    links these, and such links, far fewer, go into the next round. Where they
+    do not become fewer by half, components hook onto their smallest neighbour
+    instead, which halves them surely.
     """
+    edges, size = links.select("a", "b"), None
+    rounds: list[DataFrame] = []
+    while True:
+        trees = edges.mapInArrow(_local_trees, "u long, root long")
+        # no more roots for a node than there are partitions
+        trees = trees.groupBy("u").agg(F.min("root").alias("comp"), F.collect_set("root").alias("roots"))
+        trees = materialize(trees, "trees")
+        rounds.append(trees)
+        edges = trees.where(F.size("roots") > 1).select(F.explode("roots").alias("a"), F.col("comp").alias("b")).where("a <> b")
+        left = edges.count()
+        if not left:
+            break
+        if size is not None and 2 * left > size:
+            rounds.append(_hooked(edges))
+            break
+        size = left
+    labels = rounds[0].select("u", "comp")
+    for later in rounds[1:]:
+        later = later.select(F.col("u").alias("comp"), F.col("comp").alias("to"))
+        labels = labels.join(later, "comp", "left").select("u", F.coalesce("to", "comp").alias("comp"))
+    return materialize(labels, "labels") if len(rounds) > 1 else labels
+
+
+def _hooked(links: DataFrame) -> DataFrame:
+    """(u, comp) by hooking, round by round: the number of components that still have links halves at least."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "u"), "labels")
     while True:
         la, lb = labels.select(F.col("u").alias("a"), F.col("comp").alias("x")), labels.select(F.col("u").alias("b"), F.col("comp").alias("y"))
-        cut = links.join(la, "a").join(lb, "b").where("x <> y").select("x", "y").distinct()
+        cut = links.join(la, "a").join(lb, "b").where("x <> y").select("x", "y")
         # a label may itself have a smaller label by now
-        jump = labels.join(labels.select(F.col("u").alias("x"), F.col("comp").alias("y")), F.col("comp") == F.col("x")).where("x <> y").select("x", "y").distinct()
+        jump = labels.join(labels.select(F.col("u").alias("x"), F.col("comp").alias("y")), F.col("comp") == F.col("x")).where("x <> y").select("x", "y")
         cut = materialize(cut.unionByName(jump).distinct(), "cut")
         if cut.isEmpty():
             return labels
@@ -302,6 +357,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = materialize(labels.join(hook, "comp", "left").select("u", F.coalesce("to", "comp").alias("comp")), "labels")
 
 
+
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach) and kept, of each row.
 
