@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import trim
+
 #: Window starts that are handled at once; positions take 20 bits of the keys that are compared.
 CHUNK = 1 << 19
 _R = 0x9E3779B97F4A7C15
@@ -182,6 +184,7 @@ def segment_rows(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], tupl
                     [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), ids.take(at), tags.take(at), pa.array((first - offs[row]).astype(np.int32)), pa.array((last - offs[row]).astype(np.int32)), again],
                     names=["h", "c", "doc_id", "tag", "s1", "s2", "again"],
                 )
+        trim()
 
     return docs.select("doc_id", "tag", "text").mapInArrow(run, SEGMENT)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.anchors import Prefix, keyed, mix, null_safe, occurrences, segment_rows, spans, strings
-from textloom.llm.common import bound_batches, materialize
+from textloom.llm.common import bound_batches, materialize, trim
 
 #: Length of a repeated string, and of the k-grams that anchor it.
 LEAST, GRAM = 200, 32
@@ -158,6 +158,8 @@ def _blocks(least: int):
                 size += len(row[4])
         if held:
             yield solve(held)
+        held = []
+        trim()
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.anchors import Prefix, keyed, mix, null_safe, segment_rows, spans, strings
-from textloom.llm.common import bound_batches, materialize
+from textloom.llm.common import bound_batches, materialize, trim
 from textloom.llm.neardup import located_words, word_values
 from textloom.llm.repeats import SPAN, gathered, merged, span_batch
 
@@ -138,6 +138,8 @@ def _blocks(least: int):
                 size += int(offs[k + 1] - offs[k]) // 8
         if held:
             yield solve(held)
+        held = []
+        trim()
 
     return run
 
