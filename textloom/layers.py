@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from textloom.functions import core
 from textloom.operators import catalogue, crawl, display, distribution, extract, harmonise, metadata, network, revisions
 from textloom.plans import gates
-from textloom.queries import LEXICON, _LEX, register, rounded
+from textloom.queries import LAGS, LEXICON, _LEX, register, rounded
 from textloom.sources import files, views
 from textloom.streaming import jobs
 
@@ -379,12 +379,12 @@ def j_exact_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(core.exact_quantiles(views.metrics(spark, sf_dir), ["metric_name"], "value", [0.9]))
 
 
-@register()
+@register("SELECT lag, r FROM (" + LAGS.format(x="avg(value)", wx="metric_name = 'click'", y="avg(value)", wy="metric_name = 'view'", most=24) + ") WHERE r IS NOT NULL ORDER BY r DESC, lag LIMIT 1", "metrics")
 def h6_peak_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.operators import timeseries
 
     m = views.metrics(spark, sf_dir)
-    return distribution.peak_lag(distribution.lead_lag(timeseries.metric_series(m, "click"), timeseries.metric_series(m, "view"), 24))
+    return rounded(distribution.peak_lag(distribution.lead_lag(timeseries.metric_series(m, "click"), timeseries.metric_series(m, "view"), 24)))
 
 
 @register("SELECT url AS loc, make_timestamp(1704067200000000 + page_id * 1000000) AS lastmod FROM (SELECT page_id, regexp_replace(url, '[?&#].*$', '') AS url FROM pages)")

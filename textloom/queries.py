@@ -646,9 +646,13 @@ def c2_c7_page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", harmonise.document_id(F.lit("pages"), F.col("url")).alias("document_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]*)"', 1).alias("language"))
 
 
-@register()
+@register(r"""WITH b AS (SELECT page_id, html, nullif(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '') AS article, nullif(regexp_extract(html, '(?is)<main[^>]*>(.*?)</main>', 1), '') AS main, nullif(array_to_string(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), ' '), '') AS paragraphs FROM pages),
+    t AS (SELECT page_id, CASE WHEN article IS NOT NULL THEN 'article' WHEN main IS NOT NULL THEN 'main' WHEN paragraphs IS NOT NULL THEN 'paragraphs' ELSE 'page' END AS extraction_method,
+      trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(article, main, paragraphs, html), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS x FROM b)
+    SELECT page_id, extraction_method, sha256(x) AS text_hash, len(list_filter(string_split(x, ' '), lambda w: w <> '')) AS word_count FROM t""")
 def c5_web_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harmonise.web(views.table(spark, sf_dir, "pages").withColumnRenamed("html", "raw_html")).select("page_id", "cleaned_text", "extraction_method", "word_count")
+    out = harmonise.web(views.table(spark, sf_dir, "pages").withColumnRenamed("html", "raw_html"))
+    return out.select("page_id", "extraction_method", F.sha2("cleaned_text", 256).alias("text_hash"), F.col("word_count").cast("long").alias("word_count"))
 
 
 @register()
