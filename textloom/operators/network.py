@@ -61,7 +61,7 @@ def nodes_of(shown: DataFrame) -> DataFrame:
 
 def node_first(cooc: DataFrame, most_nodes: int = 100, top: int = 200, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """The heaviest nodes (totals over all edges) and of the edges among them those in the first K of either end."""
-    every = edges(cooc, least)
+    every = materialize(edges(cooc, least), "edges")  # read four times below
     most_nodes = max(1, min(MOST_NODES, most_nodes))
     nodes = nodes_of(every).orderBy(F.desc("total"), "node").limit(most_nodes)
     k = max(1, min(8, round(top / most_nodes)))
