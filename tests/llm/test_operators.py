@@ -273,6 +273,31 @@ def test_runs_against_brute_force(spark, crowd):
         assert spans[i] == want
 
 
+@pytest.mark.parametrize("crowd", [substrings.CROWD, 1])
+def test_runs_repeated_within_a_document(spark, crowd):
+    """Passages that recur with their context in one text, or in other rows of the same id, all go."""
+    w = [f"w{k}" for k in range(1, 14)]
+    docs = [(1, w), (2, ["x", *w, "y", "x", *w, "y"]), (3, [f"p{k}" for k in range(13)])]
+    docs += [(4, [*end, "q", *(f"p{k}" for k in range(13)), "r"]) for end in (["a"], ["b", "c"])]
+    rng = random.Random(4)
+    shared = [f"s{k}" for k in range(60)]
+    for k in range(30):
+        a = rng.randint(0, 30)
+        part = [rng.choice("ab"), *shared[a : a + rng.randint(12, 30)], rng.choice("ab")]
+        docs.append((10 + k % 17, [f"u{k}", *part, f"v{k}", *part * rng.randint(0, 2)]))
+    own = substrings.keyed(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), "doc_id", "text").cache()
+    spans = defaultdict(set)
+    for r in substrings.duplicate_spans(own, 13, 4, crowd).collect():
+        spans[r.doc_id, r.tag].update(p for x in r.spans for p in range(x.start, x.stop))
+    first = {}
+    for i, w in docs:
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(first.get(tuple(w[k : k + 13]), i), i)
+    for r in own.collect():
+        w = r.text.split()
+        assert spans[r.doc_id, r.tag] == {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < r.doc_id for p in range(k, k + 13)}
+
+
 def test_runs_on_odd_rows(spark):
     got = {r.doc_id: r for r in substrings.without_duplicate_runs(odd_docs(spark)).collect()}
     assert got[4].n_removed == got[4].n_words == 30_000 and got[3].n_removed == 0 and got[2].n_words == 0

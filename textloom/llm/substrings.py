@@ -24,6 +24,9 @@ from textloom.llm.common import bound_batches, materialize, trim
 from textloom.llm.neardup import located_words, word_values
 from textloom.llm.repeats import SPAN, gathered, merged, span_batch
 
+#: Spans of a segment: in words of the text, or where c is set, from the begin of segment (h, c) on.
+PARSED = f"h long, c long, {SPAN}"
+
 #: Words of a duplicate run, and of the k-grams that anchor it.
 LEAST, GRAM = 13, 4
 #: Different segments of one anchor that a block takes; beyond it windows are held against each other by hash.
@@ -119,8 +122,11 @@ def _blocks(least: int):
         for r, b, n in zip(rows, begin.tolist(), sizes.tolist(), strict=True):
             own = np.minimum(factors[b : b + n], np.arange(n, 0, -1))
             if (own >= least).any():
-                out.append((r[1], r[2], [(r[4] + x, r[4] + y) for x, y in parse(own, least)]))
-        return span_batch(out)
+                shift = r[4] if r[5] is None else 0
+                out.append((r[0], r[5], r[1], r[2], [(shift + x, shift + y) for x, y in parse(own, least)]))
+        keys = [pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)]
+        found = span_batch([r[2:] for r in out])
+        return pa.RecordBatch.from_arrays([*keys, *found.columns], names=["h", "c", *found.schema.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -129,12 +135,12 @@ def _blocks(least: int):
             data = batch.column("seg")
             raw, offs = strings(data)
             words = np.frombuffer(raw.tobytes(), np.uint64)
-            for k, (h, doc, tag, s1) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "tag", "s1")), strict=True)):
+            for k, (h, c, doc, tag, s1) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("h", "c", "doc_id", "tag", "s1")), strict=True)):
                 if size > BLOCK and h != last:
                     yield solve(held)
                     held, size = [], 0
                 last = h
-                held.append((h, doc, tag, words[offs[k] // 8 : offs[k + 1] // 8], s1))
+                held.append((h, doc, tag, words[offs[k] // 8 : offs[k + 1] // 8], s1, c))
                 size += int(offs[k + 1] - offs[k]) // 8
         if held:
             yield solve(held)
@@ -151,19 +157,19 @@ def _cut_out(width: int):
         for batch in batches:
             data, offs = strings(batch.column("text"))
             values, word_offs = word_values(data, offs)
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for k, (i, t, asked) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
                 base = int(word_offs[k])
                 for a in asked or ():
-                    for o, v in zip(out, (a["h"], i, t, a["s1"], values[base + a["s1"] : base + a["s2"] + width].tobytes(), a["crowded"]), strict=True):
+                    for o, v in zip(out, (a["h"], a["c"], i, t, a["s1"], values[base + a["s1"] : base + a["s2"] + width].tobytes(), a["crowded"]), strict=True):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["h", "doc_id", "tag", "s1", "seg", "crowded"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["h", "c", "doc_id", "tag", "s1", "seg", "crowded"])
 
     return run
 
 
 def _windows(least: int):
-    """128-bit hash of every window of a segment, and where it starts."""
+    """128-bit hash of every window of a segment, and where it starts: in the text, or where c is set, in the segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,8 +185,8 @@ def _windows(least: int):
             start = offs[row] + at
             a, b = (mix(p.hash(start, start + least)).view(np.int64) for p in (one, two))
             take = pa.array(row)
-            first = np.asarray(batch.column("s1"))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array((first[row] + at).astype(np.int32))], names=["a", "b", "doc_id", "tag", "start"])
+            first = np.where(np.asarray(batch.column("c").is_null()), np.asarray(batch.column("s1")), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(batch.column(x).take(take) for x in ("h", "c", "doc_id", "tag")), pa.array((first[row] + at).astype(np.int32))], names=["a", "b", "h", "c", "doc_id", "tag", "start"])
 
     return run
 
@@ -195,18 +201,28 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd
     span = ("doc_id", "tag", spans(least))
     # a segment that an earlier document holds whole is a factor without a parse
     mixed = cand.where(~F.col("same"))
-    kinds = materialize(mixed.groupBy("h", "c").agg(F.min(F.struct("doc_id", "tag", "s1", "s2")).alias("one"), F.max("doc_id").alias("d2")), "kinds")
+    # one place in the smallest document is parsed; single, last: whether that document has other places of the segment
+    one = F.min(F.struct("doc_id", F.col("again").isNull().alias("single"), "tag", "s1", "s2"))
+    last = F.max(F.struct(F.bitwise_not("doc_id").alias("d"), "tag", "s1"))
+    kinds = materialize(mixed.groupBy("h", "c").agg(one.alias("one"), last.alias("last"), F.max("doc_id").alias("d2")), "kinds")
     again = kinds.where(F.col("one.doc_id") < F.col("d2")).select("h", "c", F.col("one.doc_id").alias("d"))
     sure = cand.where(F.col("same") & (F.col("doc_id") > F.col("d1"))).select(*span).unionByName(mixed.join(again, ["h", "c"]).where("doc_id > d").select(*span))
     crowds = materialize(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("h"), "crowds")
-    asked = kinds.join(crowds.withColumn("crowded", F.lit(True)), "h", "left").select("one.doc_id", "one.tag", F.struct("h", "one.s1", "one.s2", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("ask"))
+    more = F.when(~F.col("one.single") | (F.col("last.tag") != F.col("one.tag")) | (F.col("last.s1") != F.col("one.s1")), F.col("c")).alias("c")
+    asked = kinds.join(crowds.withColumn("crowded", F.lit(True)), "h", "left").select("one.doc_id", "one.tag", F.struct("h", more, "one.s1", "one.s2", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("ask"))
     asked = asked.groupBy("doc_id", "tag").agg(F.collect_list("ask").alias("asked"))
-    got = materialize(null_safe(docs, asked).mapInArrow(_cut_out(least), "h long, doc_id long, tag int, s1 int, seg binary, crowded boolean"), "segments")
-    solved = got.where(~F.col("crowded")).repartition("h").sortWithinPartitions("h").select("h", "doc_id", "tag", "s1", "seg").mapInArrow(_blocks(least), SPAN)
-    windows = got.where("crowded").mapInArrow(_windows(least), "a long, b long, doc_id long, tag int, start int")
+    got = materialize(null_safe(docs, asked).mapInArrow(_cut_out(least), "h long, c long, doc_id long, tag int, s1 int, seg binary, crowded boolean"), "segments")
+    solved = got.where(~F.col("crowded")).repartition("h").sortWithinPartitions("h").select("h", "c", "doc_id", "tag", "s1", "seg").mapInArrow(_blocks(least), PARSED)
+    windows = got.where("crowded").mapInArrow(_windows(least), "a long, b long, h long, c long, doc_id long, tag int, start int")
     often = windows.groupBy("a", "b").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 < d2").select("a", "b", "d1")
-    counted = windows.join(often, ["a", "b"]).where("doc_id > d1").select("doc_id", "tag", F.array(F.struct("start", (F.col("start") + least).alias("stop"))).alias("spans"))
-    return sure.unionByName(solved).unionByName(counted)
+    counted = windows.join(often, ["a", "b"]).where("doc_id > d1").select("h", "c", "doc_id", "tag", F.array(F.struct("start", (F.col("start") + least).alias("stop"))).alias("spans"))
+    parsed = materialize(solved.unionByName(counted), "parsed")
+    # what was found at one place holds at all places of the segment in that document
+    found = parsed.where("c IS NOT NULL").groupBy("h", "c", "doc_id").agg(F.flatten(F.collect_set("spans")).alias("inner"))
+    starts = F.concat(F.array("s1"), F.coalesce("again", F.array().cast("array<int>")))
+    spread = F.flatten(F.transform(starts, lambda s: F.transform("inner", lambda x: F.struct((s + x["start"]).alias("start"), (s + x["stop"]).alias("stop")))))
+    other = mixed.join(found, ["h", "c", "doc_id"]).select("doc_id", "tag", spread.alias("spans"))
+    return sure.unionByName(parsed.where("c IS NULL").select("doc_id", "tag", "spans")).unionByName(other)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
