@@ -155,6 +155,23 @@ def test_lexicon_and_languages(spark):
     assert all(r.ok.error is None and r.fails.value is None and "ZeroDivisionError" in r.fails.error for r in bad)
 
 
+def test_whole_tables(spark, tmp_path):
+    """No key, page or count is left out: keys of 200 and more, titles with entities, every source's lines."""
+    from textloom import layers
+
+    at = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    at("events", [(1, 250, "click", AT, 1.0)], "event_id long, user_id long, event_type string, ts timestamp_ntz, value double")
+    at("pages", [(k, f"u{k}", f"<title>a &amp; b &lt;{k}&gt;</title>") for k in (0, 4)], "page_id long, url string, html string")
+    at("supplier", [(k, f"s{k}") for k in (1, 3)], "s_suppkey long, s_name string")
+    at("orders", [(1, "p", AT)], "o_custkey long, o_orderpriority string, o_orderdate timestamp_ntz")
+    at("lineitem", [(1,), (1,), (3,)], "l_suppkey long")
+    claims = {r.object_key: r.action for r in layers.m3_all_claims(spark, str(tmp_path)).collect()}
+    assert len(claims) == 201 and claims["k250"] == "skip" and claims["k0"] == "process"
+    assert sorted(rows(layers.c13_all_headlines(spark, str(tmp_path)))) == [(0, "a & b <0>"), (4, "a & b <4>")]
+    assert {r.id: r.total for r in layers.h42_all_dossier_sources(spark, str(tmp_path)).collect()} == {1: 2, 3: 1}
+    assert {r.page_id: (r.url, r.status) for r in layers.a16_point_reads(spark, str(tmp_path), [4, 5]).collect()} == {4: ("u4", "found"), 5: (None, "not_found")}
+
+
 def test_alias_linking(spark):
     labels = spark.createDataFrame([("Q1", "Berlin!", "label", 5), ("Q2", "berlin", "altLabel", 99), ("Q3", "É", "label", 1)], "qid string, text string, source string, sitelinks int")
     index = extract.alias_index(labels)

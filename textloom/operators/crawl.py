@@ -142,6 +142,13 @@ def fresh_cache(cache: DataFrame, now: str, hours: int = 24) -> DataFrame:
     return best.where(F.col("cached_at") >= F.lit(now).cast("timestamp_ntz") - F.make_interval(hours=F.lit(hours)))
 
 
+def point_read(rows: DataFrame, key: str, keys: Sequence[int]) -> DataFrame:
+    """The row of each key, and status: found or not_found."""
+    wanted = rows.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], f"{key} long")
+    found = rows.withColumn("status", F.lit("found"))
+    return wanted.join(found, key, "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
+
+
 def job_status(outcomes: DataFrame) -> DataFrame:
     """Job status from upload failures alone, with all failures counted. outcomes: job_id, outcome (ok, upload_failed, status_failed)."""
     out = outcomes.groupBy("job_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("outcome") == "upload_failed").alias("upload_failed"), F.count_if(F.col("outcome") == "status_failed").alias("status_failed"))
