@@ -172,6 +172,23 @@ def test_whole_tables(spark, tmp_path):
     assert {r.page_id: (r.url, r.status) for r in layers.a16_point_reads(spark, str(tmp_path), [4, 5]).collect()} == {4: ("u4", "found"), 5: (None, "not_found")}
 
 
+def test_topics_within_a_language(spark):
+    """A small language keeps topics of its own beside a large one; odd documents are outliers."""
+    both = {"de": ("hund katze maus", "zug bahn gleis"), "en": ("dog cat mouse", "train rail track")}
+    docs = [(f"{lang}{k}", lang, both[lang][k % 2] + f" {lang}") for lang, n in (("en", 400), ("de", 24)) for k in range(n)]
+    docs += [("blank", "de", " "), ("null", "de", None), ("none", None, "a b"), ("und", "und", "a b"), ("few", "fr", "un deux")]
+    out = {r.article_id: r for r in extract.topics(spark.createDataFrame(docs, "article_id string, language string, text string"), k=2).collect()}
+    assert set(out) == {d[0] for d in docs} - {"none", "und", "few"}
+    for lang, n in (("en", 400), ("de", 24)):
+        got = [{out[f"{lang}{k}"].topic_id for k in range(n) if k % 2 == side} for side in (0, 1)]
+        assert len(got[0]) == len(got[1]) == 1 and got[0] | got[1] == {0, 1}
+        for side in (0, 1):
+            r = out[f"{lang}{side}"]
+            assert r.topic_label == "_".join([str(r.topic_id), *sorted(both[lang][side].split()), lang]) and r.topic_confidence == 1.0
+    assert {(out[i].topic_id, out[i].topic_label, out[i].topic_confidence) for i in ("blank", "null")} == {(-1, "outlier", 0.0)}
+    assert len({out[i].model_hash for i in ("en0", "en1", "de0")}) == 2
+
+
 def test_alias_linking(spark):
     labels = spark.createDataFrame([("Q1", "Berlin!", "label", 5), ("Q2", "berlin", "altLabel", 99), ("Q3", "É", "label", 1)], "qid string, text string, source string, sitelinks int")
     index = extract.alias_index(labels)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 from pyspark.sql.window import Window
 
 from textloom.functions.core import word_count
+from textloom.functions.scratch import materialize
 
 #: ASCII punctuation that is stripped from words and aliases.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -162,22 +164,64 @@ def subjects(triples: DataFrame, rules: dict[str, Callable[[], Column]]) -> Data
     return wide.withColumn("buckets", F.filter(F.array(*[F.when(r(), F.lit(n)) for n, r in rules.items()]), lambda b: b.isNotNull())).where(F.size("buckets") > 0)
 
 
-def topics(docs: DataFrame, least: int = 10, k: int = 8, features: int = 1 << 12, words: int = 5) -> DataFrame:
-    """Topic of each document within its language, by hashed tf-idf and k-means with a fixed seed.
+#: Languages that topics are fitted for; each is a job of its own.
+LANGUAGES = 200
+
+
+def topics(docs: DataFrame, least: int = 10, k: int = 8, features: int = 1 << 12, words: int = 5, far: float = 3.0) -> DataFrame:
+    """Topic of each document within its language, by hashed tf-idf and k-means with a fixed seed, fitted for each language alone.
 
     A deterministic stand-in for density clustering of embeddings. Languages
-    with fewer than ``least`` documents, blank or undetermined are left out.
+    with fewer than ``least`` documents, blank or undetermined are left out;
+    more than ``LANGUAGES`` others are a ValueError. topic_id counts within a
+    language. A document is an outlier (-1, confidence 0) if it has no word of
+    any weight, if its topic has fewer than ``least`` documents, or if it lies
+    further from its centre than ``far`` standard deviations above the mean
+    of its language. topic_label names the ``words`` words of most weight.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
     docs = docs.where(~F.coalesce("language", F.lit("")).isin("", "und"))
-    sizes = docs.groupBy("language").count().where(F.col("count") >= least).select("language")
-    own = docs.join(sizes, "language", "left_semi").withColumn("words", F.array_compact(F.split(F.lower("text"), r"[ \n\t]+")))
-    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(own)
-    vectors = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
-    out = KMeans(k=k, seed=7, maxIter=10).fit(vectors).transform(vectors)
-    return out.select("article_id", "language", F.col("prediction").cast("int").alias("topic_id"))
+    sizes = docs.groupBy("language").count().where(F.col("count") >= least).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    empty = docs.limit(0).select("article_id", "language", F.lit(0).alias("topic"), F.lit(0.0).alias("distance"), F.array().cast("array<string>").alias("terms"))
+    parts = [empty]
+    for language in sorted(r["language"] for r in sizes):
+        own = docs.where(F.col("language") == language).withColumn("words", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \n\t]+"), lambda w: w != ""))
+        tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(own)
+        weighed = IDF(inputCol="tf", outputCol="weighed").fit(tf).transform(tf)
+        vectors = Normalizer(inputCol="weighed", outputCol="features").transform(weighed)
+        model = KMeans(k=k, seed=7, maxIter=10).fit(vectors)
+        out = model.transform(vectors).withColumn("distance", _distance(model.clusterCenters())("features", "prediction"))
+        parts.append(out.select("article_id", "language", F.col("prediction").alias("topic"), "distance", F.array_distinct("words").alias("terms")))
+    rows = materialize(reduce(DataFrame.unionByName, parts), "topics")
+    near = rows.groupBy("language").agg((F.avg("distance") + far * F.stddev_pop("distance")).alias("most"), F.count(F.lit(1)).alias("docs"))
+    members = rows.groupBy("language", "topic").agg(F.count("distance").alias("members"))
+    inside = (F.col("members") >= least) & (F.col("distance") <= F.col("most") + 1e-9)
+    rows = rows.join(F.broadcast(near), "language").join(F.broadcast(members), ["language", "topic"]).withColumn("topic_id", F.when(inside, F.col("topic")).otherwise(-1))
+    terms = rows.select("language", "topic_id", "docs", F.explode("terms").alias("word")).groupBy("language", "topic_id", "docs", "word").agg(F.count(F.lit(1)).alias("n"))
+    every = terms.groupBy("language", "word").agg(F.sum("n").alias("df"))
+    weight = F.col("n") * F.log(F.col("docs") / F.col("df"))
+    best = Window.partitionBy("language", "topic_id").orderBy(F.desc("weight"), "word")
+    first = terms.where("topic_id <> -1").join(every, ["language", "word"]).withColumn("weight", weight).withColumn("r", F.row_number().over(best)).where(F.col("r") <= words)
+    labels = first.groupBy("language", "topic_id").agg(F.sort_array(F.collect_list(F.struct("r", "word"))).alias("w")).select("language", "topic_id", F.array_join("w.word", "_").alias("names"))
+    label = F.when(F.col("topic_id") == -1, "outlier").otherwise(F.concat_ws("_", F.col("topic_id").cast("string"), "names"))
+    model_hash = F.sha2(F.concat(F.lit(f"tfidf-kmeans:{features}:{k}:7:10:{least}:{far}:"), "language"), 256)
+    return rows.join(F.broadcast(labels), ["language", "topic_id"], "left").select("article_id", "language", "topic_id", label.alias("topic_label"), F.when(F.col("topic_id") == -1, 0.0).otherwise(1.0).alias("topic_confidence"), model_hash.alias("model_hash"))
+
+
+def _distance(centres: list):
+    """Distance of a vector to its centre; null for a vector without any weight."""
+    squares = [float(c @ c) for c in centres]
+
+    @F.udf("double")
+    def run(v, topic):
+        own = float(v.values @ v.values)
+        return max(0.0, own - 2 * float(centres[topic][v.indices] @ v.values) + squares[topic]) ** 0.5 if own else None
+
+    return run
 
 
 def topic_evolution(assignments: DataFrame, start: str, end: str, top: int = 8) -> DataFrame:
