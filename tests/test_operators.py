@@ -172,6 +172,32 @@ def test_whole_tables(spark, tmp_path):
     assert {r.page_id: (r.url, r.status) for r in layers.a16_point_reads(spark, str(tmp_path), [4, 5]).collect()} == {4: ("u4", "found"), 5: (None, "not_found")}
 
 
+def test_second_detector(spark):
+    short, long = "the cat is on the mat", "the cat is on the mat and it is fat " * 4
+    docs = spark.createDataFrame([("s", short), ("l", long), ("n", "xyzzy plugh xyzzy"), ("t", "hi")], "article_id string, text string")
+    ranked = lambda second: {i: [r.detected_language for r in sorted(extract.detections(docs, second).collect(), key=lambda r: r.rank) if r.article_id == i] for i in "slnt"}
+    assert ranked(None) == {"s": ["en"], "l": ["en"], "n": ["und"], "t": []}
+    assert ranked(lambda t: ("de", 0.9)) == {"s": ["de", "en", "de"], "l": ["en", "en", "de"], "n": ["de", "de"], "t": []}
+    assert ranked(lambda t: ("en", 0.9))["s"] == ["en", "en", "en"] and ranked(lambda t: None)["n"] == ["und"]
+
+
+def test_folded_links(spark):
+    index = spark.createDataFrame([("orleans", "Q1", "label", 5), ("orléans", "Q2", "altLabel", 9), ("lyon", "Q3", "label", 1)], "alias string, qid string, source string, sitelinks int")
+    texts = spark.createDataFrame([("Lyôn",), ("Orléans",), ("Órleans",), ("none",)], "entity_text string")
+    got = {r.entity_text: (r.wikidata_qid, r.link_confidence, r.link_method) for r in extract.entity_links(texts, index, fold=True).collect()}
+    assert got == {"Lyôn": ("Q3", 0.7, "accent_fold"), "Orléans": ("Q2", 0.85, "altLabel"), "Órleans": ("Q2", 0.7, "accent_fold")}
+    assert [r.entity_text for r in extract.entity_links(texts, index).collect()] == ["Orléans"]
+
+
+def test_open_pairs(spark):
+    rev = [("a", 4, 1, "u4", "cdx_snapshot"), ("a", 5, 2, "u5", "cdx_snapshot"), ("a", 6, 3, "", "cdx_snapshot"), ("b", 0, 9, "v0", "cdx_snapshot"), ("c", 0, 9, "w0", "sweep")]
+    rev = spark.createDataFrame(rev, "article_id string, revision_index int, snapshot_at int, archive_url string, revision_trigger string")
+    docs = spark.createDataFrame([("a", "en", 1), ("a", "de", 2)], "article_id string, language string, version int")
+    pairs = lambda n: [(r.kind, r.article_id, r.revision_index, r.prev_archive_url, r.compare_archive_url, r.language) for r in revisions.open_pairs(rev, docs, F.lit(False), n).collect()]
+    want = [("mid_chain", "a", 5, "u4", None, "de"), ("chain_head", "b", 0, "", "v0", None), ("chain_head", "a", 4, "", "u5", "de")]
+    assert pairs(9) == want and pairs(2) == want[:2]
+
+
 def test_topics_within_a_language(spark):
     """A small language keeps topics of its own beside a large one; odd documents are outliers."""
     both = {"de": ("hund katze maus", "zug bahn gleis"), "en": ("dog cat mouse", "train rail track")}

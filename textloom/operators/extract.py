@@ -93,14 +93,33 @@ def detect(text: str | None, most: int = 3) -> list[tuple[str, float]]:
 DETECTIONS = ArrayType(StructType([StructField("language", StringType()), StructField("confidence", DoubleType())]))
 
 
-@F.pandas_udf(DETECTIONS)
-def _detected(text: pd.Series) -> pd.Series:
-    return pd.Series([[{"language": a, "confidence": c} for a, c in detect(t)] for t in text])
+#: Texts under this length are left to the second detector where two disagree.
+SHORT = 100
 
 
-def detections(docs: DataFrame) -> DataFrame:
-    """Ranked languages of each text; two detectors that agree or the better of them come first where a second is given."""
-    rows = docs.select("article_id", F.posexplode(_detected("text")).alias("i", "d"))
+def arbitrated(text: str | None, second: Callable[[str], tuple[str, float] | None] | None = None) -> list[tuple[str, float]]:
+    """Ranked languages of a text. With a second detector: the winner, then the candidates of the first, then the second's choice.
+
+    The first wins where both agree or the text is not short, the second where
+    they differ on a short text, and either where the other finds nothing.
+    """
+    first = detect(text)
+    if second is None or not text or len(text.strip()) < 10:
+        return first
+    known, other = [d for d in first if d[0] != "und"], second(text)
+    if other is None:
+        return known[:1] + known if known else first
+    take_other = not known or (known[0][0] != other[0] and len(text) < SHORT)
+    return [other if take_other else known[0], *known, other]
+
+
+def detections(docs: DataFrame, second: Callable[[str], tuple[str, float] | None] | None = None) -> DataFrame:
+    """Ranked languages of each text. second: the language and confidence of another detector, or None."""
+    @F.pandas_udf(DETECTIONS)
+    def detected(text: pd.Series) -> pd.Series:
+        return pd.Series([[{"language": a, "confidence": round(c, 4)} for a, c in arbitrated(t, second)] for t in text])
+
+    rows = docs.select("article_id", F.posexplode(detected("text")).alias("i", "d"))
     return rows.select("article_id", F.col("d.language").alias("detected_language"), "d.confidence", (F.col("i") + 1).alias("rank"))
 
 
@@ -129,13 +148,21 @@ def accent_fold(text: pd.Series) -> pd.Series:
 CONFIDENCE = {"label": 1.0, "altLabel": 0.85, "fold": 0.7}
 
 
-def entity_links(entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The best alias of each entity text: by match, then sitelinks, then source and qid. aliases: alias, qid, source, sitelinks."""
+def entity_links(entities: DataFrame, aliases: DataFrame, fold: bool = False) -> DataFrame:
+    """The best alias of each entity text: by match, then sitelinks, then source and qid. aliases: alias, qid, source, sitelinks.
+
+    fold: texts without an alias are tried again with accents folded on both sides, as is due for French.
+    """
     wanted = entities.select("entity_text", normal_alias(F.col("entity_text")).alias("alias")).distinct()
     rank = F.row_number().over(Window.partitionBy("entity_text").orderBy(F.desc("confidence"), F.desc("sitelinks"), F.desc("source"), "qid"))
     confidence = F.element_at(F.create_map(*[x for k, v in CONFIDENCE.items() for x in (F.lit(k), F.lit(v))]), F.col("source"))
     best = wanted.join(aliases, "alias").withColumn("confidence", confidence).withColumn("r", rank).where("r = 1")
-    return best.select("entity_text", F.col("qid").alias("wikidata_qid"), F.col("confidence").alias("link_confidence"), F.col("source").alias("link_method"))
+    links = best.select("entity_text", F.col("qid").alias("wikidata_qid"), F.col("confidence").alias("link_confidence"), F.col("source").alias("link_method"))
+    if not fold:
+        return links
+    left = wanted.join(aliases.select("alias").distinct(), "alias", "left_anti").withColumn("folded", accent_fold("alias")).where("folded <> ''")
+    index = folded_index(aliases).select("folded", "qid")
+    return links.unionByName(left.join(index, "folded").select("entity_text", F.col("qid").alias("wikidata_qid"), F.lit(CONFIDENCE["fold"]).alias("link_confidence"), F.lit("accent_fold").alias("link_method")))
 
 
 def alias_index(labels: DataFrame) -> DataFrame:

@@ -74,6 +74,22 @@ def undiffed_pairs(rev: DataFrame, computed: Column, limit: int = 100) -> DataFr
     return diff_pair(rev).where(~computed).orderBy(F.desc("snapshot_at"), "article_id", "revision_index").limit(limit)
 
 
+def open_pairs(rev: DataFrame, docs: DataFrame, computed: Column, limit: int = 100, captured: str = "cdx_snapshot") -> DataFrame:
+    """Pairs still without a diff: neighbouring captures, newest first, then up to the limit chain heads, whose article as it is now is held against its newest archive.
+
+    rev: with archive_url; docs: article_id, language, version, of which the newest names the language.
+    """
+    prev = rev.select("article_id", (F.col("revision_index") + 1).alias("revision_index"), F.col("archive_url").alias("prev_archive_url"), F.col("revision_trigger").alias("prev_trigger"))
+    due = rev.where((F.col("revision_trigger") == captured) & ~computed & (F.col("archive_url") != ""))
+    mid = due.where("revision_index > 0").join(prev, ["article_id", "revision_index"]).where((F.col("prev_trigger") == captured) & (F.col("prev_archive_url") != ""))
+    mid = mid.select(*rev.columns, F.lit("mid_chain").alias("kind"), "prev_archive_url", F.lit(None).cast("string").alias("compare_archive_url"))
+    ends = rev.groupBy("article_id").agg(F.min("revision_index").alias("revision_index"), F.max(F.when(F.col("archive_url") != "", F.struct("snapshot_at", "archive_url")))["archive_url"].alias("compare_archive_url"))
+    head = due.join(ends, ["article_id", "revision_index"]).select(*rev.columns, F.lit("chain_head").alias("kind"), F.lit("").alias("prev_archive_url"), "compare_archive_url")
+    language = docs.groupBy("article_id").agg(F.max_by("language", "version").alias("language"))
+    pairs = mid.unionByName(head).orderBy(F.desc("kind"), F.desc("snapshot_at"), "article_id", "revision_index").limit(limit)
+    return pairs.join(language, "article_id", "left").orderBy(F.desc("kind"), F.desc("snapshot_at"), "article_id", "revision_index")
+
+
 def edited_articles(rev: DataFrame, least: int = 2, limit: int = 50, offset: int = 0) -> DataFrame:
     """Chain length, edits and headline flag of articles with an edit at least; paged."""
     out = rev.groupBy("article_id").agg(F.min("source").alias("source"), F.count(F.lit(1)).alias("chain_length"), F.count_if(F.col("revision_index") > 0).alias("edits"), F.max("headline_changed").alias("headline_changed"), F.max("snapshot_at").alias("last_edit"))
