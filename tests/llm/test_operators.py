@@ -160,6 +160,26 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, limits):
     assert got.where("kept <> (doc_id = component_id)").count() == 0
 
 
+@pytest.mark.parametrize("crowd", [neardup.CROWD, 2])
+def test_less_similar_duplicates(spark, monkeypatch, crowd):
+    """The slots that may differ follow from the least similarity."""
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    rng, rows = random.Random(6), []
+    for g in range(30):
+        base = [f"g{g}w{k}" for k in range(120)]
+        copy = list(base)
+        for at in (20, 50, 80, 100)[: rng.randint(2, 4)]:
+            copy[at] = f"E{g}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 65):
+        got = neardup.near_duplicates(docs, percent)
+        assert collected(got.select("doc_id", "n_shingles", "component_id")) == sorted(brute_components(rows, percent), key=repr)
+    assert [neardup.reach_of(p) for p in (85, 80)] == [neardup.REACH, 26]
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(docs, 5)
+
+
 def test_near_duplicates_on_odd_rows(spark):
     got = neardup.near_duplicates(odd_docs(spark))
     by = defaultdict(list)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from textloom.llm.common import bound_batches, materialize, trim
 SLOTS, CHUNKS = 66, 22
 #: Slots that may differ. At a similarity of 0.85 ten of 66 do so on average.
 REACH = 21
+#: Chance that a pair at the least similarity differs in more slots than are allowed.
+MISS = 2e-4
 #: Words of a shingle.
 WORDS = 5
 #: Nodes and shingles of a block of a group.
@@ -358,10 +361,23 @@ def _hooked(links: DataFrame) -> DataFrame:
 
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reach_of(percent: int) -> int:
+    """Least number of slots, of SLOTS, that a pair of the similarity exceeds with a chance of MISS at most; 21 at 85."""
+    same, left = percent / 100, 1.0
+    for reach in range(SLOTS):
+        left -= comb(SLOTS, reach) * (1 - same) ** reach * same ** (SLOTS - reach)
+        if left <= MISS:
+            return reach
+    raise ValueError(f"{SLOTS} slots do not find pairs of {percent} percent")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS, reach: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach) and kept, of each row.
 
     percent: least Jaccard similarity of the sets of ``size``-word shingles.
+    reach: slots that may differ; by default so many that a pair at the least
+    similarity is missed with a chance of MISS at most, a ValueError where
+    there are too few slots for it.
     Texts without words have no shingle and no link; null texts count as
     empty. Repeated rows are linked like any equal texts. Null ids stay and
     count only if a component has no other id. An empty table gives an empty
@@ -371,7 +387,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS, reach
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, percent: int = 85, size: int = WORDS, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = 85, size: int = WORDS, reach: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each component, that of the smallest id; of rows that repeat whole, one. Texts without words stay."""
     own = keyed(docs, id_col, text_col, carry=True)
     classes = _classes(own.drop("row"), percent, size, reach)
@@ -385,8 +401,11 @@ def _repeated(classes: DataFrame) -> bool:
     return not classes.groupBy("doc_id", "tag").count().where("count > 1").isEmpty()
 
 
-def _classes(own: DataFrame, percent: int, size: int, reach: int) -> DataFrame:
+def _classes(own: DataFrame, percent: int, size: int, reach: int | None) -> DataFrame:
     """doc_id, tag, n, comp (a name of the component) and component_id of each row of a keyed table."""
+    reach = reach_of(percent) if reach is None else reach
+    if not 0 <= reach < SLOTS:
+        raise ValueError(f"reach is 0 to {SLOTS - 1}")
     bound_batches(own.sparkSession)
     signed = materialize(own.mapInArrow(_signed(size), SIGNED), "signed")
     full = signed.where("n > 0")
@@ -400,6 +419,8 @@ def _classes(own: DataFrame, percent: int, size: int, reach: int) -> DataFrame:
     # greater buckets are split: pairs in reach also agree in a piece among the others
     small = at.where(F.col("size") <= CROWD).select("key", "u", "sig")
     great = at.where(F.col("size") > CROWD).select("key", "u", "sig", F.posexplode("sig").alias("chunk", "piece"))
+    if reach >= CHUNKS:  # they need not agree in a whole one
+        great = great.select("key", "u", "sig", "chunk", F.explode(index_keys(F.col("piece"), reach)).alias("piece"))
     great = great.select(F.xxhash64("key", "chunk", "piece").alias("key"), "u", "sig")
     rows = small.unionByName(great).repartition("key").sortWithinPartitions("key")
     near = materialize(rows.mapInArrow(_forest(reach), "a long, b long").distinct(), "forest")
