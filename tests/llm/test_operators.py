@@ -356,6 +356,12 @@ def test_mix_gives_every_row_once(spark):
 # pages -----------------------------------------------------------------------------------------------
 
 
+def test_long_rowspan():
+    """Columns stay aligned beside a cell of more than 200 rows."""
+    table = "<table><tr><td rowspan=300>a<td>b<td>c</tr>" + "<tr><td>d<td>e</tr>" * 299 + "<tr><td>f<td>g<td>h</tr></table>"
+    assert html_text.render(table).split("\n") == ["a  b  c", *["   d  e"] * 299, "f  g  h"]
+
+
 def test_rendering():
     page = "<html><head><title>no</title><style>p{}</style><body><nav hidden>no</nav><h1>Head</h1><p>a<b>b</b> c<p>d<br>e<div style='display: none'>no</div><ul><li>x<li>y<ol><li>k<li>l</ol></ul><table><tr><th>col<th>b<tr><td>1<td>long cell</table><pre>  a\n b</pre>t &lt; &amp;"
     want = "Head\n\nab c\n\nd\ne\n\n- x\n- y\n  1. k\n  2. l\n\ncol  b\n1    long cell\n\n  a\n b\n\nt < &"

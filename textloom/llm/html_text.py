@@ -39,7 +39,7 @@ ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 #: Cells wider than this are not padded to, and no table has more columns or spans.
-WIDEST, MOST_COLUMNS = 80, 200
+WIDEST, MOST_COLUMNS, MOST_ROWS = 80, 200, 65_534
 
 
 def events(markup: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -183,9 +183,9 @@ class Flow:
         return self.lines
 
 
-def _span(attrs: dict[str, str], name: str) -> int:
+def _span(attrs: dict[str, str], name: str, most: int) -> int:
     value = attrs.get(name, "1")
-    return max(1, min(MOST_COLUMNS, int(value))) if value.isascii() and value.isdigit() and len(value) < 6 else 1
+    return max(1, min(most, int(value))) if value.isascii() and value.isdigit() and len(value) < 6 else 1
 
 
 class Table:
@@ -255,7 +255,7 @@ def render(markup: str | None) -> str:
             elif what in ("td", "th") and tables:
                 if not tables[-1].rows:
                     tables[-1].row()
-                cells.append((_span(attrs, "colspan"), _span(attrs, "rowspan")))
+                cells.append((_span(attrs, "colspan", MOST_COLUMNS), _span(attrs, "rowspan", MOST_ROWS)))
                 flows.append(Flow())
                 undo = "cell"
             elif what == "table":
