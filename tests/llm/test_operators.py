@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -373,6 +374,36 @@ def test_rendering():
     assert html_text.render("x<td colspan=99999999 rowspan=0>y</td>") == "xy"
 
 
+def test_rendering_of_fragments():
+    """Character references, formulas, graphics, selects, unclosed markup, tables that cannot be aligned or are too deep."""
+    cases = {
+        "a<select><option>x<option selected>y</select>b": "a y b", "<select multiple><option>x<option>y</select>": "x y", "<select><option>x<select><option>z</select>": "x z",
+        "<math><mi>z</mi><annotation>q</annotation></math>": "z", "<svg><title>t</title><text>one</text><text>two</text></svg>": "one\ntwo",
+        "&#" + "9" * 6000 + ";&#0000000065;&#x41;": "\ufffdAA", 'x <a href="y>z</a> t': "x z t", 'x <a href="y>z</a> "t': "x", "a <b": "a", "a < b > c": "a < b > c", "a <!-- b": "a", "a <!--> b": "a b", "a</>b</ >c": "abc",
+        "<p title='>'>x": "x", "<table>" * 90 + "<td>x<td>y" + "</table>" * 90 + "z": "x\ny\n\nz",
+    }
+    for page, want in cases.items():
+        assert html_text.render(page) == want, page
+    wide = "<table><tr>" + ("<td rowspan=60000>" + "x" * 80) * 150 + "<tr><td>y" * 20_000
+    assert html_text.render(wide).split() == ["x" * 80] * 150 + ["y"] * 20_000
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a href="', "<a href='x\" ", '<a ">" ', "<!-- ", "<![", "<b x=", "</", "&#1", "<p><span>", "<li>", "<ul><li>", "<select><option>a", "<table><td>x", "<td rowspan=9>", "<script>"])
+def test_rendering_is_linear(unit):
+    """Pages of broken markup: eight times the length takes no more than some eight times the time."""
+    seconds = []
+    for size in (40_000, 320_000):
+        began = time.process_time()
+        html_text.render(unit * (size // len(unit)))
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 24 * seconds[0] + 0.5
+
+
+def test_long_pages():
+    for unit in ("<a ", '<a href="', "<!-- "):
+        assert html_text.render("x" + unit * (10_000_000 // len(unit))) == "x"
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, None, "a"), (2, "<p>x<p>y", "b"), (2, "<p>x<p>y", "b"), (None, "", "c")], "page_id long, html string, text string")
     assert collected(html_text.extract_pages(pages).select("page_id", "text", "n_lines")) == sorted([(1, "", 0), (2, "x\n\ny", 3), (2, "x\n\ny", 3), (None, "", 0)], key=repr)

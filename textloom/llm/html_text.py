@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,10 +22,10 @@ from textloom.llm.common import bound_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist select map meta link base".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist map meta link base annotation annotation-xml desc defs metadata".split())
 #: Blocks, and the blank lines that their margins leave.
 MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure menu hr".split(), 1)
-BLOCK = MARGIN | dict.fromkeys("address article aside body center caption dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main nav search section summary tbody td tfoot th thead tr optgroup option".split(), 0)
+BLOCK = MARGIN | dict.fromkeys("address article aside body center caption dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main nav search section summary tbody td tfoot th thead tr optgroup option text".split(), 0)
 CLOSES_P = frozenset(BLOCK) - frozenset("body html caption tbody td tfoot th thead tr option optgroup legend li dd dt".split()) | {"li", "dd", "dt"}
 #: What an opening tag ends, and what shields an outer element from that.
 ENDS = {
@@ -34,63 +36,101 @@ ENDS = {
 }
 PARTS = frozenset("caption tbody td tfoot th thead tr".split())
 IN_HEAD = frozenset("head base link meta noscript script style template title html".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>", re.S)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+LONG_REFERENCE = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-#: Cells wider than this are not padded to, and no table has more columns or spans.
-WIDEST, MOST_COLUMNS, MOST_ROWS = 80, 200, 65_534
+#: Cells wider than this are not padded to; bounds of colspan, rowspan and of the columns that a rowspan keeps free.
+WIDEST, MOST_COLUMNS, MOST_ROWS, KEPT_FREE = 80, 200, 65_534, 200
+#: Blanks that align a table, as a multiple of its text and besides; a table that takes more is not aligned.
+PADDING, PADDING_FREE = 8, 1 << 16
+#: Tables within tables; parts of deeper ones are plain blocks.
+NESTED = 64
+
+
+def unescaped(text: str) -> str:
+    """Character references resolved; numbers that are no character, however long, are U+FFFD."""
+    return html.unescape(LONG_REFERENCE.sub("\ufffd", text)) if "&" in text else text
+
+
+def tokens(markup: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name, attributes, closing) of each tag, comments and the like with an empty name, in one pass.
+
+    Send the place to go on from after an element whose content is no markup.
+    A quote without a partner is a character like any other; a tag or comment
+    that never ends takes the rest of the page.
+    """
+    n, at = len(markup), 0
+    last = {q: markup.rfind(q) for q in "\"'"}
+    while (start := markup.find("<", at)) >= 0:
+        m = NAME.match(markup, start + 1)
+        if m:
+            at = m.end()
+            while (stop := STOP.search(markup, at)) and stop[0] != ">":
+                at = stop.end() if stop.start() == last[stop[0]] else markup.find(stop[0], stop.end()) + 1
+            at = stop.end() if stop else n
+            token = (start, at, m[1].lower(), markup[m.end() : at - 1], m[0][0] == "/") if stop else (start, n, "", "", False)
+        elif markup.startswith(("!", "?", "/"), start + 1):
+            comment = markup.startswith("!--", start + 1)
+            end = markup.find("-->" if comment else ">", start + 2)
+            at = n if end < 0 else end + (3 if comment else 1)
+            token = (start, at, "", "", False)
+        else:
+            at = start + 1
+            continue
+        at = (yield token) or at
 
 
 def events(markup: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """('open', tag, attributes), ('text', text, {}) and ('close', tag, {}), well nested."""
     stack: list[str] = []
-    count: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # where on the stack each tag stands
 
     def close_to(depth: int) -> Iterator[tuple[str, str, dict[str, str]]]:
         while len(stack) > depth:
             tag = stack.pop()
-            count[tag] -= 1
+            places[tag].pop()
             yield "close", tag, {}
 
     def depth_of(tags: tuple[str, ...], shields: tuple[str, ...], last: bool) -> int:
         """Stack depth of the outermost (last: innermost) of the tags inside the shields, or -1."""
-        found = -1
-        if not any(count.get(t) for t in tags):
+        own = [at for t in tags if (at := places.get(t))]
+        if not own:
             return -1
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k] in shields:
-                break
-            if stack[k] in tags:
-                found = k
-                if last:
-                    break
-        return found
-
-    pos, lower_markup = 0, None
-    for m in iter(lambda: TOKEN.search(markup, pos), None):
-        if m.start() > pos:
-            text = markup[pos : m.start()]
-            if count.get("head") and text.strip():
+        shield = max((at[-1] for t in shields if (at := places.get(t))), default=-1)
+        found = [at[-1] if last else at[bisect_right(at, shield)] for at in own if at[-1] > shield]
+        return (max if last else min)(found, default=-1)
+
+    lower_markup = None
+    scan, pos, resume = tokens(markup), 0, None
+    while True:
+        try:
+            start, end, tag, raw, closing = scan.send(resume)
+        except StopIteration:
+            break
+        resume = None
+        if start > pos:
+            text = markup[pos:start]
+            if places.get("head") and text.strip():
                 yield from close_to(depth_of(("head",), (), True))
-            yield "text", html.unescape(text) if "&" in text else text, {}
-        pos = m.end()
-        if not m[2]:
+            yield "text", unescaped(text), {}
+        pos = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             if tag == "br":
                 yield "open", "br", {}
                 yield "close", "br", {}
-            elif count.get(tag):
-                shield = ("table",) if tag not in ("table", "html", "body") else ()
-                k = depth_of((tag,), shield if tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else ("table",), True)
+            elif places.get(tag):
+                k = depth_of((tag,), ("table",) if tag not in ("table", "html", "body") else (), True)
                 if k >= 0:
                     yield from close_to(k)
             continue
-        if count.get("head") and tag not in IN_HEAD and not any(count.get(t) for t in ("template", "noscript")):
+        if places.get("head") and tag not in IN_HEAD and not any(places.get(t) for t in ("template", "noscript")):
             yield from close_to(depth_of(("head",), (), True))
-        if tag in CLOSES_P and count.get("p"):
+        if tag in CLOSES_P and places.get("p"):
             k = depth_of(("p",), ("td", "th", "table", "button", "caption"), True)
             if k >= 0:
                 yield from close_to(k)
@@ -98,31 +138,31 @@ def events(markup: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             k = depth_of(*ENDS[tag], False)
             if k >= 0:
                 yield from close_to(k)
+        if tag == "select" and places.get("select"):
+            yield from close_to(places["select"][-1])
         if tag[0] == "h" and len(tag) == 2 and stack and stack[-1][0] == "h" and len(stack[-1]) == 2 and tag != "hr":
             yield from close_to(len(stack) - 1)
-        raw = m[3]
-        attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTR.findall(raw)} if raw.strip(" /\n\t\r") else {}
+        attrs = {k.lower(): unescaped(a or b or c) for k, a, b, c in ATTR.findall(raw)} if raw.strip(" /\n\t\r") else {}
         yield "open", tag, attrs
         if tag in VOID:
             yield "close", tag, {}
         elif tag in RAW:
             if lower_markup is None:
-                lower_markup = markup.lower() if len(markup.lower()) == len(markup) else markup
+                lower_markup = markup.lower()
+                lower_markup = lower_markup if len(lower_markup) == len(markup) else markup
             end = lower_markup.find("</" + tag, pos)
             end = len(markup) if end < 0 else end
             if end > pos:
                 body = markup[pos:end]
-                yield "text", html.unescape(body) if tag in ("textarea", "title") else body, {}
+                yield "text", unescaped(body) if tag in ("textarea", "title") else body, {}
             yield "close", tag, {}
             gt = markup.find(">", end)
-            pos = len(markup) if gt < 0 else gt + 1
+            pos = resume = len(markup) if gt < 0 else gt + 1
         else:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(tag)
-            count[tag] = count.get(tag, 0) + 1
     if pos < len(markup):
-        text = markup[pos:]
-        if not re.match(r"<[a-zA-Z/!?]", text):
-            yield "text", html.unescape(text), {}
+        yield "text", unescaped(markup[pos:]), {}
     yield from close_to(0)
 
 
@@ -191,33 +231,43 @@ def _span(attrs: dict[str, str], name: str, most: int) -> int:
 class Table:
     def __init__(self) -> None:
         self.rows: list[dict[int, list[str]]] = []
-        self.down: dict[int, int] = {}  # column: rows for which a cell above still holds it
+        self.until: dict[int, int] = {}  # column: last row in which a cell from above still holds it
         self.column = 0
 
     def row(self) -> None:
         self.rows.append({})
         self.column = 0
-        self.taken = {c for c, n in self.down.items() if n > 0}
-        self.down = {c: n - 1 for c, n in self.down.items() if n > 1}
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
-        while self.column in self.taken:
+        row = len(self.rows) - 1
+        while self.until.get(self.column, -1) >= row:
             self.column += 1
         self.rows[-1][self.column] = lines
-        for c in range(self.column, self.column + across):
-            if down > 1:
-                self.down[c] = down - 1
+        if down > 1:
+            for c in range(self.column, min(self.column + across, KEPT_FREE)):
+                self.until[c] = row + down - 1
         self.column += across
 
     def lines(self) -> list[str]:
         columns = sorted({c for r in self.rows for c, lines in r.items() if any(lines)})
         if len(columns) <= 1:
             return [x for r in self.rows for _, lines in sorted(r.items()) for x in lines]
-        width = {c: min(WIDEST, max((len(x) for r in self.rows for x in r.get(c, ())), default=0)) for c in columns}
-        out = []
+        width = dict.fromkeys(columns, 0)
         for r in self.rows:
-            for k in range(max((len(x) for x in r.values()), default=0)):
-                out.append("  ".join((r.get(c, [])[k] if k < len(r.get(c, [])) else "").ljust(width[c]) for c in columns).rstrip())
+            for c in r.keys() & width.keys():
+                width[c] = min(WIDEST, max(width[c], max(map(len, r[c]), default=0)))
+        before = [0, *accumulate(width[c] + 2 for c in columns)]
+        height = [max((len(x) for x in r.values()), default=0) for r in self.rows]
+        ends = [bisect_right(columns, max(r, default=-1)) for r in self.rows]
+        text = sum(len(x) for r in self.rows for lines in r.values() for x in lines)
+        aligned = sum(h * before[e] for h, e in zip(height, ends, strict=True)) <= PADDING * text + PADDING_FREE
+        out = []
+        for r, h, e in zip(self.rows, height, ends, strict=True):
+            if aligned:
+                for k in range(h):
+                    out.append("  ".join((r[c][k] if c in r and k < len(r[c]) else "").ljust(width[c]) for c in columns[:e]).rstrip())
+            else:
+                out += ["  ".join(x for _, lines in sorted(r.items()) for x in lines)] if h == 1 else [x for _, lines in sorted(r.items()) for x in lines]
         return out
 
 
@@ -228,12 +278,20 @@ def render(markup: str | None) -> str:
     markers and indents, cells of a table row stand side by side in aligned
     columns, pre keeps its blanks. Elements that are never shown, or carry
     hidden, display:none or visibility:hidden, are left out with all within.
+    Of a select the options that a browser shows closed are text.
+
+    Some layout has bounds, beyond which no text goes: columns are padded to
+    WIDEST characters, colspan counts to MOST_COLUMNS and rowspan to MOST_ROWS
+    in the first KEPT_FREE columns, a table whose blanks would exceed PADDING
+    times its text has its cells one after another, and parts of tables that
+    are nested more than NESTED deep are plain blocks.
     """
     if not markup:
         return ""
     flows, tables, lists = [Flow()], [], []
     cells: list[tuple[int, int]] = []
-    unseen = pre = 0
+    selects: list[tuple[bool, list[tuple[bool, str]]]] = []  # whether all options show, and the options
+    unseen = pre = deep = 0
     marks: list[tuple[str, bool]] = []  # one for each open element: what its end undoes
     for kind, what, attrs in events(markup):
         flow = flows[-1]
@@ -252,20 +310,33 @@ def render(markup: str | None) -> str:
             undo = ""
             if what == "br":
                 flow.end(keep=True)
-            elif what in ("td", "th") and tables:
+            elif what in PARTS and (not tables or len(tables) == NESTED and deep):
+                if tables:
+                    flow.block(0)
+                undo = "inline"  # table parts outside of a table are nothing
+            elif what in ("td", "th"):
                 if not tables[-1].rows:
                     tables[-1].row()
                 cells.append((_span(attrs, "colspan", MOST_COLUMNS), _span(attrs, "rowspan", MOST_ROWS)))
                 flows.append(Flow())
                 undo = "cell"
+            elif what == "table" and len(tables) == NESTED:
+                flow.block(1)
+                deep += 1
+                undo = "deep"
             elif what == "table":
                 flow.block(1)
                 tables.append(Table())
                 undo = "table"
-            elif what in PARTS and not tables:
-                undo = "inline"  # table parts outside of a table are nothing
             elif what == "tr":
                 tables[-1].row()
+            elif what == "select":
+                selects.append(("multiple" in attrs or attrs.get("size", "1") not in ("", "0", "1"), []))
+                undo = "select"
+            elif what == "option" and selects:
+                selects[-1][1].append(("selected" in attrs, ""))
+                flows.append(Flow())
+                undo = "option"
             elif what in BLOCK:
                 flow.block(MARGIN.get(what, 0) if not (lists and what in ("ul", "ol", "menu")) else 0)
                 if what in ("ul", "ol", "menu"):
@@ -296,6 +367,16 @@ def render(markup: str | None) -> str:
             lines = flows.pop().result()
             across, down = cells.pop()
             tables[-1].cell(lines, across, down)
+        elif undo == "option":
+            selects[-1][1][-1] = (selects[-1][1][-1][0], " ".join(flows.pop().result()))
+        elif undo == "select":
+            every, options = selects.pop()
+            chosen = options if every else [o for o in options if o[0]][-1:] or options[:1]
+            for _, x in chosen:
+                flow.text(f" {x} ")
+        elif undo == "deep":
+            flow.block(1)
+            deep -= 1
         elif undo == "table":
             flows[-1].put(tables.pop().lines())
             flows[-1].block(1)
