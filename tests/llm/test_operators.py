@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -329,31 +330,127 @@ def test_runs_on_odd_rows(spark):
 # mixing ---------------------------------------------------------------------------------------------
 
 
+def ideal_counts(sizes, weights, t):
+    """Exact shares at slot t, by following the ideal mix from one exhausted source to the next."""
+    given, left = [Fraction(0)] * len(sizes), Fraction(t)
+    while left > 0:
+        live = [k for k in range(len(sizes)) if given[k] < sizes[k]]
+        total = sum(weights[k] for k in live)
+        step = min(left, min((sizes[k] - given[k]) * total / weights[k] for k in live))
+        for k in live:
+            given[k] += step * weights[k] / total
+        left -= step
+    return given
+
+
+def scheduled(ideal, stretch, slots=None):
+    """Source and block of every slot, stretch by stretch."""
+    cuts = ideal.cuts([(a, b, ideal.free(a, b)) for a, b in ideal.stretches(stretch, slots)])
+    return [x for cut in cuts for x in ideal.schedule(*cut)]
+
+
+def assert_fair(sizes, weights, stretch):
+    ideal = mixing.Ideal(sizes, weights)
+    given, total = [0] * len(sizes), sum(weights)
+    first = min(Fraction(n * total, w) for n, w in zip(sizes, weights, strict=True))  # the first source has run out
+    for slot, (s, b) in enumerate(scheduled(ideal, stretch), 1):
+        assert b == given[s]
+        given[s] += 1
+        if slot <= first:
+            assert all(abs(g * total - slot * w) < total for g, w in zip(given, weights, strict=True))
+        elif slot % 7 == 0:
+            assert all(abs(g - x) < 1 for g, x in zip(given, ideal_counts(sizes, weights, slot), strict=True))
+    assert given == list(sizes)
+
+
 def test_schedule_is_fair():
-    for quota in ({"a": 1, "b": 1}, {"a": 333, "b": 500, "c": 166, None: 1}, {str(k): k for k in range(1, 30)}):
-        period, given = sum(quota.values()), Counter()
-        for t, s in enumerate(mixing.schedule(quota), 1):
-            given[s] += 1
-            assert all(abs(given[x] - t * q / period) < 1 for x, q in quota.items())
-        assert given == Counter(quota)
+    """No source is a block off its exact share, whatever the weights and wherever the slots are cut."""
+    rng = random.Random(12)
+    for stretch in (1, 3, 10, 10**6):
+        assert_fair([40, 40], [1, 1], stretch)
+        assert_fair([33, 50, 17, 1], [333, 500, 166, 1], stretch)
+        assert_fair([30] * 9, [900, *[100] * 5, 37, 1, 2], stretch)
+        for _ in range(30):
+            n = rng.randint(1, 9)
+            assert_fair([rng.randint(1, 25) for _ in range(n)], [rng.choice([1, 2, 7, 97, 1009]) for _ in range(n)], stretch)
+    tied = mixing.whole_weights({"a": 0.1, "b": 1e-5, None: 2.0})
+    assert Fraction(tied["a"], tied[None]) == Fraction(0.1) / 2
+
+
+@pytest.mark.parametrize("targets", [(2.0, 1.0), (1.0, 1e-5, 1.0), (3**0.5, 2**0.5, 0.1, 1.0)])
+def test_long_schedules_are_fair(targets):
+    """Weights that no short period divides, 120,000 slots and many cuts."""
+    weights = list(mixing.whole_weights(dict(enumerate(targets))).values())
+    total, slots, stretch = sum(weights), 120_000, 997
+    ideal = mixing.Ideal([10**9] * len(weights), weights)
+    given = [0] * len(weights)
+    for slot, (s, _) in enumerate(scheduled(ideal, stretch, slots), 1):
+        given[s] += 1
+        assert all(abs(g * total - slot * w) < total for g, w in zip(given, weights, strict=True))
+
+
+def test_earliest_deadline_first_over_all_slots():
+    """Cut or not, every block lies between its release and its deadline, as in a plain run over all blocks."""
+    sizes, weights = [200, 90, 40, 300, 7], [5, 3, 3, 11, 1]
+    ideal = mixing.Ideal(sizes, weights)
+    place = {k: s for s, k in enumerate(ideal.order)}
+    blocks = [(ideal.release(place[k], i), ideal.deadline(place[k], i), k, i) for k, n in enumerate(sizes) for i in range(n)]
+    todo = set(blocks)
+    for slot in range(ideal.slots):
+        one = min((b for b in todo if b[0] <= slot), key=lambda b: (b[1], b[2]))
+        assert slot < one[1]
+        todo.remove(one)
+    window = {(k, i): (r, d) for r, d, k, i in blocks}
+    for stretch in (5, 50, 1000):
+        done = scheduled(ideal, stretch)
+        assert len(set(done)) == ideal.slots and all(window[x][0] <= slot < window[x][1] for slot, x in enumerate(done))
+
+
+def test_many_sources():
+    """Ten thousand sources of different weights: each stretch takes seconds."""
+    rng = random.Random(3)
+    weights = [rng.random() + 1e-3 for _ in range(10_000)]
+    ideal = mixing.Ideal([rng.randint(1, 500) for _ in weights], list(mixing.whole_weights(dict(enumerate(weights))).values()))
+    began = time.process_time()
+    done = scheduled(ideal, 640_000, 1_280_000)
+    assert len(set(done)) == 1_280_000 and time.process_time() - began < 60
 
 
 def test_mix_gives_every_row_once(spark):
-    rows = [(k, "big") for k in range(2000)] + [(k, "mid") for k in range(500)] + [(k, None) for k in range(70)] + [(1, "big"), (1, "big"), (None, "mid")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string")
-    out = mixing.interleave(docs, {"big": 2.0, "mid": 1.0, None: 1.0}, block=8, period=40).toPandas()
+    rows = [(k, "big") for k in range(2000)] + [(k, "mid") for k in range(500)] + [(k, None) for k in range(70)] + [(k, "last") for k in range(20)] + [(1, "big"), (1, "big"), (None, "mid")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, mix_slot string")
+    out = mixing.interleave(docs, {"big": 2.0, "mid": 1.0, None: 0.7}, block=8, stretch=50).toPandas()
     assert Counter(zip(out.doc_id.astype("Int64").astype(str), out.source.astype(str))) == Counter((str(a) if a is not None else "<NA>", str(b)) for a, b in rows)
     slots = out.groupby("mix_slot").source.agg(lambda s: s.fillna("?").iloc[0]).sort_index()
     assert list(slots.index) == list(range(len(slots)))  # no slot is empty, none has two blocks
     assert out.groupby("mix_slot").size().max() <= 8 and not out.duplicated(["mix_slot", "mix_offset"]).any()
+    names, sizes, weights = ["big", "mid", "?"], [251, 63, 9], [20, 10, 7]
     given = Counter()
-    for t, s in enumerate(slots.iloc[:32], 1):
+    for t, s in enumerate(slots, 1):
         given[s] += 1
-        assert abs(given["big"] - t * 0.5) < 1 and abs(given["mid"] - t * 0.25) < 1
+        if t <= sum(sizes):
+            assert all(abs(given[x] - y) < 1 + 1e-9 for x, y in zip(names, ideal_counts(sizes, weights, t), strict=True))
+    assert set(slots.iloc[-3:]) == {"last"}
+    assert out.groupby("mix_slot").mix_block.nunique().max() == 1
     assert mixing.interleave(docs.limit(0)).count() == 0
     assert mixing.interleave(odd_docs(spark)).count() == 10
 
 
+def test_mix_query(spark, small):
+    """The registered query: every document once, blocks of one source, shares within a block of the ideal mix."""
+    docs = queries.table(spark, small, "documents").select("doc_id", "source").toPandas()
+    out = queries.op8_pfair_mix(spark, small).toPandas()
+    assert sorted(out.doc_id) == sorted(docs.doc_id)
+    counts = docs.source.value_counts()
+    names = sorted(counts.index)
+    sizes, weights = [-(-counts[s] // mixing.BLOCK) for s in names], [mixing.tempered(counts.to_dict(), 0.5)[s] for s in names]
+    given = Counter()
+    for t, (_, part) in enumerate(sorted(out.groupby("mix_slot")), 1):
+        assert part.source.nunique() == 1 and sorted(part.mix_offset) == list(range(len(part)))
+        given[part.source.iloc[0]] += 1
+        assert all(abs(given[s] - x) < 1 for s, x in zip(names, ideal_counts(sizes, weights, t), strict=True))
+
+
 # pages -----------------------------------------------------------------------------------------------
 
 

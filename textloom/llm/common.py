@@ -8,11 +8,14 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.session import ship
 
 #: Upper bound of the text that one Arrow batch carries to a Python worker.
 BATCH_BYTES = 4 << 20
+#: Rows of a small table up to which it is broadcast; a greater one is shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
@@ -54,6 +57,11 @@ def drop_materialized(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if its ``rows``, which were counted, are at most BROADCAST_ROWS."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def trim() -> None:
     """Give free memory back to the machine: Python workers live on after a task, beside those of other stages."""
     pa.default_memory_pool().release_unused()

@@ -12,13 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm.common import materialize
+from textloom.llm.common import bounded, materialize
 
 #: Runs of these characters part words (after lower-casing A-Z): the complement of the contract's word class.
 PARTING = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of benchmark terms or windows up to which they are broadcast; more are shuffled.
-BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -29,11 +27,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower, PARTING), lambda w: w != "")
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def benchmark_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(phrase, len, items): different windows of ``size`` words, or whole shorter items, with the items that have them."""
     words = items.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
