@@ -177,7 +177,7 @@ def test_less_similar_duplicates(spark, monkeypatch, crowd):
     for percent in (80, 65):
         got = neardup.near_duplicates(docs, percent)
         assert collected(got.select("doc_id", "n_shingles", "component_id")) == sorted(brute_components(rows, percent), key=repr)
-    assert [neardup.reach_of(p) for p in (85, 80)] == [neardup.REACH, 26]
+    assert [neardup.errors_of(p) for p in (85, 80, 65)] == [0, 0, 1] and neardup.reach_of(85) > neardup.REACH
     with pytest.raises(ValueError):
         neardup.near_duplicates(docs, 5)
 
@@ -224,6 +224,83 @@ def test_pairs_within_reach_meet():
         assert (a == b).all(axis=1).any()
 
 
+def planted_signatures(pairs, rng, percent):
+    """Signatures of pairs of sets of 200 values or so with a similarity of percent at least, hardly more."""
+    out = []
+    for _ in range(pairs):
+        n = int(rng.integers(60, 260))
+        both = -(-n * percent // 100)  # of n different values so many are common
+        union = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        left = both + (n - both) // 2
+        out += [union[:left], np.r_[union[:both], union[left:]]]
+    return neardup.signatures(out).view(np.uint16).reshape(pairs, 2, neardup.CHUNKS, 4)[..., :3]
+
+
+@pytest.mark.parametrize("percent", [85, 90])
+def test_recall_of_the_index(percent):
+    """Planted pairs at the least similarity meet in a piece and are within reach."""
+    sig = planted_signatures(20_000, np.random.default_rng(percent), percent)
+    same = sig[:, 0] == sig[:, 1]
+    assert (same.all(axis=2).any(axis=1) & ((~same).sum(axis=(1, 2)) <= neardup.reach_of(85))).all()
+
+
+def test_forest():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(rng.integers(2, 40))
+        first = rng.integers(0, n, n)
+        forest = neardup.Forest(first)
+        made, edges = [], []
+        for _ in range(3):
+            p, q = rng.integers(0, n, (2, 15))
+            edges += zip(p.tolist(), q.tolist(), strict=True)
+            made += [(int(p[k]), int(q[k])) for k in forest.join(p, q)]
+        for links in (edges, made):  # what was made is enough, and no more than trees
+            label = first.copy()
+            for a, b in links:
+                label[label == label[a]] = label[b]
+            assert len(np.unique(label)) == len(np.unique(forest.label)) == len({(a, b) for a, b in zip(label, forest.label, strict=True)})
+        assert len(made) == len(np.unique(first)) - len(np.unique(forest.label))
+
+
+def test_crowded_keys_are_split(spark, monkeypatch):
+    """One key of 900 nodes: no task holds much more than two blocks, and a cluster does not meet itself again."""
+    monkeypatch.setattr(neardup, "CROWD", 20)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 16, 4 * neardup.CHUNKS)
+    rows = []
+    for u in range(900):
+        sig = base.copy() if u < 700 else rng.integers(0, 1 << 16, len(base))
+        if u < 700:
+            sig[rng.choice(len(sig), 3)] = u
+        elif u >= 890:  # these are near some others only
+            sig = np.array(rows[-10][1], np.int64).view(np.uint16).astype(int)
+            sig[rng.choice(len(sig), 3)] = u
+        rows.append((u, sig.astype(np.uint16).view(np.int64).tolist()))
+    sigs = spark.createDataFrame(rows, "u long, sig array<long>").cache()
+    dealt = []
+
+    def attach(part):
+        dealt.append(part)
+        return part.join(sigs, "u")
+
+    links = neardup._links(sigs.select(F.lit(1).cast("long").alias("key"), "u", F.lit(1 / 20).alias("cost")), attach, neardup._forest(21), "test")
+    got = dict(map(tuple, neardup.components(links).select("u", "comp").collect()))
+    slots = [np.array(s, np.int64).view(np.uint16).reshape(-1, 4)[:, :3] for _, s in rows]
+    want = list(range(900))
+    for a, b in combinations(range(900), 2):
+        if want[a] != want[b] and (slots[a] != slots[b]).sum() <= 21:
+            low, high = sorted((want[a], want[b]))
+            want = [low if x == high else x for x in want]
+    assert {u: got.get(u, u) for u in range(900)} == dict(enumerate(want))
+    assert len(dealt) == 2
+    for part in dealt:
+        assert part.groupBy(*neardup.MEET).count().agg(F.max("count")).first()[0] <= 80
+    # 700 nodes of the cluster once for each of ten blocks of the others, not for each of its own 35
+    assert dealt[1].where("u < 700").groupBy("u").count().agg(F.max("count")).first()[0] <= 11
+    assert dealt[1].count() <= 700 * 10 + 200 * (35 + 10)
+
+
 # benchmark passages ---------------------------------------------------------------------------
 
 

@@ -125,17 +125,17 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
     """(doc_id, tag, text) with null texts as empty ones; carry: and row, a struct of all columns but the text.
 
-    Rows are told apart by id, and by a hash of their text only where ids
-    repeat or are null; rows that agree in both are alike, and so are their
-    results.
+    Rows are told apart by id, and by a 128-bit hash of their text only where
+    ids repeat or are null; rows that agree in both are alike, and so are their
+    results. Ids are integers.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")] if carry else []))
     twice = plain.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).limit(1).count()
-    tag = F.hash("text") if twice else F.lit(0)
+    tag = F.md5(F.col("text").cast("binary")) if twice else F.lit("")
     return plain.select("doc_id", tag.alias("tag"), "text", *(["row"] if carry else []))
 
 
-SEGMENT = "h long, c long, doc_id long, tag int, s1 int, s2 int, again array<int>"
+SEGMENT = "h long, c long, doc_id long, tag string, s1 int, s2 int, again array<int>"
 
 
 def alike(row: np.ndarray, h: np.ndarray, c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.scratch import materialize, scratch, settled, shared_dir
 from textloom.session import ship
 
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "bound_batches", "bounded", "materialize", "scratch", "settled", "shared_dir", "trim"]
+
 #: Upper bound of the text that one Arrow batch carries to a Python worker.
 BATCH_BYTES = 4 << 20
 #: Rows of a small table up to which it is broadcast; a greater one is shuffled.
@@ -24,39 +25,6 @@ def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only where it is unset (tests on one machine) a temporary folder is taken.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage and survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`materialize` wrote and nothing reads any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/textloom-" in file:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if its ``rows``, which were counted, are at most BROADCAST_ROWS."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -1,18 +1,25 @@
 """Near-duplicate documents: MinHash signatures joined by Hamming distance in several indexes.
 
 A signature has SLOTS values of 16 bits. Cut into CHUNKS pieces, two signatures
-that differ in at most ``reach`` slots agree, by the pigeonhole principle, in a
-whole piece but for ``reach // CHUNKS`` slots; each piece is an index whose
-keys leave out so many slots in every way. Every pair within the distance
-therefore meets in a bucket. With the defaults pieces must agree wholly, and a
-pair at the least similarity misses every one of them with a chance under 1e-8.
-
-Equal sets are one node. A bucket's signatures are compared in tiles, and of the
-pairs in reach a spanning forest is kept, so that rows grow with the nodes and
-not with the pairs. The forests join nodes to groups, outside of which no pair
-is in reach. Within a group, large ones cut into blocks of which every two meet
-in a task, pairs in reach are confirmed on full shingle sets, the nearest first;
-a pair is skipped only where it is in one component already.
+that differ in fewer slots than there are pieces agree, by the pigeonhole
+principle, in a whole piece; each piece is an index. Where more slots may differ
+and whole pieces would not do, keys leave out one or two slots of a piece in
+every way, which allows for as many errors in each. Every pair within the
+distance that is so guaranteed meets in a bucket; of pairs that meet, those are
+followed whose distance a pair of the least similarity exceeds with a chance of
+MISS at most.
+
+Equal sets are one node. Of the pairs in reach of a bucket a spanning forest is
+kept, so that rows grow with the nodes and not with the pairs. The forests join
+nodes to groups, outside of which no pair is in reach. Within a group, pairs in
+reach are confirmed on full shingle sets, the nearest first; a pair is skipped
+only where it is in one component already.
+
+A bucket or group that is too large for a task is dealt into blocks, twice and
+each time anew, and what the blocks link is joined. Only nodes that are then in
+different components still have to meet: blocks of one component do not meet one
+another, all others do. A cluster of copies is therefore done after the first
+round, whatever its size.
 """
 
 from __future__ import annotations
@@ -25,22 +32,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.llm.anchors import Prefix, keyed, mix, null_safe, strings
-from textloom.llm.common import bound_batches, materialize, trim
+from textloom.llm.common import bound_batches, bounded, materialize, trim
 
 SLOTS, CHUNKS = 66, 22
-#: Slots that may differ. At a similarity of 0.85 ten of 66 do so on average.
-REACH = 21
-#: Chance that a pair at the least similarity differs in more slots than are allowed.
-MISS = 2e-4
+#: Slots that may differ so that whole pieces are sure to agree somewhere.
+REACH = CHUNKS - 1
+#: Chance that a pair at the least similarity agrees in no piece, or differs in more slots than are followed.
+MISS = 2e-7
 #: Words of a shingle.
 WORDS = 5
 #: Nodes and shingles of a block of a group.
 SHARE, SHARE_SHINGLES = 800, 1_000_000
-#: Nodes of a bucket up to which its pairs are tiled at once; greater buckets are split by further pieces.
-CROWD = 4096
+#: Nodes of a block of a bucket.
+CROWD = 2048
 _SEED = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _MUL, _ADD = _SEED[:SLOTS] | np.uint64(1), _SEED[SLOTS:]
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -114,7 +120,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return pieces.view(np.int64)
 
 
-SIGNED = "doc_id long, tag int, n long, f1 long, f2 long, sig array<long>"
+SIGNED = "doc_id long, tag string, n long, f1 long, f2 long, sig array<long>"
 
 
 def _signed(size: int):
@@ -137,37 +143,51 @@ def _signed(size: int):
     return run
 
 
-def index_keys(pieces: Column, reach: int) -> Column:
-    """Keys of one piece: of its slots all but reach // CHUNKS, in every way."""
+def index_keys(piece: Column, errors: int) -> Column:
+    """Keys of one piece: of its slots all but ``errors``, in every way."""
     out, width = [], SLOTS // CHUNKS
-    for drop in combinations(range(width), min(reach // CHUNKS, width - 1)):
+    for drop in combinations(range(width), errors):
         mask = sum(0xFFFF << (16 * j) for j in range(width) if j not in drop)
-        out.append(F.xxhash64(F.lit(mask), F.col("chunk"), pieces.bitwiseAND(F.lit(mask))))
+        out.append(F.xxhash64(F.lit(mask), F.col("chunk"), piece.bitwiseAND(F.lit(mask))))
     return F.array(*out)
 
 
 class Forest:
-    """Union of small numbers, with the labels as an array."""
+    """Union of numbered nodes, some of which may be joined before."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        self.label = np.unique(label, return_inverse=True)[1]
+        self.size = int(self.label.max(initial=-1)) + 1
 
     def join(self, p: np.ndarray, q: np.ndarray) -> list[int]:
-        """Places of pairs that joined two trees, in the order given as far as pairs of one tree go."""
-        made: list[int] = []
-        at = np.arange(len(p))
-        while True:
-            at = at[self.label[p[at]] != self.label[q[at]]]
-            if not len(at):
-                return made
-            seen: set[int] = set()
-            for k in at[np.sort(np.unique(self.label[p[at]], return_index=True)[1])].tolist():
-                x, y = int(self.label[p[k]]), int(self.label[q[k]])
-                if x in seen or y in seen or x == y:
-                    continue
-                seen |= {x, y}
-                self.label[self.label == max(x, y)] = min(x, y)
+        """Places of pairs that joined two trees."""
+        x, y = self.label[p], self.label[q]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return []
+        low, high = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+        first = apart[np.unique(low * np.int64(self.size) + high, return_index=True)[1]]
+        top: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            root = i
+            while (up := top.get(root, root)) != root:
+                root = up
+            while i != root:
+                top[i], i = root, top.get(i, i)
+            return root
+
+        made = []
+        for k, i, j in zip(first.tolist(), x[first].tolist(), y[first].tolist(), strict=True):
+            i, j = find(i), find(j)
+            if i != j:
+                top[max(i, j)] = min(i, j)
                 made.append(k)
+        new = np.arange(self.size)
+        for i in top:
+            new[i] = find(i)
+        self.label = new[self.label]
+        return made
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -214,24 +234,41 @@ def _signatures_of(t: pa.Table) -> np.ndarray:
     return np.ascontiguousarray(flat.flatten().to_numpy()).view(np.uint16).reshape(t.num_rows, -1)
 
 
+#: What a group of rows is: a bucket or group of nodes, two of its parts, and a block of each.
+MEET = ("key", "p", "q", "i", "j")
+
+
+def _tiles(side: np.ndarray, slots: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of one block, or of two blocks those across, tile by tile, and their distances; label, which may change, rules out tiles."""
+    across = side.min() != side.max()
+    for a in range(0, len(side), 256):
+        for b in range(a, len(side), 256):
+            x, y = label[a : a + 256], label[b : b + 256]
+            if x[0] == y[0] and (x == x[0]).all() and (y == y[0]).all():
+                continue  # one tree already: a large group costs little more than its first row of tiles
+            d = distances(slots[a : a + 256], slots[b : b + 256])
+            ok = x[:, None] != y[None, :]
+            if across:
+                ok &= side[a : a + 256, None] != side[None, b : b + 256]
+            i, j = np.nonzero(np.triu(ok, 1) if a == b else ok)
+            yield i + a, j + b, d[i, j]
+
+
 def _forest(reach: int):
     """A spanning forest (a, b) of the pairs of each bucket that are in reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple[int, int]] = []
-        for t in _grouped(batches, ("key",)):
+        for t in _grouped(batches, MEET):
             if t.num_rows < 2:
                 continue
-            u, slots, forest = t.column("u").to_numpy(), _signatures_of(t), Forest(t.num_rows)
-            for a in range(0, len(u), 256):
-                for b in range(a, len(u), 256):
-                    x, y = forest.label[a : a + 256], forest.label[b : b + 256]
-                    if x[0] == y[0] and (x == x[0]).all() and (y == y[0]).all():
-                        continue  # one tree already: a large group costs little more than its first row of tiles
-                    near = distances(slots[a : a + 256], slots[b : b + 256]) <= reach
-                    i, j = np.nonzero(np.triu(near, 1) if a == b else near)
-                    i, j = i + a, j + b
-                    made += [(int(u[i[k]]), int(u[j[k]])) for k in forest.join(i, j)]
+            u, forest = t.column("u").to_numpy(), Forest(t.column("comp").to_numpy())
+            label = forest.label.copy()
+            for i, j, d in _tiles(t.column("side").to_numpy(), _signatures_of(t), label):
+                near = d <= reach
+                i, j = i[near], j[near]
+                made += [(int(u[i[k]]), int(u[j[k]])) for k in forest.join(i, j)]
+                label[:] = forest.label
             if len(made) > 10_000:
                 yield _pairs(made)
                 made = []
@@ -247,34 +284,26 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _confirmed(reach: int, percent: int, size: int):
-    """Links (a, b) that connect the nodes of a group, or of two of its blocks, as far as their sets do."""
+    """Links (a, b) that connect the nodes of a block, or of two, as far as their sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, ("coarse", "i", "j")):
+        for t in _grouped(batches, MEET):
+            if t.num_rows < 2:
+                continue
             made: list[tuple[int, int]] = []
-            u, block, slots = t.column("u").to_numpy(), t.column("block").to_numpy(), _signatures_of(t)
-            one = int(t.column("i")[0].as_py()) == int(t.column("j")[0].as_py())
+            u, label = t.column("u").to_numpy(), np.unique(t.column("comp").to_numpy(), return_inverse=True)[1]
             sets = [s for c in t.column("text").chunks for s in text_sets(*strings(c), size)]
-            p, q, far = [], [], []
-            for a in range(0, len(u), 256):
-                for b in range(a, len(u), 256):
-                    d = distances(slots[a : a + 256], slots[b : b + 256])
-                    near = d <= reach
-                    near = np.triu(near, 1) if a == b else near
-                    if not one:
-                        near &= block[a : a + 256, None] != block[None, b : b + 256]
-                    i, j = np.nonzero(near)
-                    p.append(i + a)
-                    q.append(j + b)
-                    far.append(d[i, j])
-            p, q, far = np.concatenate(p), np.concatenate(q), np.concatenate(far)
-            order = np.argsort(far, kind="stable")
-            p, q, label = p[order], q[order], np.arange(len(u))
             sizes = np.array([len(s) for s in sets])
-            # the sizes alone rule out what could not be similar enough
-            lesser, greater = np.minimum(sizes[p], sizes[q]), np.maximum(sizes[p], sizes[q])
-            fit = 100 * lesser >= percent * greater
-            p, q = p[fit], q[fit]
+            found = []
+            for i, j, d in _tiles(t.column("side").to_numpy(), _signatures_of(t), label):
+                # the sizes alone rule out what could not be similar enough
+                fit = (d <= reach) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
+                found.append((i[fit], j[fit], d[fit]))
+            if not found:
+                continue
+            p, q, far = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(far, kind="stable")
+            p, q = p[order], q[order]
             for start in range(0, len(p), 2000):
                 x, y = p[start : start + 2000], q[start : start + 2000]
                 for i, j in zip(*(z[label[x] != label[y]].tolist() for z in (x, y)), strict=True):
@@ -290,6 +319,59 @@ def _confirmed(reach: int, percent: int, size: int):
     return run
 
 
+def _across(at: DataFrame, labels: DataFrame) -> DataFrame:
+    """What still has to meet: (key, p, q, i, j, side, u, comp) of nodes of a key, as far as they are in different components.
+
+    at: (key, u, cost), where costs up to 1 make a block; labels: (u, comp). Nodes of a
+    component that fills a block are a part, all other nodes of the key one (p
+    or q -1); every two parts meet, block by block, and the last one itself.
+    """
+    own = at.join(labels, "u", "left").select("key", "u", "cost", F.coalesce("comp", "u").alias("comp"))
+    several = own.groupBy("key", "comp").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    own = materialize(own.join(materialize(several, "several"), "key", "left_semi"), "apart")
+    sums = own.groupBy("key", "comp").agg(F.sum("cost").alias("c"))
+    great = materialize(sums.where("c >= 1").select("key", "comp", F.ceil("c").cast("int").alias("k")), "great")
+    small = sums.where("c < 1").groupBy("key").agg(F.ceil(F.sum("c")).cast("int").alias("k"))
+    parts = materialize(great.select("key", F.col("comp").alias("part"), "k").unionByName(small.select("key", F.lit(-1).cast("long").alias("part"), "k")), "parts")
+    one, two = (parts.select("key", F.col("part").alias(x), F.col("k").alias(f"k{x}")) for x in ("p", "q"))
+    meet = materialize(one.join(two, "key").where("p < q OR (p = -1 AND q = -1)"), "meet")
+    rows, pairs = great.count(), meet.count()
+    # a node's part and its block there
+    own = own.join(bounded(great.withColumnRenamed("k", "kg"), rows), ["key", "comp"], "left").withColumn("part", F.when(F.col("kg").isNull(), F.lit(-1)).otherwise(F.col("comp")).cast("long"))
+    meet = bounded(meet, pairs)
+    block = lambda k: F.pmod(F.xxhash64("u", "key"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = own.join(meet, (own["key"] == meet["key"]) & (own["part"] == meet["p"])).drop(meet["key"]).select("key", "p", "q", "u", "comp", block("kp").alias("x"), every("kq").alias("y"))
+    same = F.col("p") == F.col("q")
+    left = left.select("key", "p", "q", F.when(same, F.least("x", "y")).otherwise(F.col("x")).alias("i"), F.when(same, F.greatest("x", "y")).otherwise(F.col("y")).alias("j"), F.when(same & (F.col("x") > F.col("y")), 1).otherwise(0).alias("side"), "u", "comp")
+    right = own.join(meet, (own["key"] == meet["key"]) & (own["part"] == meet["q"]) & (meet["p"] < meet["q"])).drop(meet["key"]).select("key", "p", "q", "u", "comp", every("kp").alias("i"), block("kq").alias("j"))
+    return left.unionByName(right.withColumn("side", F.lit(1)))
+
+
+def _links(at: DataFrame, attach, task, label: str) -> DataFrame:
+    """(a, b) that join the nodes of each key to the components that the task's links give them.
+
+    at: (key, u, cost), where costs up to 1 make a block; attach: adds to rows with u what the
+    task reads. A key of one block is done at once; others are dealt twice into
+    blocks, and then what is still apart meets.
+    """
+    sums = at.groupBy("key").agg(F.sum("cost").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    sums = materialize(sums.select("key", F.greatest(F.lit(1), F.ceil(F.col("c") - 1e-6)).cast("int").alias("k")), f"{label}-sizes")
+
+    def done(rows: DataFrame) -> DataFrame:
+        rows = attach(rows).repartition(*MEET).sortWithinPartitions(*MEET)
+        return materialize(rows.mapInArrow(task, "a long, b long").distinct(), label)
+
+    deals = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    rows = at.join(sums, "key").select("key", "u", "k", deals.alias("deal"))
+    block = F.pmod(F.xxhash64("u", "key", "deal"), F.col("k")).cast("int")
+    first = done(rows.select("key", F.lit(-2).cast("long").alias("p"), F.col("deal").cast("long").alias("q"), block.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "u", F.col("u").alias("comp")))
+    great = sums.where("k > 1").select("key")
+    if great.isEmpty():
+        return first
+    return first.unionByName(done(_across(at.join(great, "key", "left_semi"), components(first))))
+
+
 def _local_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, root) of every node of the links of a partition, root being the smallest node that they reach."""
     got = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches if b.num_rows]
@@ -360,14 +442,23 @@ def _hooked(links: DataFrame) -> DataFrame:
         labels = materialize(labels.join(hook, "comp", "left").select("u", F.coalesce("to", "comp").alias("comp")), "labels")
 
 
-
 def reach_of(percent: int) -> int:
-    """Least number of slots, of SLOTS, that a pair of the similarity exceeds with a chance of MISS at most; 21 at 85."""
+    """Least number of slots, of SLOTS, that a pair of the similarity exceeds with a chance of MISS at most."""
     same, left = percent / 100, 1.0
     for reach in range(SLOTS):
         left -= comb(SLOTS, reach) * (1 - same) ** reach * same ** (SLOTS - reach)
         if left <= MISS:
             return reach
+    return SLOTS - 1
+
+
+def errors_of(percent: int) -> int:
+    """Least number of slots to leave out of pieces so that a pair of the similarity meets but for a chance of MISS at most."""
+    same, width = percent / 100, SLOTS // CHUNKS
+    for errors in range(width):
+        meets = sum(comb(width, k) * (1 - same) ** k * same ** (width - k) for k in range(errors + 1))
+        if (1 - meets) ** CHUNKS <= MISS:
+            return errors
     raise ValueError(f"{SLOTS} slots do not find pairs of {percent} percent")
 
 
@@ -375,68 +466,58 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS, reach
     """doc_id, n_shingles, component_id (smallest id that links reach) and kept, of each row.
 
     percent: least Jaccard similarity of the sets of ``size``-word shingles.
-    reach: slots that may differ; by default so many that a pair at the least
-    similarity is missed with a chance of MISS at most, a ValueError where
-    there are too few slots for it.
+    reach: slots that may differ, and all pairs that do not differ in more are
+    found. By default pairs of the least similarity are missed with a chance of
+    2 * MISS at most, ValueError where there are too few slots for it.
     Texts without words have no shingle and no link; null texts count as
     empty. Repeated rows are linked like any equal texts. Null ids stay and
-    count only if a component has no other id. An empty table gives an empty
-    table; other columns are ignored.
+    count only if a component has no other id. Ids are integers. An empty table
+    gives an empty table; other columns are ignored.
     """
-    out = _classes(keyed(docs, id_col, text_col), percent, size, reach)
+    signed, nodes = _classes(keyed(docs, id_col, text_col), percent, size, reach)
+    named = signed.where("n > 0").join(nodes.select("n", "f1", "f2", "component_id"), ["n", "f1", "f2"])
+    out = named.select("doc_id", "n", "component_id").unionByName(signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 85, size: int = WORDS, reach: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component, that of the smallest id; of rows that repeat whole, one. Texts without words stay."""
-    own = keyed(docs, id_col, text_col, carry=True)
-    classes = _classes(own.drop("row"), percent, size, reach)
-    stay = classes.where("n > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "tag")).alias("one")).select("one.*")
-    stay = stay.unionByName(classes.where("n = 0").select("doc_id", "tag").distinct())
-    out = null_safe(own, stay).withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy("text"))) if _repeated(classes) else null_safe(own, stay).withColumn("again", F.lit(1))
-    return out.where("again = 1").select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
-
-
-def _repeated(classes: DataFrame) -> bool:
-    return not classes.groupBy("doc_id", "tag").count().where("count > 1").isEmpty()
+    """One row of docs for each component, that of the smallest id; of rows of one id and text, one. Texts without words stay.
 
-
-def _classes(own: DataFrame, percent: int, size: int, reach: int | None) -> DataFrame:
-    """doc_id, tag, n, comp (a name of the component) and component_id of each row of a keyed table."""
+    Null ids give way to others. Nulls, empty tables and other columns as with :func:`near_duplicates`.
+    """
+    own = keyed(docs, id_col, text_col, carry=True)
+    signed, nodes = _classes(own.drop("row"), percent, size, reach)
+    stay = nodes.groupBy("comp").agg(F.min("one").alias("one")).select("one.doc_id", "one.tag")
+    stay = stay.unionByName(signed.where("n = 0").select("doc_id", "tag").distinct())
+    out = null_safe(own, stay)
+    if not signed.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "tag"])
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def _classes(own: DataFrame, percent: int, size: int, reach: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of a keyed table with the size and name of their set, and of each set its component, the least id there, and the row that stands for it."""
+    errors = errors_of(percent) if reach is None else reach // CHUNKS
     reach = reach_of(percent) if reach is None else reach
     if not 0 <= reach < SLOTS:
         raise ValueError(f"reach is 0 to {SLOTS - 1}")
     bound_batches(own.sparkSession)
     signed = materialize(own.mapInArrow(_signed(size), SIGNED), "signed")
-    full = signed.where("n > 0")
-    # equal sets are one node, named by the sum over the set; one of its rows stands for it
-    nodes = full.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "tag", "sig")).alias("one"))
-    nodes = materialize(nodes.select(F.col("f1").alias("u"), "n", "one.doc_id", "one.tag", "one.sig"), "nodes")
-    pieces = nodes.select("u", F.posexplode("sig").alias("chunk", "piece"))
-    keys = pieces.select("u", F.explode(index_keys(F.col("piece"), reach)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    at = keys.join(shared, "key").join(nodes.select("u", "sig"), "u")
-    # greater buckets are split: pairs in reach also agree in a piece among the others
-    small = at.where(F.col("size") <= CROWD).select("key", "u", "sig")
-    great = at.where(F.col("size") > CROWD).select("key", "u", "sig", F.posexplode("sig").alias("chunk", "piece"))
-    if reach >= CHUNKS:  # they need not agree in a whole one
-        great = great.select("key", "u", "sig", "chunk", F.explode(index_keys(F.col("piece"), reach)).alias("piece"))
-    great = great.select(F.xxhash64("key", "chunk", "piece").alias("key"), "u", "sig")
-    rows = small.unionByName(great).repartition("key").sortWithinPartitions("key")
-    near = materialize(rows.mapInArrow(_forest(reach), "a long, b long").distinct(), "forest")
-    groups = components(near).withColumnRenamed("comp", "coarse")
-    # a group that is too large for a task is cut into blocks, every two of which meet
-    members = nodes.join(groups, "u")
-    sizes = members.groupBy("coarse").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-    sizes = materialize(sizes.select("coarse", F.greatest(F.ceil(F.col("m") / SHARE), F.ceil(F.col("s") / SHARE_SHINGLES)).cast("int").alias("k")), "groups")
-    members = members.join(sizes, "coarse").withColumn("block", F.pmod(F.xxhash64("u"), F.col("k")).cast("int"))
-    members = null_safe(own, members)
-    meets = members.select("coarse", "u", "sig", "text", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    meets = meets.select("coarse", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "u", "block", "sig", "text")
-    meets = meets.repartition("coarse", "i", "j").sortWithinPartitions("coarse", "i", "j")
-    links = materialize(meets.mapInArrow(_confirmed(reach, percent, size), "a long, b long"), "links")
-    labels = components(links)
-    named = full.select("doc_id", "tag", "n", F.col("f1").alias("u")).join(labels, "u", "left").select("doc_id", "tag", "n", F.coalesce("comp", "u").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    alone = signed.where("n = 0").select("doc_id", "tag", "n", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
-    return named.join(least, "comp").select("doc_id", "tag", "n", "comp", "component_id").unionByName(alone)
+    # equal sets are one node, one of whose rows stands for it; two sums over the set, 128 bits, and its size name it
+    one = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tag", "sig")
+    nodes = signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(one).alias("one"), F.min("doc_id").alias("least"))
+    nodes = materialize(nodes.withColumn("u", F.monotonically_increasing_id()), "nodes")
+    pieces = nodes.select("u", F.posexplode("one.sig").alias("chunk", "piece"))
+    keys = pieces.select(F.explode(index_keys(F.col("piece"), errors)).alias("key"), "u", F.lit(1.0 / CROWD).alias("cost"))
+    sigs = nodes.select("u", "one.sig")
+    near = _links(keys, lambda rows: rows.join(sigs, "u"), _forest(reach), "forest")
+    members = nodes.join(components(near), "u").select("comp", "u", "n", "one.doc_id", "one.tag", "one.sig")
+    members = materialize(members, "members")
+    texts = null_safe(own, members.select("u", "sig", "doc_id", "tag")).select("u", "sig", "text")
+    cost = F.lit(1.0 / SHARE) + F.col("n") / SHARE_SHINGLES
+    links = _links(members.select(F.col("comp").alias("key"), "u", cost.alias("cost")), lambda rows: rows.join(texts, "u"), _confirmed(reach, percent, size), "links")
+    linked = nodes.select("u", "least").join(components(links), "u")
+    least = materialize(linked.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
+    linked = materialize(linked.select("u", "comp").join(least, "comp"), "linked")
+    nodes = nodes.join(linked, "u", "left").select("n", "f1", "f2", "one", F.coalesce("comp", "u").alias("comp"), F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return signed, materialize(nodes.withColumn("one", F.struct("one.null", "one.doc_id", "one.tag")), "classes")

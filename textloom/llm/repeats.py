@@ -124,7 +124,7 @@ def runs(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), (starts[last] + least).tolist(), strict=True))
 
 
-SPAN = "doc_id long, tag int, spans array<struct<start:int,stop:int>>"
+SPAN = "doc_id long, tag string, spans array<struct<start:int,stop:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -135,7 +135,7 @@ def span_batch(found: list[tuple[int | None, int, list[tuple[int, int]]]]) -> pa
     both = pa.StructArray.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["start", "stop"])
     ends = np.cumsum([0, *(len(own) for _, _, own in found)]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(ends), both).cast(_SPANS)
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int32()), lists], names=["doc_id", "tag", "spans"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.string()), lists], names=["doc_id", "tag", "spans"])
 
 
 def _blocks(least: int):
@@ -177,7 +177,7 @@ def _cut_out(width: int):
                 for a in asked or ():
                     for o, v in zip(out, (a["h"], i, t, a["s1"], raw[base + a["s1"] : base + a["s2"] + width], a["known"], a["crowded"]), strict=True):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()), strict=True)], names=["h", "doc_id", "tag", "s1", "seg", "known", "crowded"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()), strict=True)], names=["h", "doc_id", "tag", "s1", "seg", "known", "crowded"])
 
     return run
 
@@ -229,10 +229,10 @@ def repeat_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: i
     crowds = materialize(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > crowd).select("h", F.lit(True).alias("crowded")), "crowds")
     asked = kinds.join(crowds, "h", "left").select("one.doc_id", "one.tag", F.struct("h", "one.s1", "one.s2", (F.col("n") > 1).alias("known"), F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("ask"))
     asked = asked.groupBy("doc_id", "tag").agg(F.collect_list("ask").alias("asked"))
-    got = null_safe(docs, asked).mapInArrow(_cut_out(least), "h long, doc_id long, tag int, s1 int, seg binary, known boolean, crowded boolean")
+    got = null_safe(docs, asked).mapInArrow(_cut_out(least), "h long, doc_id long, tag string, s1 int, seg binary, known boolean, crowded boolean")
     got = materialize(got, "segments")
     solved = got.where(~F.col("crowded")).repartition("h").sortWithinPartitions("h").select("h", "doc_id", "tag", "s1", "seg", "known").mapInArrow(_blocks(least), SPAN)
-    windows = got.where("crowded").mapInArrow(_windows(least), "a long, b long, doc_id long, tag int, start int, known boolean")
+    windows = got.where("crowded").mapInArrow(_windows(least), "a long, b long, doc_id long, tag string, start int, known boolean")
     often = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
     counted = windows.where(~F.col("known")).join(often, ["a", "b"]).select("doc_id", "tag", F.array(F.struct("start", (F.col("start") + least).alias("stop"))).alias("spans"))
     return sure.unionByName(solved).unionByName(counted)
@@ -296,5 +296,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound_batches(docs.sparkSession)
     own = keyed(docs, id_col, text_col)
     found = gathered(repeat_spans(own, least))
-    out = null_safe(own, found, "left").mapInArrow(_removed, "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("tag")
+    out = null_safe(own, found, "left").mapInArrow(_removed, "doc_id long, tag string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("tag")
     return out if texts else out.drop("kept")

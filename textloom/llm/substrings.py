@@ -163,7 +163,7 @@ def _cut_out(width: int):
                 for a in asked or ():
                     for o, v in zip(out, (a["h"], a["c"], i, t, a["s1"], values[base + a["s1"] : base + a["s2"] + width].tobytes(), a["crowded"]), strict=True):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["h", "c", "doc_id", "tag", "s1", "seg", "crowded"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["h", "c", "doc_id", "tag", "s1", "seg", "crowded"])
 
     return run
 
@@ -211,9 +211,9 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd
     more = F.when(~F.col("one.single") | (F.col("last.tag") != F.col("one.tag")) | (F.col("last.s1") != F.col("one.s1")), F.col("c")).alias("c")
     asked = kinds.join(crowds.withColumn("crowded", F.lit(True)), "h", "left").select("one.doc_id", "one.tag", F.struct("h", more, "one.s1", "one.s2", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("ask"))
     asked = asked.groupBy("doc_id", "tag").agg(F.collect_list("ask").alias("asked"))
-    got = materialize(null_safe(docs, asked).mapInArrow(_cut_out(least), "h long, c long, doc_id long, tag int, s1 int, seg binary, crowded boolean"), "segments")
+    got = materialize(null_safe(docs, asked).mapInArrow(_cut_out(least), "h long, c long, doc_id long, tag string, s1 int, seg binary, crowded boolean"), "segments")
     solved = got.where(~F.col("crowded")).repartition("h").sortWithinPartitions("h").select("h", "c", "doc_id", "tag", "s1", "seg").mapInArrow(_blocks(least), PARSED)
-    windows = got.where("crowded").mapInArrow(_windows(least), "a long, b long, h long, c long, doc_id long, tag int, start int")
+    windows = got.where("crowded").mapInArrow(_windows(least), "a long, b long, h long, c long, doc_id long, tag string, start int")
     often = windows.groupBy("a", "b").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 < d2").select("a", "b", "d1")
     counted = windows.join(often, ["a", "b"]).where("doc_id > d1").select("h", "c", "doc_id", "tag", F.array(F.struct("start", (F.col("start") + least).alias("stop"))).alias("spans"))
     parsed = materialize(solved.unionByName(counted), "parsed")
