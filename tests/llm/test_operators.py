@@ -298,7 +298,7 @@ def test_crowded_keys_are_split(spark, monkeypatch):
         assert part.groupBy(*neardup.MEET).count().agg(F.max("count")).first()[0] <= 80
     # 700 nodes of the cluster once for each of ten blocks of the others, not for each of its own 35
     assert dealt[1].where("u < 700").groupBy("u").count().agg(F.max("count")).first()[0] <= 11
-    assert dealt[1].count() <= 700 * 10 + 200 * (35 + 10)
+    assert dealt[1].count() <= 700 * 11 + 210 * (35 + 11)
 
 
 # benchmark passages ---------------------------------------------------------------------------

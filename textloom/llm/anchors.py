@@ -109,6 +109,40 @@ def segments(values: np.ndarray, ends: np.ndarray, width: int, k: int) -> Iterat
         yield grams[anchor[first]], content, at + first, at + last
 
 
+def ranges(width: int, k: int) -> list[int]:
+    """Sizes of the ranges of window starts into which :func:`finer` cuts segments, step by step, down to single windows."""
+    return [1 << e for e in range((width - k).bit_length() - 1, -1, -1)]
+
+
+def finer(values: np.ndarray, offs: np.ndarray, h: np.ndarray, at: np.ndarray, width: int, k: int, size: int) -> tuple[np.ndarray, ...]:
+    """Segments cut where their windows begin another range of ``size`` places before the anchor.
+
+    Of each piece: row, anchor hash, content hash, first and last window start, place
+    of the k-gram that was the anchor, all in batch positions. All windows of a
+    range have more units in common than the k-gram, and these are the piece's
+    anchor: equal windows have equal ones, and pieces of one window are equal.
+    at: place of the k-gram in each segment, or -1 to look for it.
+    """
+    prefix, length = Prefix(values), np.diff(offs)
+    row = np.repeat(np.arange(len(h)), length)
+    grams = mix(prefix.grams(k))
+    hit = np.flatnonzero(grams == h[row[: len(grams)]])
+    first = np.unique(row[hit], return_index=True)
+    at = at.copy()
+    unknown = at[first[0]] < 0
+    at[first[0][unknown]] = (hit[first[1]] - offs[first[0]])[unknown]
+    least, most = (at - (length - width)) // size, at // size
+    pieces = most - least + 1
+    own = np.repeat(np.arange(len(h)), pieces)
+    lo = (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + least[own]) * size
+    hi = np.minimum(lo + size - 1, width - k)
+    place = offs[own] + at[own]
+    start, last = np.maximum(offs[own], place - hi), np.minimum(offs[own] + length[own] - width, place - lo)
+    anchor = mix(prefix.hash(place - lo, place - hi + width) + lo.astype(np.uint64) * np.uint64(_R) + np.uint64(size))
+    content = mix(prefix.hash(start, last + width) + np.uint64(1) + (last - start).astype(np.uint64) * np.uint64(_R))
+    return own, anchor, content, start, last, place
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an Arrow string or binary column, one text after another, and the offsets of the texts."""
     if isinstance(column, pa.ChunkedArray):

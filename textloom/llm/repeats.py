@@ -7,6 +7,11 @@ A block is indexed by the Burrows-Wheeler transform of its segments, and a
 breadth-first backward extension, from the empty string by one byte a level,
 derives the common prefixes of neighbouring suffixes in increasing order. It
 ends at the least length: boundaries not reached by then lie inside repeats.
+An anchor with too many different segments for a block is split: its segments
+are cut into ranges of windows, which have a longer anchor in common.
+
+Segments are taken for equal if 128 bits of hashes, of anchor and content, are:
+among 10^12 segments two that differ agree with a chance under 10^-14.
 """
 
 from __future__ import annotations
@@ -19,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.anchors import Prefix, keyed, mix, null_safe, occurrences, segment_rows, spans, strings
+from textloom.llm.anchors import finer, keyed, mix, null_safe, occurrences, ranges, segment_rows, spans, strings
 from textloom.llm.common import bound_batches, materialize, trim
 
 #: Length of a repeated string, and of the k-grams that anchor it.
 LEAST, GRAM = 200, 32
-#: Different segments of one anchor that a block takes; beyond it windows are counted instead.
+#: Different segments of one anchor that a block takes; beyond it the anchor is split.
 CROWD = 3_000
 #: Bytes of a block.
 BLOCK = 1 << 20
@@ -182,23 +187,22 @@ def _cut_out(width: int):
     return run
 
 
-def _windows(least: int):
-    """128-bit hash of every window of a segment, and where it starts."""
+PART = "h long, c long, doc_id long, tag string, s1 int, at int, seg binary, known boolean"
+
+
+def _finer(least: int, gram: int, size: int):
+    """Pieces of crowded segments, see :func:`textloom.llm.anchors.finer`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = strings(batch.column("seg"))
             if not len(data):
                 continue
-            one, two = Prefix(_BYTE[data]), Prefix(mix(_BYTE[data] + np.uint64(1)))
-            n = np.diff(offs) - least + 1
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            start = offs[row] + at
-            a, b = (mix(p.hash(start, start + least)).view(np.int64) for p in (one, two))
-            take = pa.array(row)
-            first = np.asarray(batch.column("s1"))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array((first[row] + at).astype(np.int32)), batch.column("known").take(take)], names=["a", "b", "doc_id", "tag", "start", "known"])
+            row, h, c, first, last, place = finer(_BYTE[data], offs, batch.column("h").to_numpy().view(np.uint64), np.asarray(batch.column("at"), np.int64), least, gram, size)
+            raw, take = data.tobytes(), pa.array(row)
+            seg = [raw[a : b + least] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            s1 = np.asarray(batch.column("s1"))[row] + first - offs[row]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), *(batch.column(x).take(take) for x in ("doc_id", "tag")), pa.array(s1.astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(seg, pa.binary()), batch.column("known").take(take)], names=["h", "c", "doc_id", "tag", "s1", "at", "seg", "known"])
 
     return run
 
@@ -230,12 +234,23 @@ def repeat_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: i
     asked = kinds.join(crowds, "h", "left").select("one.doc_id", "one.tag", F.struct("h", "one.s1", "one.s2", (F.col("n") > 1).alias("known"), F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("ask"))
     asked = asked.groupBy("doc_id", "tag").agg(F.collect_list("ask").alias("asked"))
     got = null_safe(docs, asked).mapInArrow(_cut_out(least), "h long, doc_id long, tag string, s1 int, seg binary, known boolean, crowded boolean")
-    got = materialize(got, "segments")
-    solved = got.where(~F.col("crowded")).repartition("h").sortWithinPartitions("h").select("h", "doc_id", "tag", "s1", "seg", "known").mapInArrow(_blocks(least), SPAN)
-    windows = got.where("crowded").mapInArrow(_windows(least), "a long, b long, doc_id long, tag string, start int, known boolean")
-    often = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    counted = windows.where(~F.col("known")).join(often, ["a", "b"]).select("doc_id", "tag", F.array(F.struct("start", (F.col("start") + least).alias("stop"))).alias("spans"))
-    return sure.unionByName(solved).unionByName(counted)
+    got = materialize(got, "segments").withColumn("at", F.lit(-1))
+    block = ("h", "doc_id", "tag", "s1", "seg", "known")
+    solved = lambda rows: rows.repartition("h").sortWithinPartitions("h").select(*block).mapInArrow(_blocks(least), SPAN)
+    out, left = sure.unionByName(solved(got.where(~F.col("crowded")))), got.where("crowded")
+    for size in ranges(least, gram):
+        if left.isEmpty():
+            break
+        parts = materialize(left.select(*block, "at").mapInArrow(_finer(least, gram, size), PART), "parts")
+        kinds = parts.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.max("known").alias("known"), F.min(F.struct("doc_id", "tag", "s1", "at", "seg")).alias("one"))
+        kinds = materialize(kinds, "part-kinds")
+        whole = F.array(F.struct(F.col("s1").alias("start"), (F.col("s1") + F.length("seg")).alias("stop"))).alias("spans")
+        again = parts.where(~F.col("known")).select("h", "c", "doc_id", "tag", whole).join(kinds.where("n > 1").select("h", "c"), ["h", "c"])
+        groups = materialize(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "part-groups")
+        rows = kinds.join(groups, "h").select("h", "one.*", (F.col("known") | (F.col("n") > 1)).alias("known"), "m")
+        left = materialize(rows.where(F.col("m") > crowd), "crowded")
+        out = out.unionByName(again.select("doc_id", "tag", "spans")).unionByName(solved(rows.where(F.col("m") <= crowd)))
+    return out
 
 
 def gathered(found: DataFrame) -> DataFrame:

@@ -6,7 +6,12 @@ suffixes of smaller documents on either side of it, gives the longest factor
 that an earlier document holds at any place. A document's segment is parsed
 greedily into such factors; factors of the least length become duplicate
 spans, and as a greedy cut may part a longer match, the places before each
-factor's end are parsed again from there.
+factor's end are parsed again from there. An anchor with too many different
+segments for a block is split: its segments are cut into ranges of windows,
+which have a longer anchor in common.
+
+Words are compared by 64-bit values, and segments taken for equal if 128 bits of
+hashes, of anchor and content, are.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.anchors import Prefix, keyed, mix, null_safe, segment_rows, spans, strings
+from textloom.llm.anchors import finer, keyed, null_safe, ranges, segment_rows, spans, strings
 from textloom.llm.common import bound_batches, materialize, trim
 from textloom.llm.neardup import located_words, word_values
 from textloom.llm.repeats import SPAN, gathered, merged, span_batch
@@ -29,7 +34,7 @@ PARSED = f"h long, c long, {SPAN}"
 
 #: Words of a duplicate run, and of the k-grams that anchor it.
 LEAST, GRAM = 13, 4
-#: Different segments of one anchor that a block takes; beyond it windows are held against each other by hash.
+#: Different segments of one anchor that a block takes; beyond it the anchor is split.
 CROWD = 20_000
 #: Words of a block.
 BLOCK = 300_000
@@ -122,8 +127,7 @@ def _blocks(least: int):
         for r, b, n in zip(rows, begin.tolist(), sizes.tolist(), strict=True):
             own = np.minimum(factors[b : b + n], np.arange(n, 0, -1))
             if (own >= least).any():
-                shift = r[4] if r[5] is None else 0
-                out.append((r[0], r[5], r[1], r[2], [(shift + x, shift + y) for x, y in parse(own, least)]))
+                out.append((r[5], r[6], r[1], r[2], [(r[4] + x, r[4] + y) for x, y in parse(own, least)]))
         keys = [pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)]
         found = span_batch([r[2:] for r in out])
         return pa.RecordBatch.from_arrays([*keys, *found.columns], names=["h", "c", *found.schema.names])
@@ -135,12 +139,12 @@ def _blocks(least: int):
             data = batch.column("seg")
             raw, offs = strings(data)
             words = np.frombuffer(raw.tobytes(), np.uint64)
-            for k, (h, c, doc, tag, s1) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("h", "c", "doc_id", "tag", "s1")), strict=True)):
+            for k, (h, doc, tag, base, own_h, own_c) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("h", "doc_id", "tag", "base", "own_h", "own_c")), strict=True)):
                 if size > BLOCK and h != last:
                     yield solve(held)
                     held, size = [], 0
                 last = h
-                held.append((h, doc, tag, words[offs[k] // 8 : offs[k + 1] // 8], s1, c))
+                held.append((h, doc, tag, words[offs[k] // 8 : offs[k + 1] // 8], base, own_h, own_c))
                 size += int(offs[k + 1] - offs[k]) // 8
         if held:
             yield solve(held)
@@ -151,7 +155,7 @@ def _blocks(least: int):
 
 
 def _cut_out(width: int):
-    """Words, as 64-bit values, of the requested segments of each text."""
+    """Words, as 64-bit values, of the requested segments of each text; base: where spans count from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,15 +165,18 @@ def _cut_out(width: int):
             for k, (i, t, asked) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
                 base = int(word_offs[k])
                 for a in asked or ():
-                    for o, v in zip(out, (a["h"], a["c"], i, t, a["s1"], values[base + a["s1"] : base + a["s2"] + width].tobytes(), a["crowded"]), strict=True):
+                    for o, v in zip(out, (a["h"], a["c"], i, t, a["s1"] if a["c"] is None else 0, values[base + a["s1"] : base + a["s2"] + width].tobytes(), a["crowded"]), strict=True):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["h", "c", "doc_id", "tag", "s1", "seg", "crowded"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["h", "own_c", "doc_id", "tag", "base", "seg", "crowded"])
 
     return run
 
 
-def _windows(least: int):
-    """128-bit hash of every window of a segment, and where it starts: in the text, or where c is set, in the segment."""
+PART = "h long, c long, own_h long, own_c long, doc_id long, tag string, base int, at int, seg binary"
+
+
+def _finer(least: int, gram: int, size: int):
+    """Pieces of crowded segments, see :func:`textloom.llm.anchors.finer`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,15 +185,11 @@ def _windows(least: int):
             if not len(words):
                 continue
             offs = offs // 8
-            one, two = Prefix(words), Prefix(mix(words + np.uint64(1)))
-            n = np.diff(offs) - least + 1
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            start = offs[row] + at
-            a, b = (mix(p.hash(start, start + least)).view(np.int64) for p in (one, two))
+            row, h, c, first, last, place = finer(words, offs, batch.column("h").to_numpy().view(np.uint64), np.asarray(batch.column("at"), np.int64), least, gram, size)
             take = pa.array(row)
-            first = np.where(np.asarray(batch.column("c").is_null()), np.asarray(batch.column("s1")), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(batch.column(x).take(take) for x in ("h", "c", "doc_id", "tag")), pa.array((first[row] + at).astype(np.int32))], names=["a", "b", "h", "c", "doc_id", "tag", "start"])
+            seg = [words[a : b + least].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            base = np.asarray(batch.column("base"))[row] + first - offs[row]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), *(batch.column(x).take(take) for x in ("own_h", "own_c", "doc_id", "tag")), pa.array(base.astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(seg, pa.binary())], names=["h", "c", "own_h", "own_c", "doc_id", "tag", "base", "at", "seg"])
 
     return run
 
@@ -211,12 +214,23 @@ def duplicate_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd
     more = F.when(~F.col("one.single") | (F.col("last.tag") != F.col("one.tag")) | (F.col("last.s1") != F.col("one.s1")), F.col("c")).alias("c")
     asked = kinds.join(crowds.withColumn("crowded", F.lit(True)), "h", "left").select("one.doc_id", "one.tag", F.struct("h", more, "one.s1", "one.s2", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("ask"))
     asked = asked.groupBy("doc_id", "tag").agg(F.collect_list("ask").alias("asked"))
-    got = materialize(null_safe(docs, asked).mapInArrow(_cut_out(least), "h long, c long, doc_id long, tag string, s1 int, seg binary, crowded boolean"), "segments")
-    solved = got.where(~F.col("crowded")).repartition("h").sortWithinPartitions("h").select("h", "c", "doc_id", "tag", "s1", "seg").mapInArrow(_blocks(least), PARSED)
-    windows = got.where("crowded").mapInArrow(_windows(least), "a long, b long, h long, c long, doc_id long, tag string, start int")
-    often = windows.groupBy("a", "b").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 < d2").select("a", "b", "d1")
-    counted = windows.join(often, ["a", "b"]).where("doc_id > d1").select("h", "c", "doc_id", "tag", F.array(F.struct("start", (F.col("start") + least).alias("stop"))).alias("spans"))
-    parsed = materialize(solved.unionByName(counted), "parsed")
+    got = materialize(null_safe(docs, asked).mapInArrow(_cut_out(least), "h long, own_c long, doc_id long, tag string, base int, seg binary, crowded boolean"), "segments")
+    got = got.withColumns({"own_h": F.col("h"), "at": F.lit(-1)})
+    block = ("h", "own_h", "own_c", "doc_id", "tag", "base", "seg")
+    solved = lambda rows: rows.repartition("h").sortWithinPartitions("h").select(*block).mapInArrow(_blocks(least), PARSED)
+    parsed, left = solved(got.where(~F.col("crowded"))), got.where("crowded")
+    for size in ranges(least, gram):
+        if left.isEmpty():
+            break
+        parts = materialize(left.select(*block, "at").mapInArrow(_finer(least, gram, size), PART), "parts")
+        kinds = materialize(parts.groupBy("h", "c").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")), "part-kinds")
+        whole = F.array(F.struct(F.col("base").alias("start"), (F.col("base") + (F.length("seg") / 8).cast("int")).alias("stop"))).alias("spans")
+        held = parts.select("h", "c", "own_h", "own_c", "doc_id", "tag", whole).join(kinds.where("d1 < d2").select("h", "c", "d1"), ["h", "c"]).where("doc_id > d1")
+        groups = materialize(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "part-groups")
+        rows = materialize(parts.join(kinds.select("h", "c", F.col("d1").alias("doc_id")), ["h", "c", "doc_id"]).join(groups, "h").drop("c"), "part-rows")
+        left = rows.where(F.col("m") > crowd)
+        parsed = parsed.unionByName(held.select(F.col("own_h").alias("h"), F.col("own_c").alias("c"), "doc_id", "tag", "spans")).unionByName(solved(rows.where(F.col("m") <= crowd)))
+    parsed = materialize(parsed, "parsed")
     # what was found at one place holds at all places of the segment in that document
     found = parsed.where("c IS NOT NULL").groupBy("h", "c", "doc_id").agg(F.flatten(F.collect_set("spans")).alias("inner"))
     starts = F.concat(F.array("s1"), F.coalesce("again", F.array().cast("array<int>")))
