@@ -334,8 +334,23 @@ def test_contamination_against_brute_force(spark):
     assert {r.items_sha256 for r in got.where("n_hit = 0").collect()} <= {hashlib.sha256(b"").hexdigest()}
 
 
+@pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 0])
+def test_shared_windows_and_null_ids(spark, monkeypatch, rows):
+    """A window of 10,000 items, and rows without an id, by broadcast and by shuffle; a window of one frequent word."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr("textloom.llm.common.BROADCAST_ROWS", rows)
+    items = spark.range(10_000).select(F.col("id").alias("item_id"), F.lit("to be or not to be").alias("text")).unionByName(spark.createDataFrame([(20_000, "the the the"), (20_001, "rare"), (None, "null id")], "item_id long, text string"))
+    docs = spark.range(3_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("the the the the x"), F.col("id").cast("string"), F.lit(" y")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(1, "so to be or not to be it is"), (2, "rare null id"), (2, "to be or"), (3, None)], "doc_id long, text string"))
+    got = decontaminate.contamination(docs, items)
+    some = {r.doc_id: r for r in got.where("doc_id IS NOT NULL AND n_words > 3 OR doc_id = 2 AND contaminated").collect()}
+    assert (some[1].n_hit, some[1].n_items, some[1].items[0], some[2].items, some[2].n_hit) == (6, 10_000, "0", ["20001"], 1)
+    assert got.count() == 3_004 and got.where("doc_id IS NULL AND n_hit = 4 AND n_items = 1").count() == 3_000
+    assert got.where("NOT contaminated").count() == 2
+
+
 def test_contamination_on_odd_rows(spark):
-    items = spark.createDataFrame([(1, "one two three", "x"), (2, None, "y"), (None, "ein zwei", "z")], "item_id long, text string, words string")
+    items = spark.createDataFrame([(1, "one two three", "x"), (2, None, "y"), (4, "ein zwei", "z"), (None, "a b c", "z")], "item_id long, text string, words string")
     got = decontaminate.contamination(odd_docs(spark), items)
     assert got.count() == 10 and {r.doc_id for r in got.where("contaminated").collect()} == {5, 6}
     assert decontaminate.contamination(empty_docs(spark), items).count() == 0
