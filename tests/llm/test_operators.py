@@ -635,6 +635,64 @@ def test_held_out_accuracy(spark, name, label, least):
     assert got.score.between(0, 1).all() and (held.predicted == held[label]).mean() >= least
 
 
+def plain_statistics(text):
+    """The statistics of a text, each by its definition."""
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    n, w = max(1, len(raw)), max(1, len(words))
+    marks = [sum(text.count(x) for x in y) / w for y in "|!.,"]
+    odd = [b for b in raw if 0x21 <= b < 0x7F and not chr(b).isalnum() and chr(b) not in ".,;:'\"-()?"]
+    return [len(text), len(words), sum(len(x) for x in words) / w, max([len(x) for x in words], default=0), len(set(words)) / w, sum(a == b for a, b in zip(words, words[1:], strict=False)) / w,
+            len(set(lines)) / len(lines), len(words) / len(lines), *[sum(f(x) for x in words) / w for f in (str.isupper, str.istitle, str.isalpha)], len(odd) / n, sum(chr(b) in "0123456789" for b in raw) / n, *marks]
+
+
+def test_quality_query_against_plain_rules(spark, small):
+    """The registered query equals the rules of its model, applied one by one to plain statistics."""
+    docs, labels = (queries.table(spark, small, t) for t in ("documents", "labels"))
+    model = rules.fit_quality(docs, labels, queries.fold("doc_id", 5) != 0)
+    got = {r.doc_id: r for r in queries.op1_quality_rules(spark, small).collect()}
+    assert len(got) == docs.count() and model.rules
+    for r in docs.collect():
+        x = plain_statistics(r.text)
+        assert np.allclose(x, rules.text_stats(r.text)[:-1])
+        x.append(rules.compressed_size(r.text.encode()) / max(1, len(r.text.encode())))
+        total = model.bias + sum(w for rule, w in model.rules if all((x[f] > cut) == up for f, up, cut in rule))
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) < 1e-9
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+    assert len(zlib.decompress(b"".join(zlib.compress(b"ab" * 9).split()))) == 18 and rules.compressed_size(b"ab" * 3_000_000) < 60_000
+
+
+def test_toxicity_query_against_plain_scan(spark):
+    """The registered query equals a plain run of its model, word by word."""
+    small = "/root/testdata/sf0.01"
+    docs, labels = (queries.table(spark, small, t) for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels, queries.fold("doc_id", 3) != 1)
+    got = {r.doc_id: r for r in queries.op5_toxic_segments(spark, small).collect()}
+    assert len(got) == docs.count() and model.weights
+    for r in docs.collect():
+        words = re.findall(r"[^\W\d_]+", r.text.lower())
+        weights = [max((model.weights[u] for u in ["=" + w, *(w[:n] for n in toxicity.STARTS if n <= len(w))] if u in model.weights), default=model.other) for w in words]
+        total = sum(s * model.unit - np.log(len(words) + 1) for _, _, s in toxicity.segments(weights) if s * model.unit > np.log(len(words) + 1))
+        rare = min(12.0, -np.log(max(1e-300, -np.expm1(-np.exp(-np.clip((total - model.place) / model.width, -700, 700))))))
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(model.slope * rare + model.shift, -30, 30)))) < 1e-6
+
+
+def test_a_class_of_one_word(spark):
+    """A unit that is all of its class, beside a class of long texts, is in the lexicon, and odds are finite."""
+    docs = spark.createDataFrame([(k, f"vile vile vile vile x{k}" if k % 2 else "fine words of a longer kind " * 40 + f"y{k}") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True), prior=100.0)
+    assert "=vile" in model.weights and all(np.isfinite(w) for w in model.weights.values())
+    assert model.score("this is vile vile") > 0.5 > model.score("fine words")
+
+
+def test_samples_of_repeated_ids(spark):
+    """Ids that repeat in documents give one row each to a fit, always the same."""
+    docs = spark.createDataFrame([(k % 40, f"{'good' if k % 2 else 'BAD || '} text {k} " * 5) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    models = [rules.fit_quality(x, labels, F.lit(True)) for x in (docs, docs.orderBy(F.rand(3)))]
+    assert models[0] == models[1]
+
+
 def test_rules_column_equals_rules(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, len(rules.STATS)))

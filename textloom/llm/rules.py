@@ -28,6 +28,14 @@ _DIGITS = b"0123456789"
 STATS = ("n_chars", "n_words", "word_length", "longest_word", "distinct_words", "repeated_next", "distinct_lines", "words_a_line", "upper_words", "title_words", "letter_words", "symbols", "digits", "bars", "shouts", "stops", "commas", "compressed")
 
 
+def compressed_size(raw: bytes) -> int:
+    """Bytes of raw when compressed, piece by piece."""
+    packer, size = zlib.compressobj(1), 0
+    for at in range(0, len(raw), 1 << 20):
+        size += len(packer.compress(raw[at : at + (1 << 20)]))
+    return size + len(packer.flush())
+
+
 def text_stats(text: str) -> tuple[float, ...]:
     """The statistics of one text, in the order of STATS; shares are of 0 where nothing is counted."""
     raw, words, lines = text.encode("utf-8", "surrogatepass"), text.split(), text.split("\n")
@@ -36,7 +44,7 @@ def text_stats(text: str) -> tuple[float, ...]:
         float(len(text)), float(len(words)), sum(map(len, words)) / w, float(max(map(len, words), default=0)), len(set(words)) / w,
         sum(map(eq, words, words[1:])) / w, len(set(lines)) / len(lines), len(words) / len(lines), sum(map(str.isupper, words)) / w, sum(map(str.istitle, words)) / w,
         sum(map(str.isalpha, words)) / w, (len(raw) - len(raw.translate(None, _SYMBOLS))) / n, (len(raw) - len(raw.translate(None, _DIGITS))) / n,
-        text.count("|") / w, text.count("!") / w, text.count(".") / w, text.count(",") / w, len(zlib.compress(raw[:1 << 30], 1)) / n,
+        text.count("|") / w, text.count("!") / w, text.count(".") / w, text.count(",") / w, compressed_size(raw) / n,
     )
 
 
@@ -167,12 +175,17 @@ def label_sample(labels: DataFrame, id_col: str, label_col: str, train: Column,
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = SAMPLE) -> RuleModel:
-    """Fit on at most ``bound`` labelled rows; the sample of ids, so bounded, is broadcast."""
+    """Fit on at most ``bound`` labelled rows; the sample of ids, so bounded, is broadcast.
+
+    Of rows that share an id, that of the least statistics is taken; null texts
+    count as empty. Null ids and labels are no sample; without a row, or with
+    one label only, the model has no rule. Other columns are ignored.
+    """
     bound_batches(docs.sparkSession)
     sample = label_sample(labels, id_col, label_col, train, bound)
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "label_id")
-    got = rows.select("label_id", "label", stats_column(F.col("text")).alias("stats")).select("label_id", "label", "stats.*").limit(4 * bound).toPandas()
-    got = got.sort_values(["label_id", *STATS], kind="stable")
+    got = rows.groupBy("label_id").agg(F.first("label").alias("label"), F.min(stats_column(F.col("text"))).alias("stats")).select("label_id", "label", "stats.*").toPandas()
+    got = got.sort_values("label_id", kind="stable")
     return fit_rules(got[list(STATS)].to_numpy(float), (got["label"].to_numpy() > 0).astype(float))
 
 

@@ -26,8 +26,6 @@ from textloom.llm.rules import SAMPLE, label_sample
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are units besides whole words ("=word").
 STARTS = range(4, 9)
-#: Units of the lexicon at most, the most significant first.
-LEXICON = 20_000
 #: Words whose weights a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 200_000
 
@@ -39,7 +37,7 @@ def units(word: str) -> list[str]:
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         count: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        docs: Counter = Counter()
+        docs: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, label in zip(batch["text"], batch["label"], strict=True):
             words = Counter(WORD.findall((text or "").lower()))
             mine: Counter = Counter()
@@ -47,10 +45,9 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for u in units(w):
                     mine[u] += n
             count[int(label)].update(mine)
-            if label:
-                docs.update(mine.keys())
+            docs[int(label)].update(mine.keys())
         keys = list(count[0].keys() | count[1].keys())
-        yield pd.DataFrame({"unit": keys, "toxic": [count[1][k] for k in keys], "clean": [count[0][k] for k in keys], "docs": [docs[k] for k in keys]})
+        yield pd.DataFrame({"unit": pd.Series(keys, dtype=object), "toxic": [count[1][k] for k in keys], "clean": [count[0][k] for k in keys], "toxic_docs": [docs[1][k] for k in keys], "clean_docs": [docs[0][k] for k in keys]})
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -150,31 +147,39 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, w), b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = SAMPLE, prior: float = 20_000.0, z_least: float = 3.5, docs_least: float = 0.02) -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = SAMPLE, prior: float = 100_000.0, z_least: float = 3.5, z_docs: float = 2.5, docs_least: float = 0.02) -> ToxicModel:
     """Fit on at most ``bound`` labelled rows, chosen by hash of their id.
 
-    Units are counted on the executors; at most LEXICON of them, the most
-    significant ones, come to the driver; each occurs in ``docs_least`` of the
-    toxic texts, four of them at least. Without both labels the model has no
-    lexicon and every text the score of the base rate.
+    Units are counted on the executors; those that are significantly toxic by
+    their number (``z_least``) and by the number of texts that have them (``z_docs``) come to
+    the driver, as many as the sample, which is bounded, has. A unit has to occur
+    in the share ``docs_least`` of the different toxic texts and in four of them:
+    with rarer ones, names and the like of a few texts, the held-out accuracy
+    falls. Copies of a text count once. Of rows that share an id, that of the
+    least text is taken; null texts count as empty; null ids and labels are no
+    sample. Without both labels the model has no lexicon and every text the
+    score of the base rate. Other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     sample = label_sample(labels, id_col, label_col, train, bound)
     rows = docs.select(F.col(id_col).alias("label_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample), "label_id")
     # documents are read once for the fit; the sample that stays is bounded
-    rows = materialize(rows.select("text", (F.col("label") > 0).cast("int").alias("label")), "toxic-sample")
-    counts = rows.mapInPandas(_counted, "unit string, toxic long, clean long, docs long").groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "docs")])
-    # whole words sum to the class sizes; unit counts are compared with them
-    totals = rows.groupBy("label").agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n"), F.count(F.lit(1)).alias("texts")).collect()
-    n = {r["label"]: float(r["n"]) for r in totals}
-    if len(n) < 2:
-        return ToxicModel(shift=0.0 if not n else (6.0 if 1 in n else -6.0), slope=0.0)
-    n1, n0, texts = n[1], n[0], next(r["texts"] for r in totals if r["label"] == 1)
+    rows = rows.groupBy("label_id").agg(F.min("text").alias("text"), (F.first("label") > 0).cast("int").alias("label"))
+    rows = materialize(rows.groupBy("text").agg(F.max("label").alias("label")), "toxic-sample")
+    texts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(texts) < 2:
+        return ToxicModel(shift=0.0 if not texts else (6.0 if 1 in texts else -6.0), slope=0.0)
+    counts = rows.mapInPandas(_counted, "unit string, toxic long, clean long, toxic_docs long, clean_docs long").groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "toxic_docs", "clean_docs")])
+    counts = materialize(counts, "toxic-units")
+    n1, n0 = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
     y1, y0 = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    a = F.lit(prior) * (y1 + y0) / F.lit(n1 + n0) + F.lit(0.01)
-    odds = F.log((y1 + a) / (F.lit(n1 + prior) - y1 - a)) - F.log((y0 + a) / (F.lit(n0 + prior) - y0 - a))
+    a = F.lit(prior) * (y1 + y0) / F.lit(max(1.0, n1 + n0)) + F.lit(0.01)
+    # a unit may be all there is, so that what is left of a class may be next to nothing
+    odds = F.log((y1 + a) / F.greatest(F.lit(0.01), F.lit(n1 + prior) - y1 - a)) - F.log((y0 + a) / F.greatest(F.lit(0.01), F.lit(n0 + prior) - y0 - a))
     z = odds / F.sqrt(F.lit(1.0) / (y1 + a) + F.lit(1.0) / (y0 + a))
-    lexicon = counts.where(F.col("docs") >= max(4.0, docs_least * texts)).withColumn("odds", odds).withColumn("z", z).where((F.col("z") >= z_least) & (F.col("odds") > 1.0)).orderBy(F.desc("z"), "unit").limit(LEXICON).collect()
+    d1, d0 = F.col("toxic_docs") + F.lit(0.5), F.col("clean_docs") + F.lit(0.5)
+    zd = (F.log(d1 / F.lit(float(texts[1]))) - F.log(d0 / F.lit(float(texts[0])))) / F.sqrt(1 / d1 + 1 / d0)
+    lexicon = counts.where((F.col("toxic_docs") >= max(4.0, docs_least * texts[1])) & (zd >= z_docs)).withColumn("odds", odds).where((z >= z_least) & (F.col("odds") > 1.0)).collect()
     model = ToxicModel({r["unit"]: float(min(8.0, r["odds"])) for r in lexicon})
     # weights that words of either class get, in tenths: a histogram of bounded size
     seen = rows.mapInPandas(_profiled(model), "label int, tenths int, n long").groupBy("label", "tenths").agg(F.sum("n").alias("n")).collect()
@@ -182,7 +187,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_i
     share = {k: (sum(r["n"] for r in seen if r["label"] == k and r["tenths"] > 0) + 0.5) / words[k] for k in (0, 1)}
     model.other = min(-0.02, float(np.log((1 - min(0.5, share[1])) / (1 - min(0.4, share[0])))))
     model.unit = _null_unit({r["tenths"] / 10: r["n"] / words[0] for r in seen if r["label"] == 0 and r["tenths"] > 0}, model.other)
-    got = rows.mapInPandas(_totalled(model), "label int, total double").limit(4 * bound).toPandas()
+    got = rows.mapInPandas(_totalled(model), "label int, total double").toPandas()
     clean = got.loc[got["label"] == 0, "total"].to_numpy()
     model.place, model.width = _gumbel(clean)
     x = np.array([model.standard(t) for t in got["total"]])
