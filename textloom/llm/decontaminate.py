@@ -112,14 +112,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     found = phrase_hits(index, phrases.select("phrase_id", "phrase"), terms, n_phrases, counts).distinct()
     asked = found.join(bounded(phrases, n_phrases), "phrase_id").groupBy("key").agg(F.collect_list(F.struct("start", "len", "phrase")).alias("asked"))
     # survivors are compared whole with the words of their document
-    read = own.select("key", "text").join(asked, "key")
-    read = read.dropDuplicates(["key"]) if twice else read
-    read = read.select("key", "asked", words_of(F.col("text")).alias("words"))
-    hits = F.filter("asked", lambda a: F.slice("words", a["start"] + 1, a["len"]) == a["phrase"])
-    hits = materialize(read.select("key", F.transform(hits, lambda a: F.struct(a["start"].alias("start"), a["len"].alias("len"), a["phrase"].alias("phrase"))).alias("hits")).where(F.size("hits") > 0), "hits")
+    read = own.select("key", "text")
+    read = (read.dropDuplicates(["key"]) if twice else read).join(asked, "key", "left").select("key", words_of(F.col("text")).alias("words"), "asked")
+    hits = F.filter(F.coalesce("asked", F.array().cast("array<struct<start:int,len:int,phrase:array<string>>>")), lambda a: F.slice("words", a["start"] + 1, a["len"]) == a["phrase"])
+    read = read.select("key", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
     places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
-    which = hits.select("key", F.explode(F.array_distinct(F.transform("hits", lambda h: h["phrase"]))).alias("phrase")).join(owners.select("phrase", "item_id"), "phrase")
+    read = materialize(read.select("key", "n_words", F.size(places).cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["phrase"])).alias("found")), "hits")
+    which = read.select("key", F.explode("found").alias("phrase")).join(owners.select("phrase", "item_id"), "phrase")
     which = which.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    marked = hits.select("key", F.size(places).cast("long").alias("n_hit")).join(which, "key")
-    read = own.select(*also, "doc_id", "key", F.size(words_of(F.col("text"))).cast("long").alias("n_words")).join(marked, "key", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    read = own.select(*also, "doc_id", "key").join(read.drop("found"), "key").join(which, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return read.select(*also, "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -15,11 +15,11 @@ nodes to groups, outside of which no pair is in reach. Within a group, pairs in
 reach are confirmed on full shingle sets, the nearest first; a pair is skipped
 only where it is in one component already.
 
-A bucket or group that is too large for a task is dealt into blocks, twice and
-each time anew, and what the blocks link is joined. Only nodes that are then in
-different components still have to meet: blocks of one component do not meet one
-another, all others do. A cluster of copies is therefore done after the first
-round, whatever its size.
+A bucket or group that is too large for a task is dealt into blocks, what the
+blocks link is joined, and then some nodes of each component meet. Only nodes
+that are still in different components have to meet after that: blocks of one
+component do not meet one another, all others do. A cluster of copies is
+therefore done without its blocks having to meet, whatever its size.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm.anchors import Prefix, keyed, mix, null_safe, strings
 from textloom.llm.common import bound_batches, bounded, materialize, trim
@@ -46,7 +47,9 @@ WORDS = 5
 #: Nodes and shingles of a block of a group.
 SHARE, SHARE_SHINGLES = 800, 1_000_000
 #: Nodes of a block of a bucket.
-CROWD = 2048
+CROWD = 512
+#: Nodes of a component that meet nodes of others first, and how many one has to have for that.
+HEADS, HEADED = 4, 8
 _SEED = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _MUL, _ADD = _SEED[:SLOTS] | np.uint64(1), _SEED[SLOTS:]
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -352,24 +355,41 @@ def _links(at: DataFrame, attach, task, label: str) -> DataFrame:
     """(a, b) that join the nodes of each key to the components that the task's links give them.
 
     at: (key, u, cost), where costs up to 1 make a block; attach: adds to rows with u what the
-    task reads. A key of one block is done at once; others are dealt twice into
+    task reads. A key of one block is done at once; others are dealt into
     blocks, and then what is still apart meets.
     """
     sums = at.groupBy("key").agg(F.sum("cost").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
     sums = materialize(sums.select("key", F.greatest(F.lit(1), F.ceil(F.col("c") - 1e-6)).cast("int").alias("k")), f"{label}-sizes")
+    tasks = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def done(rows: DataFrame) -> DataFrame:
-        rows = attach(rows).repartition(*MEET).sortWithinPartitions(*MEET)
+        # so many tasks, however few bytes: the work lies in the pairs
+        rows = attach(rows).repartition(tasks, *MEET).sortWithinPartitions(*MEET)
         return materialize(rows.mapInArrow(task, "a long, b long").distinct(), label)
 
-    deals = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
-    rows = at.join(sums, "key").select("key", "u", "k", deals.alias("deal"))
-    block = F.pmod(F.xxhash64("u", "key", "deal"), F.col("k")).cast("int")
-    first = done(rows.select("key", F.lit(-2).cast("long").alias("p"), F.col("deal").cast("long").alias("q"), block.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "u", F.col("u").alias("comp")))
+    def dealt(rows: DataFrame, comp: Column) -> DataFrame:
+        block = F.pmod(F.xxhash64("u", "key"), F.col("k")).cast("int")
+        none = F.lit(-2).cast("long")
+        return done(rows.select("key", none.alias("p"), none.alias("q"), block.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "u", comp.alias("comp")))
+
+    first = dealt(at.join(sums, "key"), F.col("u"))
     great = sums.where("k > 1").select("key")
     if great.isEmpty():
         return first
-    return first.unionByName(done(_across(at.join(great, "key", "left_semi"), components(first))))
+    at = materialize(at.join(great, "key", "left_semi"), f"{label}-great")
+    linked, before = first, None
+    while True:
+        own = at.join(components(linked), "u").select("key", "u", "cost", "comp")
+        some = materialize(own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= HEADED).drop("m"), "headed")
+        rank = F.row_number().over(Window.partitionBy("key", "comp").orderBy(F.xxhash64("u"), "u"))
+        heads = materialize(own.join(some, ["key", "comp"]).withColumn("r", rank).where(F.col("r") <= HEADS).drop("r"), "heads")
+        sums = heads.groupBy("key").agg(F.ceil(F.sum("cost") - 1e-6).cast("int").alias("k"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
+        sums = materialize(sums.select("key", "k"), "head-sizes")
+        left = heads.count()
+        # again while components become fewer by half
+        if sums.isEmpty() or before is not None and 2 * left > before:
+            return linked.unionByName(done(_across(at, components(linked))))
+        linked, before = linked.unionByName(dealt(heads.join(sums, "key"), F.col("comp"))), left
 
 
 def _local_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,7 +533,8 @@ def _classes(own: DataFrame, percent: int, size: int, reach: int | None) -> tupl
     near = _links(keys, lambda rows: rows.join(sigs, "u"), _forest(reach), "forest")
     members = nodes.join(components(near), "u").select("comp", "u", "n", "one.doc_id", "one.tag", "one.sig")
     members = materialize(members, "members")
-    texts = null_safe(own, members.select("u", "sig", "doc_id", "tag")).select("u", "sig", "text")
+    # members grow with the documents, so that they are not broadcast whatever a first estimate says
+    texts = null_safe(own, members.select("u", "sig", "doc_id", "tag").hint("merge")).select("u", "sig", "text")
     cost = F.lit(1.0 / SHARE) + F.col("n") / SHARE_SHINGLES
     links = _links(members.select(F.col("comp").alias("key"), "u", cost.alias("cost")), lambda rows: rows.join(texts, "u"), _confirmed(reach, percent, size), "links")
     linked = nodes.select("u", "least").join(components(links), "u")
