@@ -264,7 +264,10 @@ def test_crawl(spark):
     nt = spark.createDataFrame([('<s> <P1> "a \\"b\\""@de .',), ("<s> <P2> <o> .",), ("<s> <P3> <o> .",)], "value string")
     assert rows(crawl.triples(nt, ["P1", "P2"])) == [("s", "P1", 'a \\"b\\"', "de"), ("s", "P2", "o", "")]
     u = spark.createDataFrame([("https://e.org/news/a",), ("https://e.org/newsroom",), ("https://e.org/news/a.pdf",)], "url string")
-    assert [r[0] for r in u.select(crawl.allowed_address(F.col("url"), ["/news/"])).collect()] == [True, False, False]
+    assert [r[0] for r in u.select(crawl.allowed_address(F.col("url"), ["/news/"])).collect()] == [False, True, False]
+    paths = {"/suche": False, "/Suche/": False, "/suche/x": False, "/suchergebnis/": True, "/link-kopieren-2205244": False, "/a/link-kopieren-1": True, "/x.PDF": False, "/x.pdf.html": True, "": True}
+    at = spark.createDataFrame([(p, f"https://e.org{p}") for p in paths], "path string, url string")
+    assert {r[0]: r[1] for r in at.select("path", crawl.allowed_address(F.col("url"), ["/suche/", "/link-kopieren-", "", "/"])).collect()} == paths
     assert crawl.archive_addresses("https://e.org/{yyyy}/{MM}/{dd}", "2024-01-01", "2024-01-03", spark=spark).first().url == "https://e.org/2024/01/03"
     pat = crawl.inferred_pattern(spark.createDataFrame([(f"https://e.org/x/slug-{k}00.html",) for k in range(1, 7)], "url string")).first()
     assert pat.samples == 6 and pat.pattern == r"-\d+\.html$"

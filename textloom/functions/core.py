@@ -66,12 +66,6 @@ def guarded_corr(x: str | Column, y: str | Column) -> Column:
     return F.when(spread > 0, F.try_divide(F.covar_samp(a, b), spread))
 
 
-def exact_quantile(value: str, p: float) -> Column:
-    """The element at index floor(p * n) of the sorted values, as an aggregate; null without values."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.get(ordered, F.least(F.floor(F.lit(p) * F.size(ordered)), F.size(ordered) - 1).cast("int"))
-
-
 #: Rows of a group up to which one task ranks it.
 ONE_TASK = 2_000_000
 #: Equal-width buckets that narrow the search for a quantile.
@@ -79,7 +73,7 @@ BUCKETS = 4096
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float]) -> DataFrame:
-    """The same for every group. Groups of a checked size are ranked by a window; else no task sorts a group:
+    """The element at index floor(p * n) of the sorted values of every group. Groups of a checked size are ranked by a window; else no task sorts a group:
 
     bucket counts, at most BUCKETS for a group, say in which bucket each
     quantile lies; only those buckets are looked at value by value, and equal

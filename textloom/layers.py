@@ -168,9 +168,9 @@ def b9_tuple_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "lineitem").join(F.broadcast(pairs), ["l_returnflag", "l_linestatus"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT page_id, (NOT regexp_matches(p, '\\.(jpg|png|pdf)$')) AND (starts_with(p, '/a/') OR p = '/a' OR starts_with(p, '/th')) AS allowed FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS p FROM pages)")
+@register("SELECT page_id, NOT (regexp_matches(p, '\\.(jpg|jpeg|png|gif|svg|webp|pdf|zip|mp3|mp4|css|js|ico|xml)$') OR starts_with(p, '/a/') OR p = '/a' OR starts_with(p, '/th')) AS allowed FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1)) AS p FROM pages)")
 def b11_address_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "pages").select("page_id", crawl.allowed_address(F.col("url"), ["/a/", "/th"]).alias("allowed"))
+    return views.table(spark, sf_dir, "pages").select("page_id", crawl.allowed_address(F.col("url"), ["/A/", "/th"]).alias("allowed"))
 
 
 @register("SELECT CASE WHEN length(text) = 0 THEN 'empty' WHEN word_count < 50 THEN 'thin' ELSE 'kept' END AS outcome, count(*) AS pages FROM doc_base GROUP BY 1", "doc_base")
@@ -467,7 +467,7 @@ def m4_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEG = ", ".join(f"'{w}'" for w in extract.NEGATORS)
 
 
-@register(f"""WITH lex(word, weight) AS (VALUES {_LEX}), c AS (SELECT article_id, regexp_split_to_array(cl, '[ \\t]+') AS ws FROM (SELECT article_id, unnest(regexp_split_to_array(lower(text), '[,.;:!?\\n]+')) AS cl FROM doc_base)),
+@register(f"""WITH lex(word, weight) AS (VALUES {_LEX}), c AS (SELECT article_id, list_transform(regexp_split_to_array(cl, '[ \\t]+'), lambda w: trim(w, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~')) AS ws FROM (SELECT article_id, unnest(regexp_split_to_array(lower(text), '[,.;:!?\\n]+')) AS cl FROM doc_base)),
     p AS (SELECT article_id, ws, coalesce(list_position(list_transform(ws, lambda w: w IN ({_NEG})), true), 0) AS neg FROM c), t AS (SELECT article_id, neg, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM p)
     SELECT article_id, round(greatest(least(avg(CASE WHEN neg > 0 AND pos > neg THEN -CAST(weight AS DOUBLE) ELSE CAST(weight AS DOUBLE) END), 1.0), -1.0), 4) AS value FROM t JOIN lex USING (word) GROUP BY article_id""", "doc_base")
 def d6_negated_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:

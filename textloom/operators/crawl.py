@@ -48,14 +48,23 @@ def triples(lines: DataFrame, predicates: Sequence[str], value: str = "value") -
     return out.where(F.col("predicate").isin(*predicates))
 
 
-def allowed_address(url: Column, prefixes: Sequence[str]) -> Column:
-    """Not a binary, and under one of the prefixes: with a slash at the end a whole segment, else any beginning."""
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("/"))
-    binary = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).isin(*BINARY)
-    under = F.lit(not prefixes)
-    for p in prefixes:
-        under = under | (path.startswith(p) | (path == p[:-1]) if p.endswith("/") else path.startswith(p))
-    return ~binary & under
+def allowed_address(url: Column, excluded: Sequence[str], extensions: Sequence[str] = BINARY) -> Column:
+    """Neither of an excluded extension nor under an excluded prefix, whatever the case of the path.
+
+    A prefix that ends with a slash stands for a path and all below it, any
+    other for every path that begins so; blank ones for nothing.
+    """
+    path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+    out = F.lit(False)
+    for x in extensions:
+        out = out | path.endswith(f".{x.lower()}")
+    for p in (p.lower() for p in excluded):
+        stem = p.rstrip("/")
+        if p.endswith("/") and stem:
+            out = out | (path == stem) | path.startswith(f"{stem}/")
+        elif stem:
+            out = out | path.startswith(p)
+    return ~out
 
 
 def page_counters(fetched: DataFrame, least_words: int = 50) -> DataFrame:

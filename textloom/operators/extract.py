@@ -55,12 +55,12 @@ NEGATORS = ("not", "no", "never", "nicht", "kein", "keine", "nie", "ne", "pas",
 
 
 def negated_sentiment(docs: DataFrame, lex: DataFrame, negators: Sequence[str] = NEGATORS, words: int = 200_000) -> DataFrame:
-    """lexicon_sentiment, with hits inverted after a negator of the same clause.
+    """lexicon_sentiment, with hits inverted after a negator of the same clause; brackets and quotes around a word do not hide it.
 
     Clauses end at punctuation: the scope that a parse tree would give is not
     available without a parser.
     """
-    clauses = docs.select("article_id", F.explode(F.split(F.lower("text"), CLAUSE_ENDS)).alias("clause")).select("article_id", F.split("clause", r"[ \t]+").alias("words"))
+    clauses = docs.select("article_id", F.explode(F.split(F.lower("text"), CLAUSE_ENDS)).alias("clause")).select("article_id", F.transform(F.split("clause", r"[ \t]+"), lambda w: F.btrim(w, F.lit(PUNCTUATION))).alias("words"))
     negation = F.array_position(F.transform("words", lambda w: w.isin(*negators)), True)
     tokens = clauses.select("article_id", negation.alias("negation"), F.posexplode("words").alias("pos", "word"))
     small = F.broadcast(lex) if lex.limit(words + 1).count() <= words else lex

@@ -137,12 +137,12 @@ def canonical_url(url: Column) -> Column:
     bare = F.regexp_replace(bare, r"(?i)([?&])(?:utm_[a-z]+|fbclid|gclid)=[^&]*", "$1")
     bare = F.regexp_replace(F.regexp_replace(bare, r"[?&]+$", ""), r"\?&+", "?")
     head = F.regexp_extract(bare, r"^([a-zA-Z]+://[^/?#]*)", 1)
-    return F.regexp_replace(F.concat(F.lower(head), F.substring(bare, F.length(head) + 1, F.lit(1 << 20))), r"/$", "")
+    return F.regexp_replace(F.concat(F.lower(head), F.substring(bare, F.length(head) + 1, F.length(bare))), r"/$", "")
 
 
 def capitalised(text: Column) -> Column:
-    """How many words begin with a capital and go on in letters."""
-    return F.size(F.filter(F.split(text, " "), lambda w: w.rlike("^[A-ZÄÖÜ][A-Za-zÄÖÜäöüß]+$")))
+    """How many words, between word boundaries, begin with a capital and go on in letters."""
+    return F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(r"(?U)\b[A-ZÄÖÜ][A-Za-zÄÖÜäöüß]+\b")))
 
 
 def variety(language: Column, host: Column) -> Column:

@@ -44,10 +44,13 @@ def activity(rev: DataFrame, resolution: str = "weekly") -> DataFrame:
 
 
 def discourse_shift(rev: DataFrame, resolution: str = "weekly") -> DataFrame:
-    """Mean and sum of the sentiment deltas of scored edits; buckets without any are left out."""
+    """Mean and sum of the sentiment deltas of scored edits; buckets without any are left out.
+
+    Summed as decimals of eight places, so that no order of the rows changes them.
+    """
     at = rev.where(F.col("revision_index") > 0).withColumn("bucket", bucket("snapshot_at", resolution))
-    out = at.groupBy("source", "bucket").agg(F.avg("sentiment_delta").alias("mean_delta"), F.sum("sentiment_delta").alias("sum_delta"), F.count("sentiment_delta").alias("scored"))
-    return out.where("scored > 0")
+    out = at.groupBy("source", "bucket").agg(F.sum(F.col("sentiment_delta").cast("decimal(20,8)")).cast("double").alias("sum_delta"), F.count("sentiment_delta").alias("scored"))
+    return out.where("scored > 0").select("source", "bucket", (F.col("sum_delta") / F.col("scored")).alias("mean_delta"), "sum_delta", "scored")
 
 
 def edit_clusters(rev: DataFrame, touched: Column, resolution: str = "daily", sources: int = 2, limit: int = 200) -> DataFrame:

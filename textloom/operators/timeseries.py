@@ -101,6 +101,28 @@ def zscore_series(metrics: DataFrame, languages: DataFrame, base: DataFrame, res
     return rows.groupBy(*KEYS).agg(F.avg("z").alias("value"), F.count(F.lit(1)).alias("count"))
 
 
+def spoken_states(metrics: DataFrame, languages: DataFrame, resolution: str = "daily") -> DataFrame:
+    """Count, mean and variance of each bucket and language: from them baselines and z-scores follow without the rows."""
+    spoken = languages.where("rank = 1").select("article_id", F.col("detected_language").alias("language"))
+    rows = metrics.join(spoken, "article_id").where(F.col("value").isNotNull()).withColumn("bucket", bucket("timestamp", resolution, "sunday"))
+    return rows.groupBy(*KEYS, "language").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+
+
+def baselines_of(states: DataFrame, least: int = 2) -> DataFrame:
+    """:func:`baselines` from states: means of means, and variances within and between buckets."""
+    out = states.groupBy("metric_name", "source", "language").agg(F.sum("n").alias("n_documents"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("baseline_value"), F.sum(F.col("n") * F.col("var")).alias("inside"), F.sum("n").alias("all"), F.collect_list(F.struct("n", "mean")).alias("buckets"))
+    between = F.aggregate("buckets", F.lit(0.0), lambda s, b: s + b["n"] * (b["mean"] - F.col("baseline_value")) * (b["mean"] - F.col("baseline_value")))
+    out = out.select("metric_name", "source", "language", "baseline_value", F.sqrt((F.col("inside") + between) / F.col("all")).alias("baseline_std"), "n_documents")
+    return out.where(F.col("n_documents") >= least)
+
+
+def zscores_of(states: DataFrame, base: DataFrame) -> DataFrame:
+    """:func:`zscore_series` from states: the mean z-score of a bucket is that of its mean."""
+    rows = states.join(base.where("baseline_std > 0"), ["metric_name", "source", "language"])
+    z = F.col("n") * (F.col("mean") - F.col("baseline_value")) / F.col("baseline_std")
+    return rows.groupBy(*KEYS).agg((F.sum(z) / F.sum("n")).alias("value"), F.sum("n").alias("count"))
+
+
 def excluded_count(metrics: DataFrame, languages: DataFrame) -> DataFrame:
     """Metric rows whose article has no language of rank 1."""
     return metrics.join(languages.where("rank = 1").select("article_id"), "article_id", "left_anti").agg(F.count(F.lit(1)).alias("excluded"))

@@ -45,8 +45,8 @@ BASELINES = """b AS (SELECT metric_name, m.source, detected_language AS language
     FROM metrics m LEFT JOIN languages l USING (article_id) JOIN b ON b.metric_name = m.metric_name AND b.source = m.source AND b.language = l.detected_language
     WHERE sd > 0 GROUP BY ALL""", "metrics", "languages")
 def g1_zscore_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, l = views.metrics(spark, sf_dir), views.languages(spark, sf_dir)
-    return rounded(timeseries.zscore_series(m, l, timeseries.baselines(m, l)))
+    states = timeseries.spoken_states(views.metrics(spark, sf_dir), views.languages(spark, sf_dir))
+    return rounded(timeseries.zscores_of(states, timeseries.baselines_of(states)))
 
 
 @register("SELECT count(*) AS excluded FROM metrics m WHERE NOT EXISTS (SELECT 1 FROM languages l WHERE l.article_id = m.article_id AND l.detected_language <> 'fr')", "metrics", "languages")
@@ -127,7 +127,7 @@ def f10_revision_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.activity(views.revisions(spark, sf_dir))
 
 
-@register("SELECT source, date_trunc('week', snapshot_at)::TIMESTAMP AS bucket, round(avg(sentiment_delta), 6) AS mean_delta, round(sum(sentiment_delta), 6) AS sum_delta, count(sentiment_delta) AS scored FROM revisions WHERE revision_index > 0 GROUP BY ALL HAVING count(sentiment_delta) > 0", "revisions")
+@register("SELECT source, date_trunc('week', snapshot_at)::TIMESTAMP AS bucket, round(CAST(sum(CAST(sentiment_delta AS DECIMAL(20, 8))) AS DOUBLE) / count(sentiment_delta), 6) AS mean_delta, round(CAST(sum(CAST(sentiment_delta AS DECIMAL(20, 8))) AS DOUBLE), 6) AS sum_delta, count(sentiment_delta) AS scored FROM revisions WHERE revision_index > 0 GROUP BY ALL HAVING count(sentiment_delta) > 0", "revisions")
 def f11_revision_discourse_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(revisions.discourse_shift(views.revisions(spark, sf_dir)))
 
@@ -661,7 +661,7 @@ def c7_c10_resolved_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "title.value", "title.method", F.col("published.method").alias("published_method"))
 
 
-@register("SELECT article_id, len(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[A-ZÄÖÜ][A-Za-zÄÖÜäöüß]+'))) AS raw_entity_count FROM doc_base", "doc_base")
+@register(r"SELECT article_id, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{M}\p{Nd}_]+'), lambda w: regexp_full_match(w, '[A-ZÄÖÜ][A-Za-zÄÖÜäöüß]+'))) AS raw_entity_count FROM doc_base", "doc_base")
 def c15_raw_entity_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = views.table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").cast("string").alias("article_id"), harmonise.capitalised(F.col("text")).cast("long").alias("raw_entity_count"))
@@ -695,6 +695,11 @@ def e9_paragraph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where(F.col("before").isNotNull()).select("conv_id", "turn", F.array_join(revisions.paragraph_diff("before", "text"), "\n").alias("ops"))
 
 
+@register()
+def r2_all_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.communities(network.edges(_cooc(spark, sf_dir)))
+
+
 @register()
 def r2_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.communities(network.edge_first(_cooc(spark, sf_dir), 100))

@@ -32,7 +32,8 @@ def envelopes(docs: DataFrame) -> DataFrame:
 
 
 def write_envelopes(docs: DataFrame, path: str) -> None:
-    envelopes(docs).withColumn("source", F.col("core.source")).write.mode("overwrite").partitionBy("source").parquet(path)
+    """Envelopes by source; sources that docs do not have keep theirs."""
+    envelopes(docs).withColumn("source", F.col("core.source")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
 
 
 def read_envelope(spark: SparkSession, path: str, article_id: str) -> DataFrame:
