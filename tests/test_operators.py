@@ -165,10 +165,10 @@ def test_whole_tables(spark, tmp_path):
     at("supplier", [(k, f"s{k}") for k in (1, 3)], "s_suppkey long, s_name string")
     at("orders", [(1, "p", AT)], "o_custkey long, o_orderpriority string, o_orderdate timestamp_ntz")
     at("lineitem", [(1,), (1,), (3,)], "l_suppkey long")
-    claims = {r.object_key: r.action for r in layers.m3_all_claims(spark, str(tmp_path)).collect()}
+    claims = {r.object_key: r.action for r in layers.m3_claims(spark, str(tmp_path)).collect()}
     assert len(claims) == 201 and claims["k250"] == "skip" and claims["k0"] == "process"
-    assert sorted(rows(layers.c13_all_headlines(spark, str(tmp_path)))) == [(0, "a & b <0>"), (4, "a & b <4>")]
-    assert {r.id: r.total for r in layers.h42_all_dossier_sources(spark, str(tmp_path)).collect()} == {1: 2, 3: 1}
+    assert sorted(rows(layers.c13_custom_fields(spark, str(tmp_path)))) == [(0, "a & b <0>"), (4, "a & b <4>")]
+    assert {r.id: r.total for r in layers.h42_dossier_sources(spark, str(tmp_path)).collect()} == {1: 2, 3: 1}
     assert {r.page_id: (r.url, r.status) for r in layers.a16_point_reads(spark, str(tmp_path), [4, 5]).collect()} == {4: ("u4", "found"), 5: (None, "not_found")}
 
 
@@ -317,3 +317,23 @@ def test_quantiles_and_ranks_without_one_task(spark, monkeypatch):
     want = sorted(map(tuple, core.ranked(df, ["k"], ["v", "i"]).select("i", "r", "n").collect()))
     monkeypatch.setattr(core, "ONE_TASK", 10)
     assert sorted(map(tuple, core.ranked(df, ["k"], ["v", "i"]).select("i", "r", "n").collect())) == want
+
+
+def test_gate_columns_and_cursor(spark):
+    rows_ = [(9, False), (10, False), (1, True), (0, True)]
+    got = spark.createDataFrame(rows_, "n long, p boolean").select("n", "p", gates.enough_articles(F.col("n"), F.col("p")).alias("ok")).collect()
+    assert all(r.ok == isinstance(gates.k_anonymity_gate(r.n, r.p), gates.Allowed) for r in got)
+    pages = spark.createDataFrame([(d, k) for d in (1, 1, 2, 2, 3) for k in ("a", "b")], "day int, key string").distinct()
+    seen, at = [], {"day": F.lit(0), "key": F.lit("")}
+    while page := core.page_after(pages, at, 2).collect():
+        seen += [(r.day, r.key) for r in page]
+        at = {"day": F.lit(page[-1].day), "key": F.lit(page[-1].key)}
+    assert seen == sorted((r.day, r.key) for r in pages.collect())
+
+
+def test_softmax_and_states(spark):
+    p = spark.createDataFrame([([1000.0, 1000.0],), ([0.0],)], "v array<double>").select(core.softmax(F.col("v")).alias("p")).collect()
+    assert [r.p for r in p] == [[0.5, 0.5], [1.0]]
+    m = spark.sql("SELECT timestamp_ntz '2024-01-01 10:00:00' AS timestamp, 's' AS source, 'm' AS metric_name, 'a' AS article_id, 1.0D AS value UNION ALL SELECT timestamp_ntz '2024-01-02', 's', 'm', 'a', 3.0D UNION ALL SELECT timestamp_ntz '2024-01-02', 's', 'm', 'b', 2.0D")
+    got = timeseries.merged_states(timeseries.distinct_states(m, "daily"), "monthly").collect()
+    assert [(r.articles, r.largest) for r in got] == [(2, 3.0)]

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from tests.oracle import connect, plain
-from textloom import layers  # noqa: F401  (registers its queries)
+from textloom import layers, services  # noqa: F401  (they register their queries)
 from textloom.operators import extract
 from textloom.queries import ORACLES, QUERIES
 

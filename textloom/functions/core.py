@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,6 +138,14 @@ def top_with_tail(df: DataFrame, order: Sequence[Column], n: int, weight: str) -
     return top.join(F.broadcast(total.join(F.broadcast(shown))), how="left").withColumn("other", F.col("_all") - F.col("_shown")).drop("_all", "_shown")
 
 
+def page_after(df: DataFrame, cursor: Mapping[str, Column], n: int) -> DataFrame:
+    """The n rows that follow the cursor in the order of its columns; no offset is counted off."""
+    later = F.lit(False)
+    for c in reversed(cursor):
+        later = (F.col(c) > cursor[c]) | ((F.col(c) == cursor[c]) & later)
+    return df.where(later).orderBy(*cursor).limit(n)
+
+
 def with_array_value(df: DataFrame, facts: DataFrame, field: str, value: str, key: str = "article_id") -> DataFrame:
     """Facet filter: rows whose article has the value among those of a metadata field."""
     has = facts.where((F.col("field") == field) & F.array_contains("value", value)).select(key)
@@ -165,5 +173,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.try_divide(dot(a, b), F.when(norm > 0, norm))
 
 
+def softmax(values: Column) -> Column:
+    """Shares of e to the power of each value; the largest is taken off first, so that none overflows."""
+    powers = F.transform(values, lambda v: F.exp(v - F.array_max(values)))
+    total = F.aggregate(powers, F.lit(0.0), lambda s, v: s + v)
+    return F.transform(powers, lambda v: v / total)
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[ \n\t]+"), lambda w: w != ""))

@@ -35,17 +35,23 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A path that is still free in the shared folder; what is written there goes as :func:`materialize` says."""
+    path = f"{shared_dir(spark)}/textloom-{label}-{uuid.uuid4().hex}"
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: it survives the loss of executors.
 
     The table goes with the enclosing :func:`scratch`, or else when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom-{label}-{uuid.uuid4().hex}"
-    files, at = _file_system(spark, path)
-    files.deleteOnExit(at)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    path = folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -87,9 +87,9 @@ def a13_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.triples(lines, ["label", "brand"])
 
 
-@register("SELECT page_id, url FROM pages WHERE page_id % 7 = 3")
-def a16_point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "pages").where("page_id % 7 = 3").select("page_id", "url")
+@register("SELECT page_id, url FROM pages WHERE page_id = 10")
+def a16_point_read(spark: SparkSession, sf_dir: str, key: int = 10) -> DataFrame:
+    return crawl.point_read(views.table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", [key]).select("page_id", "url")
 
 
 @register("SELECT k AS page_id, url, CASE WHEN page_id IS NULL THEN 'not_found' ELSE 'found' END AS status FROM (VALUES (0), (3), (4), (10), (1099511627776)) v(k) LEFT JOIN pages ON page_id = k")
@@ -107,27 +107,16 @@ def a22_floor_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.floor_seed(events(spark, sf_dir).groupBy(F.col("event_type").alias("channel"), "user_id").agg(F.count(F.lit(1)).alias("observed")))
 
 
-def _claims(spark: SparkSession, sf_dir: str, every: bool) -> DataFrame:
+@register("""WITH s AS (SELECT user_id, arg_max(event_type, event_id) AS e, max(ts) AS held, count(*) % 7 AS n FROM events GROUP BY user_id)
+    SELECT 'k' || CAST(u AS VARCHAR) AS object_key, CASE WHEN e IN ('click') THEN 'skip' WHEN coalesce(n, 0) >= 5 THEN 'quarantine' WHEN e = 'view' AND held < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 900 SECOND THEN 'reclaim' WHEN e = 'view' THEN 'skip' ELSE 'process' END AS action FROM (SELECT unnest(range(0, 200)) AS u UNION SELECT user_id FROM events) LEFT JOIN s ON user_id = u""")
+def m3_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("e"), F.max("ts").alias("claimed_at"), (F.count(F.lit(1)) % 7).alias("attempts"))
     key = lambda c: F.concat(F.lit("k"), F.col(c).cast("string")).alias("object_key")
     state = e.select(key("user_id"), F.when(F.col("e") == "click", "processed").when(F.col("e") == "view", "processing").otherwise("pending").alias("status"), "claimed_at", "attempts")
-    arrived = spark.range(200).select(key("id"))
-    arrived = arrived.union(e.select(key("user_id"))).distinct() if every else arrived
+    arrived = spark.range(200).select(key("id")).union(e.select(key("user_id"))).distinct()  # some of them without a state
     return jobs.claims(state, arrived, "2024-01-30 12:00:00")
 
 
-@register("""WITH s AS (SELECT user_id, arg_max(event_type, event_id) AS e, max(ts) AS held, count(*) % 7 AS n FROM events GROUP BY user_id)
-    SELECT 'k' || CAST(u AS VARCHAR) AS object_key, CASE WHEN e IN ('click') THEN 'skip' WHEN coalesce(n, 0) >= 5 THEN 'quarantine' WHEN e = 'view' AND held < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 900 SECOND THEN 'reclaim' WHEN e = 'view' THEN 'skip' ELSE 'process' END AS action FROM (SELECT unnest(range(0, 200)) AS u) LEFT JOIN s ON user_id = u""")
-def m3_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _claims(spark, sf_dir, False)
-
-
-@register("""WITH s AS (SELECT user_id, arg_max(event_type, event_id) AS e, max(ts) AS held, count(*) % 7 AS n FROM events GROUP BY user_id)
-    SELECT 'k' || CAST(u AS VARCHAR) AS object_key, CASE WHEN e IN ('click') THEN 'skip' WHEN coalesce(n, 0) >= 5 THEN 'quarantine' WHEN e = 'view' AND held < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 900 SECOND THEN 'reclaim' WHEN e = 'view' THEN 'skip' ELSE 'process' END AS action FROM (SELECT unnest(range(0, 200)) AS u UNION SELECT user_id FROM events) LEFT JOIN s ON user_id = u""")
-def m3_all_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _claims(spark, sf_dir, True)
-
-
 @register("SELECT date_trunc('hour', ts) AS bucket, 'src' || CAST(user_id % 7 AS VARCHAR) AS source, event_type AS metric_name, round(sum(value), 4) AS sum, count(value) AS count FROM events GROUP BY ALL")
 def m6_rolling_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = views.metrics(spark, sf_dir)
@@ -311,23 +300,14 @@ def h20_node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.node_labels(p.select(F.col("p_brand").alias("node")).distinct(), links, labels, "en")
 
 
-def _dossier(spark: SparkSession, sf_dir: str, counted: str = "true") -> DataFrame:
+@register("SELECT s_name AS name, s_suppkey AS id, coalesce(o_orderpriority, '') AS primary_function, coalesce(n, 0) AS total FROM supplier LEFT JOIN (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderpriority) AS r FROM orders) ON o_custkey = s_suppkey AND r = 1 LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey")
+def h42_dossier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     o = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderpriority").alias("primary_function"), F.col("o_orderdate").alias("classification_date"))
-    n = views.table(spark, sf_dir, "lineitem").where(counted).groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("total")).join(s, "id").select(F.col("name").alias("source"), "total")
+    n = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("total")).join(s, "id").select(F.col("name").alias("source"), "total")
     return catalogue.dossier_sources(s, o, n).select("name", "id", F.coalesce("primary_function", F.lit("")).alias("primary_function"), "total")
 
 
-@register("SELECT s_name AS name, s_suppkey AS id, coalesce(o_orderpriority, '') AS primary_function, coalesce(n, 0) AS total FROM supplier LEFT JOIN (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderpriority) AS r FROM orders) ON o_custkey = s_suppkey AND r = 1 LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1) ON l_suppkey = s_suppkey")
-def h42_dossier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dossier(spark, sf_dir, "l_suppkey % 3 = 0")  # so that some sources have no counts
-
-
-@register("SELECT s_name AS name, s_suppkey AS id, coalesce(o_orderpriority, '') AS primary_function, coalesce(n, 0) AS total FROM supplier LEFT JOIN (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderpriority) AS r FROM orders) ON o_custkey = s_suppkey AND r = 1 LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey")
-def h42_all_dossier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dossier(spark, sf_dir)
-
-
 @register("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey = 3")
 def h45_resolve_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.resolve_source(views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), "3")
@@ -436,14 +416,8 @@ def a11_html_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.links(views.table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
 
 
-@register("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '') AS headline FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')")
-def c13_custom_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = harmonise.custom_fields(views.table(spark, sf_dir, "pages").where(~F.contains(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("&"))), {"headline": "title"}, "html")
-    return out.select("page_id", "headline")
-
-
 @register("""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')), '') AS headline FROM pages""")
-def c13_all_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def c13_custom_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonise.custom_fields(views.table(spark, sf_dir, "pages"), {"headline": "title"}, "html").select("page_id", "headline")
 
 
@@ -506,7 +480,7 @@ def h23_multi_scope_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT source, metric_name, count(DISTINCT article_id) AS articles, count(DISTINCT article_id) >= 20 AS allowed FROM metrics GROUP BY ALL", "metrics")
 def q6_k_anonymity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = views.metrics(spark, sf_dir).groupBy("source", "metric_name").agg(F.countDistinct("article_id").alias("articles"))
-    return n.withColumn("allowed", F.col("articles") >= 20)
+    return n.withColumn("allowed", gates.enough_articles(F.col("articles"), F.lit(False), 20))
 
 
 @register("SELECT s_name AS name, s_suppkey % 2 = 0 AS eligible FROM supplier")

@@ -41,6 +41,18 @@ def from_rollup(states: DataFrame, resolution: str) -> DataFrame:
     return at.groupBy(*KEYS).agg((F.sum("sum") / F.sum("count")).alias("value"), F.sum("count").alias("count"))
 
 
+def distinct_states(metrics: DataFrame, resolution: str) -> DataFrame:
+    """Mergeable states of distinct counts and maxima: a row for each article of a bucket, with its largest value."""
+    at = metrics.withColumn("bucket", bucket("timestamp", resolution, "sunday"))
+    return at.groupBy(*KEYS, "article_id").agg(F.max("value").alias("largest"))
+
+
+def merged_states(states: DataFrame, resolution: str) -> DataFrame:
+    """Articles and largest value of coarser buckets; an article of several finer ones counts once."""
+    at = states.withColumn("bucket", bucket("bucket", resolution, "sunday"))
+    return at.groupBy(*KEYS).agg(F.countDistinct("article_id").alias("articles"), F.max("largest").alias("largest"))
+
+
 #: The stored rollup that answers each resolution; weeks are built from days, 5-minute buckets from raw rows.
 ROUTES = {"hourly": "hourly", "daily": "daily", "weekly": "daily", "monthly": "monthly"}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Levels of equivalence from weak to strong, and those that permit normalisation.
@@ -91,6 +91,11 @@ def lead_lag_gate(equivalence: DataFrame, languages: Sequence[str]) -> Allowed |
     return Refusal("lead_lag", f"no temporal grant for {', '.join(missing)}") if missing else Allowed()
 
 
+def enough_articles(articles: Column, public_institution: Column, k: int = 10) -> Column:
+    """:func:`k_anonymity_gate` for every row of a table."""
+    return articles >= F.when(public_institution, 1).otherwise(k)
+
+
 def k_anonymity_gate(articles: int, public_institution: bool, k: int = 10) -> Allowed | Refusal:
     least = 1 if public_institution else k
     return Allowed() if articles >= least else Refusal("k_anonymity", f"fewer than {least} articles")
