@@ -661,6 +661,26 @@ def test_quality_query_against_plain_rules(spark, small):
     assert len(zlib.decompress(b"".join(zlib.compress(b"ab" * 9).split()))) == 18 and rules.compressed_size(b"ab" * 3_000_000) < 60_000
 
 
+@pytest.mark.parametrize("clean,toxic,noise", [(6040, 707, 120), (6040, 707, 0), (12206, 1444, 150), (50, 3, 0), (3, 50, 1), (18000, 2000, 900), (1, 1, 0)])
+def test_toxicity_calibration_holds_where_classes_are_apart(clean, toxic, noise):
+    """The shift and slope are the least of the loss, also where Newton steps without a check run away."""
+    draw = np.random.default_rng(clean + noise)
+    x = np.concatenate([np.full(clean, 0.78), draw.uniform(0.78, 12, noise), np.full(toxic, 12.0)])
+    y = np.concatenate([np.zeros(clean + noise), np.ones(toxic)])
+    w, b = toxicity._logistic(x, y)
+
+    def loss(w, b):
+        z = w * x + b
+        return (np.logaddexp(0, z) - y * z).sum() + 0.05 * w * w
+
+    around = [(w + dw, b + db) for dw in (-0.05, 0, 0.05) for db in (-0.2, 0, 0.2)]
+    assert w > 0 and all(loss(w, b) <= loss(*a) + 1e-6 for a in around)
+    assert w * 0.78 + b < 0 < w * 12 + b
+    if not noise and min(clean, toxic) > 1:  # as far apart as these, toxic texts pass the threshold of 0.7
+        assert 1 / (1 + np.exp(-(w * 12 + b))) >= 0.7
+    assert toxicity._logistic(-x, y)[0] == 0.0
+
+
 def test_toxicity_query_against_plain_scan(spark):
     """The registered query equals a plain run of its model, word by word."""
     small = "/root/testdata/sf0.01"

@@ -135,16 +135,35 @@ def _gumbel(totals: np.ndarray) -> tuple[float, float]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a lightly penalised logistic regression on one variable."""
-    w, b = 0.1, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(w * x + b, -30, 30)))
-        r = p * (1 - p) + 1e-6
+    """Slope, not negative, and shift of a lightly penalised logistic regression on one variable.
+
+    Newton steps are halved until the loss falls: whole ones overshoot where the
+    classes lie apart. The loss is convex, so what they reach is its minimum.
+    """
+    def loss(w: float, b: float) -> float:
+        z = w * x + b
+        return float((np.logaddexp(0.0, z) - y * z).sum() + 0.05 * w * w)
+
+    base = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    start = float(np.log(base / (1 - base)))
+    w, b = 0.0, start
+    now = loss(w, b)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(w * x + b, -700, 700)))
+        r = p * (1 - p)
         grad = np.array([((p - y) * x).sum() + 0.1 * w, (p - y).sum()])
-        hess = np.array([[(r * x * x).sum() + 0.1, (r * x).sum()], [(r * x).sum(), r.sum()]])
-        dw, db = np.linalg.solve(hess, grad)
-        w, b = w - float(np.clip(dw, -2, 2)), b - float(np.clip(db, -4, 4))
-    return max(0.0, w), b
+        hess = np.array([[(r * x * x).sum() + 0.1, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-9]])
+        dw, db = (float(v) for v in np.linalg.solve(hess, grad))
+        size = 1.0
+        while size > 1e-9 and not loss(w - size * dw, b - size * db) < now:
+            size /= 2
+        if size <= 1e-9:
+            break
+        w, b = w - size * dw, b - size * db
+        now, before = loss(w, b), now
+        if before - now < 1e-10 * (1 + now):
+            break
+    return (w, b) if w >= 0 else (0.0, start)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = SAMPLE, prior: float = 100_000.0, z_least: float = 3.5, z_docs: float = 2.5, docs_least: float = 0.02) -> ToxicModel:
