@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontaminate, html_text, mixing, neardup, repeats, rules, substrings, topk, toxicity
+from textloom.llm import bpe, crosstoken, decontaminate, fingerprints, html_text, mixing, neardup, repeats, rules, substrings, topk, toxicity, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,22 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_hamming_index, op3_repeated_bytes, op4_token_counts, op5_toxic_segments, op6_benchmark_index, op7_lz_substrings, op8_pfair_mix, op9_page_text, op10_exact_topk)}
+def op11_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return crosstoken.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten.whitened(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_hamming_index, op3_repeated_bytes, op4_token_counts, op5_toxic_segments, op6_benchmark_index, op7_lz_substrings, op8_pfair_mix, op9_page_text, op10_exact_topk, op11_weighted_sampling, op12_token_alignment, op13_whitening)}
 
 ORACLES: dict[str, str] = {
     "op2_hamming_index": r"""
