@@ -1,6 +1,7 @@
 """Goldens and edge cases of the analytical operators."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -337,3 +338,28 @@ def test_softmax_and_states(spark):
     m = spark.sql("SELECT timestamp_ntz '2024-01-01 10:00:00' AS timestamp, 's' AS source, 'm' AS metric_name, 'a' AS article_id, 1.0D AS value UNION ALL SELECT timestamp_ntz '2024-01-02', 's', 'm', 'a', 3.0D UNION ALL SELECT timestamp_ntz '2024-01-02', 's', 'm', 'b', 2.0D")
     got = timeseries.merged_states(timeseries.distinct_states(m, "daily"), "monthly").collect()
     assert [(r.articles, r.largest) for r in got] == [(2, 3.0)]
+
+
+@pytest.mark.parametrize("length", [60, 199, 200, 201, 500, 2000])
+def test_long_paragraphs_are_modified_not_replaced(length):
+    """From 200 letters on frequent letters must still count: seven tenths of the words are the same."""
+    import random
+
+    from tests.test_queries import similarity
+
+    rng = random.Random(length)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    for _ in range(4):
+        old = []
+        while len(" ".join(old)) < length:
+            old.append(rng.choice(words))
+        new = [rng.choice(words) if rng.random() < 0.3 else w for w in old]
+        a, b = " ".join(old), " ".join(new)
+        if a != b:
+            assert similarity(a, b) >= 0.4
+            assert [json.loads(o) for o in revisions.paragraph_ops(f"same\n{a}", f"same\n{b}")] == [{"op": "mod", "before": a, "after": b}]
+
+
+def test_equal_similarities_take_the_later_paragraph():
+    ops = [json.loads(o) for o in revisions.paragraph_ops("abcd", "abcx\nabcy")]
+    assert ops == [{"op": "mod", "before": "abcd", "after": "abcy"}, {"op": "add", "after": "abcx"}]

@@ -1,6 +1,5 @@
 """Every registered query gives the rows of its SQL, or where it has none those of a plain version."""
 
-import difflib
 import html
 import json
 import re
@@ -106,7 +105,35 @@ def plain_diffs(small, got):
             continue
         gone, came = [o["before"] for o in ops if "before" in o], [o["after"] for o in ops if "after" in o]
         assert Counter(old) - Counter(gone) == Counter(new) - Counter(came) and not Counter(gone) - Counter(old) and not Counter(came) - Counter(new)
-        assert all(difflib.SequenceMatcher(None, o["before"], o["after"]).ratio() >= 0.4 for o in ops if o["op"] == "mod")
+        assert all(similarity(o["before"], o["after"]) >= 0.4 for o in ops if o["op"] == "mod")
+
+
+def similarity(a, b):
+    """Twice the letters of the longest common blocks, found recursively, over all letters (Ratcliff and Obershelp)."""
+    b2j = defaultdict(list)
+    for j, c in enumerate(b):
+        b2j[c].append(j)
+
+    def longest(a0, a1, b0, b1):
+        best, ends = (a0, b0, 0), {}
+        for i in range(a0, a1):
+            new = {}
+            for j in b2j[a[i]]:
+                if b0 <= j < b1:
+                    new[j] = ends.get(j - 1, 0) + 1
+                    if new[j] > best[2]:
+                        best = (i - new[j] + 1, j - new[j] + 1, new[j])
+            ends = new
+        return best
+
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        i, j, n = longest(a0, a1, b0, b1)
+        if n:
+            total += n
+            todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
+    return 2 * total / (len(a) + len(b)) if a or b else 1.0
 
 
 def plain_communities(spark, small, got, top):

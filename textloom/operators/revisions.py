@@ -131,7 +131,8 @@ def paragraph_ops(before: str | None, after: str | None, headline_changed: bool
     """Operations, as JSON, that turn the paragraphs of one text into those of another.
 
     In a replaced block each old paragraph takes the most similar new one still
-    free, from a ratio of 0.4 on; the others are deletions and additions.
+    free, the later of equals, from a ratio of 0.4 on; the others are deletions
+    and additions. No letter is too frequent to count (autojunk is off).
     """
     old, new = ([p.strip() for p in (t or "").split("\n") if p.strip()] for t in (before, after))
     ops: list[dict] = []
@@ -140,9 +141,9 @@ def paragraph_ops(before: str | None, after: str | None, headline_changed: bool
             continue
         free = list(range(b0, b1))
         for a in range(a0, a1):
-            scored = [(difflib.SequenceMatcher(None, old[a], new[b]).ratio(), -b) for b in free] if kind == "replace" else []
+            scored = [(difflib.SequenceMatcher(None, old[a], new[b], autojunk=False).ratio(), b) for b in free] if kind == "replace" else []
             if scored and max(scored)[0] >= 0.4:
-                b = -max(scored)[1]
+                b = max(scored)[1]
                 free.remove(b)
                 ops.append({"op": "mod", "before": old[a], "after": new[b]})
             else:
