@@ -363,3 +363,31 @@ def test_long_paragraphs_are_modified_not_replaced(length):
 def test_equal_similarities_take_the_later_paragraph():
     ops = [json.loads(o) for o in revisions.paragraph_ops("abcd", "abcx\nabcy")]
     assert ops == [{"op": "mod", "before": "abcd", "after": "abcy"}, {"op": "add", "after": "abcx"}]
+
+
+def ring_of_cliques(n, size):
+    rows = [(f"c{c:02d}n{i}", f"c{c:02d}n{j}", 1) for c in range(n) for i in range(size) for j in range(i)]
+    return rows + [(f"c{c:02d}n0", f"c{(c + 1) % n:02d}n1", 1) for c in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["cliques", "random", "odd", "empty"])
+def test_louvain_against_plain(spark, kind):
+    import random
+
+    from tests.test_queries import plain_louvain
+
+    rng = random.Random(3)
+    made = {
+        "cliques": ring_of_cliques(6, 5),
+        "random": [(f"n{a}", f"n{b}", rng.randint(1, 9)) for a in range(40) for b in range(a) if rng.random() < (0.5 if a % 4 == b % 4 else 0.05)],
+        "odd": [("a", "b", 2), ("c", "c", 5), (None, "d", 1), ("e", "f", 0), ("g", "h", 10**9), ("g", "i", 10**9)],
+        "empty": [],
+    }[kind]
+    edges = spark.createDataFrame(made, "a_text string, b_text string, weight long")
+    got = network.louvain(edges)
+    want = plain_louvain([(a, b, w) for a, b, w in made if a and b and a != b and w > 0])
+    assert sorted(map(tuple, got.collect())) == want
+    if kind in ("cliques", "random"):
+        assert network.modularity(edges, got) >= network.modularity(edges, network.communities(edges)) - 1e-12
+    if kind == "cliques":
+        assert len({r[1] for r in want}) == 6 and sum(r[3] for r in want) == 6

@@ -144,3 +144,115 @@ def communities(edge_list: DataFrame, rounds: int = 5) -> DataFrame:
         best = around.unionByName(own).groupBy("node", "community").agg(F.sum("w").alias("w")).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w"), "community")))
         labels = materialize(best.where("r = 1").select("node", "community"), "communities")
     return labels
+
+
+#: Shares of the nodes that may move at once, one in so many; after the last only the node that gains most moves.
+SHARES = (2, 4, 16, 64)
+#: Steps of local moving at one level, and levels of contraction, after which the search ends where it is.
+MOST_STEPS, MOST_LEVELS = 200, 40
+_EXACT = "decimal(19,0)"
+
+
+def _surroundings(edge_rows: DataFrame, weights: DataFrame, labels: DataFrame) -> DataFrame:
+    """For each node its own community and those next to it: node, own, k, loop, community, into (weight of its edges there), total and members of the community."""
+    near = labels.select(F.col("node").alias("near"), F.col("own").alias("community"))
+    into = edge_rows.join(near, "near").groupBy("node", "community").agg(F.sum("weight").alias("into"))
+    own = labels.select("node", F.col("own").alias("community"), F.lit(0).cast("long").alias("into"))
+    sizes = labels.join(weights, "node").groupBy(F.col("own").alias("community")).agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("members"))
+    every = into.unionByName(own).groupBy("node", "community").agg(F.sum("into").alias("into"))
+    return every.join(labels, "node").join(weights, "node").join(sizes, "community")
+
+
+def _quality(around: DataFrame, twice: int) -> int:
+    """Modularity times the square of twice the total weight, exact."""
+    own = around.where("community = own").agg(F.sum(F.col("into") + F.col("loop")).cast("decimal(38,0)").alias("inside"), F.sum(F.col("k").cast(_EXACT) * F.col("total").cast(_EXACT)).cast("decimal(38,0)").alias("squares")).first()
+    return twice * int(own["inside"]) - int(own["squares"])
+
+
+def _moves(around: DataFrame, twice: int) -> DataFrame:
+    """node, target, gain of the nodes for which another community is better than their own.
+
+    The score of a community is its edges with the node less those that weights
+    alone would give. Of two nodes that are alone only the one of the greater
+    name moves to the other. Equal scores: the smallest community.
+    """
+    without = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0)
+    score = F.col("into").cast(_EXACT) * F.lit(twice).cast(_EXACT) - F.col("k").cast(_EXACT) * without.cast(_EXACT)
+    one = Window.partitionBy("node")
+    stay = F.max(F.when(F.col("community") == F.col("own"), F.struct(F.col("score").alias("score"), F.col("members").alias("members"))))
+    rows = around.withColumn("score", score).withColumn("stay", stay.over(one))
+    swap = (F.col("stay.members") == 1) & (F.col("members") == 1) & (F.col("community") > F.col("own"))
+    better = rows.where((F.col("community") != F.col("own")) & (F.col("score") > F.col("stay.score")) & ~swap)
+    first = better.withColumn("r", F.row_number().over(one.orderBy(F.desc("score"), "community"))).where("r = 1")
+    return first.select("node", F.col("community").alias("target"), (F.col("score") - F.col("stay.score")).alias("gain"))
+
+
+def louvain(edge_list: DataFrame) -> DataFrame:
+    """(node, community, total, head): communities of high modularity, each named by its smallest node.
+
+    edge_list: a_text, b_text, weight (whole, positive), each pair once. Nodes
+    start alone. At each level nodes move to the neighbouring community of most
+    gain, a part of them at once, chosen by a hash that changes from step to
+    step. Steps that do not raise the modularity are taken back and tried with
+    fewer nodes, in the end with the one of most gain, which cannot fail; a
+    level ends when no node gains. Communities then become nodes, until a level
+    changes nothing. total is the weight of a node's edges, head marks the node
+    of the greatest total of a community, the smallest name of equals. All sums
+    are whole numbers, so that results do not depend on the order of rows.
+    Null ends and loops are left out; an empty list gives an empty result.
+    """
+    clean = edge_list.where("a_text IS NOT NULL AND b_text IS NOT NULL AND a_text <> b_text AND weight > 0").select("a_text", "b_text", F.col("weight").cast("long").alias("weight"))
+    rows = materialize(clean.select(F.col("a_text").alias("node"), F.col("b_text").alias("near"), "weight").unionAll(clean.select(F.col("b_text"), F.col("a_text"), "weight")).groupBy("node", "near").agg(F.sum("weight").alias("weight")), "edges")
+    totals = rows.groupBy("node").agg(F.sum("weight").alias("total"))
+    mapping = materialize(totals.select("node", F.col("node").alias("community")), "communities")
+    weights = materialize(totals.select("node", F.col("total").alias("k"), F.lit(0).cast("long").alias("loop")), "weights")
+    twice = weights.agg(F.sum("k")).first()[0]
+    for _ in range(MOST_LEVELS if twice else 0):
+        labels = _settled_level(rows, weights, twice)
+        if labels is None:
+            break
+        mapping = materialize(mapping.join(labels.select(F.col("node").alias("community"), "own"), "community").select("node", F.col("own").alias("community")), "communities")
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("own").alias(f"{end}_in"))  # noqa: B023, E731
+        ends = materialize(rows.join(of("node"), "node").join(of("near"), "near").groupBy(F.col("node_in").alias("node"), F.col("near_in").alias("near")).agg(F.sum("weight").alias("weight")), "contracted")
+        inside = weights.join(labels, "node").groupBy(F.col("own").alias("node")).agg(F.sum("k").alias("k"), F.sum("loop").alias("old"))
+        loops = ends.where("node = near").select("node", "weight")
+        weights = materialize(inside.join(loops, "node", "left").select("node", "k", (F.col("old") + F.coalesce("weight", F.lit(0))).alias("loop")), "weights")
+        rows = ends.where("node <> near")
+    named = mapping.join(mapping.groupBy("community").agg(F.min("node").alias("name")), "community").select("node", F.col("name").alias("community")).join(totals, "node")
+    best = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("total"), "node"))
+    return named.select("node", "community", "total", (best == 1).alias("head"))
+
+
+def _settled_level(rows: DataFrame, weights: DataFrame, twice: int) -> DataFrame | None:
+    """(node, own) after local moving, None if no node gains by a move."""
+    labels = weights.select("node", F.col("node").alias("own"))
+    around, moved, share = materialize(_surroundings(rows, weights, labels), "around"), False, 0
+    quality, moves = _quality(around, twice), None
+    for step in range(MOST_STEPS):
+        if moves is None:
+            moves = materialize(_moves(around, twice), "moves")
+            if moves.isEmpty():
+                break
+        if share < len(SHARES):
+            some = moves.where(F.pmod(F.crc32(F.concat("node", F.lit(f"/{step}")).cast("binary")), F.lit(SHARES[share])) == 0)
+        else:
+            some = moves.orderBy(F.desc("gain"), "node").limit(1)
+        now = around.where("community = own").select("node", "own").join(some, "node", "left").select("node", F.coalesce("target", "own").alias("own"))
+        tried = materialize(_surroundings(rows, weights, now), "around")
+        reached = _quality(tried, twice)
+        if reached > quality:
+            around, quality, moves, moved, share = tried, reached, None, True, max(share - 1, 0)
+        elif share < len(SHARES):
+            share += 1
+        else:
+            break
+    return around.where("community = own").select("node", "own") if moved else None
+
+
+def modularity(edge_list: DataFrame, labels: DataFrame) -> float:
+    """Of a partition (node, community) of an undirected list of edges."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("community").alias(f"{end}_in"))
+    ends = edge_list.join(of("a_text"), "a_text").join(of("b_text"), "b_text")
+    inside, whole = ends.agg(F.sum(F.when(F.col("a_text_in") == F.col("b_text_in"), F.col("weight")).otherwise(0)), F.sum("weight")).first()
+    either = ends.select(F.col("a_text_in").alias("c"), "weight").unionAll(ends.select("b_text_in", "weight")).groupBy("c").agg(F.sum("weight").alias("k"))
+    return inside / whole - either.agg(F.sum(F.pow(F.col("k") / (2.0 * whole), 2))).first()[0]

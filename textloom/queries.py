@@ -703,3 +703,8 @@ def r2_all_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def r2_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.communities(network.edge_first(_cooc(spark, sf_dir), 100))
+
+
+@register()
+def r2_louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.louvain(network.edges(_cooc(spark, sf_dir)))
