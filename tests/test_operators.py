@@ -391,3 +391,22 @@ def test_louvain_against_plain(spark, kind):
         assert network.modularity(edges, got) >= network.modularity(edges, network.communities(edges)) - 1e-12
     if kind == "cliques":
         assert len({r[1] for r in want}) == 6 and sum(r[3] for r in want) == 6
+
+
+def test_compounds_against_all_cuts(spark):
+    import random
+
+    from tests.test_queries import plain_compound, plain_marks
+    from textloom.operators import compounds
+
+    rng = random.Random(11)
+    lexicon = {"".join(rng.choice("abc") for _ in range(rng.randint(3, 6))): rng.randint(-8, 8) / 8 for _ in range(60)} | {"eis": 1.0, "bahn": 0.5, "hof": -0.5, "ab": 1.0}
+    words = ["".join(rng.choices(list(lexicon), k=rng.randint(1, 4))) for _ in range(200)] + ["".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(200)]
+    words += ["eisbahnhof", "eisbahnhofx", "", None, "eis", "abab", "eisbahn", "eisbahn", "eis" * 30]
+    got = {r["word"]: (r["weight"], r["cuts"]) for r in compounds.compounds(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(list(lexicon.items()), "word string, weight double")).collect()}
+    known = {w: v for w, v in lexicon.items() if len(w) >= 3}
+    marks = plain_marks(known)
+    want = {w: c for w in set(words) - {None} - set(known) if 6 <= len(w) <= 64 and (c := plain_compound(w, known, marks))}
+    assert got == want and got["eisbahnhof"] == ((1.0 + 0.5 - 0.5) / 3, [3, 7]) and len(got) > 100
+    empty = spark.createDataFrame([], "word string, weight double")
+    assert compounds.compounds(spark.createDataFrame([("eisbahn",)], "word string"), empty).count() == 0

@@ -2,7 +2,9 @@
 
 import html
 import json
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -108,6 +110,61 @@ def plain_diffs(small, got):
         assert all(similarity(o["before"], o["after"]) >= 0.4 for o in ops if o["op"] == "mod")
 
 
+def every_cut(word, known):
+    """All ways to write a word as two words of a set or more, each as its parts."""
+    def cuts(at):
+        if at == len(word):
+            yield []
+        for end in range(at + 3, len(word) + 1):
+            if word[at:end] in known and end - at < len(word):
+                for rest in cuts(end):
+                    yield [word[at:end], *rest]
+
+    return list(cuts(0))
+
+
+def plain_compound(word, lexicon, marks):
+    """(weight, places) of the best of all cuts, or None. marks: of each three letters how often they begin, end and are within."""
+    share = lambda i, k: (m := marks.get(word[i : i + 3])) and m[k] / sum(m) or 0.0
+    found = []
+    for parts in every_cut(word, lexicon):
+        places = [sum(map(len, parts[:k])) for k in range(1, len(parts))]
+        score = sum(math.floor((share(p - 3, 1) + share(p, 0) - max(share(p - 2, 2), share(p - 1, 2))) * 1_000_000) for p in places)
+        found.append((-score, len(parts), places, sum(lexicon[x] for x in parts) / len(parts)))
+    best = min(found, default=None)
+    return None if best is None or best[0] > 0 else (best[3], best[2])
+
+
+def plain_marks(lexicon):
+    marks = defaultdict(lambda: [0, 0, 0])
+    for w in lexicon:
+        for i in range(len(w) - 2):
+            marks[w[i : i + 3]][0] += i == 0
+            marks[w[i : i + 3]][1] += i == len(w) - 3
+            marks[w[i : i + 3]][2] += 0 < i < len(w) - 3
+    return marks
+
+
+def plain_compound_sentiment(small, got):
+    """Every word looked up or cut by brute force, clause by clause."""
+    docs = {str(r.doc_id): [[w.strip(extract.PUNCTUATION) for w in re.split(r"[ \t]+", c)] for c in re.split(r"[,.;:!?\n]+", r.text.lower())] for r in read(small, "documents").itertuples()}
+    df = Counter(w for clauses in docs.values() for w in {w for c in clauses for w in c} if 3 <= len(w) <= 6 and w.isalpha())
+    lexicon = {w: (zlib.crc32(w.encode()) % 17 - 8) / 8 for w, n in df.items() if n * 50 >= len(docs)}
+    marks, weight = plain_marks(lexicon), dict(lexicon)
+    for w in {w for clauses in docs.values() for c in clauses for w in c} - set(lexicon):
+        if 6 <= len(w) <= 64 and (cut := plain_compound(w, lexicon, marks)):
+            weight[w] = cut[0]
+    assert len(weight) > 2 * len(lexicon)
+    seen = dict(zip(got.article_id, got.value, strict=True))
+    for i, clauses in docs.items():
+        hits = []
+        for c in clauses:
+            negation = next((k for k, w in enumerate(c) if w in extract.NEGATORS), len(c))
+            hits += [-weight[w] if k > negation else weight[w] for k, w in enumerate(c) if w in weight]
+        assert (i in seen) == bool(hits)
+        assert not hits or abs(max(-1, min(1, sum(hits) / len(hits))) - seen[i]) <= 0.0000501
+
+
 def similarity(a, b):
     """Twice the letters of the longest common blocks, found recursively, over all letters (Ratcliff and Obershelp)."""
     b2j = defaultdict(list)
@@ -160,8 +217,6 @@ def plain_communities(spark, small, got, top):
 
 def plain_louvain(edges):
     """(node, community, total, head) by the same steps on one machine, with dictionaries."""
-    import zlib
-
     near = defaultdict(Counter)
     for a, b, w in edges:
         near[a][b] += w
@@ -233,6 +288,7 @@ def plain_louvain_query(spark, small, got):
 
 
 PLAIN = {
+    "d6_compound_sentiment": lambda spark, small, got: plain_compound_sentiment(small, got),
     "r2_louvain_communities": lambda spark, small, got: plain_louvain_query(spark, small, got),
     "c7_c10_resolved_fields": lambda spark, small, got: plain_fields(small, got),
     "d3_language_detections": lambda spark, small, got: plain_detections(small, got),

@@ -449,6 +449,20 @@ def d6_negated_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.negated_sentiment(d, spark.createDataFrame(LEXICON, "word string, weight double"))
 
 
+def _short_words(docs: DataFrame) -> DataFrame:
+    """A lexicon from the texts: words of three to six letters that are in a fiftieth of the documents at least, with a weight of their own."""
+    n = docs.agg(F.count(F.lit(1)).alias("docs"))
+    words = extract.clause_words(docs).select("article_id", F.explode("words").alias("word")).where(F.col("word").rlike(r"^\p{L}{3,6}$"))
+    often = words.groupBy("word").agg(F.countDistinct("article_id").alias("df")).join(F.broadcast(n)).where(F.col("df") * 50 >= F.col("docs"))
+    return often.select("word", ((F.crc32(F.col("word").cast("binary")) % 17 - 8) / 8.0).alias("weight"))
+
+
+@register()
+def d6_compound_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text")
+    return extract.negated_sentiment(d, extract.with_compounds(d, _short_words(d)))
+
+
 @register("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS headline FROM pages")
 def e10_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "pages").select("page_id", F.coalesce(revisions.headline(F.col("html")), F.lit("")).alias("headline"))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions.core import word_count
 from textloom.functions.scratch import materialize
+from textloom.operators.compounds import compounds
 
 #: ASCII punctuation that is stripped from words and aliases.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -54,13 +55,25 @@ CLAUSE_ENDS = r"[,.;:!?\n]+"
 NEGATORS = ("not", "no", "never", "nicht", "kein", "keine", "nie", "ne", "pas", "jamais", "nunca")
 
 
+def clause_words(docs: DataFrame) -> DataFrame:
+    """(article_id, words) for each clause: lower-cased, without punctuation around them."""
+    clauses = docs.select("article_id", F.explode(F.split(F.lower("text"), CLAUSE_ENDS)).alias("clause"))
+    return clauses.select("article_id", F.transform(F.split("clause", r"[ \t]+"), lambda w: F.btrim(w, F.lit(PUNCTUATION))).alias("words"))
+
+
+def with_compounds(docs: DataFrame, lex: DataFrame) -> DataFrame:
+    """The lexicon and the words of docs that fall apart into its words, with the mean weight of their parts: word, weight."""
+    words = clause_words(docs).select(F.explode("words").alias("word"))
+    return materialize(lex.select("word", "weight").unionByName(compounds(words, lex).select("word", "weight")), "lexicon")
+
+
 def negated_sentiment(docs: DataFrame, lex: DataFrame, negators: Sequence[str] = NEGATORS, words: int = 200_000) -> DataFrame:
     """lexicon_sentiment, with hits inverted after a negator of the same clause; brackets and quotes around a word do not hide it.
 
     Clauses end at punctuation: the scope that a parse tree would give is not
     available without a parser.
     """
-    clauses = docs.select("article_id", F.explode(F.split(F.lower("text"), CLAUSE_ENDS)).alias("clause")).select("article_id", F.transform(F.split("clause", r"[ \t]+"), lambda w: F.btrim(w, F.lit(PUNCTUATION))).alias("words"))
+    clauses = clause_words(docs)
     negation = F.array_position(F.transform("words", lambda w: w.isin(*negators)), True)
     tokens = clauses.select("article_id", negation.alias("negation"), F.posexplode("words").alias("pos", "word"))
     small = F.broadcast(lex) if lex.limit(words + 1).count() <= words else lex
