@@ -410,3 +410,129 @@ def test_compounds_against_all_cuts(spark):
     assert got == want and got["eisbahnhof"] == ((1.0 + 0.5 - 0.5) / 3, [3, 7]) and len(got) > 100
     empty = spark.createDataFrame([], "word string, weight double")
     assert compounds.compounds(spark.createDataFrame([("eisbahn",)], "word string"), empty).count() == 0
+
+
+def random_page(rng):
+    tags, out, open_ = ["div", "p", "ul", "li", "span", "a", "b"], [], []
+    for _ in range(rng.randint(5, 60)):
+        kind = rng.random()
+        if kind < 0.5:
+            tag = rng.choice(tags)
+            out.append(f'<{tag}' + (f' class="{" ".join(rng.sample(["x", "y", "xy"], rng.randint(1, 2)))}"' if rng.random() < 0.5 else "") + (f' id={rng.choice("abc")}' if rng.random() < 0.2 else "") + (f' href="/{rng.choice(["one", "two"])}"' if tag == "a" else "") + ">")
+            open_.append(tag)
+        elif kind < 0.75 and open_:
+            out.append(f"</{open_.pop() if rng.random() < 0.8 else rng.choice(tags)}>")
+        else:
+            out.append(rng.choice(["one ", "two", "<br>", "<img>"]))
+    return "".join(out)
+
+
+def matches_upwards(nodes, i, steps):
+    """Whether a node is where the steps lead, read from the last step up; every way is tried."""
+    from textloom.functions import dom
+
+    def holds(i, k):
+        if not dom.fits(nodes, i, steps[k]):
+            return False
+        if k == 0:
+            return True
+        axis, parent = steps[k].axis, nodes[i].parent
+        elements = [c for c in nodes[parent].children if nodes[c].tag] if parent >= 0 else []
+        before = [c for c in elements if c < i]
+        near = {"child": [parent], "next": before[-1:], "after": before}.get(axis)
+        if near is None:
+            near = []
+            while parent > 0:
+                near.append(parent)
+                parent = nodes[parent].parent
+        return any(holds(j, k - 1) for j in near if j > 0)
+
+    return holds(i, len(steps) - 1)
+
+
+def test_selectors_against_all_nodes():
+    import random
+
+    from textloom.functions import dom
+
+    rng = random.Random(17)
+    parts = ["p", "*", "li", ".x", "a.y", "#b", "div.x", "[href]", "a[href^='/o']", "[class~=xy]", "li:nth-child(2)", "span:first-child", ":last-child", "p[class$=y]", "[class*=x]"]
+    found = 0
+    for _ in range(400):
+        nodes = dom.tree(random_page(rng))
+        selector = rng.choice(parts)
+        for _ in range(rng.randint(0, 3)):
+            selector += rng.choice([" ", " > ", " + ", " ~ "]) + rng.choice(parts)
+        paths = dom.css(selector + rng.choice(["", ", b.y"]))
+        want = [i for i in range(len(nodes)) if any(matches_upwards(nodes, i, p.steps) for p in paths)]
+        assert dom.select(nodes, paths) == want
+        found += len(want)
+        for i, n in enumerate(nodes):  # the tree itself: stretches nest, places count
+            assert n.end > i and all(nodes[c].parent == i and nodes[c].end <= n.end for c in n.children)
+            assert [c for c in range(i + 1, n.end) if nodes[c].parent == i] == n.children
+            assert [nodes[c].place for c in n.children if nodes[c].tag] == list(range(1, n.elements + 1))
+    assert found > 500
+
+
+@pytest.mark.parametrize(
+    ("rule", "value"),
+    [
+        ({"xpath": "//meta[@name='dossier']/@content"}, "D 1"), ({"xpath": "/html/body/div[2]/p"}, "c"), ({"xpath": "//div[last()]/p/text()"}, "c"), ({"xpath": "//p[2]"}, "b c"), ({"xpath": "//*[contains(@class,'live')]"}, "b c"),
+        ({"xpath": "//p[starts-with(@class,'big')]/b"}, "c"), ({"css": ".live"}, "b c"), ({"css": "div > p + p b"}, "c"), ("#last", "c"), ("title", "T & t"), ({"xpath": "//a/@href"}, None), ({"xpath": "//p["}, None), ({"css": "p:hover"}, None), ({}, None), ({"css": ""}, None),
+    ],
+)
+def test_custom_rules_golden(spark, rule, value):
+    page = '<html><head><title>T &amp;\n t</title><meta name="dossier" content="D 1"></head><body><div><p>a<p class="big live">b <b>c</b></div><div id=last><p>c</p></div></body></html>'
+    got = harmonise.custom_fields(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, raw_html string"), {"f": rule})
+    assert sorted(rows(got.select("page_id", "f"))) == [(1, value), (2, None), (3, None)]
+
+
+def long_page(body, extra=""):
+    links = "".join(f'<li><a href="/{i}">a link to somewhere, else {i}</a></li>' for i in range(90))
+    return f"<html><body {extra}><div class='menu'><ul>{links}</ul></div>{body}<div class='footer'>imprint, contact, and more of the same kind, over and over</div></body></html>"
+
+
+def test_block_scoring_golden():
+    from textloom.functions import dom
+
+    text = "".join(f"<p>Sentence {i} of the story, with commas, and with some <a href=#>linked</a> words in it that make it long.</p>" for i in range(8))
+    story = f'<div class="x1"><div class="x2">{text}</div><div class="comments"><p>{"a comment, of many words, that nobody needs here " * 5}</p></div></div>'
+    shape = "itemtype='http://schema.org/Article'"
+    got, method = dom.body(long_page(f"<article></article>{story.replace('<p>', '<div>').replace('</p>', '</div>')}"))
+    assert method == "readability" and got.startswith("Sentence 0 of the story") and got.endswith("make it long.") and "comment" not in got and "imprint" not in got and "link to" not in got
+    # the shape of an article, by address of its schema; none without it
+    spans = story.replace("<p>", "<div>").replace("</p>", "</div>")
+    assert dom.body(long_page(spans, shape))[1] == "readability" and dom.body(long_page(spans))[1] == "page"
+    # short pages and pages with a long article are left alone
+    assert dom.body(f"<article></article>{spans}")[1] == "page"
+    assert dom.body(long_page(f"<article>{text}</article>")) == (dom.readable(t := dom.tree(f"<article>{text}</article>"), 0), "article") and t
+    assert dom.body(long_page(f"<main>{text}</main>"))[1] == "main" and dom.body(long_page(text))[1] == "paragraphs"
+    # nested articles end with the outer one; scripts and navigation are no text
+    assert dom.body(f"<article>{text}<article>inner</article> tail <script>x</script><nav>n</nav></article>")[0].endswith("inner tail")
+    for odd in (None, "", "<", "<p", "</p></p>", "<div>" * 3000):
+        assert dom.body(odd) in (("", "page"), ("<", "page"), ("<p", "page"))
+
+
+def test_automaton_against_naive_search():
+    import random
+
+    from textloom.operators import gazetteer
+
+    rng = random.Random(23)
+    for _ in range(60):
+        names = {"".join(rng.choice("ab ") for _ in range(rng.randint(1, 5))): "L" for _ in range(rng.randint(0, 30))}
+        text = "".join(rng.choice("aab ") for _ in range(rng.randint(0, 80)))
+        want = sorted((i, i + len(n), "L") for n in names for i in range(len(text)) if text.startswith(n, i))
+        assert sorted(gazetteer.Automaton(names).finds(text)) == want
+
+
+@pytest.mark.parametrize("shard", [2, 200_000])
+def test_gazetteer_golden(spark, shard):
+    from textloom.operators import gazetteer
+
+    aliases = spark.createDataFrame([("New York", "LOC", 5), ("new york", "ORG", 1), ("York", "LOC", 9), ("U.S.", "LOC", 1), ("New York Times", "ORG", 3), ("!?", "PER", 1), (None, "PER", 1), ("x", None, 1)], "alias string, label string, sitelinks long")
+    docs = spark.createDataFrame([("a", "In New York, the (New  York) U.S. and us; Yorkshire. NEW YORK TIMES"), ("a", "york"), ("b", None), ("c", ""), (None, "Ümit in York!")], "article_id string, text string")
+    got = sorted(rows(gazetteer.gazetteer_spans(docs, aliases, shard)), key=repr)
+    want = [("a", "New York", "LOC", 3, 11), ("a", "York", "LOC", 23, 27), ("a", "U.S", "LOC", 29, 32), ("a", "us", "LOC", 38, 40), ("a", "NEW YORK TIMES", "ORG", 53, 67), ("a", "york", "LOC", 0, 4), (None, "York", "LOC", 8, 12)]
+    assert got == sorted(want, key=repr)
+    assert gazetteer.gazetteer_spans(docs, aliases.limit(0)).count() == 0

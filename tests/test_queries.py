@@ -110,6 +110,125 @@ def plain_diffs(small, got):
         assert all(similarity(o["before"], o["after"]) >= 0.4 for o in ops if o["op"] == "mod")
 
 
+def plain_gazetteer(small, got):
+    """Every name looked for at every place of every text."""
+    best = {}
+    for r in read(small, "benchmark").itertuples():
+        for n in (1, 2, 3):
+            name = "".join(c for c in " ".join(re.split(r"\s+", r.text)[:n]) if c not in extract.PUNCTUATION).strip().lower()
+            key = (-r.item_id, ("PER", "LOC", "ORG")[r.item_id % 3])
+            best[name] = min(best.get(name, key), key)
+    best.pop("", None)
+    want = set()
+    for d in read(small, "documents").itertuples():
+        at = [i for i, c in enumerate(d.text) if c not in extract.PUNCTUATION]
+        form = "".join(d.text[i].lower() for i in at)
+        assert len(form) == len(at)
+        finds = []
+        for name, (_, label) in best.items():
+            a = form.find(name)
+            while a >= 0:
+                b = a + len(name)
+                if not (a and form[a - 1].isalnum()) and not (b < len(form) and form[b].isalnum()):
+                    finds.append((-(at[b - 1] + 1 - at[a]), at[a], at[b - 1] + 1, label))
+                a = form.find(name, a + 1)
+        taken = set()
+        for _, a, b, label in sorted(finds):
+            if not taken & set(range(a, b)):
+                taken |= set(range(a, b))
+                if len(d.text[a:b]) <= 80 and len(d.text[a:b].split()) <= 6:
+                    want.add((str(d.doc_id), d.text[a:b], label, a, b))
+    assert set(got[["article_id", "entity_text", "entity_label", "start_char", "end_char"]].itertuples(index=False, name=None)) == want and len(got) == len(want) > 100
+
+
+def plain_selectors(small, got):
+    """The same values by regular expressions over pages whose form is known."""
+    one = lambda pattern, page: (m := re.search(pattern, page)) and " ".join(html.unescape(re.sub(r"<[^>]*>", "", m[1])).split()) or None
+    pages = {r.page_id: re.sub(r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", "", r.html) for r in read(small, "pages").itertuples()}
+    assert set(got.page_id) == set(pages)
+    checked = 0
+    for r in got.itertuples():
+        page = pages[r.page_id]
+        nav = re.search(r"(?s)<nav>(.*?)</nav>", page)
+        links = re.findall(r'<li><a href="([^"]*)">([^<]*)</a>', nav[1]) if nav else []
+        assert (r.encoding or None) == one(r'<meta charset="([^"]*)"', page)
+        assert (r.headline or None) == one(r"(?s)<article><h1>(.*?)</h1>", page)
+        if links and re.match(r'\s*<ul><li><a href="/', nav[1]):
+            assert r.first_link == html.unescape(links[0][1])
+        if links:
+            assert r.last_link == html.unescape(links[-1][0])
+        checked += len(links)
+        assert not r.odd
+    assert checked > 50
+
+
+def plain_block(page):
+    """The best block by its definition: every node's letters, links and points counted over all nodes below it."""
+    from textloom.functions import dom
+
+    nodes = dom.tree(page)
+    up = lambda i: [i, *up(nodes[i].parent)] if i >= 0 else []
+    above = [up(i) for i in range(len(nodes))]
+    skip = dom.furniture(nodes)
+    hidden = [any(j in skip or nodes[j].tag in dom.SILENT for j in above[i]) for i in range(len(nodes))]
+    texts = [i for i, n in enumerate(nodes) if n.tag == "" and not hidden[i] and n.text.strip()]
+    letters = lambda i: sum(len(nodes[t].text.strip()) for t in texts if i in above[t])
+    linked = lambda i: sum(len(nodes[t].text.strip()) for t in texts if i in above[t] and any(nodes[j].tag == "a" for j in above[t]))
+    has_blocks = lambda i: any(n.tag in dom.BLOCKS and n.tag != "br" and i in above[j][1:] for j, n in enumerate(nodes))
+    points = Counter()
+    for i, n in enumerate(nodes):
+        if not hidden[i] and (n.tag in ("p", "pre", "td") or n.tag == "div" and not has_blocks(i)) and letters(i) >= 25:
+            own = 1 + "".join(m.text for j, m in enumerate(nodes) if i in above[j]).count(",") + min(3, letters(i) // 100)
+            for j, share in zip([j for j in above[i][1:] if j > 0], (1.0, 0.5), strict=False):
+                points[j] += own * share
+    worth = {i: v * (1 - linked(i) / letters(i)) for i, v in points.items()}
+    top = max(worth, key=lambda i: (worth[i], -i))
+    beside = [c for c, n in enumerate(nodes) if n.parent == nodes[top].parent and (c == top or not hidden[c] and worth.get(c, 0) >= max(10, worth[top] / 5))]
+    return " ".join(t for t in (dom.readable(nodes, c, skip) for c in beside) if t)
+
+
+def plain_bodies(small, got, scored):
+    """Text of the article, read tag by tag without a tree."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.on, self.off, self.parts = False, 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.on = self.on or tag == "article"
+            self.off += tag in ("script", "style", "nav", "footer", "aside", "form", "header", "figure", "button", "select", "iframe")
+            self.parts.append(" " if tag in ("p", "h1", "h2", "h3", "li", "ul", "ol", "td", "th", "tr", "table", "div", "br", "article", "pre", "blockquote") else "")
+
+        def handle_endtag(self, tag):
+            self.off = max(0, self.off - (tag in ("script", "style", "nav", "footer", "aside", "form", "header", "figure", "button", "select", "iframe")))
+            self.on = self.on and tag != "article"
+            self.parts.append(" " if tag in ("p", "h1", "h2", "h3", "li", "ul", "ol", "td", "th", "tr", "table", "div", "article", "pre", "blockquote") else "")
+
+        def handle_data(self, data):
+            if self.on and not self.off:
+                self.parts.append(data)
+
+    pages, checked = {r.page_id: r.html for r in read(small, "pages").itertuples()}, 0
+    assert set(got.page_id) == set(pages)
+    for r in got.itertuples():
+        page = pages[r.page_id]
+        if page.count("<article") != 1 or page.count("</article>") != 1 or re.search(r"(?s)<(textarea|template|noscript|title)[\s>].*<article", re.sub(r"(?s)<head>.*?</head>", "", page)):
+            continue
+        reader = Article()
+        reader.feed(page)
+        text = " ".join("".join(reader.parts).split())
+        if not scored and len(text) >= 250:
+            assert (r.extraction_method, r.cleaned_text) == ("article", text)
+            checked += 1
+        elif scored and r.extraction_method == "readability":
+            assert r.cleaned_text == plain_block('<div itemtype="http://schema.org/Article">' + re.sub(r"<(/?)p>", r"<\1div>", re.sub(r"<(/?)article", r"<\1div", page)) + "</div>")
+            checked += 1
+        assert r.word_count == len(r.cleaned_text.split())
+    assert checked >= 3
+
+
 def every_cut(word, known):
     """All ways to write a word as two words of a set or more, each as its parts."""
     def cuts(at):
@@ -288,6 +407,10 @@ def plain_louvain_query(spark, small, got):
 
 
 PLAIN = {
+    "c13_selector_rules": lambda spark, small, got: plain_selectors(small, got),
+    "c6_block_bodies": lambda spark, small, got: plain_bodies(small, got, False),
+    "c6_scored_bodies": lambda spark, small, got: plain_bodies(small, got, True),
+    "d4_gazetteer_spans": lambda spark, small, got: plain_gazetteer(small, got),
     "d6_compound_sentiment": lambda spark, small, got: plain_compound_sentiment(small, got),
     "r2_louvain_communities": lambda spark, small, got: plain_louvain_query(spark, small, got),
     "c7_c10_resolved_fields": lambda spark, small, got: plain_fields(small, got),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import core
-from textloom.operators import catalogue, crawl, display, distribution, extract, harmonise, metadata, network, revisions
+from textloom.operators import catalogue, crawl, display, distribution, extract, gazetteer, harmonise, metadata, network, revisions
 from textloom.plans import gates
 from textloom.queries import LAGS, LEXICON, _LEX, register, rounded
 from textloom.sources import files, views
@@ -421,6 +421,43 @@ def c13_custom_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonise.custom_fields(views.table(spark, sf_dir, "pages"), {"headline": "title"}, "html").select("page_id", "headline")
 
 
+#: Rules of a source as the selector engine reads them; none stands for a real source.
+RULES = {"headline": {"css": "article > h1"}, "second": {"xpath": "//article/p[2]"}, "encoding": {"xpath": "//meta/@charset"}, "first_link": {"css": "nav li:first-child > a[href^='/']"}, "last_link": {"xpath": "//nav//li[last()]/a/@href"}, "odd": {"css": "p:hover"}}
+
+
+@register()
+def c13_selector_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonise.custom_fields(views.table(spark, sf_dir, "pages"), RULES, "html").select("page_id", *RULES)
+
+
+@register()
+def c6_block_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = harmonise.web_by_blocks(views.table(spark, sf_dir, "pages").withColumnRenamed("html", "raw_html"))
+    return out.select("page_id", "extraction_method", "cleaned_text", F.col("word_count").cast("long").alias("word_count"))
+
+
+@register()
+def c6_scored_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as a template without article, main and p would have them."""
+    html = F.regexp_replace(F.regexp_replace("html", r"<(/?)article", "<$1div"), r"<(/?)p>", "<$1div>")
+    page = F.concat(F.lit('<div itemtype="http://schema.org/Article">'), html, F.lit("</div>"))
+    out = harmonise.web_by_blocks(views.table(spark, sf_dir, "pages").withColumn("raw_html", page))
+    return out.select("page_id", "extraction_method", "cleaned_text", F.col("word_count").cast("long").alias("word_count"))
+
+
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of one to three words: how the benchmark's items begin, labelled by item."""
+    b = views.table(spark, sf_dir, "benchmark").select("item_id", F.split("text", r"\s+").alias("w"))
+    label = F.element_at(F.array(F.lit("PER"), F.lit("LOC"), F.lit("ORG")), (F.col("item_id") % 3 + 1).cast("int"))
+    return b.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice("w", 1, n), " "))).alias("alias"), label.alias("label"), F.col("item_id").alias("sitelinks"))
+
+
+@register()
+def d4_gazetteer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text")
+    return gazetteer.gazetteer_spans(d, _aliases(spark, sf_dir))
+
+
 def _share_of_vowels(texts: list[str]) -> list[tuple[float, float]]:
     """A stand-in classifier for the check of the operator around it."""
     return [(len([c for c in t if c in "aeiou"]) / max(1, len(t)), 0.25) for t in texts]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from textloom.functions import dom
 
 #: Reasons for which a document is put aside. Consumers match on them.
 REASONS = ("unknown_source_type", "extraction_failed", "harmonization_failed", "silver_validation_failed", "language_scope_violation")
@@ -193,53 +194,39 @@ def negative_space(docs: DataFrame) -> DataFrame:
     return docs.withColumn("negative_space", F.filter(marks, lambda m: m.isNotNull()))
 
 
-class _Selected(HTMLParser):
-    """Text of the first element that matches a selector: tag, .class, #id, or tag with one of these."""
-
-    def __init__(self, selector: str):
-        super().__init__()
-        for mark, name in (("#", "id"), (".", "class")):
-            tag, found, value = selector.partition(mark)
-            if found:
-                self.tag, self.name, self.value = tag, name, value
-                break
-        else:
-            self.tag, self.name, self.value = selector, "", ""
-        self.depth, self.done, self.open, self.parts = 0, False, "", []
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.done:
-            return
-        if self.depth:
-            self.depth += tag == self.open
-        elif (not self.tag or tag == self.tag) and (not self.name or self.value in (dict(attrs).get(self.name) or "").split()):
-            self.depth, self.open = 1, tag
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.depth and tag == self.open:
-            self.depth -= 1
-            self.done = not self.depth
-
-    def handle_data(self, data: str) -> None:
-        if self.depth and not self.done:
-            self.parts.append(data)
-
-
-def selected_text(html: str | None, selector: str) -> str | None:
-    """Collapsed text of the first match, or null."""
-    parser = _Selected(selector)
-    parser.feed(html or "")
-    text = " ".join("".join(parser.parts).split())
-    return text or None
-
-
-def custom_fields(docs: DataFrame, rules: dict[str, str], html: str = "raw_html") -> DataFrame:
-    """A column for each rule of a source: field name to selector."""
-    def one(selector: str):
-        @F.pandas_udf(StringType())
-        def run(pages: pd.Series) -> pd.Series:
-            return pd.Series([selected_text(p, selector) for p in pages], dtype=object)
-
-        return run
-
-    return docs.withColumns({name: one(selector)(F.col(html)) for name, selector in rules.items()})
+def custom_fields(docs: DataFrame, rules: dict[str, str | dict[str, str]], html: str = "raw_html") -> DataFrame:
+    """A column for each rule of a source: field name to {"css": selector} or {"xpath": path}; plain text is a selector.
+
+    The value is the text of the first match with blanks collapsed, or for a
+    path that ends in an attribute or text() that; null where nothing matches,
+    where it is blank, and for rules that are not understood. A page is read
+    once for all rules.
+    """
+    paths = {}
+    for name, rule in rules.items():
+        try:
+            paths[name] = dom.css(rule) if isinstance(rule, str) else dom.xpath(rule["xpath"]) if "xpath" in rule else dom.css(rule["css"])
+        except (ValueError, KeyError):
+            paths[name] = None
+
+    @F.pandas_udf(StructType([StructField(name, StringType()) for name in rules]))
+    def run(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for page in pages:
+            nodes = dom.tree(page)
+            values = [None if p is None else dom.first_value(nodes, p) for p in paths.values()]
+            rows.append([" ".join(v.split()) or None if v is not None else None for v in values])
+        return pd.DataFrame(rows, columns=list(paths), dtype=object)
+
+    return docs.withColumn("_fields", run(F.col(html))).select(*docs.columns, *[F.col(f"_fields.{name}").alias(name) for name in rules])
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("method", StringType())]))
+def page_body(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([dom.body(p) for p in pages], columns=["text", "method"], dtype=object)
+
+
+def web_by_blocks(docs: DataFrame) -> DataFrame:
+    """Article body from the page's tree: article, main, paragraphs, or, where these are short on a long page, the block that most text speaks for ("readability")."""
+    out = docs.withColumn("_body", page_body(F.col("raw_html")))
+    return out.select(*docs.columns, F.col("_body.text").alias("cleaned_text"), F.col("_body.method").alias("extraction_method")).withColumn("word_count", words(F.col("cleaned_text")))
