@@ -536,3 +536,33 @@ def test_gazetteer_golden(spark, shard):
     want = [("a", "New York", "LOC", 3, 11), ("a", "York", "LOC", 23, 27), ("a", "U.S", "LOC", 29, 32), ("a", "us", "LOC", 38, 40), ("a", "NEW YORK TIMES", "ORG", 53, 67), ("a", "york", "LOC", 0, 4), (None, "York", "LOC", 8, 12)]
     assert got == sorted(want, key=repr)
     assert gazetteer.gazetteer_spans(docs, aliases.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_density_clusters_by_definition(seed):
+    import numpy as np
+
+    from tests.test_queries import plain_clusters
+    from textloom.operators import density
+
+    rng = np.random.default_rng(seed)
+    centres = rng.uniform(-10, 10, size=(4, 2))
+    x = np.vstack([c + rng.normal(scale=s, size=(m, 2)) for c, s, m in zip(centres, (0.3, 0.6, 1.0, 0.1), (15, 20, 12, 9), strict=True)] + [rng.uniform(-12, 12, size=(10, 2)), np.repeat(centres[:1], 6, axis=0)])
+    x = np.round(x[rng.permutation(len(x))], 1 if seed % 2 else 6)  # ties, copies
+    got, core = density.clusters(x, 5)
+    want, plain_core = plain_clusters(x.tolist(), 5)
+    assert got.tolist() == want and np.allclose(core, plain_core) and len(set(want)) > 2
+
+
+def test_density_topics_on_odd_rows(spark):
+    from textloom.operators import density
+
+    texts = [f"apple pear plum {w}" for w in "abcdabcdabcd"] + [f"engine wheel brake {w}" for w in "efghefghefgh"] + ["lone words here now"]
+    docs = [(f"d{i}", "en", t) for i, t in enumerate(texts)] + [("e", "en", ""), ("n", "en", None), ("u", "und", "apple pear"), ("b", "", "apple"), ("x", None, "apple"), ("f", "fr", "une seule")]
+    made = spark.createDataFrame(docs, "article_id string, language string, text string")
+    out = {r.article_id: r for r in density.density_topics(made, least=8).collect()}
+    assert sorted(out) == sorted(f"d{i}" for i in range(25)) and out["d24"].topic_id == -1 and out["d24"].topic_label == "outlier"
+    fruit, parts = ([out[f"d{i}"].topic_id for i in span if out[f"d{i}"].topic_id >= 0] for span in (range(12), range(12, 24)))
+    assert len(fruit) >= 8 and len(parts) >= 8 and len(set(fruit)) == len(set(parts)) == 1 and {*fruit, *parts} == {0, 1}
+    assert {r.topic_label.split("_")[1] for r in out.values() if r.topic_id == fruit[0]} == {"apple"}
+    assert density.density_topics(made.limit(0)).count() == 0

@@ -229,6 +229,85 @@ def plain_bodies(small, got, scored):
     assert checked >= 3
 
 
+def plain_clusters(x, least):
+    """Density clusters by definition: Kruskal over all pairs, the tree cut at its longest edge again and again."""
+    n = len(x)
+    d = [[round(math.sqrt(max(0.0, sum((p - q) ** 2 for p, q in zip(x[i], x[j], strict=True)))), 6) if i != j else 0.0 for j in range(n)] for i in range(n)]
+    core = [sorted(r)[min(least, n) - 1] for r in d]
+    part, tree = list(range(n)), []
+    for w, i, j in sorted((max(d[i][j], core[i], core[j]), i, j) for i in range(n) for j in range(i + 1, n)):
+        if part[i] != part[j]:
+            tree.append((w, i, j))
+            part = [part[i] if p == part[j] else p for p in part]
+
+    def sides(points, edges):
+        *rest, (_, a, b) = edges
+        one, grown = {a}, True
+        while grown:
+            grown = {e for _, i, j in rest for e in (i, j) if (i in one) != (j in one)} - one
+            one |= grown
+        return [(s, [e for e in rest if e[1] in s]) for s in (one, points - one)]
+
+    def grow(points, edges, birth):
+        """(stability, clusters) of the best choice within a cluster, and of the cluster alone."""
+        own, inner, all_points = 0.0, [], set(points)
+        while edges:
+            density = 1 / max(edges[-1][0], 1e-6)
+            cut = sides(points, edges)
+            great = [c for c in cut if len(c[0]) >= least]
+            if len(great) == 2:
+                own += len(points) * (density - birth)
+                inner = [grow(*c, density) for c in cut]
+                break
+            own += (density - birth) * sum(len(c[0]) for c in cut if c not in great)
+            if not great:
+                break
+            points, edges = great[0]
+        below = sum(v for v, _, _ in inner)
+        return (below, [g for _, g, _ in inner for g in g], inner) if below > own else (own, [all_points], inner)
+
+    found = grow(set(range(n)), tree, 0.0)[2]
+    groups = sorted((g for _, gs, _ in found for g in gs), key=lambda g: (-len(g), min(g)))
+    return [next((k for k, g in enumerate(groups) if i in g), -1) for i in range(n)], core
+
+
+def plain_density(small, got):
+    """Every document's own vector, the clusters by definition, the nearest document's topic."""
+    from textloom.operators import density
+
+    docs = read(small, "documents")
+    docs = docs[docs.text.str.strip() != ""]
+    seen = {r.article_id: r for r in got.itertuples()}
+    matrix, topics = density.projection(), 0
+    for language, rows in docs.groupby("lang"):
+        if len(rows) < 10:
+            continue
+        rows = sorted((str(r.doc_id), r.text) for r in rows.itertuples())
+        held = Counter(k for _, t in rows for k in {zlib.crc32(w.encode()) % density.BUCKETS for w in t.lower().split()})
+        x = []
+        for _, t in rows:
+            counts = Counter(zlib.crc32(w.encode()) % density.BUCKETS for w in t.lower().split())
+            v = sum(((1 + math.log(n)) * math.log((1 + len(rows)) / (1 + held[k])) * matrix[k] for k, n in sorted(counts.items())), 0 * matrix[0])
+            x.append([round(c, 6) for c in v / math.sqrt(v @ v)] if v.any() else list(0 * v))
+        want, core = plain_clusters(x, 10)
+        for k, (i, _) in enumerate(rows):
+            near = min(range(len(rows)), key=lambda j: (round(math.dist(x[k], x[j]), 6), j))
+            assert near == k or math.dist(x[k], x[near]) < 1e-5
+            assert seen[i].topic_id == (want[near] if math.dist(x[k], x[near]) <= core[near] + 1e-9 else -1) and seen[i].language == language
+        topics += len(set(want) - {-1})
+    assert len(seen) == len(got) == sum(len(r) for _, r in docs.groupby("lang") if len(r) >= 10)
+    out = got.topic_id < 0
+    assert (got.topic_confidence[out] == 0).all() and (got.topic_confidence[~out] == 1).all() and (got.topic_label[out] == "outlier").all() and got.model_hash.nunique() == got.language.nunique()
+    text = docs.assign(article_id=docs.doc_id.astype(str)).merge(got[~out], on="article_id").groupby(["language", "topic_id"])
+    for (language, topic), group in text:
+        mine = Counter(w for t in group.text for w in t.lower().split())
+        others = {k: Counter(w for t in g.text for w in t.lower().split()) for k, g in text if k[0] == language}
+        mean, every = sum(sum(c.values()) for c in others.values()) / len(others), sum(others.values(), Counter())
+        size = sum(mine.values())
+        best = sorted(mine, key=lambda w: (-round(mine[w] / size * math.log1p(mean / every[w]), 12), w))[:5]
+        assert set(group.topic_label) == {f"{topic}_" + "_".join(best)}
+
+
 def every_cut(word, known):
     """All ways to write a word as two words of a set or more, each as its parts."""
     def cuts(at):
@@ -407,6 +486,7 @@ def plain_louvain_query(spark, small, got):
 
 
 PLAIN = {
+    "e5_density_topics": lambda spark, small, got: plain_density(small, got),
     "c13_selector_rules": lambda spark, small, got: plain_selectors(small, got),
     "c6_block_bodies": lambda spark, small, got: plain_bodies(small, got, False),
     "c6_scored_bodies": lambda spark, small, got: plain_bodies(small, got, True),

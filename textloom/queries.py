@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import core
-from textloom.operators import catalogue, crawl, distribution, extract, harmonise, metadata, network, revisions, timeseries
+from textloom.operators import catalogue, crawl, density, distribution, extract, harmonise, metadata, network, revisions, timeseries
 from textloom.sources import views
 from textloom.sources.views import with_views
 
@@ -687,6 +687,11 @@ def e5_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.topics(views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.col("lang").alias("language"), "text"))
 
 
+@register()
+def e5_density_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.density_topics(views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.col("lang").alias("language"), "text"))
+
+
 @register()
 def e9_paragraph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
