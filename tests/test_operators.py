@@ -566,3 +566,25 @@ def test_density_topics_on_odd_rows(spark):
     assert len(fruit) >= 8 and len(parts) >= 8 and len(set(fruit)) == len(set(parts)) == 1 and {*fruit, *parts} == {0, 1}
     assert {r.topic_label.split("_")[1] for r in out.values() if r.topic_id == fruit[0]} == {"apple"}
     assert density.density_topics(made.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 4, 50])
+def test_sitemap_walk_against_a_queue(spark, most):
+    import random
+
+    from tests.test_queries import plain_walk
+
+    rng = random.Random(most)
+    for _ in range(3):
+        names = [f"u{i}" for i in range(14)]
+        docs = {}
+        for n in names:
+            kids = rng.choices(names, k=rng.randint(0, 4))
+            docs[n] = rng.choice([None, "<sitemapindex><sitemap>", "", "<urlset/>", "<urlset>" + "".join(f"<url><loc>{n}/{k}?a&amp;b</loc><lastmod>2024-01-01</lastmod></url>" for k in kids) + "</urlset>"] + ["<sitemapindex>" + "".join(f"<sitemap><loc>{k}</loc></sitemap>" for k in kids) + "</sitemapindex>"] * 6)
+        del docs["u13"]
+        entries, stats = crawl.walked_sitemaps(spark.createDataFrame([("u0",), ("u1",), ("u13",), ("u0",), (None,)], "root string"), spark.createDataFrame([*docs.items(), (None, "x")], "url string, content string"), most)
+        found = {}
+        for r in entries.collect():
+            found.setdefault(r.root, []).append((r["loc"], str(r.lastmod.date())))
+        got = {r.root: (r.documents, r.indeterminate, sorted(found.get(r.root, []))) for r in stats.collect()}
+        assert got == plain_walk(["u0", "u1", "u13"], docs, most)

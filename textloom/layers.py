@@ -458,6 +458,26 @@ def d4_gazetteer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gazetteer.gazetteer_spans(d, _aliases(spark, sf_dir))
 
 
+def _stored_sitemaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sitemaps of a site that has every page in one: inner pages' are indexes of three below and of the root, every thirteenth is cut off, one in seven is missing."""
+    p = views.table(spark, sf_dir, "pages").select("page_id", "url")
+    n = p.agg((F.max("page_id") + 1).alias("n"))
+    name = lambda i: F.concat(F.lit("https://e.org/s"), i.cast("string"), F.lit(".xml"))
+    i = F.col("page_id")
+    below = F.filter(F.array(i * 3 + 1, i * 3 + 2, i * 3 + 3, F.lit(0).cast("long")), lambda k: k < F.col("n"))
+    index = F.concat(F.lit("<?xml version='1.0'?><sitemapindex xmlns='x'>"), F.array_join(F.transform(below, lambda k: F.concat(F.lit("<sitemap><loc> "), name(k), F.lit(" </loc></sitemap>"))), ""), F.lit("</sitemapindex>"))
+    urls = F.concat(F.lit("<n:urlset xmlns:n='x'><n:url><n:loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</n:loc><n:lastmod>2024-01-0"), (i % 9 + 1).cast("string"), F.lit("</n:lastmod></n:url></n:urlset>"))
+    text = F.when(i * 3 + 1 < F.col("n"), index).otherwise(urls)
+    docs = p.join(F.broadcast(n)).where(i % 7 != 6).select(name(i).alias("url"), F.when(i % 13 == 12, F.expr("left(url, 9)")).otherwise(text).alias("content"))
+    return p.where(i < 3).select(name(i).alias("root")), docs
+
+
+@register()
+def a9_sitemap_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, stats = crawl.walked_sitemaps(*_stored_sitemaps(spark, sf_dir))
+    return entries.join(stats, "root", "full").select("root", "loc", F.date_format("lastmod", "yyyy-MM-dd").alias("lastmod"), "documents", "entries", "indeterminate")
+
+
 def _share_of_vowels(texts: list[str]) -> list[tuple[float, float]]:
     """A stand-in classifier for the check of the operator around it."""
     return [(len([c for c in t if c in "aeiou"]) / max(1, len(t)), 0.25) for t in texts]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.scratch import materialize
+
 #: Endings of addresses that are no pages.
 BINARY = ("jpg", "jpeg", "png", "gif", "svg", "webp", "pdf", "zip", "mp3", "mp4", "css", "js", "ico", "xml")
 
@@ -18,6 +20,63 @@ def sitemap_entries(xml: DataFrame, text: str = "content") -> DataFrame:
     return blocks.select(F.trim(F.regexp_extract("b", r"(?is)<loc>\s*(.*?)\s*</loc>", 1)).alias("loc"), F.try_to_timestamp(F.nullif(F.regexp_extract("b", r"(?is)<lastmod>\s*(.*?)\s*</lastmod>", 1), F.lit(""))).alias("lastmod")).where("loc <> ''")
 
 
+#: Sitemap documents that one root may lead to.
+MOST_SITEMAPS = 50
+
+
+def sitemap_kind(text: Column) -> Column:
+    """"index", "urlset" (any other root), or "unreadable": no text, no root, or a root that is not closed at the end."""
+    root = F.regexp_extract(text, r"(?s)^\ufeff?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([A-Za-z_][\w.:-]*)", 1)
+    closed = F.regexp_extract(text, r"(?s)(?:</([A-Za-z_][\w.:-]*)\s*>|(/)>)\s*(?:<!--.*?-->\s*)*$", 1)
+    whole = (root != "") & ((closed == root) | text.rlike(r"(?s)^[^<]*(?:<\?.*?\?>\s*)*<[^<>]*/>\s*$"))
+    local = F.lower(F.regexp_extract(root, r"([^:]*)$", 1))
+    return F.when(~F.coalesce(whole, F.lit(False)), "unreadable").when(local == "sitemapindex", "index").otherwise("urlset")
+
+
+def walked_sitemaps(roots: DataFrame, documents: DataFrame, most: int = MOST_SITEMAPS) -> tuple[DataFrame, DataFrame]:
+    """Entries (root, loc, lastmod) and statistics (root, documents, entries, indeterminate) of sitemaps and the indexes above them.
+
+    roots: root; documents: url, content, one row a url, as fetched; what is
+    not there could not be fetched. Each root is walked breadth first, in the
+    order in which indexes list their children, a document once, ``most``
+    documents at most. A root is indeterminate if a document was unreadable or
+    was left when the bound was reached. One join a level, with all roots in
+    it; null roots and null addresses are left out.
+    """
+    spark = roots.sparkSession
+    held = documents.where("url IS NOT NULL").dropDuplicates(["url"]).select("url", "content")
+    level = materialize(roots.where("root IS NOT NULL").select("root").distinct().select("root", F.col("root").alias("url"), F.lit(1).cast("long").alias("nth")), "frontier")
+    done = spark.createDataFrame([], "root string, url string, kind string, content string, rank long")
+    while not level.isEmpty():
+        spent = done.groupBy("root").agg(F.count(F.lit(1)).alias("spent"))
+        fresh = level.groupBy("root", "url").agg(F.min("nth").alias("nth")).join(done.select("root", "url"), ["root", "url"], "left_anti")
+        ranked = fresh.join(spent, "root", "left").withColumn("rank", F.coalesce("spent", F.lit(0)) + F.row_number().over(Window.partitionBy("root").orderBy("nth")))
+        got = ranked.where(F.col("rank") <= most).join(held, "url", "left").select("root", "url", sitemap_kind(F.col("content")).alias("kind"), "content", F.col("rank").cast("long").alias("rank"))
+        # what is left when the bound is reached, a document that was seen before included, leaves the count open
+        last = got.groupBy("root").agg(F.max(F.when(F.col("rank") == most, F.lit(1))).alias("full"))
+        at = ranked.where(F.col("rank") == most).select("root", F.col("nth").alias("until"))
+        left = level.join(at, "root").where(F.col("nth") > F.col("until")).select("root").distinct()
+        got = materialize(got, "fetched")
+        over = materialize(left.unionByName(_children(got).join(last.where("full = 1").select("root"), "root", "left_semi").select("root")).distinct().select("root", F.lit(None).cast("string").alias("url"), F.lit("left").alias("kind"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("long").alias("rank")), "left")
+        done = done.unionByName(got).unionByName(over)
+        more = _children(got).join(over.select("root"), "root", "left_anti")
+        level = materialize(more.select("root", "url", F.row_number().over(Window.partitionBy("root").orderBy("rank", "place")).cast("long").alias("nth")), "frontier")
+    entries = done.where("kind = 'urlset'").select("root", F.explode(F.regexp_extract_all("content", F.lit(r"(?is)<(?:[\w.-]+:)?url>(.*?)</(?:[\w.-]+:)?url>"), 1)).alias("b"))
+    entries = entries.select("root", _address(F.col("b")).alias("loc"), F.try_to_timestamp(F.nullif(F.regexp_extract("b", r"(?is)<(?:[\w.-]+:)?lastmod>\s*(.*?)\s*</", 1), F.lit(""))).alias("lastmod")).where("loc <> ''")
+    stats = done.groupBy("root").agg(F.count("url").alias("documents"), F.max(F.col("kind").isin("unreadable", "left")).alias("indeterminate"))
+    return entries, stats.join(entries.groupBy("root").agg(F.count(F.lit(1)).alias("entries")), "root", "left").select("root", "documents", F.coalesce("entries", F.lit(0)).alias("entries"), "indeterminate")
+
+
+def _address(block: Column) -> Column:
+    return F.trim(F.replace(F.regexp_extract(block, r"(?is)<(?:[\w.-]+:)?loc>\s*(.*?)\s*</", 1), F.lit("&amp;"), F.lit("&")))
+
+
+def _children(fetched: DataFrame) -> DataFrame:
+    """(root, rank, place, url) of what indexes list."""
+    listed = fetched.where("kind = 'index'").select("root", "rank", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?is)<(?:[\w.-]+:)?sitemap>(.*?)</(?:[\w.-]+:)?sitemap>"), 1)).alias("place", "b"))
+    return listed.select("root", "rank", "place", _address(F.col("b")).alias("url")).where("url <> ''")
+
+
 def feed_entries(xml: DataFrame, text: str = "content", since: str | None = None) -> DataFrame:
     """(link, published) of the items of RSS documents held as text."""
     items = xml.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?is)<item[ >](.*?)</item>"), 1)).alias("b"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import core
-from textloom.operators import catalogue, crawl, density, distribution, extract, harmonise, metadata, network, revisions, timeseries
+from textloom.operators import catalogue, crawl, density, distribution, extract, harmonise, metadata, network, profiles, revisions, timeseries
 from textloom.sources import views
 from textloom.sources.views import with_views
 
@@ -677,6 +677,13 @@ def d3_language_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.detections(views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text"))
 
 
+@register()
+def d3_agreed_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.table(spark, sf_dir, "documents")
+    second = profiles.by_profiles(profiles.fit_profiles(d.select(F.col("lang").alias("language"), "text")))
+    return extract.detections(d.select(F.col("doc_id").cast("string").alias("article_id"), "text"), second)
+
+
 @register()
 def d4_entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.entity_spans(views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text"))
