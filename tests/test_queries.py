@@ -379,6 +379,33 @@ def plain_sitemaps(spark, small, got):
     assert sum(len(f) for *_, f in want.values()) > 10
 
 
+def plain_claims(spark, small, got):
+    """Each object's messages by time, one status and a count of attempts."""
+    order, want = {"done": 0, "failed": 1, "arrived": 2}, []
+    by = defaultdict(list)
+    for r in services._messages(spark, small).selectExpr("object_key", "kind", "unix_millis(at) AS ms").collect():
+        by[r.object_key].append((r.ms, order[r.kind], r.kind))
+    for key, messages in by.items():
+        status, attempts = "pending", 0
+        for ms, _, kind in sorted(messages):
+            action = None
+            if status in ("processed", "quarantined"):
+                action = "skip" if kind == "arrived" else None
+            elif kind == "done":
+                status = "processed"
+            elif kind == "failed":
+                status, action = ("quarantined", "quarantine") if attempts >= 5 else ("pending", None)
+            elif status == "processing":
+                action = "skip"
+            elif attempts >= 5:
+                status, action = "quarantined", "quarantine"
+            else:
+                status, attempts, action = "processing", attempts + 1, "process"
+            if action:
+                want.append((key, action, ms, attempts))
+    assert sorted(got[["object_key", "action", "at_ms", "attempts"]].itertuples(index=False, name=None)) == sorted(want) and len(want) > 100
+
+
 def every_cut(word, known):
     """All ways to write a word as two words of a set or more, each as its parts."""
     def cuts(at):
@@ -557,6 +584,7 @@ def plain_louvain_query(spark, small, got):
 
 
 PLAIN = {
+    "m3_claim_stream": lambda spark, small, got: plain_claims(spark, small, got),
     "a9_sitemap_walk": lambda spark, small, got: plain_sitemaps(spark, small, got),
     "d3_agreed_languages": lambda spark, small, got: plain_agreement(small, got),
     "e5_density_topics": lambda spark, small, got: plain_density(small, got),

@@ -90,3 +90,32 @@ def test_lag_listener(spark, tmp_path):
         assert str(q.id) in lag.last
     finally:
         spark.streams.removeListener(lag)
+
+
+def test_claims_go_on_and_stale_ones_are_reclaimed(spark, tmp_path):
+    """State outlives the query; a worker that fell silent loses its claim when time has passed."""
+    import datetime as dt
+
+    from textloom.streaming import claims
+
+    spark.conf.set(*next(iter(claims.STORE.items())))
+    zero = dt.datetime(2024, 1, 1)
+    schema = "object_key string, kind string, at timestamp"
+    parts = [
+        [("a", "arrived", 0), ("a", "arrived", 10), ("b", "arrived", 0), ("b", "done", 5), ("c", "arrived", 1), (None, "arrived", 1), ("a", "odd", 1), ("a", None, 2)],
+        [("a", "arrived", 20), ("b", "arrived", 21), ("d", "arrived", 2000)],
+        [("e", "arrived", 4000), ("c", "done", 4000)],
+    ]
+    for rows in parts:
+        made = spark.createDataFrame([(k, kind, zero + dt.timedelta(seconds=s)) for k, kind, s in rows], schema)
+        made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = claims.claimed(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), delay="60 seconds")
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    start = int(zero.replace(tzinfo=dt.UTC).timestamp())
+    got = [(r.object_key, r.action, r.at_ms // 1000 - start, r.attempts) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(x for x in got if x[1] == "process") == [("a", "process", 0, 1), ("b", "process", 0, 1), ("c", "process", 1, 1), ("d", "process", 2000, 1), ("e", "process", 4000, 1)]
+    assert sorted(x for x in got if x[1] == "skip") == [("a", "skip", 10, 1), ("a", "skip", 20, 1), ("b", "skip", 21, 1)]
+    reclaimed = {x for x in got if x[1] == "reclaim"}
+    assert ("a", "reclaim", 900, 2) in reclaimed and {x[0] for x in reclaimed} <= {"a", "c", "d"} and not any(x[1] == "quarantine" and x[0] == "b" for x in got)
+    quiet = [x for x in got if x[0] == "a" and x[1] != "skip"]
+    assert [x[3] for x in sorted(quiet, key=lambda x: x[2])] == list(range(1, len(quiet) + 1))

@@ -15,7 +15,7 @@ from textloom.operators import catalogue, extract, network, revisions, timeserie
 from textloom.plans import gates
 from textloom.queries import register, rounded
 from textloom.sources import files, views
-from textloom.streaming import jobs
+from textloom.streaming import claims, jobs
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +107,26 @@ def m2_bounded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).agg(F.countDistinct("batch").alias("batches"), F.count(F.lit(1)).alias("rows"))
 
 
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages about objects: what is bought is done, what is clicked failed, the rest arrives."""
+    kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "failed").otherwise("arrived")
+    return events(spark, sf_dir).select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("object_key"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@register()
+def m3_claim_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims over all events, the first half of the time and then, from the checkpoint, the rest."""
+    spark.conf.set(*next(iter(claims.STORE.items())))
+    raw, out, at = folder(spark, "messages"), folder(spark, "actions"), folder(spark, "offsets")
+    messages = _messages(spark, sf_dir)
+    half = messages.agg((F.min("at").cast("long") + F.max("at").cast("long")) / 2).first()[0]
+    for part in (F.unix_timestamp("at") < half, F.unix_timestamp("at") >= half):
+        messages.where(part).coalesce(1).write.mode("append").parquet(raw)
+        stream = claims.claimed(spark.readStream.schema(messages.schema).parquet(raw), stale_seconds=10**8, delay="400 days")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(claims.OUT).parquet(out)
+
+
 @register("SELECT count(*) FILTER (event_type = 'view') AS pending, count(*) FILTER (event_type NOT IN ('view', 'click')) AS quarantined, count(*) FILTER (event_type = 'view') > 1000 AS alert FROM events")
 def m14_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "click", "processed").when(F.col("event_type") == "view", "pending").otherwise("quarantined")
