@@ -119,3 +119,32 @@ def test_claims_go_on_and_stale_ones_are_reclaimed(spark, tmp_path):
     assert ("a", "reclaim", 900, 2) in reclaimed and {x[0] for x in reclaimed} <= {"a", "c", "d"} and not any(x[1] == "quarantine" and x[0] == "b" for x in got)
     quiet = [x for x in got if x[0] == "a" and x[1] != "skip"]
     assert [x[3] for x in sorted(quiet, key=lambda x: x[2])] == list(range(1, len(quiet) + 1))
+
+
+def test_buckets_rewrite_what_a_batch_touches(spark, tmp_path):
+    from textloom.streaming import buckets
+
+    rows = spark.range(2000).selectExpr("concat('k', id) AS k", "id AS n", "1L AS v").unionByName(spark.createDataFrame([(None, 7, 1)], "k string, n long, v long"))
+    table = buckets.BucketTable(spark, f"file://{tmp_path}/t", rows.schema, ["k"], "v", 100)
+    assert table.apply(rows, 0) == 100 and table.rows().count() == 2001
+    few = spark.createDataFrame([("k5", 50, 2), ("k5", 49, 1), ("k6", 60, 0), (None, 8, 2), ("new", 1, 1)], "k string, n long, v long")
+    seen = []
+    written = table.apply(few, 1, lambda changes: seen.extend((r.new.k, r.new.n, r.old and r.old.n) for r in changes.collect()))
+    assert written <= 4 and sorted(seen, key=repr) == sorted([("k5", 50, 5), (None, 8, 7), ("new", 1, None)], key=repr)
+    assert table.apply(few, 1) == 0  # the same batch again
+    got = {r.k: r.n for r in table.rows().collect()}
+    assert len(got) == 2002 and (got["k5"], got["k6"], got[None], got["new"], got["k7"]) == (50, 6, 8, 1, 7)
+    # a batch that failed before its commit leaves the table as it was, and may come again
+    def fails(changes):
+        raise RuntimeError("stopped")
+
+    try:
+        table.apply(few.limit(1).selectExpr("k", "n + 1000 AS n", "9L AS v"), 2, fails)
+    except RuntimeError:
+        pass
+    assert table.manifests() == [0, 1] and {r.k: r.n for r in table.rows().collect()} == got
+    for k in range(2, 6):
+        table.apply(spark.createDataFrame([("k5", k, 10 + k)], "k string, n long, v long"), k)
+    folders = sorted(p.parent.name for p in (tmp_path / "t/data").glob("*/_bucket=*"))
+    assert {r.k: r.n for r in table.rows().collect()}["k5"] == 5 and table.manifests() == [4, 5]
+    assert len(folders) == len(set(table.manifest().items()) | set(table.manifest(4).items()))  # nothing older is left

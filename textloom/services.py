@@ -15,7 +15,7 @@ from textloom.operators import catalogue, extract, network, revisions, timeserie
 from textloom.plans import gates
 from textloom.queries import register, rounded
 from textloom.sources import files, views
-from textloom.streaming import claims, jobs
+from textloom.streaming import buckets, claims, jobs
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +127,31 @@ def m3_claim_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(claims.OUT).parquet(out)
 
 
+@register("SELECT 'k' || CAST(user_id AS VARCHAR) AS object_key, arg_max(event_type, event_id) AS status, max(event_id) AS version FROM events GROUP BY user_id")
+def a2_bucketed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document log, taken in by three batches, one of them twice."""
+    log = events(spark, sf_dir).select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("object_key"), F.col("event_type").alias("status"), F.col("event_id").alias("version"))
+    table = buckets.BucketTable(spark, folder(spark, "log"), log.schema, ["object_key"], "version", 32)
+    for k in (0, 1, 1, 2):
+        table.apply(log.where(F.col("version") % 3 == (k + 1) % 3), k)
+    return table.rows()
+
+
+@register("""WITH f AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts END AS ts, 'src' || CAST(user_id % 7 AS VARCHAR) AS source, event_type AS metric_name, CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END AS value FROM events)
+    SELECT date_trunc('hour', ts) AS bucket, source, metric_name, round(sum(value), 4) AS sum, count(value) AS count FROM f GROUP BY ALL HAVING count(value) > 0""")
+def m6_retracting_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of facts of which a third comes again an hour later with twice the value: what they replace is taken back."""
+    fact = events(spark, sf_dir).select("event_id", F.lit(1).alias("version"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket"), F.concat(F.lit("src"), (F.col("user_id") % 7).cast("string")).alias("source"), F.col("event_type").alias("metric_name"), "value")
+    again = fact.where("event_id % 3 = 0").withColumns({"version": F.lit(2), "bucket": F.col("bucket") + F.expr("INTERVAL 1 HOUR"), "value": F.col("value") * 2})
+    raw, out, at = folder(spark, "facts"), folder(spark, "rollup"), folder(spark, "offsets")
+    groups = ["bucket", "source", "metric_name"]
+    each = buckets.retracting_rollup(buckets.BucketTable(spark, folder(spark, "state"), fact.schema, ["event_id"], "version", 32), out, groups, "value")
+    for part in (fact, again):
+        part.write.mode("append").parquet(raw)
+        spark.readStream.schema(fact.schema).parquet(raw).writeStream.foreachBatch(each).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return rounded(buckets.rolled_up(spark, out, groups), 4)
+
+
 @register("SELECT count(*) FILTER (event_type = 'view') AS pending, count(*) FILTER (event_type NOT IN ('view', 'click')) AS quarantined, count(*) FILTER (event_type = 'view') > 1000 AS alert FROM events")
 def m14_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "click", "processed").when(F.col("event_type") == "view", "pending").otherwise("quarantined")
