@@ -117,16 +117,18 @@ def jacobi_svd(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     A pair of columns is turned by the angle that makes it orthogonal; disjoint
     pairs are turned together. It has converged when in a whole sweep no pair's
-    cosine is over the rounding error.
+    cosine is over the rounding error; columns that are themselves rounding
+    errors of the whole are left as they are.
     """
     a, v = np.array(r, np.float64), np.eye(r.shape[1])
     tol = np.finfo(float).eps * np.sqrt(max(r.shape[0], 1))
+    noise = (np.finfo(float).eps * np.linalg.norm(a)) ** 2
     for _ in range(SWEEPS):
         turned = False
         for p, q in rounds_of_pairs(r.shape[1]):
             alpha, beta = np.einsum("ij,ij->j", a[:, p], a[:, p]), np.einsum("ij,ij->j", a[:, q], a[:, q])
             gamma = np.einsum("ij,ij->j", a[:, p], a[:, q])
-            turn = np.abs(gamma) > tol * np.sqrt(alpha * beta)
+            turn = (np.abs(gamma) > tol * np.sqrt(alpha * beta)) & (np.minimum(alpha, beta) > noise)
             if not turn.any():
                 continue
             turned = True
