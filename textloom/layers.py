@@ -74,9 +74,10 @@ def b14_c22_kept_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir)[0].select("doc_id")
 
 
-@register("SELECT 'https://e.org/' || strftime(d, '%Y/%m/%d') AS url FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 1 DAY)) AS DATE) AS d)")
+@register("SELECT 'https://e.org/' || strftime(d, '%Y/%m/%d') AS url FROM (SELECT CAST(unnest(generate_series((SELECT CAST(min(o_orderdate) AS DATE) FROM orders), (SELECT CAST(max(o_orderdate) AS DATE) FROM orders), INTERVAL 1 DAY)) AS DATE) AS d)")
 def a12_archive_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.archive_addresses("https://e.org/{yyyy}/{MM}/{dd}", "2024-01-01", "2024-03-01", spark=spark).select("url")
+    first, last = views.table(spark, sf_dir, "orders").agg(F.min(F.to_date("o_orderdate")), F.max(F.to_date("o_orderdate"))).first()
+    return crawl.archive_addresses("https://e.org/{yyyy}/{MM}/{dd}", str(first), str(last), spark=spark).select("url")
 
 
 @register("SELECT 'n' || CAST(p_partkey AS VARCHAR) AS subject, 'label' AS predicate, p_name AS object, 'en' AS lang FROM part UNION ALL SELECT 'n' || CAST(p_partkey AS VARCHAR), 'brand', p_brand, '' FROM part")

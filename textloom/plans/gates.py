@@ -120,5 +120,11 @@ def clamp(value: int, low: int, high: int, default: int | None = None) -> int:
     return max(low, min(high, value))
 
 
+def clamped(value: Column, low: int, high: int, default: int | None = None) -> Column:
+    """:func:`clamp` of a column."""
+    inside = F.greatest(F.lit(low), F.least(F.lit(high), value))
+    return inside if default is None else F.when(value <= 0, F.lit(default)).otherwise(inside)
+
+
 def edge_cap(nodes: int) -> int:
     return clamp(nodes * 5, 5, 6000)

@@ -260,9 +260,10 @@ def r5_edge_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("brands", gates.edge_cap(brands)), ("documents", gates.edge_cap(views.table(spark, sf_dir, "documents").count()))], "name string, cap long")
 
 
-@register("SELECT v AS value, least(greatest(CASE WHEN v <= 0 THEN 20 ELSE v END, 1), 100) AS clamped FROM (VALUES (-5), (0), (1), (50), (100), (101)) t(v)")
+@register("SELECT p_partkey, CAST(CASE WHEN p_size * 4 - 60 <= 0 THEN 20 ELSE least(p_size * 4 - 60, 100) END AS INT) AS clamped FROM part")
 def q9_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(v, gates.clamp(v, 1, 100, 20)) for v in (-5, 0, 1, 50, 100, 101)], "value int, clamped int")
+    """Limits as they are asked for, from far below to far above what is allowed."""
+    return views.table(spark, sf_dir, "part").select("p_partkey", gates.clamped((F.col("p_size") * 4 - 60).cast("int"), 1, 100, 20).alias("clamped"))
 
 
 @register("SELECT 'one' AS scope, true AS allowed UNION ALL SELECT 'two', (SELECT count(DISTINCT lang) FROM documents WHERE lang IN ('de', 'en')) < 2")
@@ -310,10 +311,10 @@ def k7_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("event_type = 'click'").select("user_id").union(e.where("event_type = 'purchase'").select("user_id")).distinct()
 
 
-@register("WITH v AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS p FROM v) SELECT vec_id, round(p[1] / list_sum(p), 6) AS first, round(p[4] / list_sum(p), 6) AS last FROM p")
+@register("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS p FROM v) SELECT vec_id, round(p[1] / list_sum(p), 6) AS first, round(p[len(p)] / list_sum(p), 6) AS last FROM p")
 def l18_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.table(spark, sf_dir, "embeddings").select("vec_id", core.softmax(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))).alias("p"))
-    return rounded(e.select("vec_id", F.get("p", F.lit(0)).alias("first"), F.get("p", F.lit(3)).alias("last")))
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", core.softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("p"))
+    return rounded(e.select("vec_id", F.get("p", F.lit(0)).alias("first"), F.get("p", F.size("p") - 1).alias("last")))
 
 
 @register("SELECT CAST(user_id AS VARCHAR) AS article_id, max(ts) AS timestamp, 'k' || CAST(arg_max(event_id, (ts, 'k' || CAST(event_id AS VARCHAR))) AS VARCHAR) AS bronze_object_key FROM events WHERE user_id = 3 GROUP BY user_id")
