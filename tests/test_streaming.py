@@ -148,3 +148,33 @@ def test_buckets_rewrite_what_a_batch_touches(spark, tmp_path):
     folders = sorted(p.parent.name for p in (tmp_path / "t/data").glob("*/_bucket=*"))
     assert {r.k: r.n for r in table.rows().collect()}["k5"] == 5 and table.manifests() == [4, 5]
     assert len(folders) == len(set(table.manifest().items()) | set(table.manifest(4).items()))  # nothing older is left
+
+
+def test_sqlite_index(spark, tmp_path):
+    from textloom.sources import sqlite_index
+
+    path, schema = f"file://{tmp_path}/index", "alias string, n long, ok boolean, x double"
+    rows = [("a", 1, True, 0.5), ("b", None, False, None), (None, 3, None, 1.0), ('q"t', 4, True, 2.0), ("a", 1, True, 0.5)]
+    sqlite_index.write_index(spark.createDataFrame(rows, schema).repartition(3), path, metadata={"language": "de"})
+    read = lambda: sorted(map(tuple, sqlite_index.read_index(spark, path, schema).collect()), key=repr)
+    assert read() == sorted(rows, key=repr)
+    about = sqlite_index.read_metadata(path)
+    assert (about["rows"], about["key"], about["language"]) == ("5", "alias", "de") and sqlite_index.lookup(path, "a") == [("a", 1, 1, 0.5)] * 2
+    # a task that fails aborts the job: what was there stays, nothing else does
+    before = sorted(p.name for p in (tmp_path / "index").iterdir())
+    broken = spark.range(40).repartition(4).selectExpr("cast(id as string) AS alias", "id AS n", "id > 1 AS ok", "if(id = 7, cast(raise_error('stopped') as double), 1.0D) AS x")
+    try:
+        sqlite_index.write_index(broken, path)
+        raise AssertionError("the job should have failed")
+    except Exception as e:
+        assert "stopped" in str(e)
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == before and read() == sorted(rows, key=repr)
+    sqlite_index.write_index(spark.createDataFrame(rows[:1], schema), path, mode="append")
+    assert len(read()) == 6 and sqlite_index.read_metadata(path)["rows"] == "6"
+    sqlite_index.write_index(spark.createDataFrame([], schema), path)
+    assert read() == [] and [p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("_staging")] == []
+    try:
+        sqlite_index.SqliteWriter(spark.createDataFrame([], "a array<int>").schema, {"path": path}, True)
+        raise AssertionError("arrays are no index columns")
+    except ValueError as e:
+        assert "'a'" in str(e)

@@ -14,7 +14,7 @@ from textloom.layers import _share_of_vowels, events
 from textloom.operators import catalogue, extract, network, revisions, timeseries
 from textloom.plans import gates
 from textloom.queries import register, rounded
-from textloom.sources import files, views
+from textloom.sources import files, views, sqlite_index
 from textloom.streaming import buckets, claims, jobs
 
 
@@ -56,6 +56,14 @@ def a14_tsv_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("id long, label string").csv(path, sep="\t", quote="")
 
 
+@register("SELECT p_partkey AS id, p_name || chr(9) || p_brand AS label, p_retailprice AS price FROM part")
+def a14_sqlite_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "sqlite")
+    part = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("\t"), "p_brand").alias("label"), F.col("p_retailprice").alias("price"))
+    sqlite_index.write_index(part.repartition(4), path, "id", {"made_from": "part"})
+    return sqlite_index.read_index(spark, path, "id long, label string, price double")
+
+
 @register("SELECT p_partkey AS id, p_name || ', \"' || p_brand || '\"' || chr(10) || p_type AS label, p_retailprice AS price FROM part")
 def a18_csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "export")
