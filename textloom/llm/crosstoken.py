@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from textloom.llm.common import bound_batches, materialize, settled, trim
 
 #: UTF-8 bytes of texts after which a block is closed.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Texts that are encoded at once.
+AT_ONCE = 32
 #: Bits of a pair that hold the second id.
 SHIFT = 32
 BLOCK = "block string, ids binary, nulls binary, figures binary, hashes binary, pairs binary, held binary, starts binary, at binary, times binary"
@@ -53,12 +55,12 @@ class Tokens:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.text_a, self.text_b = ([str(i) for i in range(len(t))] for t in (self.bytes_a, self.bytes_b))
+        self.spelling = [f"{i}{mark}" for mark in ",|;" for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides; two empty lists where a side does not give back blank + text byte by byte."""
         out = []
-        for text, a, b in zip(texts, self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
+        for text, a, b in zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
             want, ids = (" " + text).encode(errors="replace"), a.ids
             same = bool(text) and b"".join(map(self.bytes_a.__getitem__, ids)) == want == b"".join(map(self.bytes_b.__getitem__, b))
             out.append((ids, b) if same else ([], []))
@@ -73,14 +75,16 @@ def merged_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(hit), at[hit]
 
 
-def spelled(a: list[str], b: list[str], cut_a: list[int], cut_b: list[int]) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``. cut_a, cut_b: places of the groups' last tokens."""
-    i = j = 0
-    parts = []
-    for x, y in zip(cut_a, cut_b, strict=True):
-        parts.append(f"{a[i]}|{b[j]}" if x == i and y == j else f"{','.join(a[i : x + 1])}|{','.join(b[j : y + 1])}")
-        i, j = x + 1, y + 1
-    return ";".join(parts)
+def spelled(tokens: Tokens, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
+    """Groups as ``a1,a2|b1;a3|b2,b3``. cut_a, cut_b: places of the groups' last tokens; group_a, group_b: each token's group."""
+    n = len(tokens.spelling) // 3  # "id,", "id|" and "id;" of every id
+    a, b = a.copy(), b.copy()
+    a[cut_a] += n
+    b[cut_b] += 2 * n
+    codes = np.empty(len(a) + len(b), np.int64)
+    codes[np.arange(len(a)) + (cut_b - np.diff(cut_b, prepend=-1) + 1)[group_a]] = a
+    codes[np.arange(len(b)) + (cut_a + 1)[group_b]] = b
+    return "".join(map(tokens.spelling.__getitem__, codes.tolist()))[:-1]
 
 
 def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,21 +99,22 @@ def aligned(tokens: Tokens, texts: list[str | None]) -> tuple[np.ndarray, list[s
     Two tokens are linked if their byte ranges share a group. A group with many
     tokens is multiplied out over its different ids only.
     """
-    encoded = tokens.encode([t or "" for t in texts])
     figures, hashes = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
     sides: tuple[list, list] = ([], [])
     bounds = [0]
+    encoded = (pair for k in range(0, len(texts), AT_ONCE) for pair in tokens.encode([t or "" for t in texts[k : k + AT_ONCE]]))
     for d, (a, b) in enumerate(encoded):
         if not a:
             bounds.append(bounds[-1])
             continue
         ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
         cut_a, cut_b = merged_ends(np.cumsum(tokens.len_a[ids_a]), np.cumsum(tokens.len_b[ids_b]))
-        hashes[d] = hashlib.sha256(spelled([tokens.text_a[i] for i in a], [tokens.text_b[i] for i in b], cut_a.tolist(), cut_b.tolist()).encode()).hexdigest()
         sizes = [np.diff(c, prepend=-1) for c in (cut_a, cut_b)]
+        groups = [np.repeat(np.arange(len(size)), size) for size in sizes]
+        hashes[d] = hashlib.sha256(spelled(tokens, ids_a, ids_b, cut_a, cut_b, *groups).encode()).hexdigest()
         figures[d] = len(a), len(b), len(cut_a), (sizes[0] * sizes[1]).sum()
-        for side, ids, size in zip(sides, (ids_a, ids_b), sizes, strict=True):
-            side.append((ids, np.repeat(np.arange(bounds[-1], bounds[-1] + len(size)), size)))
+        for side, ids, group in zip(sides, (ids_a, ids_b), groups, strict=True):
+            side.append((ids, group + bounds[-1]))
         bounds.append(bounds[-1] + len(cut_a))
     none = np.empty(0, np.int64)
     if not sides[0]:
@@ -122,11 +127,14 @@ def aligned(tokens: Tokens, texts: list[str | None]) -> tuple[np.ndarray, list[s
     right = start + np.arange(len(start))
     pair = np.repeat(ia, rep) << SHIFT | ib[right]
     times = np.repeat(ta, rep) * tb[right]
-    doc = np.searchsorted(np.array(bounds), np.repeat(ga, rep), side="right") - 1
+    cuts = np.searchsorted(np.repeat(ga, rep), np.array(bounds))
     pairs, at = np.unique(pair, return_inverse=True)
-    key, at = np.unique(doc * len(pairs) + at, return_inverse=True)
-    times = np.bincount(at, weights=times).astype(np.int64)
-    doc, at = np.divmod(key, len(pairs))
+    key = np.repeat(np.arange(len(texts)), np.diff(cuts)) * len(pairs) + at
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times = np.add.reduceat(times[order], fresh)
+    doc, at = np.divmod(key[fresh], len(pairs))
     return figures, hashes, pairs, np.bincount(at, minlength=len(pairs)), np.searchsorted(doc, np.arange(len(texts) + 1)), at, times
 
 
