@@ -47,6 +47,8 @@ class SqliteWriter(DataSourceWriter):
         self.schema, self.path, self.overwrite = schema, options["path"].rstrip("/"), overwrite
         self.key, self.about = options.get("key", schema.names[0]), json.loads(options.get("metadata", "{}"))
         self.staging = f"_staging-{uuid.uuid4().hex}"
+        store, at = _store(self.path)
+        store.create_dir(f"{at}/{self.staging}", recursive=True)  # here and not in tasks: one that outlives an abort must not bring it back
 
     def write(self, iterator: Iterator[Row]) -> Written:
         db, n = sqlite3.connect(":memory:"), 0
@@ -64,7 +66,6 @@ class SqliteWriter(DataSourceWriter):
         db.commit()
         name = f"part-{uuid.uuid4().hex}.sqlite"
         store, at = _store(self.path)
-        store.create_dir(f"{at}/{self.staging}", recursive=True)
         with store.open_output_stream(f"{at}/{self.staging}/{name}") as out:
             out.write(db.serialize())
         db.close()
