@@ -622,6 +622,16 @@ def test_topk_with_ties_and_odd_vectors(spark, monkeypatch):
     assert topk.exact_topk(vectors.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_topk_never_broadcasts_the_blocks(spark):
+    """Few queries look small to the planner, but each of their blocks goes to every lane."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.standard_normal((600, 8)).tolist())], "vec_id long, embedding array<double>")
+    out = topk.exact_topk(df, lambda i: i % 100 == 0, 3, lanes=64)
+    assert len(out.collect()) == 18
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 # classifiers ----------------------------------------------------------------------------------------------
 
 

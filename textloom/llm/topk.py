@@ -126,6 +126,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id"
     asked = ints.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
     blocks = asked.mapInPandas(_packed(BLOCK), PACK).select("dim", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
     shards = ints.mapInPandas(_packed(SHARD), PACK).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    near = shards.join(blocks, ["lane", "dim"]).select("dim", "q_ids", "q_mat", "ids", "mat").mapInPandas(_tiles(k), OUT)
+    # what a lane multiplies is not in the estimate of the blocks, so that neither side is broadcast whatever it says
+    near = shards.join(blocks.hint("merge"), ["lane", "dim"]).select("dim", "q_ids", "q_mat", "ids", "mat").mapInPandas(_tiles(k), OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
