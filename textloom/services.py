@@ -89,6 +89,10 @@ def a15_cached_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 # streams -------------------------------------------------------------------------------
 
 
+#: Documents of a file: what a task writes does not grow with the table.
+FILE_ROWS = 20_000
+
+
 def _raw_objects(spark: SparkSession, sf_dir: str, parts: int) -> str:
     """Documents as raw JSON objects in a folder, dealt over so many files."""
     path = folder(spark, "raw")
@@ -109,8 +113,9 @@ def a4_m1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT 3 AS batches, count(*) AS rows FROM documents")
 def m2_bounded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, out, at = _raw_objects(spark, sf_dir, 3), folder(spark, "batches"), folder(spark, "offsets")
-    query = jobs.raw_stream(spark, raw, files=1).writeStream.foreachBatch(lambda df, k: jobs.write_batch(df, out, k)).option("checkpointLocation", at).trigger(availableNow=True).start()
+    share = -(-views.table(spark, sf_dir, "documents").count() // (3 * FILE_ROWS)) or 1
+    raw, out, at = _raw_objects(spark, sf_dir, 3 * share), folder(spark, "batches"), folder(spark, "offsets")
+    query = jobs.raw_stream(spark, raw, files=share).writeStream.foreachBatch(lambda df, k: jobs.write_batch(df, out, k)).option("checkpointLocation", at).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out).agg(F.countDistinct("batch").alias("batches"), F.count(F.lit(1)).alias("rows"))
 
