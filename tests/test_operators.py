@@ -588,3 +588,14 @@ def test_sitemap_walk_against_a_queue(spark, most):
             found.setdefault(r.root, []).append((r["loc"], str(r.lastmod.date())))
         got = {r.root: (r.documents, r.indeterminate, sorted(found.get(r.root, []))) for r in stats.collect()}
         assert got == plain_walk(["u0", "u1", "u13"], docs, most)
+
+
+def test_softmax_of_long_vectors(spark):
+    """The largest is looked for once for a vector, not once for each of its elements."""
+    import time
+
+    n = 60_000
+    began = time.monotonic()
+    got = spark.range(1).select(core.softmax(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i % 2 * 0.0)).alias("p")).select(F.size("p"), F.get("p", F.lit(7)), F.aggregate("p", F.lit(0.0), lambda s, v: s + v)).first()
+    assert time.monotonic() - began < 15
+    assert got[0] == n and abs(got[1] - 1 / n) < 1e-12 and abs(got[2] - 1) < 1e-9
