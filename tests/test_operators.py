@@ -599,3 +599,25 @@ def test_softmax_of_long_vectors(spark):
     got = spark.range(1).select(core.softmax(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i % 2 * 0.0)).alias("p")).select(F.size("p"), F.get("p", F.lit(7)), F.aggregate("p", F.lit(0.0), lambda s, v: s + v)).first()
     assert time.monotonic() - began < 15
     assert got[0] == n and abs(got[1] - 1 / n) < 1e-12 and abs(got[2] - 1) < 1e-9
+
+
+def test_similarity_equals_difflib():
+    import difflib
+    import random
+
+    rng = random.Random(6)
+    for _ in range(1500):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        want = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+        assert revisions.similarity(a, b) == want
+        bound = rng.random()
+        assert (revisions.similarity(a, b, bound) >= bound) == (want >= bound) == (revisions.similarity(a, b, bound, bound) >= bound)
+
+
+def test_similarity_of_long_texts_is_fast():
+    """Two letters in turn: each letter of one text stands at half the places of the other."""
+    import time
+
+    began = time.monotonic()
+    assert revisions.similarity("ab" * 4000, "ba" * 4000) == 15_998 / 16_000
+    assert time.monotonic() - began < 2

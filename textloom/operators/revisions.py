@@ -127,6 +127,59 @@ def discourse_delta(before: Column, after: Column, entities_before: Column, enti
     return [F.round(after - before, 4).alias("sentiment_delta"), F.sort_array(F.array_except(entities_after, entities_before)).alias("entities_added"), F.sort_array(F.array_except(entities_before, entities_after)).alias("entities_removed"), F.round(cosine_distance(vector_before, vector_after), 6).alias("topic_shift_score"), (before.isNotNull() & after.isNotNull() & entities_before.isNotNull() & entities_after.isNotNull()).alias("deltas_computed")]
 
 
+def longest_common(a: str, b: str, most: int) -> tuple[int, int, int]:
+    """(place in a, place in b, letters) of the longest string, of ``most`` letters at most, that both have, the first in a, then in b.
+
+    Whether there is one of a length is asked of the hashes of all strings of that
+    length, and the length is found by doubling and halving.
+    """
+    def first(n: int) -> int:
+        seen = {hash(b[j : j + n]) for j in range(len(b) - n + 1)}
+        return next((i for i in range(len(a) - n + 1) if hash(a[i : i + n]) in seen and a[i : i + n] in b), -1)
+
+    most = min(most, len(a), len(b))
+    low, at, high = 0, 0, 1
+    while high <= most and (i := first(high)) >= 0:
+        low, at, high = high, i, 2 * high
+    high = min(high, most + 1)
+    while high - low > 1:
+        middle = (low + high) // 2
+        if (i := first(middle)) >= 0:
+            low, at = middle, i
+        else:
+            high = middle
+    return at, b.find(a[at : at + low]), low
+
+
+def similarity(a: str, b: str, least: float = 0.0, enough: float = 2.0) -> float:
+    """The ratio that difflib's SequenceMatcher gives two strings without junk; where it is sure to lie under ``least`` or not under ``enough``, some number there."""
+    whole, found, open_letters = len(a) + len(b), 0, min(len(a), len(b))
+    if not whole:
+        return 1.0
+    todo = [(a, b, open_letters)]
+    while todo and 2.0 * (found + open_letters) / whole >= least and 2.0 * found / whole < enough:
+        x, y, most = todo.pop()
+        i, j, n = longest_common(x, y, most)
+        found += n
+        open_letters -= min(len(x), len(y))
+        for left, right in ((x[:i], y[:j]), (x[i + n :], y[j + n :])) if n else ():
+            if left and right:
+                open_letters += min(len(left), len(right))
+                todo.append((left, right, n))
+    return 2.0 * found / whole
+
+
+def most_similar(text: str, others: list[str], least: float = 0.4) -> int:
+    """Place of the most similar of the others, the last of equals, or -1 if none is as similar as ``least``."""
+    best, at = least, -1
+    for k, other in enumerate(others):
+        # one that is left needs no more than to be similar enough
+        ratio = similarity(text, other, best, least if len(others) == 1 else 2.0)
+        if ratio >= best:
+            best, at = ratio, k
+    return at
+
+
 def paragraph_ops(before: str | None, after: str | None, headline_changed: bool = False) -> list[str]:
     """Operations, as JSON, that turn the paragraphs of one text into those of another.
 
@@ -141,11 +194,9 @@ def paragraph_ops(before: str | None, after: str | None, headline_changed: bool
             continue
         free = list(range(b0, b1))
         for a in range(a0, a1):
-            scored = [(difflib.SequenceMatcher(None, old[a], new[b], autojunk=False).ratio(), b) for b in free] if kind == "replace" else []
-            if scored and max(scored)[0] >= 0.4:
-                b = max(scored)[1]
-                free.remove(b)
-                ops.append({"op": "mod", "before": old[a], "after": new[b]})
+            found = most_similar(old[a], [new[b] for b in free]) if kind == "replace" else -1
+            if found >= 0:
+                ops.append({"op": "mod", "before": old[a], "after": new[free.pop(found)]})
             else:
                 ops.append({"op": "del", "before": old[a]})
         ops += [{"op": "add", "after": new[b]} for b in free]
