@@ -621,3 +621,13 @@ def test_similarity_of_long_texts_is_fast():
     began = time.monotonic()
     assert revisions.similarity("ab" * 4000, "ba" * 4000) == 15_998 / 16_000
     assert time.monotonic() - began < 2
+
+
+def test_negation_is_found_once_for_a_clause(spark):
+    """Negators are looked for below the explosion into words, not again for each word."""
+    docs = spark.createDataFrame([("a", "good (not) good, good\nnever! good"), ("b", "nothing good"), ("c", None), ("d", "\"no\" bad bad")], "article_id string, text string")
+    lex = spark.createDataFrame([("good", 1.0), ("bad", -0.5)], "word string, weight double")
+    out = extract.negated_sentiment(docs, lex)
+    assert sorted(rows(out)) == [("a", 0.5), ("b", 1.0), ("d", 0.5)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("array_position")

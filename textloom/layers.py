@@ -510,8 +510,11 @@ def d6_negated_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _short_words(docs: DataFrame) -> DataFrame:
     """A lexicon from the texts: words of three to six letters that are in a fiftieth of the documents at least, with a weight of their own."""
     n = docs.agg(F.count(F.lit(1)).alias("docs"))
-    words = extract.clause_words(docs).select("article_id", F.explode("words").alias("word")).where(F.col("word").rlike(r"^\p{L}{3,6}$"))
-    often = words.groupBy("word").agg(F.countDistinct("article_id").alias("df")).join(F.broadcast(n)).where(F.col("df") * 50 >= F.col("docs"))
+    words = F.transform(F.split(F.lower("text"), r"[,.;:!?\n \t]+"), lambda w: F.btrim(w, F.lit(extract.PUNCTUATION)))
+    short = F.array_distinct(F.filter(words, lambda w: w.rlike(r"^\p{L}{3,6}$")))
+    # one row for a document, however often its id is repeated, so that counts are summed before they are sent
+    own = docs.where(F.col("article_id").isNotNull()).select("article_id", short.alias("words")).groupBy("article_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    often = own.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).where(F.col("df") * 50 >= F.col("docs"))
     return often.select("word", ((F.crc32(F.col("word").cast("binary")) % 17 - 8) / 8.0).alias("weight"))
 
 
