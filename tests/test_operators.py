@@ -631,3 +631,15 @@ def test_negation_is_found_once_for_a_clause(spark):
     assert sorted(rows(out)) == [("a", 0.5), ("b", 1.0), ("d", 0.5)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate posexplode") < plan.index("array_position")
+
+
+def test_small_arrow_batches(spark):
+    """A batch of texts, and of what is found in them, is bounded by bytes."""
+    from textloom.operators import gazetteer
+
+    docs = spark.createDataFrame([("a", "York")], "article_id string, text string")
+    aliases = spark.createDataFrame([("York", "LOC", 1)], "alias string, label string, sitelinks long")
+    for make in (lambda: gazetteer.gazetteer_spans(docs, aliases), lambda: extract.detections(docs)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+        make()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20

@@ -5,26 +5,18 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.scratch import materialize, scratch, settled, shared_dir
-from textloom.session import ship
+from textloom.session import BATCH_BYTES, bound_batches
 
 __all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "bound_batches", "bounded", "materialize", "scratch", "settled", "shared_dir", "trim"]
 
-#: Upper bound of the text that one Arrow batch carries to a Python worker.
-BATCH_BYTES = 4 << 20
 #: Rows of a small table up to which it is broadcast; a greater one is shuffled.
 BROADCAST_ROWS = 200_000
 
 
-def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Bound Arrow batches by bytes: ten thousand long documents do not fit a worker."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if its ``rows``, which were counted, are at most BROADCAST_ROWS."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions.scratch import materialize
 from textloom.operators.extract import PUNCTUATION, normal_alias, valid_span
+from textloom.session import bound_batches
 
 #: Aliases of one automaton: what every worker is sent is bounded by this, whatever the index holds.
 SHARD = 200_000
@@ -129,6 +130,7 @@ def gazetteer_spans(docs: DataFrame, aliases: DataFrame, shard: int = SHARD) ->
     are left out after that. Null texts and an empty index give no rows;
     repeated rows give their spans again.
     """
+    bound_batches(docs.sparkSession)
     names = materialize(names_of(aliases), "names")
     shards = max(1, -(-names.count() // shard))
     names = names.withColumn("shard", F.pmod(F.xxhash64("alias"), F.lit(shards)))
