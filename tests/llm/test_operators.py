@@ -182,6 +182,59 @@ def test_less_similar_duplicates(spark, monkeypatch, crowd):
         neardup.near_duplicates(docs, 5)
 
 
+def missed_pair(words: int = 2000, edits: int = 32) -> tuple[str, str]:
+    """Two texts over 85 percent alike whose signatures agree in no piece: the words under its least values are replaced."""
+    base = [f"w{k}" for k in range(words)]
+    values, offs = neardup.word_values(np.frombuffer(" ".join(base).encode(), np.uint8), np.array([0, len(" ".join(base).encode())]), lower=True)
+    grams, _ = neardup.shingles(values, offs)
+    least = [int(np.argmin(grams * neardup._MUL[k] + neardup._ADD[k])) for k in range(neardup.SLOTS)]
+    width = neardup.SLOTS // neardup.CHUNKS
+    at = [least[k] for k in range(0, neardup.SLOTS, width)]
+    at += [k for k in least if k not in at][: edits - len(set(at))]
+    other = list(base)
+    for k in at:
+        other[k + 2] = f"other{k}"
+    return " ".join(base), " ".join(other)
+
+
+@pytest.mark.parametrize("limits", [(neardup.CROWD, neardup.SHARE), (2, 3)])
+def test_pairs_that_signatures_miss(spark, monkeypatch, limits):
+    """Similar texts are linked even if their signatures agree in no piece, also where parts are crowded."""
+    monkeypatch.setattr(neardup, "CROWD", limits[0])
+    monkeypatch.setattr(neardup, "SHARE", limits[1])
+    one, two = missed_pair()
+    a, b = (neardup.signatures(neardup.text_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5))[0] for t in (one, two))
+    assert not (a == b).any()
+    rows = [(7, one), (3, two), (9, two + " more"), (4, " ".join(one.split()[:1000] + [f"z{k}" for k in range(1000)]))]
+    rows += [(20 + g, " ".join(one.split()[: 1200] + [f"g{g}z{k}" for k in range(800)])) for g in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert {d: c for d, _, c in want}[7] == 3
+    assert collected(neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")) == sorted(want, key=repr)
+    assert 7 not in {r.doc_id for r in neardup.deduplicated(docs).collect()}
+
+
+@pytest.mark.parametrize("percent", [85, 65])
+def test_similar_sets_share_parts(percent):
+    """Pairs of least similarity agree in more parts than the spare ones of a band, and parities bound their differences."""
+    rng = np.random.default_rng(percent)
+    for n in [*range(2, 40), *rng.integers(40, 3000, 60).tolist()]:
+        both = -(-n * percent // 100)
+        union = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        cut = int(rng.integers(both, n + 1))
+        sets = [union[:cut], np.r_[union[:both], union[cut:]]]
+        apart = n - both
+        assert apart <= neardup.apart(len(sets[0]) + len(sets[1]), percent)
+        rows, keys = neardup.part_keys(sets, percent)
+        same = set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+        spare = neardup.bands(percent)[2]
+        assert not apart or any(sum(k & 0xFF == band for k in same) > spare[band] for band in {k & 0xFF for k in same})
+        bits = [neardup.parities(s) for s in sets]
+        words = min(map(len, bits))
+        x, y = neardup._folded(bits, words)
+        assert np.bitwise_count(x ^ y).sum() <= apart
+
+
 def test_near_duplicates_on_odd_rows(spark):
     got = neardup.near_duplicates(odd_docs(spark))
     by = defaultdict(list)

@@ -9,6 +9,12 @@ distance that is so guaranteed meets in a bucket; of pairs that meet, those are
 followed whose distance a pair of the least similarity exceeds with a chance of
 MISS at most.
 
+What so stays apart is looked for again, surely: sets are cut by a hash of the
+shingle into more parts than may differ, so that two similar sets have whole
+parts in common (the same index, on the sets themselves). Sets of different
+components that share a part are compared by parities, which bound the shingles
+that differ from below, and then on full shingle sets.
+
 Equal sets are one node. Of the pairs in reach of a bucket a spanning forest is
 kept, so that rows grow with the nodes and not with the pairs. The forests join
 nodes to groups, outside of which no pair is in reach. Within a group, pairs in
@@ -26,12 +32,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from functools import cache
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm.anchors import Prefix, keyed, mix, null_safe, strings
 from textloom.llm.common import bound_batches, bounded, materialize, trim
@@ -47,6 +55,8 @@ WORDS = 5
 SHARE, SHARE_SHINGLES = 800, 1_000_000
 #: Nodes of a block of a bucket.
 CROWD = 512
+#: Growth of the sizes of sets that are cut into equally many parts, and shingles that may differ for each spare part.
+GROWTH, SPARE = 1.35, 16
 #: Times that crowded keys are dealt into blocks at first.
 DEALS = 2
 _SEED = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -137,9 +147,9 @@ def _signed(size: int):
                 for k, row in zip(part, signatures([sets[k] for k in part]), strict=True):
                     sig[k] = row
             # two sums over a set are its name
-            f1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+            f1 = _names(sets)
             f2 = np.array([mix(s ^ _FOLD[50]).sum(dtype=np.uint64) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(mix(f1).view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "tag", "n", "f1", "f2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2.view(np.int64)), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "tag", "n", "f1", "f2", "sig"])
         trim()
 
     return run
@@ -353,6 +363,14 @@ def _across(at: DataFrame, labels: DataFrame) -> DataFrame | None:
     return left.unionByName(right.withColumn("side", F.lit(1)))
 
 
+def _met(rows: DataFrame, task, label: str) -> DataFrame:
+    """The links (a, b) that the task finds in groups of rows."""
+    # so many tasks, however few bytes: the work lies in the pairs
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, *MEET).sortWithinPartitions(*MEET)
+    return materialize(rows.mapInArrow(task, "a long, b long").distinct(), label)
+
+
 def _links(at: DataFrame, attach, task, label: str) -> DataFrame:
     """(a, b) that join the nodes of each key to the components that the task's links give them.
 
@@ -362,23 +380,16 @@ def _links(at: DataFrame, attach, task, label: str) -> DataFrame:
     """
     sums = at.groupBy("key").agg(F.sum("cost").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
     sums = materialize(sums.select("key", F.greatest(F.lit(1), F.ceil(F.col("c") - 1e-6)).cast("int").alias("k")), f"{label}-sizes")
-    tasks = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def done(rows: DataFrame) -> DataFrame:
-        # so many tasks, however few bytes: the work lies in the pairs
-        rows = attach(rows).repartition(tasks, *MEET).sortWithinPartitions(*MEET)
-        return materialize(rows.mapInArrow(task, "a long, b long").distinct(), label)
-
     deals = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(DEALS)))))
     shared = materialize(at.join(sums, "key"), f"{label}-shared")
     rows = shared.select("key", "u", "k", deals.alias("deal"))
     block = F.pmod(F.xxhash64("u", "key", "deal"), F.col("k")).cast("int")
-    first = done(rows.select("key", F.lit(-2).cast("long").alias("p"), F.col("deal").cast("long").alias("q"), block.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "u", F.col("u").alias("comp")))
+    first = _met(attach(rows.select("key", F.lit(-2).cast("long").alias("p"), F.col("deal").cast("long").alias("q"), block.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "u", F.col("u").alias("comp"))), task, label)
     great = shared.where("k > 1").select("key", "u", "cost")
     if great.isEmpty():
         return first
     left = _across(great, components(first))
-    return first if left is None else first.unionByName(done(left))
+    return first if left is None else first.unionByName(_met(attach(left), task, label))
 
 
 def _local_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,13 +487,200 @@ def errors_of(percent: int) -> int:
     raise ValueError(f"{SLOTS} slots do not find pairs of {percent} percent")
 
 
+def apart(sizes, percent: int):
+    """Shingles in which two sets, of so many together, may differ at the least similarity."""
+    return sizes * (100 - percent) // (100 + percent)
+
+
+@cache
+def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each band of sizes the greatest size, the parts that a set is cut into, and how many more of these than one two similar sets have in common at least.
+
+    Sets of the first band differ in nothing and are not cut.
+    """
+    top = [-(-(100 + percent) // (2 * (100 - percent))) - 1]
+    while top[-1] < 1 << 40:
+        top.append(int(top[-1] * GROWTH) + 1)
+    tops = np.array(top, np.int64)
+    spare = apart(2 * tops, percent) // SPARE
+    return tops, apart(2 * tops, percent) + 1 + spare, spare
+
+
+def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of the parts of every set, the last byte of a key being its band.
+
+    Two similar sets agree in a band, that of the larger one, in more parts than its spare ones.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tops, parts, _ = bands(percent)
+    first, last = np.searchsorted(tops, sizes), np.searchsorted(tops, 100 * sizes // percent)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    place, value = mix(flat ^ _FOLD[51]), mix(flat ^ _FOLD[52])
+    rows, keys = [], []
+    for more in range(int((last - first).max(initial=0)) + 1):
+        band = first + more
+        count = np.where((band <= last) & (band > 0), parts[band], 0)
+        start = np.cumsum(count) - count
+        use = np.repeat(count > 0, sizes)
+        row = np.repeat(np.arange(len(sets)), sizes)[use]
+        part = (place[use] % parts[band][row].astype(np.uint64)).astype(np.int64)
+        content = np.zeros(int(count.sum()), np.uint64)
+        np.add.at(content, start[row] + part, value[use])
+        owner = np.repeat(np.arange(len(sets)), count)
+        number = (np.arange(len(content)) - start[owner]).astype(np.uint64)
+        key = mix(mix(content) + mix(number ^ _FOLD[53]))
+        keys.append(key & ~np.uint64(0xFF) | band[owner].astype(np.uint64))
+        rows.append(owner)
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64)
+
+
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    return mix(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)).view(np.int64)
+
+
+def _parts(percent: int, size: int):
+    """(key, f1) of the parts of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = text_sets(*strings(batch.column("text")), size)
+            f1, some = np.unique(_names(sets), return_index=True)
+            rows, keys = part_keys([sets[k] for k in some.tolist()], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(f1[rows])], names=["key", "f1"])
+        trim()
+
+    return run
+
+
+def parities(shingle_set: np.ndarray) -> np.ndarray:
+    """For each of at least four bits a shingle, a power of two, whether an odd number of shingles falls on it; sets differ in as many shingles as bits at least."""
+    width = max(64, 1 << (4 * len(shingle_set) - 1).bit_length())
+    at = mix(shingle_set ^ _FOLD[54]) & np.uint64(width - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _parity_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [parities(s).tobytes() for s in text_sets(*strings(batch.column("text")), size)]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("n"), pa.array(bits, pa.binary())], names=["u", "n", "bits"])
+        trim()
+
+    return run
+
+
+def _folded(bits: list[np.ndarray], words: int) -> np.ndarray:
+    """Parities of one width: halves of wider ones are added."""
+    return np.stack([np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) for b in bits])
+
+
+def _sure_tiles(side: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], label: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one block, or of two blocks those across, whose sizes and parities do not rule out the similarity; label as in :func:`_tiles`."""
+    across, order = side.min() != side.max(), np.argsort(sizes, kind="stable")
+    tiles = [order[a : a + 256] for a in range(0, len(order), 256)]
+    for a, x in enumerate(tiles):
+        for b, y in enumerate(tiles[a:], a):
+            if 100 * sizes[x[-1]] < percent * sizes[y[0]]:
+                break  # sizes rise
+            ok = label[x][:, None] != label[y][None, :]
+            if across:
+                ok &= side[x][:, None] != side[y][None, :]
+            if a == b:
+                ok = np.triu(ok, 1)
+            ok &= 100 * sizes[x][:, None] >= percent * sizes[y][None, :]
+            if not ok.any():
+                continue
+            words = min(min(len(bits[k]) for k in x.tolist()), min(len(bits[k]) for k in y.tolist()))
+            left, right = (_folded([bits[k] for k in z.tolist()], words) for z in (x, y))
+            far = np.zeros(ok.shape, np.int64)
+            for k in range(words):
+                far += np.bitwise_count(left[:, k, None] ^ right[None, :, k])
+            i, j = np.nonzero(ok & (far <= apart(sizes[x][:, None] + sizes[y][None, :], percent)))
+            yield x[i], y[j]
+
+
+def _sure_forest(percent: int):
+    """A spanning forest (a, b) of the pairs of each key that parities do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, MEET):
+            u, forest = t.column("u").to_numpy(), Forest(t.column("comp").to_numpy())
+            label, made = forest.label.copy(), []
+            bits = [np.frombuffer(b, np.uint64) for b in t.column("bits").to_pylist()]
+            for i, j in _sure_tiles(t.column("side").to_numpy(), t.column("n").to_numpy(), bits, label, percent):
+                made += [(int(u[i[k]]), int(u[j[k]])) for k in forest.join(i, j)]
+                label[:] = forest.label
+            yield _pairs(made)
+        trim()
+
+    return run
+
+
+def _sure_confirmed(percent: int, size: int):
+    """Links (a, b) that connect the nodes of a block, or of two, as far as their sets do, by parities and then in full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, MEET):
+            made: list[tuple[int, int]] = []
+            u, label = t.column("u").to_numpy(), np.unique(t.column("comp").to_numpy(), return_inverse=True)[1]
+            sets = [s for c in t.column("text").chunks for s in text_sets(*strings(c), size)]
+            sizes = np.array([len(s) for s in sets])
+            for x, y in _sure_tiles(t.column("side").to_numpy(), sizes, [parities(s) for s in sets], label, percent):
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    if label[i] == label[j]:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        made.append((int(u[i]), int(u[j])))
+                        label[label == label[j]] = label[i]
+            yield _pairs(made)
+        trim()
+
+    return run
+
+
+def _missed(own: DataFrame, nodes: DataFrame, links: DataFrame, percent: int, size: int) -> DataFrame | None:
+    """Links (a, b) between nodes that the given ones leave in different components, all of them as far as components go; None if there are none.
+
+    A crowded part is left out for sets that have no more of them than spare
+    parts: similar ones have another part in common.
+    """
+    every = Window.partitionBy("key")
+    keys = own.mapInArrow(_parts(percent, size), "key long, f1 long").withColumns({"lo": F.min("f1").over(every), "hi": F.max("f1").over(every)})
+    keys = keys.where("lo < hi").select("key", "f1").distinct()
+    labels = components(links)
+    named = nodes.select("f1", "u").join(labels, "u", "left").select("f1", "u", F.coalesce("comp", "u").alias("comp"))
+    at = materialize(keys.join(named, "f1").select("key", "u", "comp"), "parts")
+    several = at.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m")).where("c1 < c2").select("key", (F.col("m") > CROWD).cast("int").alias("crowded"))
+    band = F.col("key").bitwiseAND(F.lit(0xFF)).cast("int")
+    spare = F.element_at(F.array(*map(F.lit, bands(percent)[2].tolist())), band + 1)
+    at = at.join(several, "key").withColumn("many", F.sum("crowded").over(Window.partitionBy("u", band)))
+    at = materialize(at.where((F.col("crowded") == 0) | (F.col("many") > spare)).select("key", "u", F.lit(1.0 / CROWD).alias("cost")), "parts")
+    left = None if at.isEmpty() else _across(at, labels)
+    if left is None:
+        return None
+    texts = null_safe(own, nodes.join(at.select("u").distinct(), "u").select("u", "n", "one.doc_id", "one.tag").hint("merge")).select("u", "n", "text")
+    texts = materialize(texts, "texts")
+    bits = materialize(texts.mapInArrow(_parity_rows(size), "u long, n long, bits binary"), "parities")
+    near = _met(left.join(bits, "u"), _sure_forest(percent), "forest")
+    if near.isEmpty():
+        return None
+    known = bits.select("u").join(labels, "u").where("u <> comp").select(F.col("u").alias("a"), F.col("comp").alias("b"))
+    groups = components(near.unionByName(known)).withColumnRenamed("comp", "key")
+    cost = F.lit(1.0 / SHARE) + F.col("n") / SHARE_SHINGLES
+    left = _across(bits.join(groups, "u").select("key", "u", cost.alias("cost")), labels)
+    return None if left is None else _met(left.join(texts, "u"), _sure_confirmed(percent, size), "links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = WORDS, reach: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach) and kept, of each row.
 
     percent: least Jaccard similarity of the sets of ``size``-word shingles.
-    reach: slots that may differ, and all pairs that do not differ in more are
-    found. By default pairs of the least similarity are missed with a chance of
-    2 * MISS at most, ValueError where there are too few slots for it.
+    By default every pair of the similarity is found: what signatures leave out,
+    each with a chance of 2 * MISS at most, parts of the sets find; ValueError
+    where there are too few slots for it. reach: slots that may differ; if it is
+    given, only the pairs that do not differ in more are sure to be found.
     Texts without words have no shingle and no link; null texts count as
     empty. Repeated rows are linked like any equal texts. Null ids stay and
     count only if a component has no other id. Ids are integers. An empty table
@@ -511,6 +709,7 @@ def deduplicated(docs: DataFrame, percent: int = 85, size: int = WORDS, reach: i
 
 def _classes(own: DataFrame, percent: int, size: int, reach: int | None) -> tuple[DataFrame, DataFrame]:
     """Rows of a keyed table with the size and name of their set, and of each set its component, the least id there, and the row that stands for it."""
+    exact = reach is None and percent < 100
     errors = errors_of(percent) if reach is None else reach // CHUNKS
     reach = reach_of(percent) if reach is None else reach
     if not 0 <= reach < SLOTS:
@@ -532,6 +731,9 @@ def _classes(own: DataFrame, percent: int, size: int, reach: int | None) -> tupl
     texts = materialize(texts, "texts")  # those of the groups, few of all, which several rounds may read
     cost = F.lit(1.0 / SHARE) + F.col("n") / SHARE_SHINGLES
     links = _links(members.select(F.col("comp").alias("key"), "u", cost.alias("cost")), lambda rows: rows.join(texts, "u"), _confirmed(reach, percent, size), "links")
+    if exact:
+        missed = _missed(own, nodes, links, percent, size)
+        links = links if missed is None else links.unionByName(missed)
     linked = nodes.select("u", "least").join(components(links), "u")
     least = materialize(linked.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
     linked = materialize(linked.select("u", "comp").join(least, "comp"), "linked")
