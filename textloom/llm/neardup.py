@@ -57,6 +57,8 @@ SHARE, SHARE_SHINGLES = 800, 1_000_000
 CROWD = 512
 #: Growth of the sizes of sets that are cut into equally many parts, and shingles that may differ for each spare part.
 GROWTH, SPARE = 1.35, 16
+#: Bits of the parities of a set at least.
+LEAST_BITS = 1024
 #: Times that crowded keys are dealt into blocks at first.
 DEALS = 2
 _SEED = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -553,8 +555,8 @@ def _parts(percent: int, size: int):
 
 
 def parities(shingle_set: np.ndarray) -> np.ndarray:
-    """For each of at least four bits a shingle, a power of two, whether an odd number of shingles falls on it; sets differ in as many shingles as bits at least."""
-    width = max(64, 1 << (4 * len(shingle_set) - 1).bit_length())
+    """For each of at least four bits a shingle, LEAST_BITS at least and a power of two, whether an odd number of shingles falls on it; sets differ in as many shingles as bits at least."""
+    width = max(LEAST_BITS, 1 << (4 * len(shingle_set) - 1).bit_length())
     at = mix(shingle_set ^ _FOLD[54]) & np.uint64(width - 1)
     odd = np.bincount(at.astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
@@ -572,7 +574,7 @@ def _parity_rows(size: int):
 
 def _folded(bits: list[np.ndarray], words: int) -> np.ndarray:
     """Parities of one width: halves of wider ones are added."""
-    return np.stack([np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) for b in bits])
+    return np.stack([b if len(b) == words else np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) for b in bits])
 
 
 def _sure_tiles(side: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], label: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -600,17 +602,58 @@ def _sure_tiles(side: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], lab
             yield x[i], y[j]
 
 
+def _whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of many whole groups, and each row's group, from batches that are sorted by the keys."""
+
+    def groups(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        for c in (t.column(k).to_numpy() for k in keys):
+            new[1:] |= c[1:] != c[:-1]
+        return np.cumsum(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([*held, batch])
+        group = groups(t)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield t.slice(0, cut), group[:cut]
+        held = t.slice(cut).to_batches()
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, groups(t)
+
+
 def _sure_forest(percent: int):
-    """A spanning forest (a, b) of the pairs of each key that parities do not rule out."""
+    """A spanning forest (a, b) of the pairs of the keys that parities do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, MEET):
-            u, forest = t.column("u").to_numpy(), Forest(t.column("comp").to_numpy())
-            label, made = forest.label.copy(), []
+        for t, group in _whole(batches, MEET):
+            u, n, side, comp = (t.column(k).to_numpy() for k in ("u", "n", "side", "comp"))
+            forest, made = Forest(comp), []
             bits = [np.frombuffer(b, np.uint64) for b in t.column("bits").to_pylist()]
-            for i, j in _sure_tiles(t.column("side").to_numpy(), t.column("n").to_numpy(), bits, label, percent):
-                made += [(int(u[i[k]]), int(u[j[k]])) for k in forest.join(i, j)]
-                label[:] = forest.label
+            rough = _folded(bits, LEAST_BITS // 64)
+            first, size = np.unique(group, return_index=True, return_counts=True)[1:]
+            across = (np.minimum.reduceat(side, first) != np.maximum.reduceat(side, first))[group - group[0]]
+            for step in range(1, int(size.max())):
+                # each row and the one so many places on, of all groups at once
+                i = np.flatnonzero(group[step:] == group[:-step])
+                j = i + step
+                limit = apart(n[i] + n[j], percent)
+                ok = (forest.label[i] != forest.label[j]) & (abs(n[i] - n[j]) <= limit) & ~(across[i] & (side[i] == side[j]))
+                i, j, limit = i[ok], j[ok], limit[ok]
+                ok = np.bitwise_count(rough[i] ^ rough[j]).sum(axis=1, dtype=np.int64) <= limit
+                near = []
+                for x, y, most in zip(i[ok].tolist(), j[ok].tolist(), limit[ok].tolist(), strict=True):
+                    words = min(len(bits[x]), len(bits[y]))
+                    left, right = _folded([bits[x], bits[y]], words)
+                    if np.bitwise_count(left ^ right).sum() <= most:
+                        near.append((x, y))
+                if near:
+                    p, q = np.array(near).T
+                    made += [(int(u[p[k]]), int(u[q[k]])) for k in forest.join(p, q)]
             yield _pairs(made)
         trim()
 
