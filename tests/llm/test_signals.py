@@ -87,6 +87,21 @@ def test_likeness_estimates_generalised_jaccard(spark, small):
         assert abs(np.mean(side)) < 0.015 and np.sqrt(np.mean(np.square(side))) < 0.075
 
 
+def test_tables_of_fingerprints_hold_bytes(spark, monkeypatch):
+    """Tables on disk hold hex digits as bytes; the result spells them."""
+    tables = {}
+
+    def noted(df, label, plain=fingerprints.materialize):
+        tables[label] = dict(df.dtypes)
+        return plain(df, label)
+
+    monkeypatch.setattr(fingerprints, "materialize", noted)
+    got = fingerprints.fingerprints(spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string"))
+    hexed = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    assert all(tables["signatures"][c] == "binary" and dict(got.dtypes)[c] == "string" for c in hexed)
+    assert all(len(r[c]) == n for r in got.collect() for c, n in zip(hexed, (64, 256, 256), strict=True))
+
+
 def test_fingerprints_on_odd_rows(spark):
     rows = fingerprints.fingerprints(odd_docs(spark)).collect()
     assert len(rows) == 10 and sum(r["doc_id"] is None for r in rows) == 1

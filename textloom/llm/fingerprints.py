@@ -139,7 +139,19 @@ def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     hash stands for the document as another's next. A single document is its
     own next. An empty table gives no rows.
     """
-    return settled(docs.sparkSession, lambda: _fingerprints(docs, slots), "fingerprints")
+    return as_hex(settled(docs.sparkSession, lambda: _fingerprints(docs, slots), "fingerprints"))
+
+
+#: Columns of hex digits, which tables hold as bytes: half as many.
+HEX = ("edited_sha256", "fingerprint", "edited_fingerprint")
+
+
+def as_bytes(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.unhex(c) for c in HEX})
+
+
+def as_hex(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.lower(F.hex(c)) if c == "edited_sha256" else F.hex(c) for c in HEX})
 
 
 def _fingerprints(docs: DataFrame, slots: int) -> DataFrame:
@@ -156,7 +168,9 @@ def _fingerprints(docs: DataFrame, slots: int) -> DataFrame:
     rows = texts.join(lent, "doc_id").select("doc_id", "row", "text", edited.alias("edited"), (F.length("text") - half).alias("same"))
     key = ["doc_id", "row"]
     pair = signatures(rows, key, slots)
-    out = materialize(rows.select(*key, tag.alias("tag"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")).join(pair, key), "signatures")
+    out = materialize(as_bytes(rows.select(*key, tag.alias("tag"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")).join(pair, key)), "signatures")
     follows = out.join(wanted, "doc_id").where(F.col("tag") == F.col("next_tag")).groupBy(F.col("before").alias("doc_id")).agg(F.min("fingerprint").alias("following"))
     doc_id = F.when(F.col("row").bitwiseAND(F.lit(1)) == 0, F.col("doc_id")).alias("doc_id")
-    return out.join(follows, "doc_id").select(doc_id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), slots).alias("near_edited"), likeness(F.col("fingerprint"), F.col("following"), slots).alias("near_next"))
+    mine, edit, other = F.hex("fingerprint"), F.hex("edited_fingerprint"), F.hex("following")
+    both = out.join(follows, "doc_id").select(doc_id, "n_chars", *HEX, mine.alias("mine"), edit.alias("edit"), other.alias("other"))
+    return both.select("doc_id", "n_chars", *HEX, likeness(F.col("mine"), F.col("edit"), slots).alias("near_edited"), likeness(F.col("mine"), F.col("other"), slots).alias("near_next"))
