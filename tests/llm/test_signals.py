@@ -185,6 +185,24 @@ def test_alignment_on_odd_rows(spark, paths):
     assert crosstoken.alignment(empty_docs(spark), *paths).count() == 0
 
 
+def test_alignment_encodes_a_word_once(paths, monkeypatch):
+    """Texts of known words are put together from these; places where words touch oddly change nothing."""
+    rng, words = random.Random(4), crosstoken.Words(crosstoken.Tokens(*paths))
+    seen, real = [], crosstoken.Tokens.encode
+    monkeypatch.setattr(crosstoken.Tokens, "encode", lambda self, texts: seen.extend(texts) or real(self, texts))
+    texts = [" ".join(rng.choice(["the", "of", "it's", "naïve", "a\nb", "x.", "(1)"]) for _ in range(60)) for _ in range(50)]
+    assert words.tokens.by_words and len(words.split(texts)) == 50
+    assert sum(map(len, seen)) < 100 < sum(map(len, texts)) / 50
+    bits = ["a", "b", " ", "  ", "\n", " \n", "\t", "é", "▁", "中", "\u0301", "\u00a0", "\u3000", "\x85", "'s", "<s>", "\0", "…"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["\na", " \na", "a \nb", "a\t", "a\t b", "a b\n"]
+    split = words.split(texts)
+    got = ["".join(words.parts.spelled[k] for k in own) for own in split]
+    plain = crosstoken.Words(words.tokens)
+    words.tokens.by_words = False
+    alone = plain.split(texts)
+    assert got == ["".join(plain.parts.spelled[k] for k in own) for own in alone] and sum(map(bool, got)) > 1000
+
+
 # whitening ---------------------------------------------------------------------------------
 
 

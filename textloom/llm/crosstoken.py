@@ -1,17 +1,20 @@
 """Alignment of two tokenizers: common token ends cut a text into groups, whose tokens are linked.
 
-A task encodes blocks of documents twice, merges the cumulative ends of both
-token lists and writes each block as one row: its links as indices into the
-block's list of different id pairs. Spark counts in how many documents a pair
-is linked from the blocks' own counts, so that a pair travels once a block and
-not once a document, finds each id's highest count, and sends both back to the
-blocks, where the documents' figures are summed.
+A task cuts texts where neither tokenizer's tokens cross, encodes each different
+part twice and merges the cumulative ends of both token lists; texts are put
+together from their parts. It writes each block of documents as one row: its
+links as indices into the block's list of different id pairs. Spark counts in how
+many documents a pair is linked from the blocks' own counts, so that a pair
+travels once a block and not once a document, finds each id's highest count, and
+sends both back to the blocks, where the documents' figures are summed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,10 @@ from textloom.llm.common import bound_batches, materialize, settled, trim
 BLOCK_BYTES = 2 << 20
 #: Texts that are encoded at once.
 AT_ONCE = 32
+#: Pairs of the words that a worker knows before it begins anew, words that are encoded as one text, and the word before them.
+KNOWN, JOINED, ANCHOR = 1_000_000, 256, "a"
+#: Words of texts cut at blanks and before line feeds, places between such words at blanks, and what lies between those.
+WORD, CUT, CLEAN = re.compile(r"\n?[\w!-~](?:.*[\w!-~])?\Z", re.S), re.compile(r"(?<=[\w!-~]) (?=[\w!-~])"), re.compile(r"[\w!-~](?:[^▁]*[\w!-~])?\Z")
 #: Bits of a pair that hold the second id.
 SHIFT = 32
 BLOCK = "block string, ids binary, nulls binary, figures binary, hashes binary, pairs binary, held binary, starts binary, at binary, times binary"
@@ -56,14 +63,35 @@ class Tokens:
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.spelling = [f"{i}{mark}" for mark in ",|;" for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.by_words = self._by_words(path_a, path_b)
+
+    def _by_words(self, path_a: str, path_b: str) -> bool:
+        """Whether both sides encode words apart: A's pattern begins anew at a blank or line feed between other characters, and no piece of B goes on there."""
+        from sentencepiece import sentencepiece_model_pb2
+
+        with open(path_a, encoding="utf-8") as f:
+            a = json.load(f)
+        rule, added = a.get("pre_tokenizer") or {}, a.get("added_tokens") or []
+        plain = a["model"].get("type") == "BPE" and not a.get("normalizer") and not a["model"].get("dropout") and all(t["special"] for t in added)
+        pattern = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space")
+        b = sentencepiece_model_pb2.ModelProto()
+        with open(path_b, "rb") as f:
+            b.ParseFromString(f.read())
+        norm, kinds = b.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece
+        same = not norm.precompiled_charsmap and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and norm.escape_whitespaces
+        bpe = b.trainer_spec.model_type == b.trainer_spec.BPE and b.trainer_spec.byte_fallback and not b.trainer_spec.treat_whitespace_as_suffix
+        whole = all(x.type != kinds.USER_DEFINED and (x.type != kinds.NORMAL or ("\n" not in x.piece and ("▁" not in x.piece[1:] or not x.piece.strip("▁")))) for x in b.pieces)
+        return bool(plain and pattern and same and bpe and whole)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides; two empty lists where a side does not give back blank + text byte by byte."""
         out = []
-        for text, a, b in zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            want, ids = (" " + text).encode(errors="replace"), a.ids
-            same = bool(text) and b"".join(map(self.bytes_a.__getitem__, ids)) == want == b"".join(map(self.bytes_b.__getitem__, b))
-            out.append((ids, b) if same else ([], []))
+        for k in range(0, len(texts), AT_ONCE):
+            part = texts[k : k + AT_ONCE]
+            for text, a, b in zip(part, self.a.encode_batch_fast([" " + t for t in part], add_special_tokens=False), self.b.encode(part, num_threads=1), strict=True):
+                want, ids = (" " + text).encode(errors="replace"), a.ids
+                same = bool(text) and b"".join(map(self.bytes_a.__getitem__, ids)) == want == b"".join(map(self.bytes_b.__getitem__, b))
+                out.append((ids, b) if same else ([], []))
         return out
 
 
@@ -75,8 +103,8 @@ def merged_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(hit), at[hit]
 
 
-def spelled(tokens: Tokens, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``. cut_a, cut_b: places of the groups' last tokens; group_a, group_b: each token's group."""
+def spelled(tokens: Tokens, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> list[str]:
+    """Groups as ``a1,a2|b1;a3|b2,b3;``, by token. cut_a, cut_b: places of the groups' last tokens; group_a, group_b: each token's group."""
     n = len(tokens.spelling) // 3  # "id,", "id|" and "id;" of every id
     a, b = a.copy(), b.copy()
     a[cut_a] += n
@@ -84,7 +112,7 @@ def spelled(tokens: Tokens, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut
     codes = np.empty(len(a) + len(b), np.int64)
     codes[np.arange(len(a)) + (cut_b - np.diff(cut_b, prepend=-1) + 1)[group_a]] = a
     codes[np.arange(len(b)) + (cut_a + 1)[group_b]] = b
-    return "".join(map(tokens.spelling.__getitem__, codes.tolist()))[:-1]
+    return list(map(tokens.spelling.__getitem__, codes.tolist()))
 
 
 def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,57 +121,169 @@ def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key >> SHIFT, key & ((1 << SHIFT) - 1), times
 
 
-def aligned(tokens: Tokens, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text n_a, n_b, n_groups, n_links and the hash of its groups; then the different pairs (a << SHIFT | b), the texts that hold each, and by text the pairs (start, index, times).
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range, one range after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
-    Two tokens are linked if their byte ranges share a group. A group with many
-    tokens is multiplied out over its different ids only.
-    """
-    figures, hashes = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
-    sides: tuple[list, list] = ([], [])
-    bounds = [0]
-    encoded = (pair for k in range(0, len(texts), AT_ONCE) for pair in tokens.encode([t or "" for t in texts[k : k + AT_ONCE]]))
-    for d, (a, b) in enumerate(encoded):
-        if not a:
-            bounds.append(bounds[-1])
-            continue
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-        cut_a, cut_b = merged_ends(np.cumsum(tokens.len_a[ids_a]), np.cumsum(tokens.len_b[ids_b]))
-        sizes = [np.diff(c, prepend=-1) for c in (cut_a, cut_b)]
-        groups = [np.repeat(np.arange(len(size)), size) for size in sizes]
-        hashes[d] = hashlib.sha256(spelled(tokens, ids_a, ids_b, cut_a, cut_b, *groups).encode()).hexdigest()
-        figures[d] = len(a), len(b), len(cut_a), (sizes[0] * sizes[1]).sum()
-        for side, ids, group in zip(sides, (ids_a, ids_b), groups, strict=True):
-            side.append((ids, group + bounds[-1]))
-        bounds.append(bounds[-1] + len(cut_a))
-    none = np.empty(0, np.int64)
-    if not sides[0]:
-        return figures, hashes, none, none, np.zeros(len(texts) + 1, np.int64), none, none
-    (ga, ia, ta), (gb, ib, tb) = (_counted(np.concatenate([g for _, g in s]), np.concatenate([i for i, _ in s])) for s in sides)
-    many = np.bincount(gb, minlength=bounds[-1])
-    first = np.cumsum(many) - many
-    rep = many[ga]
-    start = np.repeat(first[ga] - (np.cumsum(rep) - rep), rep)
-    right = start + np.arange(len(start))
-    pair = np.repeat(ia, rep) << SHIFT | ib[right]
-    times = np.repeat(ta, rep) * tb[right]
-    cuts = np.searchsorted(np.repeat(ga, rep), np.array(bounds))
-    pairs, at = np.unique(pair, return_inverse=True)
-    key = np.repeat(np.arange(len(texts)), np.diff(cuts)) * len(pairs) + at
+
+def _summed_by(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, ascending, and the sums of their times."""
+    if not len(key):
+        return key, times
     order = np.argsort(key, kind="stable")
     key = key[order]
     fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    times = np.add.reduceat(times[order], fresh)
-    doc, at = np.divmod(key[fresh], len(pairs))
+    return key[fresh], np.add.reduceat(times[order], fresh)
+
+
+class Parts:
+    """Parts of texts that are aligned once: figures (n_a, n_b, n_groups, n_links), spelled groups, and the linked pairs with their times, part by part."""
+
+    def __init__(self):
+        self.figures, self.spelled = np.zeros((0, 4), np.int64), []
+        self.first, self.pair, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, tokens: Tokens, a: np.ndarray, b: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> None:
+        """Align ids of both sides. ends: bytes after which each part ends, where tokens of both sides end too; kept: the parts to be added.
+
+        Two tokens are linked if their byte ranges share a group. A group with
+        many tokens is multiplied out over its different ids only.
+        """
+        if not len(ends):
+            return
+        end_a, end_b = np.cumsum(tokens.len_a[a]), np.cumsum(tokens.len_b[b])
+        cut_a, cut_b = merged_ends(end_a, end_b)
+        size_a, size_b = (np.diff(c, prepend=-1) for c in (cut_a, cut_b))
+        group_a, group_b = (np.repeat(np.arange(len(size)), size) for size in (size_a, size_b))
+        if not np.isin(ends, end_a[cut_a]).all():
+            raise ValueError("a token goes on beyond its part")
+        owner = np.searchsorted(ends, end_a[cut_a])  # of each group
+        to_a, to_b, to = (np.concatenate([[0], np.searchsorted(e, ends, "right")]) for e in (end_a, end_b, end_a[cut_a]))
+        links = np.concatenate([[0], np.cumsum(size_a * size_b)])[to]
+        text, at = spelled(tokens, a, b, cut_a, cut_b, group_a, group_b), (to_a + to_b).tolist()
+        (ga, ia, ta), (gb, ib, tb) = _counted(group_a, a), _counted(group_b, b)
+        many = np.bincount(gb, minlength=len(cut_a))
+        rep = many[ga]
+        right = _ranges((np.cumsum(many) - many)[ga], rep)
+        pairs, place = np.unique(np.repeat(ia, rep) << SHIFT | ib[right], return_inverse=True)
+        key, times = _summed_by(np.repeat(owner[ga], rep) * len(pairs) + place, np.repeat(ta, rep) * tb[right])
+        part, place = np.divmod(key, len(pairs))
+        use, count = kept[part], np.bincount(part, minlength=len(ends))[kept]
+        self.figures = np.concatenate([self.figures, np.stack([np.diff(x) for x in (to_a, to_b, to, links)], axis=1)[kept]])
+        self.spelled += ["".join(text[at[k] : at[k + 1]]) for k in np.flatnonzero(kept).tolist()]
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(count)])
+        self.pair, self.times = np.concatenate([self.pair, pairs[place[use]]]), np.concatenate([self.times, times[use]])
+
+
+class Words:
+    """The parts that texts consist of, with what is known of them, until they have over KNOWN pairs.
+
+    A part is a blank or line feed between characters of EDGE with what follows
+    up to the next such place. Neither side's tokens cross these places or
+    depend on what lies beyond, so that a part is aligned once for all texts.
+    """
+
+    def __init__(self, tokens: Tokens):
+        self.tokens = tokens
+        self.forget()
+
+    def forget(self) -> None:
+        self.parts, self.known = Parts(), {}
+
+    def split(self, texts: list[str]) -> list[list[int]]:
+        """The places in ``parts`` of each text's parts; none where a side does not give back the text."""
+        if len(self.parts.pair) > KNOWN:
+            self.forget()
+        words: list[list[str] | None] = [None] * len(texts)
+        if self.tokens.by_words:
+            words = [None if "▁" in t else t.replace("\n", " \n").split(" ") for t in texts]
+            # what is not known and no word between two edges makes the text one that is cut at blanks only
+            new = set().union(*(w for w in words if w)).difference(self.known)
+            fit = set(filter(WORD.match, new))
+            odd = new - fit
+            for k, w in enumerate(words):
+                if w is not None and not odd.isdisjoint(w):
+                    words[k] = None
+            cut = {k: CUT.split(t) if "▁" not in t else [t] for k, t in enumerate(texts) if words[k] is None}
+            fit |= {c for parts in cut.values() for c in parts if c not in self.known and CLEAN.match(c)}
+            self._learn_words(sorted(fit))
+        else:
+            cut = {k: [t] for k, t in enumerate(texts)}
+        alone = {c for parts in cut.values() for c in parts if not (self.tokens.by_words and CLEAN.match(c))}
+        own = self._learn(sorted(alone))
+        out, whole = [], []
+        for k, w in enumerate(words):
+            at = list(map(self.known.get, w)) if w is not None else [own[c] if c in own else self.known.get(c) for c in cut[k]]
+            if None in at:
+                whole.append(k)
+            out.append(at)
+        # a part is not given back alone, though the whole text might be
+        own = self._learn(sorted({texts[k] for k in whole}))
+        for k in whole:
+            out[k] = [own[texts[k]]] if own[texts[k]] is not None else []
+        return out
+
+    def _learn(self, texts: list[str]) -> dict[str, int | None]:
+        """Places of texts, each encoded as it is, None where a side does not give it back."""
+        ids = self.tokens.encode(texts)
+        good = [k for k, (a, _) in enumerate(ids) if a]
+        start = len(self.parts.spelled)
+        sides = [np.concatenate([np.array(ids[k][s], np.int64) for k in good] + [np.zeros(0, np.int64)]).astype(np.int64) for s in (0, 1)]
+        self.parts.add(self.tokens, *sides, np.cumsum([1 + len(texts[k].encode()) for k in good]), np.ones(len(good), bool))
+        return dict.fromkeys(texts) | {texts[k]: start + i for i, k in enumerate(good)}
+
+    def _learn_words(self, words: list[str], at_once: int = JOINED) -> None:
+        """Let words be known, many of them joined to a text behind a first word that is not looked at; those that a side does not give back stay unknown."""
+        lists = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        ids = self.tokens.encode([ANCHOR + "".join(w if w[0] == "\n" else " " + w for w in part) for part in lists])
+        a, b, sizes, kept, names, again = [], [], [], [], [], []
+        for part, (own_a, own_b) in zip(lists, ids, strict=True):
+            if not own_a:
+                again += part if len(part) > 1 else []
+                continue
+            a.append(np.array(own_a, np.int64))
+            b.append(np.array(own_b, np.int64))
+            sizes += [1 + len(ANCHOR), *(len(w.encode()) + (w[0] != "\n") for w in part)]
+            kept += [False, *[True] * len(part)]
+            names += part
+        start = len(self.parts.spelled)
+        if a:
+            self.parts.add(self.tokens, np.concatenate(a), np.concatenate(b), np.cumsum(sizes), np.array(kept))
+        self.known |= zip(names, range(start, start + len(names)), strict=True)
+        if again:
+            self._learn_words(again, 1)
+
+
+def aligned(words: Words, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text n_a, n_b, n_groups, n_links and the hash of its groups; then the different pairs (a << SHIFT | b), the texts that hold each, and by text the pairs (start, index, times)."""
+    split = words.split([t or "" for t in texts])
+    parts, spelling = words.parts, words.parts.spelled
+    hashes = [hashlib.sha256("".join(map(spelling.__getitem__, own))[:-1].encode()).hexdigest() if own else "" for own in split]
+    count = np.array([len(own) for own in split], np.int64)
+    flat = np.fromiter((k for own in split for k in own), np.int64, count.sum())
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    figures = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(parts.figures[flat], axis=0)])[bounds], axis=0)
+    # each text's different parts, then the pairs of the parts of all texts, numbered
+    held = max(1, len(spelling))
+    key, many = np.unique(np.repeat(np.arange(len(texts)), count) * held + flat, return_counts=True)
+    doc, part = np.divmod(key, held)
+    used, part = np.unique(part, return_inverse=True)
+    size = parts.first[used + 1] - parts.first[used]
+    own = _ranges(parts.first[used], size)
+    pairs, number = np.unique(parts.pair[own], return_inverse=True)
+    rep = size[part]
+    at = _ranges((np.cumsum(size) - size)[part], rep)
+    key, times = _summed_by(np.repeat(doc, rep) * max(1, len(pairs)) + number[at], parts.times[own][at] * np.repeat(many, rep))
+    doc, at = np.divmod(key, max(1, len(pairs)))
     return figures, hashes, pairs, np.bincount(at, minlength=len(pairs)), np.searchsorted(doc, np.arange(len(texts) + 1)), at, times
 
 
 def _aligned_blocks(path_a: str, path_b: str, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, ids, texts, size = Tokens(path_a, path_b), [], [], 0
+        words, ids, texts, size = Words(Tokens(path_a, path_b)), [], [], 0
 
         def block() -> pd.DataFrame:
-            figures, hashes, pairs, held, starts, at, times = aligned(tokens, texts)
+            figures, hashes, pairs, held, starts, at, times = aligned(words, texts)
             nulls = np.array([i is None for i in ids])
             name = hashlib.sha256("".join(map(str, ids)).encode() + b"".join(h.encode() for h in hashes)).hexdigest()
             row = {"block": f"{name[:24]}-{os.urandom(6).hex()}", "ids": np.array([i or 0 for i in ids], np.int64), "nulls": nulls, "figures": figures, "pairs": pairs, "held": held.astype(np.int32), "starts": starts, "at": at.astype(np.int32), "times": times}
