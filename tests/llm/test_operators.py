@@ -811,3 +811,28 @@ def test_maximal_segments():
     for _ in range(200):
         x = [rng.choice([-3, -1, 2, 5]) + rng.random() / 100 for _ in range(rng.randint(0, 14))]
         assert [(a, b) for a, b, _ in toxicity.segments(x)] == brute(x)
+
+
+def test_parts_of_the_same_nodes_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CROWD", 3)
+    at = [(k, u, u) for k in (5, 4, 9) for u in (1, 2, 2**40)] + [(6, u, u) for u in (1, 2)] + [(k, u, u) for k in (7, 8) for u in range(4)] + [(k, u, 1) for k in (2, 3) for u in (1, 2)]
+    got = neardup._once(spark.createDataFrame(at, "key long, u long, comp long")).collect()
+    assert sorted(map(tuple, got)) == [(4, 0), (6, 0), (7, 1), (8, 1)]
+
+
+def test_near_duplicates_leave_no_shuffles_and_few_tables(spark, small):
+    """Shuffled bytes go with each action, tables with the last that reads them; the setting is as before."""
+    from textloom.functions import scratch
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(name), []
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    with scratch.scratch(spark) as paths:
+        real = neardup.components
+        neardup.components = lambda links: seen.append(spark.conf.get(name)) or real(links)
+        try:
+            rows = neardup.near_duplicates(docs).count()
+        finally:
+            neardup.components = real
+        assert [p.split("textloom-")[-1].split("-")[0] for p in paths] == ["signed", "classes"]
+    assert rows == docs.count() and set(seen) == {"true"} and spark.conf.get(name) == before

@@ -77,6 +77,18 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         drop(spark, _OPEN.pop())
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What one action shuffles is removed when it ends, not when the driver happens to collect its plan."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def settled(spark: SparkSession, make, label: str) -> DataFrame:
     """The result of make() as a table; the tables that were needed for it are deleted."""
     with scratch(spark) as paths:

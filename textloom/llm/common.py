@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.scratch import materialize, scratch, settled, shared_dir
+from textloom.functions.scratch import materialize, scratch, settled, shared_dir, swept
 from textloom.session import BATCH_BYTES, bound_batches
 
-__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "bound_batches", "bounded", "materialize", "scratch", "settled", "shared_dir", "trim"]
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "bound_batches", "bounded", "materialize", "scratch", "settled", "shared_dir", "swept", "trim"]
 
 #: Rows of a small table up to which it is broadcast; a greater one is shuffled.
 BROADCAST_ROWS = 200_000

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.llm.anchors import Prefix, keyed, mix, null_safe, strings
-from textloom.llm.common import bound_batches, bounded, materialize, trim
+from textloom.llm.common import bound_batches, bounded, materialize, settled, swept, trim
 
 SLOTS, CHUNKS = 66, 22
 #: Slots that may differ so that whole pieces are sure to agree somewhere.
@@ -683,11 +683,23 @@ def _sure_confirmed(percent: int, size: int):
     return run
 
 
+def _once(at: DataFrame) -> DataFrame:
+    """(key, crowded) of the keys of at(key, u, comp) with nodes of several components; of those that are not crowded and have the same nodes, the least.
+
+    Two hashes, 128 bits, and their number name the nodes of a key.
+    """
+    names = [F.bit_xor(F.xxhash64(F.lit(k), "u")).alias(f"h{k}") for k in (1, 2)]
+    several = at.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"), *names).where("c1 < c2")
+    one = several.where(F.col("m") <= CROWD).groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.lit(0).alias("crowded"))
+    return one.unionByName(several.where(F.col("m") > CROWD).select("key", F.lit(1).alias("crowded")))
+
+
 def _missed(own: DataFrame, nodes: DataFrame, links: DataFrame, percent: int, size: int) -> DataFrame | None:
     """Links (a, b) between nodes that the given ones leave in different components, all of them as far as components go; None if there are none.
 
     A crowded part is left out for sets that have no more of them than spare
-    parts: similar ones have another part in common.
+    parts: similar ones have another part in common. Of other parts that the
+    same nodes share, as those of a long passage are, one is enough.
     """
     every = Window.partitionBy("key")
     keys = own.mapInArrow(_parts(percent, size), "key long, f1 long").withColumns({"lo": F.min("f1").over(every), "hi": F.max("f1").over(every)})
@@ -695,7 +707,7 @@ def _missed(own: DataFrame, nodes: DataFrame, links: DataFrame, percent: int, si
     labels = components(links)
     named = nodes.select("f1", "u").join(labels, "u", "left").select("f1", "u", F.coalesce("comp", "u").alias("comp"))
     at = materialize(keys.join(named, "f1").select("key", "u", "comp"), "parts")
-    several = at.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m")).where("c1 < c2").select("key", (F.col("m") > CROWD).cast("int").alias("crowded"))
+    several = _once(at)
     band = F.col("key").bitwiseAND(F.lit(0xFF)).cast("int")
     spare = F.element_at(F.array(*map(F.lit, bands(percent)[2].tolist())), band + 1)
     at = at.join(several, "key").withColumn("many", F.sum("crowded").over(Window.partitionBy("u", band)))
@@ -757,8 +769,16 @@ def _classes(own: DataFrame, percent: int, size: int, reach: int | None) -> tupl
     reach = reach_of(percent) if reach is None else reach
     if not 0 <= reach < SLOTS:
         raise ValueError(f"reach is 0 to {SLOTS - 1}")
-    bound_batches(own.sparkSession)
-    signed = materialize(own.mapInArrow(_signed(size), SIGNED), "signed")
+    spark = own.sparkSession
+    bound_batches(spark)
+    with swept(spark):
+        signed = materialize(own.mapInArrow(_signed(size), SIGNED), "signed")
+        classes = settled(spark, lambda: _nodes(own, signed, percent, size, reach, errors, exact), "classes")
+    return signed, classes
+
+
+def _nodes(own: DataFrame, signed: DataFrame, percent: int, size: int, reach: int, errors: int, exact: bool) -> DataFrame:
+    """The sets of signed rows, as :func:`_classes` gives them."""
     # equal sets are one node, one of whose rows stands for it; two sums over the set, 128 bits, and its size name it
     one = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tag", "sig")
     nodes = signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(one).alias("one"), F.min("doc_id").alias("least"))
@@ -781,4 +801,4 @@ def _classes(own: DataFrame, percent: int, size: int, reach: int | None) -> tupl
     least = materialize(linked.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
     linked = materialize(linked.select("u", "comp").join(least, "comp"), "linked")
     nodes = nodes.join(linked, "u", "left").select("n", "f1", "f2", "one", F.coalesce("comp", "u").alias("comp"), F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return signed, materialize(nodes.withColumn("one", F.struct("one.null", "one.doc_id", "one.tag")), "classes")
+    return nodes.withColumn("one", F.struct("one.null", "one.doc_id", "one.tag"))
