@@ -216,6 +216,19 @@ def test_topics_within_a_language(spark):
     assert len({out[i].model_hash for i in ("en0", "en1", "de0")}) == 2
 
 
+def test_topics_read_texts_once(spark, monkeypatch):
+    """However many languages, texts are split and hashed in one table, which goes when the topics are written."""
+    from pyspark.ml.feature import HashingTF
+
+    made, real = [], HashingTF.transform
+    monkeypatch.setattr(HashingTF, "transform", lambda self, df, *more: made.append(df.columns) or real(self, df, *more))
+    held = set(spark.sparkContext._jsc.getPersistentRDDs())
+    docs = [(f"{lang}{k}", lang, f"{lang} {'ab' if k % 2 else 'cd'}") for lang in ("de", "en", "fr") for k in range(20)]
+    out = extract.topics(spark.createDataFrame(docs, "article_id string, language string, text string"), k=2).collect()
+    assert len(out) == 60 and len({(r.language, r.topic_id) for r in out}) == 6 and len(made) == 1
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) == held
+
+
 def test_alias_linking(spark):
     labels = spark.createDataFrame([("Q1", "Berlin!", "label", 5), ("Q2", "berlin", "altLabel", 99), ("Q3", "É", "label", 1)], "qid string, text string, source string, sitelinks int")
     index = extract.alias_index(labels)
