@@ -551,6 +551,74 @@ def test_gazetteer_golden(spark, shard):
     assert gazetteer.gazetteer_spans(docs, aliases.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lane", [1, 5, 64])
+def test_automaton_from_many_places(lane):
+    """Reading from many places finds what one pass does, whatever lies across their bounds; symbols may be words."""
+    import random
+
+    from textloom.operators import gazetteer
+
+    rng = random.Random(lane)
+    for _ in range(100):
+        names = {tuple(rng.choice(("new", " ", "york")) for _ in range(rng.randint(1, 7))): "L" for _ in range(rng.randint(0, 20))}
+        text = [rng.choice(("new", "new", " ", "york", "?")) for _ in range(rng.randint(0, 90))]
+        want = sorted((i, i + len(n), "L") for n in names for i in range(len(text)) if tuple(text[i : i + len(n)]) == n)
+        assert sorted(gazetteer.Automaton(names).finds(text, lane)) == want
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_gazetteer_by_definition(shards, monkeypatch):
+    """Odd letters, pieces of a batch and shards, against every name at every place."""
+    import random
+
+    import pyarrow as pa
+
+    from textloom.operators import gazetteer
+
+    monkeypatch.setattr(gazetteer, "PIECE", 60)
+    rng = random.Random(shards)
+    spans = 0
+    for _ in range(150):
+        letters = rng.choice(("ab ", "aab  .", "aabbAB  .,-\u2013\u0130\u0131\u03a3\u03c3\u03c2\u00dfE\u0301\u00e9\t\n\0\u540d\U0001f600_\u00b2\u01c5"))
+        some = lambda n: "".join(rng.choice(letters) for _ in range(n))  # noqa: E731, B023
+        lower = lambda t: "".join(c.lower() if len(c.lower()) == 1 else c for c in t if c not in extract.PUNCTUATION)
+        names = {n: rng.choice(("PER", "LOC")) for n in (lower(some(rng.randint(1, 7))).strip(" ") for _ in range(25)) if n}
+        texts = [rng.choice((None, "", some(rng.randint(1, 60)), some(150))) for _ in range(9)]
+        want = set()
+        for k, t in enumerate(texts):
+            at = [i for i, c in enumerate(t or "") if c not in extract.PUNCTUATION]
+            form = lower(t or "")
+            finds = [(at[a] - at[a + len(n) - 1], at[a], label) for n, label in names.items() for a in range(len(form)) if form.startswith(n, a) and not form[:a][-1:].isalnum() and not form[a + len(n) :][:1].isalnum()]
+            taken = set()
+            for length, a, label in sorted(finds):
+                b = a - length + 1
+                if not taken & set(range(a, b)):
+                    taken |= set(range(a, b))
+                    want.add((k, t[a:b], label, a, b))
+        rows = iter([pa.RecordBatch.from_pydict({"article_id": pa.array(range(9), pa.int64()), "text": pa.array(texts, pa.string())})])
+        for k in range(shards):
+            part = [n for i, n in enumerate(names) if i % shards == k]
+            automaton = gazetteer.Automaton(dict(zip(gazetteer.Words(part).each(), (names[n] for n in part), strict=True)))
+            rows = gazetteer._shard(automaton, k == shards - 1)(rows)
+        got = [tuple(r.values()) for batch in rows for r in batch.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+        spans += len(want)
+    assert spans > 1000
+
+
+def test_gazetteer_reads_a_text_once(spark):
+    """A text with a name at every word is not copied for each of them, and goes to Python once."""
+    from textloom.operators import gazetteer
+
+    aliases = spark.createDataFrame([("York", "LOC", 1), ("New York", "LOC", 1)], "alias string, label string, sitelinks long")
+    docs = spark.range(4).select(F.col("id").alias("article_id"), F.repeat(F.lit("\u00dc york, NEW York! "), 20_000).alias("text"))
+    spans = gazetteer.gazetteer_spans(docs, aliases)
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan and "EvalPython" not in plan
+    got = {tuple(r) for r in spans.agg(F.count(F.lit(1)), F.count_distinct("article_id", "start_char"), F.min("end_char"), F.max("end_char")).collect()}
+    assert got == {(160_000, 160_000, 6, 20_000 * 18 - 2)}
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_density_clusters_by_definition(seed):
     import numpy as np

@@ -1,16 +1,21 @@
 """Named entities by dictionary: an automaton over the alias index finds all names of a text in one pass.
 
 The index is dealt into shards of a bounded number of aliases; each shard is one
-automaton, built once a worker, and adds its finds to the row of the document,
-so that no text is shuffled. Of finds that overlap the longest stays.
+automaton, made on the driver, and adds its finds to the row of the document, so
+that no text is shuffled. Texts are read word by word, many places at once, as
+arrays. Of finds that overlap the longest stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache, cached_property
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
@@ -21,96 +26,211 @@ from textloom.session import bound_batches
 
 #: Aliases of one automaton: what every worker is sent is bounded by this, whatever the index holds.
 SHARD = 200_000
+#: Characters of the texts that are arrays at once, but for a longer text.
+PIECE = 1 << 20
+#: What one place reads of a row of words before the next place's begins.
+LANE = 32
 FOUND = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("label", StringType())]))
-_DROPPED = frozenset(PUNCTUATION)
+_FOUND = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("label", pa.string())])
+#: Stands before, between and after texts.
+_END = "\0"
 
 
 class Automaton:
-    """Aho and Corasick: a trie of the names, and for each state the longest suffix that is a state too."""
-
-    def __init__(self, names: dict[str, str]):
-        self.next: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[int, str] | None] = [None]
-        self.fail, self.shorter = [0], [0]
-        for name, label in names.items():
-            state = 0
-            for c in name:
-                if c not in self.next[state]:
-                    self.next[state][c] = len(self.next)
-                    self.next.append({})
-                    self.ends.append(None)
-                    self.fail.append(0)
-                    self.shorter.append(0)
-                state = self.next[state][c]
-            self.ends[state] = (len(name), label)
-        level = list(self.next[0].values())
-        while level:  # by depth: a suffix is shorter than what it ends
-            below = []
-            for state in level:
-                for c, child in self.next[state].items():
-                    at = self.fail[state]
-                    while at and c not in self.next[at]:
-                        at = self.fail[at]
-                    suffix = self.next[at].get(c, 0)
-                    self.fail[child] = suffix
-                    self.shorter[child] = suffix if self.ends[suffix] else self.shorter[suffix]
-                    below.append(child)
-            level = below
-
-    def finds(self, text: str) -> Iterator[tuple[int, int, str]]:
+    """Aho and Corasick: a trie of the names, and for each state the longest suffix that is a state too.
+
+    A name is a sequence of symbols: the letters of a string, or words. States
+    are numbered by depth, so that the steps (state and symbol) are in order and
+    the i-th of them leads to state i + 1; symbols count from 1, 0 is in no name.
+    """
+
+    def __init__(self, names: dict[Sequence[str], str]):
+        of: dict[str, int] = {}
+        flat = np.array([of.setdefault(s, len(of) + 1) for name in names for s in name], np.int64)
+        self.symbols, self.width, self.labels = pa.array(list(of), pa.string()), len(of) + 1, list(names.values())
+        size = np.array([len(name) for name in names], np.int64)
+        at, begin = np.zeros(len(size), np.int64), np.cumsum(size) - size
+        self.depth = int(size.max(initial=0))
+        steps, self.fail = np.empty(len(flat), np.int64), np.zeros(len(flat) + 1, np.int64)
+        levels = [1]
+        for depth in range(self.depth):  # a suffix is shorter than what it ends
+            longer, n = np.flatnonzero(size > depth), levels[-1]
+            new, of_name = np.unique(at[longer] * self.width + flat[begin[longer] + depth], return_inverse=True)
+            at[longer] = n + of_name
+            child, symbol, state = np.arange(n, n + len(new)), new % self.width, self.fail[new // self.width]
+            while depth and len(child):
+                i = np.minimum(np.searchsorted(steps[: n - 1], state * self.width + symbol), n - 2)
+                found = steps[i] == state * self.width + symbol
+                self.fail[child[found]] = i[found] + 1
+                left = ~found & (state > 0)
+                child, symbol, state = child[left], symbol[left], self.fail[state[left]]
+            steps[n - 1 : n - 1 + len(new)] = new
+            levels.append(n + len(new))
+        self.steps, self.fail = steps[: levels[-1] - 1], self.fail[: levels[-1]]
+        self.root = np.zeros(self.width, np.int64)
+        first = self.steps[: levels[min(1, self.depth)] - 1]
+        self.root[first] = np.arange(1, len(first) + 1)
+        self.names = np.full(levels[-1], -1)
+        self.names[at[size > 0]] = np.flatnonzero(size > 0)
+        self.size = np.append(size, 0)  # that of the state without a name comes last
+        self.shorter = np.zeros(levels[-1], np.int64)
+        for a, b in zip(levels, levels[1:], strict=False):
+            suffix = self.fail[a:b]
+            self.shorter[a:b] = np.where(self.names[suffix] >= 0, suffix, self.shorter[suffix])
+
+    @cached_property
+    def _steps(self) -> pd.Index:
+        return pd.Index(self.steps)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_steps"}
+
+    def walk(self, symbols: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, stop and number of every occurrence of every name in a row of symbols.
+
+        The row is read from many places at once. What is read before a place
+        is as long as the longest name, so that its state is that of one pass.
+        """
+        none = np.zeros(0, np.int64)
+        if not self.depth or not len(symbols):
+            return none, none, none
+        before = self.depth - 1
+        lane = max(lane, 4 * before)
+        places = np.arange(-(-len(symbols) // lane))
+        row = np.zeros(before + len(places) * lane, np.int64)
+        row[before : before + len(symbols)] = symbols
+        state, found = np.zeros(len(places), np.int64), [(none, none)]
+        for i, symbol in enumerate(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(row, before + lane)[::lane].T)):
+            after = self.root[symbol]
+            at = np.flatnonzero((state > 0) & (symbol > 0))
+            suffix, read = state[at], symbol[at]
+            while len(at):
+                step = self._steps.get_indexer(suffix * self.width + read)
+                after[at[step >= 0]] = step[step >= 0] + 1
+                suffix = self.fail[suffix]
+                left = (step < 0) & (suffix > 0)
+                at, suffix, read = at[left], suffix[left], read[left]
+            state = after
+            if i >= before:
+                end = np.where(self.names[state] >= 0, state, self.shorter[state])
+                at = np.flatnonzero(end)
+                while len(at):
+                    found.append((at * lane + i - before + 1, end[at]))
+                    end = self.shorter[end]
+                    at = np.flatnonzero(end)
+        stop, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        name = self.names[end]
+        return stop - self.size[name], stop, name
+
+    def finds(self, text: Sequence[str], lane: int = LANE) -> Iterator[tuple[int, int, str]]:
         """(start, stop, label) of every occurrence of every name."""
-        state, steps, fail, ends, shorter = 0, self.next, self.fail, self.ends, self.shorter
-        for i, c in enumerate(text):
-            while state and c not in steps[state]:
-                state = fail[state]
-            state = steps[state].get(c, 0)
-            at = state if ends[state] else shorter[state]
-            while at:
-                n, label = ends[at]
-                yield i + 1 - n, i + 1, label
-                at = shorter[at]
-
-
-def plain_form(text: str) -> tuple[str, list[int]]:
-    """A text as aliases are written, lower-cased and without punctuation, and where each of its letters stood."""
-    at = [i for i, c in enumerate(text) if c not in _DROPPED]
-    return "".join(low if len(low := text[i].lower()) == 1 else text[i] for i in at), at
-
-
-def word_finds(automaton: Automaton, text: str | None) -> list[tuple[int, int, str]]:
-    """Finds that begin and end at word boundaries, as places in the text itself."""
-    form, at = plain_form(text or "")
-    out = []
-    for a, b, label in automaton.finds(form):
-        if (a == 0 or not form[a - 1].isalnum()) and (b == len(form) or not form[b].isalnum()):
-            out.append((at[a], at[b - 1] + 1, label))
-    return out
-
-
-def longest_first(finds: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Finds that do not overlap, by place: the longest before all, the earlier of equals."""
-    taken: dict[int, int] = {}
-    kept: list[tuple[int, int, str]] = []
-    for find in sorted(finds, key=lambda x: (x[0] - x[1], x[0], x[2])):
-        if not any(k in taken for k in range(find[0], find[1])):
-            taken.update(dict.fromkeys(range(find[0], find[1]), 1))
-            kept.append(find)
-    return sorted(kept)
-
-
-def _finder(names: dict[str, str]):
-    @F.pandas_udf(FOUND)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = Automaton(names)
-        for texts in batches:
-            yield pd.Series([[{"start": a, "stop": b, "label": label} for a, b, label in word_finds(automaton, t)] for t in texts], dtype=object)
+        of = {s: i + 1 for i, s in enumerate(self.symbols.to_pylist())}
+        start, stop, name = self.walk(np.array([of.get(s, 0) for s in text], np.int64), lane)
+        for a, b, i in zip(start.tolist(), stop.tolist(), name.tolist(), strict=True):
+            yield a, b, self.labels[i]
+
+
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: whether plain forms have it, its lower case where that is one letter, whether it is part of a word."""
+    every = [chr(i) for i in range(0x110000)]
+    kept = np.ones(len(every), bool)
+    kept[[ord(c) for c in PUNCTUATION]] = False
+    lower = np.array([ord(low) if len(low := c.lower()) == 1 else i for i, c in enumerate(every)], np.uint32)
+    return kept, lower, np.array([c.isalnum() for c in every])
 
-    return run
 
+class Words:
+    """Texts as aliases are written, lower-cased and without punctuation, cut into words and the letters between them."""
 
-@F.pandas_udf(FOUND)
-def _kept(finds: pd.Series) -> pd.Series:
-    return pd.Series([[{"start": a, "stop": b, "label": label} for a, b, label in longest_first([(f["start"], f["stop"], f["label"]) for f in fs])] for fs in finds], dtype=object)
+    def __init__(self, texts: Sequence[str]):
+        kept, lower, alnum = _letters()
+        self.text = _END + "".join(t + _END for t in texts)
+        code = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        #: Where each text begins, and where the letters of the plain form stood.
+        self.begin = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        self.at = np.flatnonzero(kept[code])
+        form = lower[code[self.at]]
+        self.inner = alnum[form]
+        self.cut = np.flatnonzero(np.append(True, ~(self.inner[1:] & self.inner[:-1])))
+        size = (form > 0x7F).astype(np.int32) + 1
+        size += form > 0x7FF
+        size += form > 0xFFFF
+        bounds = np.append(np.int32(0), np.cumsum(size, dtype=np.int32))
+        bounds = np.append(bounds[self.cut], bounds[-1])
+        self.words = pa.StringArray.from_buffers(len(self.cut), pa.py_buffer(bounds), pa.py_buffer(form.tobytes().decode("utf-32-le").encode()))
+        self.ends = np.searchsorted(self.cut, np.searchsorted(self.at, self.begin - 1))
+
+    def each(self) -> list[tuple[str, ...]]:
+        """The words of each text."""
+        words = self.words.to_pylist()
+        return [tuple(words[a + 1 : b]) for a, b in zip(self.ends, self.ends[1:], strict=False)]
+
+    def finds(self, automaton: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, start, stop in it and number of the names that begin and end at word boundaries."""
+        symbols = pc.index_in(self.words, value_set=automaton.symbols).fill_null(-1).to_numpy(zero_copy_only=False) + 1
+        symbols[self.ends] = 0
+        a, b, name = automaton.walk(symbols)
+        a, b = self.cut[a], self.cut[b]
+        whole = ~(self.inner[a - 1] | self.inner[b])
+        start, stop = self.at[a[whole]], self.at[b[whole] - 1] + 1
+        text = np.searchsorted(self.begin, start, "right") - 1
+        return text, start - self.begin[text], stop - self.begin[text], name[whole]
+
+
+def longest_first(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Numbers of the finds that stay where none may overlap: the longest before all, the earlier of equals."""
+    order = np.argsort(start, kind="stable")
+    if not len(order):
+        return order
+    apart = start[order][1:] >= np.maximum.accumulate(stop[order])[:-1]
+    alone = np.append(True, apart) & np.append(apart, True)
+    rest, taken, stays = order[~alone], bytearray(int(stop.max())), []
+    rest = rest[np.lexsort((start[rest], start[rest] - stop[rest]))]
+    for i, a, b in zip(rest.tolist(), start[rest].tolist(), stop[rest].tolist(), strict=True):
+        if not taken[a] and not taken[b - 1]:  # what was taken before is as long at least, so that it has one end of this or none of it
+            taken[a:b] = b"\1" * (b - a)
+            stays.append(i)
+    return np.append(order[alone], np.array(stays, np.int64))
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about PIECE characters."""
+    read = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // PIECE
+    edges = [0, *(np.flatnonzero(np.diff(read)) + 1), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
+def _shard(automaton: Automaton, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of article_id, text and what the shards before have found, if any; with what this one finds, or after the last a row for each span that stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = pa.array(automaton.labels, pa.string())
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
+            words = Words([t or "" for t in batch.column(1).to_pylist()])
+            text, start, stop, name = words.finds(automaton)
+            label = labels.take(pa.array(name))
+            if batch.num_columns > 2:
+                old, counts = batch.column(2).flatten(), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                text = np.append(text, np.repeat(np.arange(len(counts)), counts))
+                start, stop = np.append(start, old.field("start")), np.append(stop, old.field("stop"))
+                label = pa.concat_arrays([label, old.field("label")])
+            if last:
+                start, stop = start + words.begin[text], stop + words.begin[text]
+                stays = longest_first(start, stop)
+                text, start, stop, label = text[stays], start[stays], stop[stays], label.take(pa.array(stays))
+                spans = pa.array([words.text[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.string())
+                start, stop = start - words.begin[text], stop - words.begin[text]
+                out = {"article_id": batch.column(0).take(pa.array(text)), "entity_text": spans, "entity_label": label, "start_char": pa.array(start, pa.int32()), "end_char": pa.array(stop, pa.int32())}
+            else:
+                order = np.argsort(text, kind="stable")
+                found = pa.StructArray.from_arrays([pa.array(start[order], pa.int32()), pa.array(stop[order], pa.int32()), label.take(pa.array(order))], fields=list(_FOUND))
+                bounds = np.append(0, np.cumsum(np.bincount(text, minlength=batch.num_rows)))
+                out = {"article_id": batch.column(0), "text": batch.column(1), "found": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found)}
+            yield pa.RecordBatch.from_pydict(out)
+
+    return run
 
 
 def names_of(aliases: DataFrame) -> DataFrame:
@@ -134,12 +254,12 @@ def gazetteer_spans(docs: DataFrame, aliases: DataFrame, shard: int = SHARD) ->
     names = materialize(names_of(aliases), "names")
     shards = max(1, -(-names.count() // shard))
     names = names.withColumn("shard", F.pmod(F.xxhash64("alias"), F.lit(shards)))
-    rows, finds = docs.select("article_id", "text"), []
+    rows = docs.select("article_id", "text")
+    key, text, label = docs.schema["article_id"], docs.schema["text"], StringType()
+    found = StructType([key, text, StructField("found", FOUND)])
+    spans = StructType([key, StructField("entity_text", label), StructField("entity_label", label), StructField("start_char", IntegerType()), StructField("end_char", IntegerType())])
     for k in range(shards):
-        part = {r["alias"]: r["label"] for r in names.where(F.col("shard") == k).select("alias", "label").orderBy("alias").collect()}
-        rows = rows.withColumn(f"_found{k}", _finder(part)(F.col("text")))
-        finds.append(f"_found{k}")
-    kept = rows.select("article_id", "text", F.explode(_kept(F.concat(*finds))).alias("f"))
-    text: Column = F.substring("text", F.col("f.start") + 1, F.col("f.stop") - F.col("f.start"))
-    spans = kept.select("article_id", text.alias("entity_text"), F.col("f.label").alias("entity_label"), F.col("f.start").alias("start_char"), F.col("f.stop").alias("end_char"))
-    return spans.where(valid_span(F.col("entity_text")))
+        part = names.where(F.col("shard") == k).select("alias", "label").orderBy("alias").collect()
+        automaton = Automaton(dict(zip(Words([r["alias"] for r in part]).each(), (r["label"] for r in part), strict=True)))
+        rows = rows.mapInArrow(_shard(automaton, k == shards - 1), spans if k == shards - 1 else found)
+    return rows.where(valid_span(F.col("entity_text")))
